@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwell.llm.common import table
 from siftwell.llm.compression_bands import compression_bands
 from siftwell.llm.discriminant import quality_scores
+from siftwell.llm.ppm_language import identify
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,14 @@ def op3_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op3_quadratic_discriminant": op3_quadratic_discriminant,
+    "op9_ppm_language": op9_ppm_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
