@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwell.llm.common import table
 from siftwell.llm.compression_bands import compression_bands
 from siftwell.llm.discriminant import quality_scores
+from siftwell.llm.feistel_pii import pseudonymise
 from siftwell.llm.ppm_language import identify
 
 
@@ -24,10 +25,16 @@ def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op10_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, count="n_replaced")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op3_quadratic_discriminant": op3_quadratic_discriminant,
     "op9_ppm_language": op9_ppm_language,
+    "op10_feistel_pii": op10_feistel_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
