@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.common import table
@@ -11,6 +12,7 @@ from siftwell.llm.compression_bands import compression_bands
 from siftwell.llm.discriminant import quality_scores
 from siftwell.llm.feistel_pii import pseudonymise
 from siftwell.llm.ppm_language import identify
+from siftwell.llm.prefix_bpe import encode_and_decode
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,10 @@ def op3_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -33,6 +39,7 @@ def op10_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op3_quadratic_discriminant": op3_quadratic_discriminant,
+    "op5_prefix_bpe": op5_prefix_bpe,
     "op9_ppm_language": op9_ppm_language,
     "op10_feistel_pii": op10_feistel_pii,
 }
