@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from siftwell.llm.chat_snapshots import render
 from siftwell.llm.common import table
 from siftwell.llm.compression_bands import compression_bands
 from siftwell.llm.discriminant import quality_scores
@@ -27,6 +28,10 @@ def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render(table(spark, sf_dir, "conversations"))
+
+
 def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -40,8 +45,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op3_quadratic_discriminant": op3_quadratic_discriminant,
     "op5_prefix_bpe": op5_prefix_bpe,
+    "op7_chat_snapshots": op7_chat_snapshots,
     "op9_ppm_language": op9_ppm_language,
     "op10_feistel_pii": op10_feistel_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat_snapshots": """
+        WITH turns AS (
+          SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+          FROM conversations WHERE conv_id IS NOT NULL
+        ), placed AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1 AS pos FROM turns
+        ), prefixes AS (
+          SELECT conv_id, pos, list(role || chr(1) || text) OVER (PARTITION BY conv_id ORDER BY pos) AS said FROM placed
+        ), whole AS (
+          SELECT conv_id, len(said) AS n_turns, said FROM prefixes
+          QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1
+        ), strict AS (
+          SELECT DISTINCT p.said FROM prefixes p JOIN whole w ON p.conv_id = w.conv_id WHERE p.pos < w.n_turns - 1
+        ), kept AS (
+          SELECT min(conv_id) AS conv_id, any_value(n_turns) AS n_turns, count(*) AS n_copies FROM whole
+          WHERE said NOT IN (SELECT said FROM strict) GROUP BY said
+        )
+        SELECT k.conv_id, p.pos // 256 AS segment, CAST(k.n_turns AS BIGINT) AS n_turns, k.n_copies,
+          string_agg('<|im_start|>' || p.role || chr(10) || p.text || '<|im_end|>' || chr(10), '' ORDER BY p.pos) AS rendered
+        FROM kept k JOIN placed p ON p.conv_id = k.conv_id GROUP BY ALL
+    """,
+}
