@@ -12,6 +12,7 @@ from siftwell.llm.common import table
 from siftwell.llm.compression_bands import compression_bands
 from siftwell.llm.discriminant import quality_scores
 from siftwell.llm.feistel_pii import pseudonymise
+from siftwell.llm.order_minhash import classes
 from siftwell.llm.ppm_language import identify
 from siftwell.llm.prefix_bpe import encode_and_decode
 
@@ -20,6 +21,10 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op3_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +48,7 @@ def op10_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
+    "op2_order_minhash": op2_order_minhash,
     "op3_quadratic_discriminant": op3_quadratic_discriminant,
     "op5_prefix_bpe": op5_prefix_bpe,
     "op7_chat_snapshots": op7_chat_snapshots,
