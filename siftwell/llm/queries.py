@@ -15,6 +15,7 @@ from siftwell.llm.feistel_pii import pseudonymise
 from siftwell.llm.order_minhash import classes
 from siftwell.llm.ppm_language import identify
 from siftwell.llm.prefix_bpe import encode_and_decode
+from siftwell.llm.qgram_decontamination import contamination
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,10 @@ def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(table(spark, sf_dir, "conversations"))
 
 
+def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quadratic_discriminant": op3_quadratic_discriminant,
     "op5_prefix_bpe": op5_prefix_bpe,
     "op7_chat_snapshots": op7_chat_snapshots,
+    "op8_qgram_decontamination": op8_qgram_decontamination,
     "op9_ppm_language": op9_ppm_language,
     "op10_feistel_pii": op10_feistel_pii,
 }
