@@ -12,6 +12,7 @@ from siftwell.llm.common import table
 from siftwell.llm.compression_bands import compression_bands
 from siftwell.llm.discriminant import quality_scores
 from siftwell.llm.feistel_pii import pseudonymise
+from siftwell.llm.maxent_lm import score_documents
 from siftwell.llm.order_minhash import classes
 from siftwell.llm.ppm_language import identify
 from siftwell.llm.prefix_bpe import encode_and_decode
@@ -34,6 +35,10 @@ def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(table(spark, sf_dir, "conversations"))
 
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_order_minhash": op2_order_minhash,
     "op3_quadratic_discriminant": op3_quadratic_discriminant,
     "op5_prefix_bpe": op5_prefix_bpe,
+    "op6_maxent_lm": op6_maxent_lm,
     "op7_chat_snapshots": op7_chat_snapshots,
     "op8_qgram_decontamination": op8_qgram_decontamination,
     "op9_ppm_language": op9_ppm_language,
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_maxent_lm": op6_maxent_lm,
     "op7_chat_snapshots": """
         WITH turns AS (
           SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
