@@ -13,6 +13,7 @@ from siftwell.llm.compression_bands import compression_bands
 from siftwell.llm.discriminant import quality_scores
 from siftwell.llm.feistel_pii import pseudonymise
 from siftwell.llm.maxent_lm import score_documents
+from siftwell.llm.mixing_coder import write_and_read
 from siftwell.llm.order_minhash import classes
 from siftwell.llm.ppm_language import identify
 from siftwell.llm.prefix_bpe import encode_and_decode
@@ -31,6 +32,10 @@ def op3_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op2_order_minhash": op2_order_minhash,
     "op3_quadratic_discriminant": op3_quadratic_discriminant,
+    "op4_mixing_coder": op4_mixing_coder,
     "op5_prefix_bpe": op5_prefix_bpe,
     "op6_maxent_lm": op6_maxent_lm,
     "op7_chat_snapshots": op7_chat_snapshots,
