@@ -75,7 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op6_maxent_lm": op6_maxent_lm,
     "op7_chat_snapshots": """
         WITH turns AS (
           SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
