@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from siftwell.plans import codemap, context, contracts, functions, ingest, planning, savings, search
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (ingest, search, savings, codemap, planning, contracts, context, functions):
+    QUERIES |= _module.CATALOG.queries
+    ORACLE_SQL |= _module.CATALOG.sql

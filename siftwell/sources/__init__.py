@@ -1 +1 @@
-
+"""Sources, sinks and the relations derived from the tables."""
