@@ -40,7 +40,9 @@ FREQUENT = 300_000
 ROWS = 1 << 14  #: hashed weight rows of each softmax
 ROUNDS = 2
 STEP = 0.08
-BATCH = 4096
+BATCH = 8192
+MAX_SCORE = np.float32(80)  #: keeps exp() of a score finite in single precision
+FEW = 12
 FLUSH = 500_000  #: distinct words a task holds before it passes its counts on
 
 START = VOCABULARY + FORMS  #: the code of what stands before a text
@@ -137,10 +139,10 @@ def contexts(code: np.ndarray, form: np.ndarray, bounds: np.ndarray) -> tuple[np
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = weights[rows[:, 0]]
+    x = weights.take(rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        x += weights[rows[:, k]]
-    x -= x.max(1, keepdims=True)
+        x += weights.take(rows[:, k], axis=0)
+    np.minimum(x, MAX_SCORE, out=x)
     np.exp(x, out=x)
     x /= x.sum(1, keepdims=True)
     return x
@@ -168,16 +170,34 @@ def initial_weights(vocabulary: np.ndarray, forms: np.ndarray) -> np.ndarray:
     return w
 
 
+def _run_sums(g: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows of ``g``, which begin at ``first`` and are ``n`` long: up to FEW rows for all runs at once, the rest run by run."""
+    out = g.take(first, axis=0)
+    for k in range(1, FEW):
+        longer = np.flatnonzero(n > k)
+        if not len(longer):
+            return out
+        out[longer] += g.take(first[longer] + k, axis=0)
+    for r in np.flatnonzero(n > FEW).tolist():
+        a, b = first[r] + FEW, first[r] + n[r]
+        out[r] += np.ones(b - a, np.float32) @ g[a:b]
+    return out
+
+
 def _descend(w: np.ndarray, used: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
-    """One gradient step on a batch; a row's step shrinks with the root of its uses."""
+    """One gradient step on a batch, feature by feature; a row's step shrinks with the root of its uses."""
     g = _softmax(w, rows)
     g[np.arange(len(g)), target] -= 1
-    flat = rows.T.ravel()
-    order = np.argsort(flat, kind="stable")
-    keys, first, n = np.unique(flat[order], return_index=True, return_counts=True)
-    used[keys] += n
-    total = np.add.reduceat(g[order % len(g)], first, axis=0)
-    w[keys] -= (STEP / np.sqrt(used[keys]))[:, None].astype(np.float32) * total
+    for k in range(rows.shape[1]):
+        order = np.argsort(rows[:, k].astype(np.uint16), kind="stable")
+        own = rows[order, k]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        n = np.diff(np.append(first, len(own)))
+        keys = own[first]
+        used[keys] += n
+        total = _run_sums(g.take(order, axis=0), first, n)
+        total *= (STEP / np.sqrt(used[keys])).astype(np.float32)[:, None]
+        w[keys] -= total
 
 
 def train_round(docs: DataFrame, frequent, weights) -> DataFrame:
@@ -208,7 +228,9 @@ def train_round(docs: DataFrame, frequent, weights) -> DataFrame:
             t = touched[a : a + 4096]
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(used[t]), lists], names=["row", "n", "v"])
 
-    parts = docs.select("text").mapInArrow(run, "row long, n double, v array<float>")
+    # a task's changes are as large as the weights, whatever it has read: so few tasks, each with several partitions
+    tasks = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    parts = docs.select("text").coalesce(tasks).mapInArrow(run, "row long, n double, v array<float>")
     sums = [F.sum(F.get("v", F.lit(k)).cast("double")).alias(f"v{k}") for k in range(WIDTH)]
     return parts.groupBy("row").agg(F.sum("n").alias("n"), *sums)
 
