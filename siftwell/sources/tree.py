@@ -17,7 +17,7 @@ def ignore_lines(text: str) -> list[str]:
 def read_tree(spark: SparkSession, root: str, ignore: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, size, language, content_hash, content, skip_reason) of every file below ``root``, any store Spark can list.
 
-    Content is null for skipped files. Ignored paths are skipped whole; files over ``max_bytes`` aren't indexed.
+    Spark doesn't list names that begin with a dot or an underscore. Content is null for skipped files. Ignored paths are skipped whole; files over ``max_bytes`` aren't indexed.
     """
     base = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
