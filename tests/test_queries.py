@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pandas as pd
 import pytest
 
 from siftwell.plans.registry import ORACLE_SQL, QUERIES
@@ -21,7 +22,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    clean = lambda x: None if x is None or x != x else round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
+    clean = lambda x: None if pd.isna(x) else round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
     return sorted(repr([clean(x.item() if hasattr(x, "item") else x) for x in r]) for r in frame.itertuples(index=False))
 
 
