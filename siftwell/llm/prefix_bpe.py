@@ -27,7 +27,8 @@ from siftwell.llm.common import map_slices, worker_file
 from siftwell.llm.pretokens import encode_slice
 from siftwell.llm.textcodes import column_bytes
 
-CACHE_WORDS = 300_000  #: matches a worker remembers
+CACHE_WORDS = 100_000  #: matches a worker remembers
+CACHE_SEAMS = 400_000  #: pairs of tokens a worker remembers
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -81,7 +82,7 @@ class Vocabulary:
         key = (a, b)
         known = self._apart.get(key)
         if known is None:
-            if len(self._apart) > 2_000_000:
+            if len(self._apart) > CACHE_SEAMS:
                 self._apart.clear()
             known = self._apart[key] = self._seam(a, b, len(self.bytes))
         return known
