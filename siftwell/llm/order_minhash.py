@@ -6,15 +6,15 @@ sketches put two texts in one bucket. Unlike plain MinHash a sketch changes when
 follows edit similarity. A pair is verified by alignment of the two labelled k-mer sequences: the longest common subsequence
 L inside the diagonal band that a similarity of ``SIMILARITY`` allows, and L / (n + m - L) >= ``SIMILARITY``.
 
-Large buckets are never expanded into all pairs. Members are compared with the bucket's leader (the text whose
-sketches are shared most) and linked members leave. The others are bucketed again by length band; buckets of at
-most ``PAIRED`` are paired, larger ones are compared with several leaders a round until they are that small. Only pairs that share
-``AGREED`` of the ``TABLES`` sketches, seen from 16-bit marks that members carry, are verified. The links join texts
-into classes (connected components), exact copies with them.
+Members of a bucket are first compared with its leader (the text whose sketches are shared most) and the links
+joined into classes. A bucket all of one class is done. In the others every pair of texts of different classes is
+compared: the members outside the bucket's largest class against all of its members, in blocks of ``PAIRED``; very
+large buckets are compared with further leaders before. So a pair goes unseen only when its texts are in one class
+already. Only pairs that share ``AGREED`` of the ``TABLES`` sketches, seen from 16-bit marks that members carry, are
+verified. The links join texts into classes (connected components), exact copies with them.
 
-At a similarity of exactly 0.8 a pair shares fewer than ``AGREED`` sketches with a probability of about 8e-4, and
-about ten on average. Two texts that are similar to each other, one of which is linked to a bucket's leader and the other
-not, are found only through another bucket.
+At a similarity of exactly 0.8 a pair of long texts shares fewer than ``AGREED`` sketches with a probability of about
+8e-4, and about ten on average.
 
 Defined results for odd input: texts that are equal byte for byte, empty ones too, are copies; a null text is a
 class of its own; texts without a word have no near links; texts under five words have one k-mer of all their
@@ -40,7 +40,8 @@ SIMILARITY = 0.8
 TABLES = 30
 PICKED = 5
 LEADERS = 8  #: leaders of a bucket in every round but the first
-PAIRED = 2048  #: most unlinked members of a bucket that are compared pairwise
+PAIRED = 2048  #: members of a bucket in a block of those that are compared pairwise
+ROUNDS = 4  #: rounds of leaders at most before the rest of a bucket is compared pairwise
 AGREED = 3
 
 _U = np.uint64
@@ -48,6 +49,7 @@ _ODD = mix64(np.arange(1, TABLES + 1, dtype=np.uint64)) | _U(1)
 _PLACE = mix64(np.arange(101, 101 + PICKED, dtype=np.uint64)) | _U(1)
 _SALT = mix64(np.arange(1001, 1001 + TABLES, dtype=np.uint64))
 _BLOCK = 1 << 16
+_LARGE = f"(c - most) * c > {PAIRED * PAIRED}"
 
 
 def labelled(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -164,51 +166,50 @@ def near_links(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame
     wanted = members.select("node").distinct()
     texts = docs.where("text IS NOT NULL").select(digest().alias("node"), "text").join(wanted, "node", "left_semi")
     texts = scratch.save(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    found: DataFrame | None = None
     similar = (F.least("n", "ln") >= SIMILARITY * F.greatest("n", "ln") - 1e-9) & (F.size(_agreeing("marks", "lmarks")) >= AGREED)
-    for turn in range(1 << 20):
-        slots = 1 if turn == 0 else LEADERS
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots))
-        if turn:
-            sizes = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-            members = members.join(sizes, "key")
-            few = members.where(F.col("c") <= PAIRED)
-            other = few.select(
-                "key", F.col("node").alias("leader"), F.col("n").alias("ln"), F.col("marks").alias("lmarks"), F.col("held").alias("lheld"), F.col("at").alias("lat")
-            )
-            # of all buckets that a pair shares, only the first in table order and the lowest common band gives it
-            both = F.filter(_agreeing("marks", "lmarks"), lambda i: F.getbit(F.col("held").bitwiseAND(F.col("lheld")), i) == 1)
-            first = (F.get(both, F.lit(0)) == F.col("t")) & (F.col("band") == F.greatest("at", "lat"))
-            paired = few.join(other, "key").where(F.col("node") < F.col("leader")).where(similar & first).select(*_ordered("node", "leader"))
-            members = members.where(F.col("c") > PAIRED).drop("c")
-        leaders = members.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("w", "node", "n", "marks")).alias("x"))
-        leaders = leaders.select("key", F.col("x.node").alias("leader"), F.col("x.n").alias("ln"), F.col("x.marks").alias("lmarks"))
-        led = scratch.save(members.join(leaders, "key"), f"led{turn}")
-        tries = led.where(F.col("node") != F.col("leader")).where(similar).select(*_ordered("node", "leader"))
-        if turn:
-            tries = tries.unionByName(paired)
-        tries = tries.distinct()
-        if found is not None:
-            tries = tries.join(found, ["u", "v"], "left_anti")
-        good = scratch.save(verify(tries, texts), f"links{turn}")
-        found = good if found is None else found.unionByName(good)
-        # members that are leaders or linked to one leave their bucket
-        done = led.select("key", "node", "leader", *_ordered("node", "leader")).join(found, ["u", "v"], "left_semi")
-        done = done.select("key", "node").unionByName(led.where("node = leader").select("key", "node")).distinct()
-        rest = led.drop("leader", "ln", "lmarks").dropDuplicates(["key", "node"]).join(done, ["key", "node"], "left_anti")
-        if turn == 0:
-            # two texts this similar differ in length by one band at most; ``held`` has a bit for each table a text is left in
-            rest = scratch.save(rest, "rest")
-            held = rest.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("held"))
-            at = F.floor(F.log("n") / F.log(F.lit(1 / SIMILARITY)))
-            rest = rest.join(held, "node").withColumn("at", at).withColumn("band", F.explode(F.array("at", F.col("at") + 1)))
-            rest = rest.withColumn("key", F.xxhash64("key", "band"))
-        members = scratch.save(rest, f"round{turn + 1}")
-        for old in (f"round{turn}", f"led{turn}", "rest"):
-            scratch.drop(old)
-        if members.isEmpty():
+    found = scratch.save(verify(_led(members, 1, 0).where(similar).select(*_ordered("node", "leader")).distinct(), texts), "links0")
+    for turn in range(1, ROUNDS + 1):
+        members = scratch.save(_mixed(members, found, scratch, turn), f"round{turn}")
+        scratch.drop(f"round{turn - 1}")
+        large = members.where(_LARGE)
+        if turn == ROUNDS or large.isEmpty():
             break
-    return found
+        tries = _led(large, LEADERS, turn).where("root <> lroot").where(similar).select(*_ordered("node", "leader")).distinct()
+        good = scratch.save(verify(tries.join(found, ["u", "v"], "left_anti"), texts), f"links{turn}")
+        found = found.unionByName(good)
+    # all pairs of different classes: those outside a bucket's largest class against all its members, in blocks
+    x, y = F.ceil((F.col("c") - F.col("most")) / PAIRED), F.ceil(F.col("c") / PAIRED)
+    block = lambda m, salt: F.pmod(F.xxhash64("node", F.lit(salt)), m)
+    others = members.where("root <> big").withColumn("x", block(x, 1)).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), y - 1)))
+    whole = members.withColumn("y", block(y, 2)).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), x - 1)))
+    whole = whole.select(
+        "key", "x", "y", F.col("node").alias("leader"), F.col("n").alias("ln"), F.col("marks").alias("lmarks"), F.col("root").alias("lroot")
+    )
+    once = (F.col("root") != F.col("lroot")) & ((F.col("lroot") == F.col("big")) | (F.col("node") < F.col("leader")))
+    # of all buckets that a pair shares, only the first two in table order give it: one may come from marks that are equal by chance
+    first = F.array_contains(F.slice(_agreeing("marks", "lmarks"), 1, 2), F.col("t"))
+    tries = others.join(whole, ["key", "x", "y"]).where(once).where(similar & first).select(*_ordered("node", "leader")).distinct()
+    return found.unionByName(scratch.save(verify(tries, texts), "links"))
+
+
+def _led(members: DataFrame, slots: int, turn: int) -> DataFrame:
+    """Members beside the leaders of their bucket, the members whose sketches are shared most in each of ``slots`` parts."""
+    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots))
+    own = members if turn == 0 else members.where("root <> big")
+    root = F.col("root") if turn else F.lit(None).cast("binary").alias("root")
+    leaders = own.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("w", "node", "n", "marks", root)).alias("x"))
+    leaders = leaders.select("key", F.col("x.node").alias("leader"), F.col("x.n").alias("ln"), F.col("x.marks").alias("lmarks"), F.col("x.root").alias("lroot"))
+    return members.join(leaders, "key").where(F.col("node") != F.col("leader"))
+
+
+def _mixed(members: DataFrame, links: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
+    """The members of buckets with more than one class, with their class ``root``, the bucket's largest class ``big``, its size ``most`` and the bucket's ``c``."""
+    roots = scratch.save(components(links, scratch), f"classes{turn}")
+    members = members.select("key", "t", "node", "n", "w", "marks").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("m"))
+    sizes = sizes.groupBy("key").agg(F.sum("m").alias("c"), F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("classes"))
+    sizes = sizes.where("classes > 1").select("key", "c", F.col("x.m").alias("most"), F.col("x.root").alias("big"))
+    return members.join(sizes, "key")
 
 
 def _class_table(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

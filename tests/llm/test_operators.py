@@ -110,6 +110,31 @@ def test_op2_odd_rows_and_keeping_one(spark):
     assert order_minhash.keep_one(odd(spark, [])).count() == 0
 
 
+def family(rng):
+    """A centre, 25 texts one word away, and 4 pairs: one text a word from the centre, one four words from it, too far from all others."""
+    centre = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+
+    def edit(words, k):
+        places = set(rng.sample(range(5, 195, 10), k))
+        return [f"x{rng.randrange(10**6)}" if i in places else w for i, w in enumerate(words)]
+
+    # a replaced word costs five k-mers of 196: four leave 0.815, five 0.774
+    def pair():
+        words = edit(centre, 1)
+        free = [i for i in range(5, 195, 10) if words[i] == centre[i]]
+        places = set(rng.sample(free, 4))
+        return [words, [f"x{rng.randrange(10**6)}" if i in places else w for i, w in enumerate(words)]]
+
+    return [" ".join(w) for w in (centre, *(edit(centre, 1) for _ in range(25)), *(x for _ in range(4) for x in pair()))]
+
+
+def test_op2_linked_members_stay_partners(spark):
+    rng = random.Random(8)
+    texts = [t for _ in range(12) for t in family(rng)]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(odd(spark, texts)).collect()}
+    assert got == {i: i // 34 * 34 for i in range(len(texts))}
+
+
 def test_op3_held_out_accuracy_and_odd_rows(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = {r.doc_id: r for r in discriminant.quality_scores(docs, labels).collect()}
