@@ -13,8 +13,11 @@ large buckets are compared with further leaders before. So a pair goes unseen on
 already. Only pairs that share ``AGREED`` of the ``TABLES`` sketches, seen from 16-bit marks that members carry, are
 verified. The links join texts into classes (connected components), exact copies with them.
 
-At a similarity of exactly 0.8 a pair of long texts shares fewer than ``AGREED`` sketches with a probability of about
-8e-4, and about ten on average.
+Texts of at most ``SHORT`` k-mers have no sketches but an exact way: two similar texts share one of the rarest
+n - ceil(0.8 n) + 1 labelled k-mers of each (a prefix filter), and buckets by those need no agreement of sketches.
+
+A pair of longer texts shares fewer than ``AGREED`` sketches with a probability that depends on the length: at
+most 1.5e-3 at 41 k-mers, 1.1e-3 at 80 and 8.2e-4 at 1000, all at the least similarity that is a link.
 
 Defined results for odd input: texts that are equal byte for byte, empty ones too, are copies; a null text is a
 class of its own; texts without a word have no near links; texts under five words have one k-mer of all their
@@ -43,13 +46,13 @@ LEADERS = 8  #: leaders of a bucket in every round but the first
 PAIRED = 2048  #: members of a bucket in a block of those that are compared pairwise
 ROUNDS = 4  #: rounds of leaders at most before the rest of a bucket is compared pairwise
 AGREED = 3
+SHORT = 40  #: texts of at most so many k-mers have prefix keys only; none longer than SHORT / SIMILARITY can be similar to them
 
 _U = np.uint64
 _ODD = mix64(np.arange(1, TABLES + 1, dtype=np.uint64)) | _U(1)
 _PLACE = mix64(np.arange(101, 101 + PICKED, dtype=np.uint64)) | _U(1)
 _SALT = mix64(np.arange(1001, 1001 + TABLES, dtype=np.uint64))
 _BLOCK = 1 << 16
-_LARGE = f"(c - most) * c > {PAIRED * PAIRED}"
 
 
 def labelled(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,11 +64,11 @@ def labelled(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch_keys(codes: np.ndarray) -> np.ndarray:
-    """One bucket key per table for the labelled k-mers of a text."""
+    """One bucket key per table for the labelled k-mers of a text; none for a text of SHORT k-mers or fewer."""
     n = len(codes)
-    if n <= PICKED:
-        at = np.broadcast_to(np.arange(n), (TABLES, n))
-    elif n <= _BLOCK:
+    if n <= SHORT:
+        return np.zeros(0, np.uint64)
+    if n <= _BLOCK:
         at = np.sort(np.argpartition(codes[None, :] * _ODD[:, None], PICKED - 1, axis=1)[:, :PICKED], axis=1)
     else:
         # the least of a long text are among the least of its blocks
@@ -109,22 +112,39 @@ def aligned(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, keys): the text's 128-bit digest, its number of k-mers and its bucket keys. Null texts are left out."""
+    """(doc_id, node, n, keys, grams): the text's 128-bit digest, its number of k-mers, its bucket keys and, of a text
+    short enough for a prefix, its labelled k-mers. Null texts are left out."""
+
+    def lists(rows: list[np.ndarray]) -> pa.Array:
+        offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        flat = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         codes, bounds = labelled(part.column(1))
         at = bounds.tolist()
-        keys = [sketch_keys(codes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
-        n = np.diff(bounds)
-        offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, TABLES, 0))]).astype(np.int32)
-        flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+        own = [codes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        grams = [c if len(c) <= SHORT / SIMILARITY else c[:0] for c in own]
         return pa.RecordBatch.from_arrays(
-            [part.column(0).cast(pa.int64()), part.column(2), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-            names=["doc_id", "node", "n", "keys"],
+            [part.column(0).cast(pa.int64()), part.column(2), pa.array(np.diff(bounds)), lists([sketch_keys(c) for c in own]), lists(grams)],
+            names=["doc_id", "node", "n", "keys", "grams"],
         )
 
     rows = docs.where("text IS NOT NULL").select("doc_id", "text", digest().alias("node"))
-    return map_slices(rows, run, "doc_id long, node binary, n long, keys array<long>")
+    return map_slices(rows, run, "doc_id long, node binary, n long, keys array<long>, grams array<long>")
+
+
+def prefixes(nodes: DataFrame) -> DataFrame:
+    """(node, n, marks, t, key) of the rarest labelled k-mers of short texts, n - ceil(SIMILARITY * n) + 1 of each; those of one text only are left out."""
+    grams = nodes.select("node", "n", F.explode("grams").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
+    # a k-mer of one text only sorts first and takes its place in the prefix, but nothing can be found by it
+    per = grams.join(counts, "gram").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("own"))
+    length = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1
+    left = F.greatest(F.lit(0).cast("long"), length - (F.col("n") - F.size("own"))).cast("int")
+    first = F.explode(F.slice("own", F.lit(1), left)).alias("x")
+    none = F.array().cast("array<smallint>").alias("marks")
+    return per.select("node", "n", none, F.lit(-1).alias("t"), first).select("node", "n", "marks", "t", F.xxhash64("x.gram", F.lit("prefix")).alias("key"))
 
 
 def digest():
@@ -155,9 +175,10 @@ def _agreeing(a: str, b: str):
 
 
 def near_links(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(u, v): verified links between different texts. ``nodes``: (node, n, keys), one row per text."""
+    """(u, v): verified links between different texts. ``nodes``: (node, n, keys, grams), one row per text."""
     marks = F.transform("keys", lambda k: (F.shiftrightunsigned(k, 48) - 32768).cast("smallint"))
     members = nodes.select("node", "n", marks.alias("marks"), F.posexplode("keys").alias("t", "key"))
+    members = members.unionByName(prefixes(nodes))
     shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     members = scratch.save(members.join(shared, "key"), "members")
     weight = members.groupBy("node").agg(F.sum("c").alias("w"))
@@ -166,12 +187,13 @@ def near_links(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame
     wanted = members.select("node").distinct()
     texts = docs.where("text IS NOT NULL").select(digest().alias("node"), "text").join(wanted, "node", "left_semi")
     texts = scratch.save(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    similar = (F.least("n", "ln") >= SIMILARITY * F.greatest("n", "ln") - 1e-9) & (F.size(_agreeing("marks", "lmarks")) >= AGREED)
+    prefix = F.col("t") < 0
+    similar = (F.least("n", "ln") >= SIMILARITY * F.greatest("n", "ln") - 1e-9) & (prefix | (F.size(_agreeing("marks", "lmarks")) >= AGREED))
     found = scratch.save(verify(_led(members, 1, 0).where(similar).select(*_ordered("node", "leader")).distinct(), texts), "links0")
     for turn in range(1, ROUNDS + 1):
         members = scratch.save(_mixed(members, found, scratch, turn), f"round{turn}")
         scratch.drop(f"round{turn - 1}")
-        large = members.where(_LARGE)
+        large = members.where((F.col("c") - F.col("most")) * F.col("c") > PAIRED * PAIRED)
         if turn == ROUNDS or large.isEmpty():
             break
         tries = _led(large, LEADERS, turn).where("root <> lroot").where(similar).select(*_ordered("node", "leader")).distinct()
@@ -187,7 +209,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame
     )
     once = (F.col("root") != F.col("lroot")) & ((F.col("lroot") == F.col("big")) | (F.col("node") < F.col("leader")))
     # of all buckets that a pair shares, only the first two in table order give it: one may come from marks that are equal by chance
-    first = F.array_contains(F.slice(_agreeing("marks", "lmarks"), 1, 2), F.col("t"))
+    first = prefix | F.array_contains(F.slice(_agreeing("marks", "lmarks"), 1, 2), F.col("t"))
     tries = others.join(whole, ["key", "x", "y"]).where(once).where(similar & first).select(*_ordered("node", "leader")).distinct()
     return found.unionByName(scratch.save(verify(tries, texts), "links"))
 
@@ -215,8 +237,8 @@ def _mixed(members: DataFrame, links: DataFrame, scratch: Scratch, turn: int) ->
 def _class_table(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(signature rows, (node, root, class_id)) of the texts of ``docs``."""
     sigs = scratch.save(signatures(docs), "signatures")
-    nodes = sigs.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    links = near_links(nodes.select("node", "n", "keys"), docs, scratch)
+    nodes = sigs.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("grams").alias("grams"))
+    links = near_links(nodes.select("node", "n", "keys", "grams"), docs, scratch)
     roots = components(links, scratch)
     least = sigs.groupBy("node").agg(F.min("doc_id").alias("least"))
     of = least.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))

@@ -135,6 +135,17 @@ def test_op2_linked_members_stay_partners(spark):
     assert got == {i: i // 34 * 34 for i in range(len(texts))}
 
 
+def test_op2_short_texts_find_their_near_copies(spark):
+    rng = random.Random(9)
+    texts = []
+    for n in (*range(8, 23), 30, 40, 44):
+        for _ in range(12):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            texts += [" ".join(words), " ".join(["new", *words] if rng.random() < 0.5 else [*words, "new"])]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(odd(spark, texts)).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 def test_op3_held_out_accuracy_and_odd_rows(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = {r.doc_id: r for r in discriminant.quality_scores(docs, labels).collect()}
