@@ -146,6 +146,30 @@ def test_op2_short_texts_find_their_near_copies(spark):
     assert got == {i: i // 2 * 2 for i in range(len(texts))}
 
 
+def test_op2_pairs_of_oversized_buckets_are_found(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "PAIRED", 4)
+    rng = random.Random(10)
+    head = [f"h{i}" for i in range(150)]
+    texts = []
+    for _ in range(16):
+        one = head + [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        two = [*one[:208], f"x{rng.randrange(10**6)}", one[209]]
+        three = [f"y{rng.randrange(10**6)}" if i in (155, 167, 179, 191) else w for i, w in enumerate(two)]
+        texts += [" ".join(x) for x in (one, two, three)]
+    ids = range(len(texts))
+    codes, bounds = order_minhash.labelled(pa.array(texts))
+    own = [codes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    near = {(a, b) for a in ids for b in range(a) if order_minhash.aligned(own[a], own[b]) >= 0.8}
+    assert all(a // 3 == b // 3 for a, b in near)
+    want = {i: i // 3 * 3 if (i // 3 * 3 + 2, i // 3 * 3 + 1) in near else i for i in ids}
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(odd(spark, texts)).collect()}
+    assert got == want and want[2] == 0
+    rng = random.Random(8)
+    texts = [t for _ in range(12) for t in family(rng)]
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(odd(spark, texts)).collect()}
+    assert got == {i: i // 34 * 34 for i in range(len(texts))}
+
+
 def test_op3_held_out_accuracy_and_odd_rows(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = {r.doc_id: r for r in discriminant.quality_scores(docs, labels).collect()}
