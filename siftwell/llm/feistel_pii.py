@@ -99,7 +99,7 @@ _DATE = r"(?P<date>(?<![0-9/.-])[0-9]{1,2}(?P<s>[/.-])[0-9]{1,2}(?P=s)[0-9]{4}(?
 _SSN = r"(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
 _CARD = r"(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
 _PHONE = (
-    r"(?P<phone>(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-][0-9]{1,4}){1,5}(?![0-9])|\+[0-9]{8,15}(?![0-9])"
+    r"(?P<phone>(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,10}(?:[ .-][0-9]{1,10}){0,5}(?![0-9])|\+[0-9]{8,15}(?![0-9])"
     r"|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[0-9]{3}(?P<g>[ .-])[0-9]{3}(?P=g)[0-9]{4}(?![0-9])))"
 )
 _AWS = r"(?P<aws>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)"
@@ -221,6 +221,17 @@ class Pseudonyms:
     def replace(self, m: re.Match) -> str | None:
         return getattr(self, next(k for k in _KINDS if m.re.groupindex.get(k) and m[k] is not None))(m)
 
+    def _shorter(self, kind: str, m: re.Match) -> tuple[int, int, str] | None:
+        """The longest valid prefix of a failed card or phone match that ends where a group of digits does."""
+        found = m[kind]
+        for end in range(len(found) - 1, 0, -1):
+            if not (found[end - 1].isdigit() and not found[end].isdigit()):
+                continue
+            o = _BY_KIND[kind].fullmatch(m.string, m.start(), m.start() + end)
+            if o and (new := self.replace(o)) is not None:
+                return o.start(), o.end(), new
+        return None
+
     def text(self, text: str) -> tuple[str, int]:
         """The text with all validated values replaced, and how many were."""
         if not _HINT.search(text):
@@ -245,10 +256,13 @@ class Pseudonyms:
         return "".join([*out, text[last:]]) if n else text, n
 
     def _within(self, text: str, m: re.Match) -> tuple[int, int, str] | None:
-        """Another kind's valid match that begins where a failed match did."""
+        """Another kind's valid match, or a shorter card or phone, that begins where a failed match did."""
         for kind, pattern in _BY_KIND.items():
-            if (o := pattern.match(text, m.start())) and (new := self.replace(o)) is not None:
-                return o.start(), o.end(), new
+            if o := pattern.match(text, m.start()):
+                if (new := self.replace(o)) is not None:
+                    return o.start(), o.end(), new
+                if kind in ("card", "phone") and (shorter := self._shorter(kind, o)):
+                    return shorter
         return None
 
 

@@ -317,6 +317,21 @@ def test_op10_values_keep_their_format_and_links(spark):
     assert [r.text for r in got[:6]] == ODD[:6] and got[0].hits == 0 and len(got) == len(ODD)
 
 
+def test_op10_cards_and_phones_beside_numbers():
+    p = feistel_pii.Pseudonyms(b"key")
+    for card in ("4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005"):
+        for after in (" 12/27", " 123", "-7", " 12 27", " 1234"):
+            for before in ("", "card ", "no 5, "):
+                new, n = p.text(f"{before}{card}{after}")
+                head = new[len(before) : len(before) + len(card)]
+                assert n == 1 and head != card and new[len(before) + len(card) :] == after, (card, after, new)
+                assert feistel_pii.luhn_digit(re.sub(r"\D", "", head)[:-1]) == head[-1]
+    for phone in ("+49 30 1234567", "+44 7911 123456", "+91 98765 43210", "+1 (415) 555-0132", "+353 1 4960123"):
+        for after in ("", " 12 items", ", 2024", " 123456789"):
+            new, n = p.text(f"call {phone}{after}")
+            assert n == 1 and phone not in new and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f"call {phone}{after}"), (phone, after, new)
+
+
 def test_pipeline_stages_take_effect(spark, docs):
     rows = docs.columns
     at = docs.unionByName(spark.createDataFrame([(900_000, "12 34", "en", "s", 5), (900_001, None, None, None, None)], docs.schema))
