@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from siftwell.llm.textcodes import _BYTE_CODE, _WORD, Words, _power_tables, mix64, occurrence, windows
+from siftwell.llm.textcodes import _WORD, Words, mix64, occurrence, span_hashes, windows
 
 REPEAT_WIDTH = 5
 
@@ -61,10 +61,7 @@ class DocStats:
         np.cumsum(in_word, out=seen[1:])
         full = seen[ends] > seen[starts]
         starts, ends, doc = starts[full], ends[full], doc[full]
-        up, down = _power_tables(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=sums[1:])
-        lines = mix64((sums[ends] - sums[starts]) * down[np.minimum(starts, len(down) - 1)] + (ends - starts).astype(np.uint64))
+        lines = span_hashes(data, starts, ends)
         self.n_lines = np.bincount(doc, minlength=n_docs)
         self.n_dup_lines = np.bincount(doc[occurrence(lines, doc) > 0], minlength=n_docs)
 

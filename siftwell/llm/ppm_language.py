@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import fold, map_slices
-from siftwell.llm.textcodes import column_bytes, slices
+from siftwell.llm.textcodes import KeyTable, column_bytes, slices
 
 ORDER = 3
 TRAIN_DOCS = 4000
@@ -72,40 +72,6 @@ def normal_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return gram[at], bounds
 
 
-class GramTable:
-    """Rows by uint32 key: open addressing, probed for all keys at once. Unknown keys get row -1."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(8, int(len(keys) * 4).bit_length())
-        self.shift, self.mask = np.uint32(32 - bits) if bits < 32 else np.uint32(0), (1 << bits) - 1
-        self.row = np.full(1 << bits, -1, np.int32)
-        self.keys = keys.astype(np.uint32)
-        todo, slot = np.arange(len(keys)), self._slot(self.keys)
-        while len(todo):
-            free = self.row[slot] < 0
-            self.row[slot[free]] = todo[free]
-            lost = self.row[slot] != todo
-            todo, slot = todo[lost], (slot[lost] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint32(0x9E3779B1)) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), -1, np.int32)
-        slot = self._slot(keys)
-        out = self.row[slot]
-        todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
-        slot = slot[todo]
-        while len(todo):
-            slot = (slot + 1) & self.mask
-            got = self.row[slot]
-            out[todo] = got
-            more = (got >= 0) & (self.keys[got] != keys[todo])
-            todo, slot = todo[more], slot[more]
-        return out
-
-
 class ContextTrees:
     """Frozen trees of all languages: code lengths in bits by gram and escapes by context, per order."""
 
@@ -113,7 +79,7 @@ class ContextTrees:
         self.languages = sorted(counts)
         n = len(self.languages)
         self.base = np.full((256, n), 8.0)
-        self.levels: list[tuple[GramTable, np.ndarray, GramTable, np.ndarray]] = []
+        self.levels: list[tuple[KeyTable, np.ndarray, KeyTable, np.ndarray]] = []
         for length in range(1, ORDER + 2):
             mask = np.uint32((1 << 8 * length) - 1) if length < 4 else np.uint32(0xFFFFFFFF)
             per = []
@@ -134,7 +100,7 @@ class ContextTrees:
                 escape[known, j] = np.log2((total[known] + distinct[known]) / distinct[known])
                 cost[:, j] = escape[where, j] + shorter[:, j]
                 cost[np.searchsorted(seen, keys), j] = np.log2((total + distinct)[own] / count)
-            self.levels.append((GramTable(seen), cost, GramTable(contexts), escape))
+            self.levels.append((KeyTable(seen), cost, KeyTable(contexts), escape))
         self.cost32 = self.levels[-1][1].astype(np.float32)
 
     def _cost(self, grams: np.ndarray, length: int) -> np.ndarray:

@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 
 from siftwell.llm.common import map_slices, worker_file
 from siftwell.llm.pretokens import encode_slice
-from siftwell.llm.textcodes import column_bytes
+from siftwell.llm.textcodes import KeyTable, column_bytes
 
 CACHE_WORDS = 100_000  #: matches a worker remembers
+CACHE_BYTES = 4_000_000  #: and their bytes
 CACHE_SEAMS = 400_000  #: pairs of tokens a worker remembers
+STEPPED = 48  #: matches of up to so many bytes are filled in step with others, longer ones each by itself
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -60,6 +62,8 @@ class Vocabulary:
                     self.left[t], self.right[t] = x, y
                     break
         self._cache: dict[bytes, list[int]] = {}
+        self._cached = 0
+        self.tables = StepTables(self)
 
     def _seam(self, a: int, b: int, limit: int) -> bool:
         """True unless a merge across the seam of a and b comes before the merges that made them (and ``limit``)."""
@@ -90,14 +94,104 @@ class Vocabulary:
     def words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word, remembered in a bounded table."""
         cache = self._cache
-        if len(cache) > CACHE_WORDS:
+        if len(cache) > CACHE_WORDS or self._cached > CACHE_BYTES:
             cache.clear()
-        out = []
-        for w in words:
-            ids = cache.get(w)
-            if ids is None:
-                ids = cache[w] = PrefixTable(self, w).ids()
-            out.append(ids)
+            self._cached = 0
+        out = list(map(cache.get, words))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        short = [k for k in new if len(words[k]) <= STEPPED]
+        for k, ids in zip(short, self.tables.encode([words[k] for k in short]), strict=True):
+            out[k] = cache[words[k]] = ids
+            self._cached += len(words[k])
+        for k in new:
+            if out[k] is None:
+                out[k] = PrefixTable(self, words[k]).ids()
+        return out
+
+
+class StepTables:
+    """The tables of prefixes and seams as arrays, to fill the last tokens of many short words in step."""
+
+    def __init__(self, v: Vocabulary):
+        self.size = np.array([len(b) for b in v.bytes])
+        node = {b"": 0} | {p: k for k, p in enumerate(v.prefixes, 1)}
+        self.token = np.array([-1, *v.prefixes.values()])
+        #: (node of all but the last byte, last byte) -> node
+        self.edges = KeyTable(np.array([node[p[:-1]] << 8 | p[-1] for p in v.prefixes], np.uint32))
+        #: (a, b) -> the token of their joint bytes
+        pairs, joint = [], []
+        for b, t in v.ranks.items():
+            for j in range(1, len(b)):
+                x, y = v.ranks.get(b[:j]), v.ranks.get(b[j:])
+                if x is not None and y is not None:
+                    pairs.append(x << 16 | y)
+                    joint.append(t)
+        self.pairs, self.joint = KeyTable(np.array(pairs, np.uint32)), np.array([*joint, 1 << 30])
+        n = len(v.bytes)
+        self.left, self.right = np.full(n, -1), np.full(n, -1)
+        self.left[list(v.left)], self.right[list(v.right)] = list(v.left.values()), list(v.right.values())
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each token b may follow its token a."""
+        out = np.ones(len(a), bool)
+        limit, at = np.full(len(a), 1 << 29), np.arange(len(a))
+        while len(at):
+            t = self.joint[self.pairs.find((a << 16 | b).astype(np.uint32))]
+            bad = t < limit
+            out[at[bad]] = False
+            undo = a > b  # the later merge is undone first
+            inner_a, inner_b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
+            go = ~bad & (inner_a >= 0) & (inner_b >= 0)
+            limit = np.where(undo, a, b + 1)[go]
+            a, b, at = inner_a[go], inner_b[go], at[go]
+        return out
+
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word, from the last token of each of its prefixes."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        data = np.frombuffer(b"".join(words), np.uint8)
+        first = (np.cumsum(size) - size)[order]
+        size = size[order]
+        base = first + order
+        last = np.full(len(data) + len(size), -1)
+        longest = int(size[0]) if len(size) else 0
+        for i in range(longest):
+            at = np.arange(np.searchsorted(-size, -i, "left"))  # words of more than i bytes
+            node, before = np.zeros(len(at), np.int64), last[base[at] + i]
+            if i and (before < 0).any():
+                raise ValueError("the vocabulary lacks a byte of this text")
+            j = i
+            while len(at):
+                node = self.edges.find((node << 8 | data[first[at] + j]).astype(np.uint32)).astype(np.int64) + 1
+                j += 1
+                on = node > 0
+                at, node, before = at[on], node[on], before[on]
+                token, place = self.token[node], base[at] + j
+                ask = np.flatnonzero((token >= 0) & (last[place] < 0))
+                if i and len(ask):
+                    ask = ask[self.apart(before[ask], token[ask])]
+                last[place[ask]] = token[ask]
+                on = size[at] > j
+                at, node, before = at[on], node[on], before[on]
+        # from each word's end back to its start
+        at, left, found, count = np.arange(len(size)), size.copy(), [], np.zeros(len(size), np.int64)
+        while len(at):
+            token = last[base[at] + left[at]]
+            if (token < 0).any():
+                raise ValueError("the vocabulary lacks a byte of this text")
+            found.append((at, token))
+            count[at] += 1
+            left[at] -= self.size[token]
+            at = at[left[at] > 0]
+        end = np.cumsum(count)
+        flat = np.empty(count.sum(), np.int64)
+        for k, (at, token) in enumerate(found, 1):
+            flat[end[at] - k] = token
+        ids, at = flat.tolist(), [0, *end.tolist()]
+        out: list[list[int]] = [[]] * len(words)
+        for k, name in enumerate(order.tolist()):
+            out[name] = ids[at[k] : at[k + 1]]
         return out
 
 

@@ -8,11 +8,12 @@ neighbouring characters. ``tests/llm`` compares them with the pattern itself.
 from __future__ import annotations
 
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import regex
 
-from siftwell.llm.textcodes import _BYTE_CODE, _power_tables, mix64
+from siftwell.llm.textcodes import span_hashes
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 
@@ -65,12 +66,31 @@ def split_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in ``starts``) of one span for each distinct byte string, and for each span the number of its string.
+
+    Spans are grouped by hash and then compared byte by byte with the first of their group; those that differ
+    from it are told apart by their bytes.
+    """
+    _, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    lead = first[inverse]
+    # spans tile the data, so each byte has one place in the first span of its group
+    shift = np.repeat(starts[lead] - starts, size)
+    other = np.minimum(np.arange(len(data)) + shift, len(data) - 1)
+    wrong = np.flatnonzero(data.take(other) != data)
+    alone = np.flatnonzero(size != size[lead])
+    if len(wrong) or len(alone):
+        differ = np.unique(np.concatenate([alone, np.searchsorted(starts, wrong, "right") - 1]))
+        first_, known = first.tolist(), {}
+        for i in differ.tolist():
+            word = data[starts[i] : ends[i]].tobytes()
+            if word not in known:
+                known[word] = len(first_)
+                first_.append(i)
+            inverse[i] = known[word]
+        first = np.array(first_)
+    return first, inverse
 
 
 def encode_slice(data: np.ndarray, offsets: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
@@ -82,12 +102,12 @@ def encode_slice(data: np.ndarray, offsets: np.ndarray, encode) -> tuple[np.ndar
     if not len(starts):
         return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
     ends = np.append(starts[1:], len(data))
-    _, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    first, inverse = distinct_spans(data, starts, ends)
     raw = data.tobytes()
     words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
     coded = encode(words)
     size = np.fromiter(map(len, coded), np.int64, len(coded))
-    flat = np.fromiter((i for ids in coded for i in ids), np.uint32, int(size.sum()))
+    flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(size.sum()))
     at = np.concatenate([[0], np.cumsum(size)])
     count = size[inverse]
     ends_at = np.cumsum(count)

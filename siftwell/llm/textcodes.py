@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1_000_000
 
@@ -18,8 +19,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _WORD = ~_SPACE
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,23 +30,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-_BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0xE7037ED1A0B428DB))
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_CODE_LOWER = _BYTE_CODE[_LOWER]
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        tables = []
-        for base in (_BASE, _BASE_INV):
-            t = np.full(size, base, np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
-        _powers[:] = tables
-    return _powers[0], _powers[1]
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  #: masks of the first k bytes of eight
+_WIDE = 64  #: spans of more bytes are hashed one by one
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: eight bytes at a time, and xxh3 for the few spans over ``_WIDE`` bytes."""
+    size = ends - starts
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix64((eight[starts] & _LOW_BYTES[np.minimum(size, 8)]) ^ mix64(size.astype(np.uint64) + _U(1)))
+    more = np.flatnonzero((size > 8) & (size <= _WIDE))
+    at = 8
+    while len(more):
+        h[more] = mix64(h[more] ^ (eight[starts[more] + at] & _LOW_BYTES[np.minimum(size[more] - at, 8)]))
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size > _WIDE).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return h
 
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,12 +104,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word's bytes (A-Z lowered first if asked)."""
-        table = _BYTE_CODE_LOWER if lower else _BYTE_CODE
-        up, down = _power_tables(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(table[self.data] * up[: len(self.data)], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        return mix64(h + (self.ends - self.starts).astype(np.uint64))
+        return span_hashes(_LOWER[self.data] if lower else self.data, self.starts, self.ends)
 
 
 def windows(codes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,3 +138,37 @@ def occurrence(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     out = np.empty(len(c), np.int64)
     out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
     return out
+
+
+class KeyTable:
+    """Rows by uint32 key: open addressing, probed for all keys at once. Unknown keys get row -1."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = min(31, max(8, int(len(keys) * 4).bit_length()))
+        self.shift, self.mask = np.uint32(32 - bits), (1 << bits) - 1
+        self.row = np.full(1 << bits, -1, np.int32)
+        self.keys = keys.astype(np.uint32)
+        todo, slot = np.arange(len(keys)), self._slot(self.keys)
+        while len(todo):
+            free = self.row[slot] < 0
+            self.row[slot[free]] = todo[free]
+            lost = self.row[slot] != todo
+            todo, slot = todo[lost], (slot[lost] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(0x9E3779B1)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        slot = self._slot(keys)
+        out = self.row[slot]
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & self.mask
+            got = self.row[slot]
+            out[todo] = got
+            more = (got >= 0) & (self.keys[got] != keys[todo])
+            todo, slot = todo[more], slot[more]
+        return out
