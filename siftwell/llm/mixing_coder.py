@@ -1,19 +1,24 @@
 """Token-id files coded by an adaptive context-mixing range coder.
 
 Order 2 and order 1 each predict one id, the one that has followed the last two ids, or the last one, before. A
-first symbol says which of them is right, or that neither is. Its frequencies are a mixture of three adaptive
-rows, chosen by nothing, by the trust in the order-1 prediction, and by the trust in both; the rows' weights follow how well
-each has predicted lately. Where both fail, the id itself is coded by adaptive order-0 frequencies, summed up anew at
-intervals. Both drive one range coder. All arithmetic is in integers, so any machine decodes.
-Models are reset at every block of ``BLOCK`` ids, so blocks are independent: a task codes up to ``LANES`` of them in step.
+first symbol says which of them is right, or that neither is. Its probabilities are a mixture of three adaptive
+distributions: one given the trust in both predictions, one given the trust in order 1, and one given nothing; the
+weights of the mixture follow how well each has predicted, by steps of expectation maximisation. Where both
+predictions fail, the id itself is coded by adaptive order-0 frequencies, summed up anew at intervals. All drive one
+range coder. All arithmetic is in integers, so any machine decodes.
+
+Models are reset at every block of ``BLOCK`` ids, so blocks are independent. The ids of a block are dealt into up to
+``STREAMS`` streams that are coded in step, each with its own range, and all with the block's one model: it
+learns from all streams after every step, so it has seen many ids after a few steps, and numpy works on all
+streams at once.
 
 A token file is a Parquet dataset written by Spark, one row per block: its place in the id stream, the documents that
-have ids in it, and a payload of magic, version, id count, CRC-32 of the ids and the code bytes. Any reader task can
-decode any block; a wrong checksum is an error.
+have ids in it, and a payload of magic, version, id count, CRC-32 of the ids, the code length of each stream
+and the code. Any reader task can decode any block; a wrong checksum is an error.
 
 Defined results for odd input: a null or empty text is the end id alone; rows come in ascending doc_id order,
-null ids first, rows of one id in any order; special token strings are ordinary text; repeated rows are written each;
-an empty table is an empty dataset; other columns are ignored.
+null ids first, rows of one id in any order; a special token's string in a text is what the library makes of it; ids of
+``ALPHABET`` or more raise ValueError; repeated rows are written each; an empty table is an empty dataset; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,312 +38,359 @@ from siftwell.llm.common import Scratch, worker_file
 from siftwell.llm.pretokens import encode_slice
 from siftwell.llm.textcodes import column_bytes, slices
 
-BLOCK = 32768
-LANES = 256
+BLOCK = 1 << 20
+STREAMS = 8192
+SHORTEST = 64  #: ids of a stream at least, where a block has more than one
 END_ID = 0
-MAGIC, VERSION = b"SWID", 1
-_HEAD = struct.Struct("<4sBIII")  #: magic, version, ids, crc32, code bytes
-
-_ALPHABET = 1 << 16
-_WEIGHT = 256  #: of an id seen, against 1 for any id
-_REFRESH = 2048
-_ROWS = 1 << 13
-_CONTEXTS = (1, 8, 128)
+ALPHABET = 1 << 16
+MAGIC, VERSION = b"SWID", 2
+_HEAD = struct.Struct("<4sBIII")  #: magic, version, ids, crc32, streams
+
+_SLOTS = 1 << 18  #: of order 2, by a hash of the last two ids
+_SEEN = 24  #: weight of an id seen, against 1 for any id
+_FULL = 1 << 16  #: a row of choices is halved beyond so many
+_ROWS = 128  #: trust in order 2 (8), trust in order 1 (8), whether both predict the same id
+_TRUST_2, _TRUST_1, _SAME = np.arange(_ROWS) >> 4, (np.arange(_ROWS) >> 1) & 7, np.arange(_ROWS) & 1
 _U = np.uint64
-_MASK, _TOP, _BOTTOM = _U((1 << 62) - 1), _U(1 << 46), _U(1 << 42)
-_HIGH = _U(46)
+_TOP, _BOTTOM = _U(1 << 48), _U(1 << 44)
 
 
-class _Mixer:
-    """Tables, mixing weights and coder registers of ``n`` blocks in step."""
+def _after(trust: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is added to a slot, and whether its id is replaced, by 3 * row + choice: trust grows by one or is halved, an id without trust goes."""
+    trust = trust[:, None]
+    return np.where(right, trust < 7, -((trust + 1) >> 1)).astype(np.int32).ravel(), (~right & (trust < 2)).ravel()
 
-    def __init__(self, n: int):
-        self.lane = np.arange(n)
-        # order 2 and order 1: 8 * the id that followed last time + how often it was right of late (0 to 7)
-        self.guess = [np.zeros(n * _ROWS, np.int32), np.zeros(n * _ROWS, np.int32)]
-        # order 0: frequencies, summed up anew at growing intervals
-        self.frequency = np.ones(n * _ALPHABET, np.int32)
-        self.upper = np.zeros((n, _ALPHABET + 1), np.int32)
-        self.upper[:, 1:] = np.arange(1, _ALPHABET + 1)
+
+_ADD_2, _REPLACE_2 = _after(_TRUST_2, np.arange(3)[None, :] == np.zeros((_ROWS, 1)))
+_ADD_1, _REPLACE_1 = _after(_TRUST_1, (np.arange(3)[None, :] == 1) | ((np.arange(3)[None, :] == 0) & (_SAME == 1)[:, None]))
+
+
+class _Model:
+    """What a block's ids have taught so far. All streams of the block share it."""
+
+    def __init__(self) -> None:
+        # 8 * the id that followed last time + how often it was right of late (0 to 7)
+        self.order_2, self.order_1 = np.zeros(_SLOTS, np.int32), np.zeros(ALPHABET, np.int32)
+        self.frequency = np.ones(ALPHABET, np.int64)
+        self.upper = np.arange(ALPHABET + 1, dtype=np.uint32)
+        self.waiting: list[np.ndarray] = []  # ids the order-0 frequencies have not taken in
         self.summed = 0
-        # rows of frequencies of {order 2 is right, order 1 is right, neither} by context, and the skill of each kind of row
-        self.counts = [np.ones((n * c, 3), np.int32) for c in _CONTEXTS]
-        self.skill = np.zeros((3, n), np.int32)
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, _MASK)
-
-    def refresh(self, ids: np.ndarray, t: int, n: int) -> None:
-        """Takes the ids before ``t`` into the order-0 frequencies when their number has grown enough."""
-        if t < 64 or t - self.summed < min(t // 2, _REFRESH):
-            return
-        at = (self.lane[:n, None] * _ALPHABET + ids[:n, self.summed : t]).ravel()
-        np.add.at(self.frequency, at, _WEIGHT)
-        np.cumsum(self.frequency.reshape(-1, _ALPHABET)[:n], axis=1, out=self.upper[:n, 1:])
-        self.summed = t
-
-    def predict(self, one: np.ndarray, two: np.ndarray) -> None:
-        """Looks up the predictions after the ids ``one`` (last) and ``two`` (before it) and mixes the choice among them."""
-        n = len(one)
-        lane = self.lane[:n]
-        self.at = (
-            lane * _ROWS + ((((one * 0x27D4EB2F) ^ (two * 0x165667B1)) >> 11) & (_ROWS - 1)),
-            lane * _ROWS + (((one * 0x2545F491) >> 9) & (_ROWS - 1)),
-        )
-        held = [self.guess[k].take(self.at[k]) for k in (0, 1)]
-        self.trust = [x & 7 for x in held]
-        self.guesses = [x >> 3 for x in held]
-        level = self.trust[0] * 8 + self.trust[1]
-        same = self.guesses[0] == self.guesses[1]
-        self.rows = (lane, lane * 8 + self.trust[1], lane * 128 + level * 2 + same)
-        self.seen = [self.counts[0][:n], *(self.counts[k].take(self.rows[k], axis=0) for k in (1, 2))]
-        self.share = [65536 // (c[:, 0] + c[:, 1] + c[:, 2]) for c in self.seen]
-        weight = (self.skill[:, :n] >> 16) + 1
-        f = 1
-        for k in range(3):
-            f = f + ((self.seen[k] * (self.share[k] * weight[k])[:, None]) >> 8)
-        first = f[:, 0]
-        self.first, self.second = first, first + f[:, 1]
-        self.total = self.second + f[:, 2]
-
-    def learn(self, choice: np.ndarray, ids: np.ndarray) -> None:
-        n = len(ids)
-        flat = self.lane[:n] * 3 + choice
-        for k in range(3):
-            was = self.seen[k].reshape(-1).take(flat)
-            self.skill[k, :n] += was * self.share[k] - (self.skill[k, :n] >> 5)
-            at = self.rows[k] * 3 + choice
-            counts = self.counts[k]
-            counts.reshape(-1)[at] = was + 2
-            if was.max(initial=0) > 250:
-                full = self.rows[k][was > 250]
-                counts[full] = (counts[full] + 1) >> 1
-        for k in range(2):
-            trust, right = self.trust[k], self.guesses[k] == ids
-            kept = np.where(right | (trust < 2), ids, self.guesses[k])
-            self.guess[k][self.at[k]] = kept * 8 + np.where(right, np.minimum(trust + 1, 7), trust >> 1)
-
-    def narrow(self, n: int, lower: np.ndarray, upper: np.ndarray, total: np.ndarray) -> None:
-        """Narrows the ranges of the first ``n`` lanes to [lower, upper) of total."""
-        step = self.range[:n] // total.astype(np.uint64)
-        self.low[:n] += step * lower.astype(np.uint64)
-        self.low[:n] &= _MASK
-        self.range[:n] = step * (upper - lower).astype(np.uint64)
-
-    def due(self, n: int) -> np.ndarray:
-        """Lanes whose top 16 bits are settled, or must be as the range has become small."""
-        return self._due(self.lane[:n], self.low[:n], self.range[:n])
-
-    def _due(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
-        settled = (low ^ ((low + width) & _MASK)) < _TOP
-        small = width < _BOTTOM
+        # counts of {order 2 is right, order 1 is right, neither} given nothing, one trust, both trusts
+        self.counts = [np.ones((n, 3), np.int64) for n in (1, 8, _ROWS)]
+        self.weights = np.full((3, _ROWS), 1365)
+        self.seen = np.zeros(3 * _ROWS, np.int64)
+        self._mix()
+
+    def _mix(self) -> None:
+        one, two, three = ((c << 16) // c.sum(1, keepdims=True) for c in self.counts)
+        self.parts = np.stack([np.broadcast_to(one, three.shape), two[_TRUST_1], three])
+        self.mixed = np.maximum((self.parts * self.weights[:, :, None]).sum(0) >> 12, 1)
+        f = 1 + (self.mixed[:, :2] * 65528 >> 16)
+        #: choices of row r are [first[r], second[r]) and so on, of 65536
+        self.first, self.second = f[:, 0].astype(np.uint64), (f[:, 0] + f[:, 1]).astype(np.uint64)
+        none, all_ = np.zeros(_ROWS, np.uint64), np.full(_ROWS, 65536, np.uint64)
+        self.lower = np.stack([none, self.first, self.second], axis=1).ravel()
+        self.share = np.stack([self.first, self.second - self.first, all_ - self.second], axis=1).ravel()
+
+    def look(self, one: np.ndarray, two: np.ndarray) -> None:
+        """The predictions after the ids ``one`` (last) and ``two`` (before it)."""
+        self.at_2, self.at_1 = (one * 0x9E3779B1 ^ two * 0x85EBCA77) >> 13 & (_SLOTS - 1), one
+        self.held_2, self.held_1 = self.order_2.take(self.at_2), self.order_1.take(one)
+        self.guess_2, self.guess_1 = self.held_2 >> 3, self.held_1 >> 3
+        self.row = (((self.held_2 & 7) << 3 | self.held_1 & 7) << 1) + (self.guess_2 == self.guess_1)
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 share holds the values ``v``: the group of 16 first, then the place in it."""
+        at = (np.searchsorted(self.upper[:ALPHABET:16], v, "right") - 1) << 4
+        for bit in (8, 4, 2, 1):
+            at += (self.upper.take(at + bit) <= v) * bit
+        return at
+
+    def learn(self, t: int, ids: np.ndarray, state: np.ndarray) -> None:
+        """Takes in the ids of step ``t``, coded in ``state`` (3 * row + choice). Of streams in one context the last counts."""
+        moved = (ids << 3).astype(np.int32)
+        self.order_2[self.at_2] = np.where(_REPLACE_2.take(state), moved, self.held_2 + _ADD_2.take(state))
+        self.order_1[self.at_1] = np.where(_REPLACE_1.take(state), moved, self.held_1 + _ADD_1.take(state))
+        self.seen += np.bincount(state, minlength=3 * _ROWS)
+        self.waiting.append(ids)
+        if t < 16 or t % 8 == 7:
+            self._weigh()
+            self._mix()
+        if len(self.waiting) > min(self.summed // 4, 7):
+            self.frequency += _SEEN * np.bincount(np.concatenate(self.waiting), minlength=ALPHABET)
+            np.cumsum(self.frequency, out=self.upper[1:], dtype=np.uint32)
+            self.summed += len(self.waiting)
+            self.waiting = []
+
+    def _weigh(self) -> None:
+        seen = self.seen.reshape(_ROWS, 3)
+        n = seen.sum(1)
+        gain = ((self.parts << 12) // self.mixed * seen).sum(2) // np.maximum(n, 1)
+        moved = np.where(n > 0, (3 * self.weights + (self.weights * gain >> 12)) >> 2, self.weights)
+        moved = np.maximum(moved, 32)
+        self.weights = (moved << 12) // moved.sum(0)
+        self.counts[0] += seen.sum(0)
+        self.counts[1] += seen.reshape(8, 8, 2, 3).sum((0, 2))
+        self.counts[2] += seen
+        for c in self.counts:
+            full = c.sum(1) > _FULL
+            if full.any():
+                c[full] = (c[full] + 1) >> 1
+        self.seen = np.zeros(3 * _ROWS, np.int64)
+
+
+class _Ranges:
+    """The ranges of the streams: all values from low to low + width - 1 code what has been coded."""
+
+    def __init__(self, n: int):
+        self.low, self.width = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+
+    def due(self, lanes: np.ndarray | None = None) -> np.ndarray:
+        """Those of ``lanes`` (all if None) whose first 16 bits are settled, or must be as the range has become small."""
+        low, width = (self.low, self.width) if lanes is None else (self.low[lanes], self.width[lanes])
+        settled = (low ^ (low + (width - _U(1)))) < _TOP
+        small = (width < _BOTTOM) > settled
         if small.any():
-            small &= ~settled
-            self.range[lanes[small]] = (_U(0) - low[small]) & (_BOTTOM - _U(1))
+            at = np.flatnonzero(small)
+            self.width[at if lanes is None else lanes[at]] = (_U(0) - low[at]) & (_BOTTOM - _U(1))
             settled |= small
-        return lanes[settled]
-
-    def shift(self, lanes: np.ndarray) -> np.ndarray:
-        """Moves 16 bits out of ``lanes``; returns those that have more to move."""
-        low = (self.low[lanes] << _U(16)) & _MASK
-        width = np.minimum(self.range[lanes] << _U(16), _MASK)
-        self.low[lanes], self.range[lanes] = low, width
-        return self._due(lanes, low, width)
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Payloads of blocks of ids below ``_ALPHABET``."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    sizes = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((len(blocks), int(sizes.max(initial=0))), np.int32)
-    for lane, i in enumerate(order):
-        ids[lane, : sizes[lane]] = blocks[i]
-    mixer = _Mixer(len(blocks))
-    out = np.zeros((len(blocks), 3 * ids.shape[1] + 16), "<u2")
-    at = np.zeros(len(blocks), np.int64)
-    flat = mixer.upper.reshape(-1)
-    for t in range(ids.shape[1]):
-        n = int(np.searchsorted(-sizes, -t, "left"))  # lanes longer than t
-        x = np.ascontiguousarray(ids[:n, t])
-        mixer.refresh(ids, t, n)
-        mixer.predict(*_before(ids, t, n))
-        miss = mixer.guesses[0] != x
-        choice = np.where(miss, np.where(mixer.guesses[1] == x, 1, 2), 0)
-        edges = np.stack([np.zeros(n, np.int64), mixer.first, mixer.second, mixer.total]).reshape(-1)
-        where = choice * n + mixer.lane[:n]
-        mixer.narrow(n, edges.take(where), edges.take(where + n), mixer.total)
-        row = mixer.lane[:n] * (_ALPHABET + 1)
-        rest = choice == 2
-        whole = flat.take(row + _ALPHABET)
-        mixer.narrow(n, np.where(rest, flat.take(row + x), 0), np.where(rest, flat.take(row + x + 1), whole), whole)
-        lanes = mixer.due(n)
+        return np.flatnonzero(settled) if lanes is None else lanes[settled]
+
+    def shift(self, lanes: np.ndarray) -> None:
+        self.low[lanes] <<= _U(16)
+        width = self.width[lanes] << _U(16)
+        self.width[lanes] = width - (width == 0)  # a width of 2^48 would become 2^64: one less
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """Streams of a block of ``n`` ids and ids of each; the last ones may be filled up with zeros."""
+    if not n:
+        return 0, 0
+    steps = -(-n // max(1, min(STREAMS, n // SHORTEST)))
+    return -(-n // steps), steps
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """The payload of a block of ids below ``ALPHABET``."""
+    if len(ids) and int(ids.max()) >= ALPHABET:
+        raise ValueError(f"an id of {ALPHABET} or more")
+    n, steps = _shape(len(ids))
+    rows = np.zeros((n, steps), np.int64)
+    rows.reshape(-1)[: len(ids)] = ids
+    rows = np.ascontiguousarray(rows.T)
+    model, ranges = _Model(), _Ranges(n)
+    low, width = ranges.low, ranges.width
+    # a step narrows a range of 44 bits or more to 3 bits at worst, and a cut to the next 44-bit border to none: 7 times 16 bits
+    out, at = np.zeros((n, 7 * steps + 8), "<u2"), np.zeros(n, np.int64)
+    one = two = np.zeros(n, np.int64)
+    for t in range(steps):
+        x = rows[t]
+        model.look(one, two)
+        miss = model.guess_2 != x
+        state = 3 * model.row + miss + (miss & (model.guess_1 != x))
+        step = width >> _U(16)
+        low += step * model.lower.take(state)
+        np.multiply(step, model.share.take(state), out=width)
+        rest = np.flatnonzero(state == 3 * model.row + 2)
+        if len(rest):
+            own = x[rest]
+            lower = model.upper.take(own)
+            step = width[rest] // _U(model.upper[-1])
+            low[rest] += step * lower
+            width[rest] = step * (model.upper.take(own + 1) - lower)
+        lanes = ranges.due()
         while len(lanes):
-            out[lanes, at[lanes]] = mixer.low[lanes] >> _HIGH
+            out[lanes, at[lanes]] = low[lanes] >> _U(48)
             at[lanes] += 1
-            lanes = mixer.shift(lanes)
-        mixer.learn(choice, x)
-    payloads: list[bytes] = [b""] * len(blocks)
-    for lane, i in enumerate(order):
-        tail = [(int(mixer.low[lane]) << 2 >> s) & 0xFFFF for s in (48, 32, 16, 0)]
-        code = out[lane, : at[lane]].tobytes() + struct.pack("<4H", *tail)
-        raw = blocks[i].astype("<u4").tobytes()
-        payloads[i] = _HEAD.pack(MAGIC, VERSION, len(blocks[i]), zlib.crc32(raw), len(code)) + code
-    return payloads
-
-
-def _before(ids: np.ndarray, t: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    zero = np.zeros(n, np.int64)
-    return ids[:n, t - 1].astype(np.int64) if t else zero, ids[:n, t - 2].astype(np.int64) if t > 1 else zero
-
-
-def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
-    """Ids of payloads; a damaged one raises ValueError."""
-    heads = []
-    for p in payloads:
-        if len(p) < _HEAD.size or p[:4] != MAGIC:
-            raise ValueError("not a token block")
-        head = _HEAD.unpack_from(p)
-        if head[1] != VERSION or len(p) != _HEAD.size + head[4] or head[4] % 2:
-            raise ValueError("token block of another version or length")
-        heads.append(head)
-    order = sorted(range(len(payloads)), key=lambda i: -heads[i][2])
-    sizes = np.array([heads[i][2] for i in order])
-    longest = max((len(p) - _HEAD.size) // 2 for p in payloads) if payloads else 0
-    code = np.zeros((len(payloads), longest + 4), np.uint64)
-    for lane, i in enumerate(order):
-        c = np.frombuffer(payloads[i], "<u2", offset=_HEAD.size)
-        code[lane, : len(c)] = c
-    mixer = _Mixer(len(payloads))
-    # the registers hold 62 bits, the code four times 16: the first two bits are always zero shifts
-    window = [code[:, k] << _U(16 * (3 - k)) for k in range(4)]
-    ahead = window[0] | window[1] | window[2] | window[3]
-    value, spare = ahead >> _U(2), ahead & _U(3)
-    at = np.full(len(payloads), 4)
-    ids = np.zeros((len(payloads), int(sizes.max(initial=0))), np.int32)
-    flat = mixer.upper.reshape(-1)
-    for t in range(ids.shape[1]):
-        n = int(np.searchsorted(-sizes, -t, "left"))
-        mixer.refresh(ids, t, n)
-        mixer.predict(*_before(ids, t, n))
-
-        def place(total: np.ndarray, n: int = n) -> np.ndarray:
-            return (((value[:n] - mixer.low[:n]) & _MASK) // (mixer.range[:n] // total.astype(np.uint64))).astype(np.int64)
-
-        v = place(mixer.total)
-        choice = (mixer.first <= v).astype(np.int64) + (mixer.second <= v)
-        edges = np.stack([np.zeros(n, np.int64), mixer.first, mixer.second, mixer.total]).reshape(-1)
-        where = choice * n + mixer.lane[:n]
-        mixer.narrow(n, edges.take(where), edges.take(where + n), mixer.total)
-        row = mixer.lane[:n] * (_ALPHABET + 1)
-        rest = choice == 2
-        whole = flat.take(row + _ALPHABET)
-        v = place(whole)
-        own = row.copy()
-        for bit in range(_ALPHABET.bit_length() - 2, -1, -1):
-            own += (flat.take(own + (1 << bit)) <= v).astype(np.int64) << bit
-        mixer.narrow(n, np.where(rest, flat.take(own), 0), np.where(rest, flat.take(own + 1), whole), whole)
-        x = np.where(rest, own - row, np.where(choice == 0, mixer.guesses[0], mixer.guesses[1])).astype(np.int32)
-        lanes = mixer.due(n)
+            ranges.shift(lanes)
+            lanes = ranges.due(lanes)
+        model.learn(t, x, state)
+        one, two = x, one
+    # 32 bits tell a value inside the last range, which is no smaller than _BOTTOM; the rest may be zeros
+    last = (low + _U((1 << 32) - 1)) >> _U(32)
+    lanes = np.arange(n)
+    out[lanes, at], out[lanes, at + 1] = last >> _U(16), last & _U(0xFFFF)
+    at += 2
+    code = out[np.arange(out.shape[1]) < at[:, None]].astype("<u2").tobytes()
+    head = _HEAD.pack(MAGIC, VERSION, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n)
+    return head + at.astype("<u2").tobytes() + code
+
+
+def decode_block(payload: bytes) -> np.ndarray:
+    """The ids of a payload; a damaged one raises ValueError."""
+    if len(payload) < _HEAD.size or payload[:4] != MAGIC or payload[4] != VERSION:
+        raise ValueError("not a token block of this version")
+    _, _, size, crc, streams = _HEAD.unpack_from(payload)
+    n, steps = _shape(size)
+    if size > BLOCK or streams != n or len(payload) < _HEAD.size + 2 * n:
+        raise ValueError("token block of another shape")
+    length = np.frombuffer(payload, "<u2", n, _HEAD.size).astype(np.int64)
+    if len(payload) != _HEAD.size + 2 * n + 2 * int(length.sum()):
+        raise ValueError("token block of another length")
+    # each stream's code is followed by zeros; reading beyond it stays inside the padded code and fails the checksum
+    across = int(length.max(initial=0)) + 4
+    code = np.zeros((n, across), np.uint16)
+    code[np.arange(across) < length[:, None]] = np.frombuffer(payload, "<u2", -1, _HEAD.size + 2 * n)
+    model, ranges = _Model(), _Ranges(n)
+    low, width = ranges.low, ranges.width
+    value = np.zeros(n, np.uint64)
+    for k in range(4):
+        value = value << _U(16) | code[:, k]
+    at = np.full(n, 4)
+    rows = np.zeros((steps, n), np.int64)
+    one = two = np.zeros(n, np.int64)
+    for t in range(steps):
+        model.look(one, two)
+        step = width >> _U(16)
+        v = (value - low) // step
+        state = 3 * model.row + (model.first.take(model.row) <= v) + (model.second.take(model.row) <= v)
+        low += step * model.lower.take(state)
+        np.multiply(step, model.share.take(state), out=width)
+        choice = state - 3 * model.row
+        x = np.where(choice == 0, model.guess_2, model.guess_1).astype(np.int64)
+        rest = np.flatnonzero(choice == 2)
+        if len(rest):
+            total = _U(model.upper[-1])
+            step, ahead = width[rest], low[rest]
+            step //= total
+            v = np.minimum((value[rest] - ahead) // step, total - _U(1)).astype(np.uint32)
+            own = model.find(v)
+            lower = model.upper.take(own)
+            low[rest] = ahead + step * lower
+            width[rest] = step * (model.upper.take(own + 1) - lower)
+            x[rest] = own
+        lanes = ranges.due()
         while len(lanes):
-            new = code[lanes, np.minimum(at[lanes], code.shape[1] - 1)]
+            value[lanes] = value[lanes] << _U(16) | code[lanes, np.minimum(at[lanes], across - 1)]
             at[lanes] += 1
-            value[lanes] = ((value[lanes] << _U(16)) & _MASK) | (spare[lanes] << _U(14)) | (new >> _U(2))
-            spare[lanes] = new & _U(3)
-            lanes = mixer.shift(lanes)
-        ids[:n, t] = x
-        mixer.learn(choice, x)
-    found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(payloads)
-    for lane, i in enumerate(order):
-        own = ids[lane, : sizes[lane]].astype(np.uint32)
-        if zlib.crc32(own.astype("<u4").tobytes()) != heads[i][3]:
-            raise ValueError("token block fails its checksum")
-        found[i] = own
-    return found
+            ranges.shift(lanes)
+            lanes = ranges.due(lanes)
+        rows[t] = x
+        model.learn(t, x, state)
+        one, two = x, one
+    ids = rows.T.reshape(-1)[:size].astype(np.uint32)
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        raise ValueError("token block fails its checksum")
+    return ids
 
 
 _tokenizers: dict = {}
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+CACHE_BYTES = 8_000_000
 
 
-def _library(path: str):
-    """An encoder of distinct matches by the tokenizers library, with a bounded table of what it has seen."""
-    if path not in _tokenizers:
+class _Library:
+    """Encodes slices of texts by the tokenizers library, with a bounded table of the matches it has seen.
+
+    The library cuts the strings of its added tokens out of a text before it looks for matches, so texts that hold one are
+    given to it whole.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(worker_file(path))
-        tokenizer.encode_special_tokens = True
-        seen: dict[bytes, list[int]] = {}
+        self.tokenizer = Tokenizer.from_file(worker_file(path))
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.seen: dict[bytes, list[int]] = {}
+        self.held = 0
+
+    def words(self, words: list[bytes]) -> list[list[int]]:
+        if len(self.seen) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self.seen.clear()
+            self.held = 0
+        out = list(map(self.seen.get, words))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(new, self._encode([words[k].decode("utf-8") for k in new]), strict=True):
+            out[k] = self.seen[words[k]] = ids
+            self.held += len(words[k])
+        return out
 
-        def encode(words: list[bytes]) -> list[list[int]]:
-            if len(seen) > CACHE_WORDS:
-                seen.clear()
-            new = [w for w in words if w not in seen]
-            if new:
-                coded = tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-                seen.update(zip(new, (e.ids for e in coded), strict=True))
-            return [seen[w] for w in words]
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        """Ids of each match. Those without blanks at the end go to the library as lines of one text: a line end parts matches."""
+        lines = [k for k, w in enumerate(words) if not w[-1].isspace()]
+        out: list[list[int] | None] = [None] * len(words)
+        if lines:
+            ids = self.tokenizer.encode_batch_fast(["\n".join([words[k] for k in lines])], add_special_tokens=False)[0].ids
+            ends = np.flatnonzero(np.array(ids) == self.line_end).tolist()
+            if len(ends) == len(lines) - 1:
+                for k, a, b in zip(lines, [-1, *ends], [*ends, len(ids)], strict=True):
+                    out[k] = ids[a + 1 : b]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        coded = self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)
+        for k, e in zip(rest, coded, strict=True):
+            out[k] = e.ids
+        return out
 
-        _tokenizers[path] = encode
+    def slice(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts and each text's bounds in them."""
+        data, offsets = column_bytes(text)
+        raw = data.tobytes()
+        if not any(t in raw for t in self.added):
+            return encode_slice(data, offsets, self.words)
+        ends = offsets.tolist()
+        odd = [i for i in range(len(text)) if any(t in raw[ends[i] : ends[i + 1]] for t in self.added)]
+        held = np.zeros(len(text), bool)
+        held[odd] = True
+        plain = pa.array(np.where(held, None, np.array(text.to_pylist(), object)), pa.string())
+        ids, bounds = encode_slice(*column_bytes(plain), self.words)
+        pieces = np.split(ids, bounds[1:-1])
+        for i in odd:
+            pieces[i] = np.array(self.tokenizer.encode(text[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+
+
+def _library(path: str) -> _Library:
+    if path not in _tokenizers:
+        _tokenizers[path] = _Library(path)
     return _tokenizers[path]
 
 
+_FILE_NAMES = ["part", "block", "start", "first_doc", "doc_ids", "ends", "payload"]
+_FILE_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 _FILE_SCHEMA = "part int, block long, start long, first_doc long, doc_ids array<long>, ends array<long>, payload binary"
 
 
 def write_token_file(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     """Writes the ids of all documents, each with the end id, in ascending doc_id order."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # the second and third keys deal the rows of one id (or of none) to several tasks
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("k"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    rows = rows.repartitionByRange(n, "doc_id", "h", "k").sortWithinPartitions("doc_id", "h", "k")
+    rows = rows.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _library(tokenizer_path)
+        library = _library(tokenizer_path)
         part, block, start, number = 0, 0, 0, 0
         waiting: list[np.ndarray] = []  # ids that no block has taken
-        open_docs: list[list] = []  # [number, doc_id, ids that no block has taken]
+        open_docs: deque[list] = deque()  # [number, doc_id, ids that no block has taken]
         held = 0
 
-        def take(n_blocks: int) -> pa.RecordBatch:
-            nonlocal block, start, held, waiting, open_docs
+        def take() -> pa.RecordBatch:
+            nonlocal block, start, held, waiting
             ids = np.concatenate(waiting)
-            blocks = [ids[a : a + BLOCK] for a in range(0, min(len(ids), n_blocks * BLOCK), BLOCK)]
-            taken = sum(map(len, blocks))
-            waiting, held = [ids[taken:]], len(ids) - taken
-            starts, firsts, names, ends, at = [], [], [], [], 0
-            for b in blocks:
-                starts.append(start)
-                firsts.append(open_docs[at][0])
-                own, end, left = [], [], len(b)
-                while left:
-                    d = open_docs[at]
-                    size = min(left, d[2])
-                    d[2] -= size
-                    left -= size
-                    own.append(d[1])
-                    end.append(len(b) - left)
-                    at += d[2] == 0
-                names.append(own)
-                ends.append(end)
-                start += len(b)
-            open_docs = open_docs[at:]
-            numbers = list(range(block, block + len(blocks)))
-            block += len(blocks)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part] * len(blocks), pa.int32()),
-                    pa.array(numbers, pa.int64()),
-                    pa.array(starts, pa.int64()),
-                    pa.array(firsts, pa.int64()),
-                    pa.array(names, pa.list_(pa.int64())),
-                    pa.array(ends, pa.list_(pa.int64())),
-                    pa.array(encode_blocks(blocks), pa.binary()),
-                ],
-                names=["part", "block", "start", "first_doc", "doc_ids", "ends", "payload"],
-            )
+            waiting, ids = [ids[BLOCK:]], ids[:BLOCK]
+            held -= len(ids)
+            names, ends, left, first = [], [], len(ids), open_docs[0][0]
+            while left:
+                d = open_docs[0]
+                size = min(left, d[2])
+                d[2] -= size
+                left -= size
+                names.append(d[1])
+                ends.append(len(ids) - left)
+                if not d[2]:
+                    open_docs.popleft()
+            row = (part, block, start, first, names, ends, encode_block(ids))
+            block += 1
+            start += len(ids)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _FILE_TYPES, strict=True)], names=_FILE_NAMES)
 
         for batch in batches:
             for piece in slices(batch):
                 part = piece.column(2)[0].as_py()
-                ids, bounds = encode_slice(*column_bytes(piece.column(1)), encode)
+                ids, bounds = library.slice(piece.column(1))
                 size = np.diff(bounds)
                 full = np.full(len(ids) + len(size), END_ID, np.uint32)
                 full[np.arange(len(ids)) + np.repeat(np.arange(len(size)), size)] = ids
@@ -346,10 +399,10 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, path: str) -> None:
                 for doc_id, k in zip(piece.column(0).to_pylist(), size.tolist(), strict=True):
                     open_docs.append([number, doc_id, k + 1])
                     number += 1
-                while held >= LANES * BLOCK:
-                    yield take(LANES)
-        if held:
-            yield take(LANES)
+                while held >= BLOCK:
+                    yield take()
+        while held:
+            yield take()
 
     rows.mapInArrow(run, _FILE_SCHEMA).write.mode("overwrite").parquet(path)
 
@@ -390,16 +443,11 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, LANES):
-                part = batch.slice(a, LANES)
-                columns = {name: part.column(name).to_pylist() for name in ("part", "block", "start", "first_doc", "doc_ids", "ends")}
-                out: list[tuple] = []
-                for i, ids in enumerate(decode_blocks(part.column("payload").to_pylist())):
-                    raw, begin = ids.astype("<u4").tobytes(), 0
-                    for k, (doc_id, end) in enumerate(zip(columns["doc_ids"][i], columns["ends"][i], strict=True)):
-                        crc = zlib.crc32(raw[4 * begin : 4 * end])
-                        out.append((columns["part"][i], columns["first_doc"][i] + k, doc_id, columns["start"][i] + begin, end - begin, crc))
-                        begin = end
+            for row in batch.to_pylist():
+                raw, begin, out = decode_block(row["payload"]).astype("<u4").tobytes(), 0, []
+                for k, (doc_id, end) in enumerate(zip(row["doc_ids"], row["ends"], strict=True)):
+                    out.append((row["part"], row["first_doc"] + k, doc_id, row["start"] + begin, end - begin, zlib.crc32(raw[4 * begin : 4 * end])))
+                    begin = end
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.int64()] * 5, strict=True)],
                     names=["part", "doc", "doc_id", "start", "n", "crc"],
