@@ -2,18 +2,21 @@
 
 Words are lower-cased (A-Z) runs of non-blank bytes, with one end token per text. The ``VOCABULARY`` most
 frequent training words are dealt into classes of ``WIDTH`` by rank; every other word belongs to one of
-``FORMS`` form classes, by a hash of its last three bytes. With h the words before,
+``FORMS`` form classes, by a hash of its last three bytes, and there to one of ``WIDTH`` buckets, by a hash of the whole
+word. With h the words before,
 
-    P(w | h) = P(class | h) * P(w | class, h)       for a vocabulary word
-    P(w | h) = P(class | h) * (c + 1) / M(class)    for any other word with training count c
+    P(w | h) = P(class | h) * P(w | class, h)                          for a vocabulary word
+    P(w | h) = P(class | h) * P(bucket | class, h) * (c + 1) / M       for any other word with training count c
 
-where M sums c + 1 over the class's training words, plus one for words never seen. Both softmaxes have
+where M sums c + 1 over the bucket's training words, plus one for words never seen. Both softmaxes have
 weights hashed from n-gram and skip features of h: the last word, the last two, the second and the third last.
 
-Counts cover every training text and are summed by Spark. Training makes one pass over every training text
-in ``ROUNDS`` rounds: each task runs gradient steps from the current weights on its part, and Spark averages the
-changes row by row, weighted by how often a task used the row. The weights have a fixed size; counts of rare words are joined, never collected:
-tasks get only the ``FREQUENT`` most frequent words.
+Counts cover every training text and are summed by Spark. The number of hashed weight rows follows the number of training
+tokens, within ``LEAST_ROWS`` and ``MOST_ROWS``. Training makes one pass over every training text in ``ROUNDS`` rounds.
+A round deals its texts by hash into groups of ``GROUP`` tokens a weight row; each group runs gradient steps from the
+current weights on its texts in the order of their hashes, and Spark averages the changes row by row, weighted by how often a
+group used the row. Groups follow the data alone, so neither the cluster's settings nor the layout of the table changes the
+result. Counts of rare words are joined, never collected: tasks get only the ``FREQUENT`` most frequent words.
 
 Words are told apart by 64-bit hashes. Defined results for odd input: a null or empty text is one end token; a null id is not
 learned from nor held out; repeated rows count and are scored each; without training rows every count is
@@ -33,22 +36,24 @@ from siftwell.llm.common import Scratch, fold, map_slices
 from siftwell.llm.textcodes import Words, column_bytes, mix64, slices
 
 FOLDS, HELD = 7, 2
-WIDTH = 64  #: words of a class, and classes
+WIDTH = 64  #: words or buckets of a class, and classes
 FORMS = 32
 VOCABULARY = WIDTH * (WIDTH - FORMS)
 FREQUENT = 300_000
-ROWS = 1 << 14  #: hashed weight rows of each softmax
+LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 16  #: hashed weight rows of each softmax
+TOKENS_PER_ROW = 1024
 ROUNDS = 2
+GROUP = 64
+MOST_GROUPS = 1 << 15
 STEP = 0.08
 BATCH = 8192
 MAX_SCORE = np.float32(80)  #: keeps exp() of a score finite in single precision
 FEW = 12
 FLUSH = 500_000  #: distinct words a task holds before it passes its counts on
 
-START = VOCABULARY + FORMS  #: the code of what stands before a text
+START = VOCABULARY + FORMS * WIDTH  #: the code of what stands before a text
 _END = np.int64(-0x61C8864680B583EB)  #: stands for the end token among word hashes
-_CLASS_ROWS = 1 + WIDTH - FORMS  #: row 0: class biases; then the word biases of each class
-_WORD_ROWS = _CLASS_ROWS + ROWS
+_BIASES = 1 + WIDTH  #: row 0: class biases; then the biases inside each class
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
@@ -73,6 +78,11 @@ def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, form, bounds
 
 
+def bucket_of(h: np.ndarray) -> np.ndarray:
+    """The bucket of each word in its form class."""
+    return (mix64(h.view(np.uint64) ^ _U(0x2545F4914F6CDD1D)) % _U(WIDTH)).astype(np.int64)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(h, form, c): training counts of every distinct token of ``docs`` (text)."""
 
@@ -102,6 +112,21 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, form long, c long").groupBy("h").agg(F.min("form").alias("form"), F.sum("c").alias("c"))
 
 
+def bucket_sums(counts: DataFrame) -> DataFrame:
+    """(form, bucket, m): sums of c + 1 over the words of ``counts`` (h, form, c)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(FORMS * WIDTH, np.int64)
+        for b in batches:
+            at = b.column(1).to_numpy() * WIDTH + bucket_of(b.column(0).to_numpy())
+            np.add.at(total, at, b.column(2).to_numpy() + 1)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full // WIDTH), pa.array(full % WIDTH), pa.array(total[full])], names=["form", "bucket", "m"])
+
+    parts = counts.select("h", "form", "c").mapInArrow(run, "form long, bucket long, m long")
+    return parts.groupBy("form", "bucket").agg(F.sum("m").alias("m"))
+
+
 class Frequent:
     """Counts of the most frequent words by hash, and the codes of those in the vocabulary."""
 
@@ -124,18 +149,43 @@ class Frequent:
         return np.where(known, self.c[row], -1)[inverse], np.where(known, self.code[row], -1)[inverse]
 
 
-def contexts(code: np.ndarray, form: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each token, and weight rows of its context: (tokens, features)."""
-    own = np.where(code >= 0, code, VOCABULARY + form)
-    before = np.full((3, len(own)), START)
-    place = np.arange(len(own)) - np.repeat(bounds[:-1], np.diff(bounds))
-    for k in (1, 2, 3):
-        before[k - 1, k:] = own[:-k]
-        before[k - 1][place < k] = START
-    one, two, three = before.astype(np.uint64)
-    kinds = (one, (one << _U(16)) | two | _U(1 << 40), two | _U(2 << 40), three | _U(3 << 40))
-    rows = np.stack([(mix64(k) % _U(ROWS)).astype(np.int64) for k in kinds], axis=1)
-    return np.where(code >= 0, code // WIDTH, WIDTH - FORMS + form), rows
+def rows_for(n_train: int) -> int:
+    """Hashed weight rows for so many training tokens: a power of two."""
+    return min(MOST_ROWS, max(LEAST_ROWS, 1 << max(0, int(n_train / TOKENS_PER_ROW).bit_length() - 1)))
+
+
+class Places:
+    """Class and place in it of each token, and the weight rows of its context in both softmaxes."""
+
+    def __init__(self, h: np.ndarray, form: np.ndarray, code: np.ndarray, bounds: np.ndarray, n_rows: int):
+        self.n_rows = n_rows
+        known = code >= 0
+        bucket = bucket_of(h)
+        self.classes = np.where(known, code // WIDTH, WIDTH - FORMS + form)
+        self.place = np.where(known, code % WIDTH, bucket)
+        own = np.where(known, code, VOCABULARY + form * WIDTH + bucket)
+        before = np.full((3, len(own)), START)
+        nth = np.arange(len(own)) - np.repeat(bounds[:-1], np.diff(bounds))
+        for k in (1, 2, 3):
+            before[k - 1, k:] = own[:-k]
+            before[k - 1][nth < k] = START
+        one, two, three = before.astype(np.uint64)
+        kinds = (one, (one << _U(16)) | two | _U(1 << 40), two | _U(2 << 40), three | _U(3 << 40))
+        self.context = np.stack([self._hashed(k) for k in kinds], axis=1)
+
+    def _hashed(self, x: np.ndarray) -> np.ndarray:
+        return (mix64(x) & _U(self.n_rows - 1)).astype(np.int64)
+
+    def class_rows(self, s: slice) -> np.ndarray:
+        """The class biases and the rows of the context."""
+        own = self.context[s]
+        return np.concatenate([np.zeros((len(own), 1), np.int64), own + _BIASES], axis=1)
+
+    def word_rows(self, s: slice) -> np.ndarray:
+        """The biases inside the class, and the rows of the last and the second last word with the class."""
+        classes = self.classes[s][:, None]
+        with_class = self._hashed(((self.context[s][:, [0, 2]] << 8) | classes).astype(np.uint64))
+        return np.concatenate([1 + classes, with_class + _BIASES + self.n_rows], axis=1)
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -148,28 +198,30 @@ def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return x
 
 
-def _class_rows(rows: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros((len(rows), 1), np.int64), rows + _CLASS_ROWS], axis=1)
-
-
-def _word_rows(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Rows of the softmax inside a class: its word biases and the last and second last word with the class."""
-    with_class = (mix64(((rows[:, [0, 2]] << 8) | classes[:, None]).astype(np.uint64)) % _U(ROWS)).astype(np.int64)
-    return np.concatenate([1 + classes[:, None], with_class + _WORD_ROWS], axis=1)
-
-
-def initial_weights(vocabulary: np.ndarray, forms: np.ndarray) -> np.ndarray:
+def initial_weights(vocabulary: np.ndarray, buckets: np.ndarray, n_rows: int) -> np.ndarray:
     """Biases from the counts; all else 0. Places of a class without a word are never predicted."""
-    w = np.zeros((_WORD_ROWS + ROWS, WIDTH), np.float32)
+    w = np.zeros((_BIASES + 2 * n_rows, WIDTH), np.float32)
     padded = np.full(VOCABULARY, -1.0)
     padded[: len(vocabulary)] = vocabulary
     table = padded.reshape(-1, WIDTH)
     w[0, : WIDTH - FORMS] = np.log(np.where(table >= 0, table + 1, 0).sum(1) + 1e-9)
-    w[0, WIDTH - FORMS :] = np.log(forms)
-    w[1:_CLASS_ROWS] = np.where(table >= 0, np.log(np.maximum(table, 0) + 1), -30.0)
+    w[0, WIDTH - FORMS :] = np.log(buckets.sum(1))
+    w[1 : 1 + WIDTH - FORMS] = np.where(table >= 0, np.log(np.maximum(table, 0) + 1), -30.0)
+    w[1 + WIDTH - FORMS : _BIASES] = np.log(buckets)
     return w
 
 
+def log_probabilities(w: np.ndarray, at: Places) -> np.ndarray:
+    """log10 of P(class | h) * P(place | class, h) of each token, in batches."""
+    p = np.empty(len(at.classes))
+    for a in range(0, len(p), BATCH):
+        s = slice(a, a + BATCH)
+        each = np.arange(len(p[s]))
+        p[s] = np.log10(np.maximum(_softmax(w, at.class_rows(s))[each, at.classes[s]], 1e-30))
+        p[s] += np.log10(np.maximum(_softmax(w, at.word_rows(s))[each, at.place[s]], 1e-30))
+    return p
+
+
 def _run_sums(g: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Sums of runs of rows of ``g``, which begin at ``first`` and are ``n`` long: up to FEW rows for all runs at once, the rest run by run."""
     out = g.take(first, axis=0)
@@ -189,7 +241,7 @@ def _descend(w: np.ndarray, used: np.ndarray, rows: np.ndarray, target: np.ndarr
     g = _softmax(w, rows)
     g[np.arange(len(g)), target] -= 1
     for k in range(rows.shape[1]):
-        order = np.argsort(rows[:, k].astype(np.uint16), kind="stable")
+        order = np.argsort(rows[:, k].astype(np.int32), kind="stable")
         own = rows[order, k]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         n = np.diff(np.append(first, len(own)))
@@ -200,47 +252,90 @@ def _descend(w: np.ndarray, used: np.ndarray, rows: np.ndarray, target: np.ndarr
         w[keys] -= total
 
 
-def train_round(docs: DataFrame, frequent, weights) -> DataFrame:
-    """(row, n, v): uses and summed change times uses of each weight row, over the tasks."""
-    biases = 1 + WIDTH - FORMS
+def _packed(v: np.ndarray) -> pa.Array:
+    """Rows of WIDTH numbers as binary half-precision values."""
+    size = 2 * WIDTH
+    raw = np.clip(v, -60000, 60000).astype("<f2").tobytes()
+    ends = np.arange(0, size * len(v) + 1, size, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _unpacked(col: pa.Array) -> np.ndarray:
+    col = col.cast(pa.binary())
+    if not len(col):
+        return np.zeros((0, WIDTH))
+    _, ends, raw = col.buffers()
+    at = np.frombuffer(ends, np.int32)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(raw, np.uint8)[at[0] : at[-1]].view("<f2").reshape(-1, WIDTH).astype(np.float64)
+
+
+def _row_batches(row: np.ndarray, n: np.ndarray, v: np.ndarray, **more: int) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(row), 4096):
+        s = slice(a, a + 4096)
+        own = [pa.array(row[s]), pa.array(n[s]), _packed(v[s])]
+        yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.full(len(row[s]), x)) for x in more.values())], names=["row", "n", "v", *more])
+
+
+def train_round(docs: DataFrame, groups: int, n_rows: int, frequent, weights) -> DataFrame:
+    """(row, n, v): uses and mean change of each weight row, over the groups of ``docs`` (doc_id, text). Changes travel in half precision."""
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = weights.value
-        w, used = start.copy(), np.zeros(len(start))
-        used[:biases] = 10_000
+        w, used, group = start.copy(), np.zeros(len(start)), None
         for batch in batches:
             for part in slices(batch):
-                h, form, bounds = tokens(part.column(0))
-                _, code = frequent.value.find(h)
-                classes, rows = contexts(code, form, bounds)
-                for a in range(0, len(h), BATCH):
-                    s = slice(a, a + BATCH)
-                    _descend(w, used, _class_rows(rows[s]), classes[s])
-                    inside = np.flatnonzero(code[s] >= 0) + a
-                    if len(inside):
-                        _descend(w, used, _word_rows(rows[inside], classes[inside]), code[inside] % WIDTH)
-        used[:biases] -= 10_000
-        touched = np.flatnonzero(used > 0)
-        change = (w[touched] - start[touched]) * used[touched, None]
-        for a in range(0, len(touched), 4096):
-            v = change[a : a + 4096].astype(np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, WIDTH, dtype=np.int32)), pa.array(v.ravel()))
-            t = touched[a : a + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(used[t]), lists], names=["row", "n", "v"])
-
-    # a task's changes are as large as the weights, whatever it has read: so few tasks, each with several partitions
-    tasks = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    parts = docs.select("text").coalesce(tasks).mapInArrow(run, "row long, n double, v array<float>")
-    sums = [F.sum(F.get("v", F.lit(k)).cast("double")).alias(f"v{k}") for k in range(WIDTH)]
-    return parts.groupBy("row").agg(F.sum("n").alias("n"), *sums)
-
-
-def _average(weights: np.ndarray, sums: DataFrame) -> np.ndarray:
-    found = sums.toArrow()  # at most one row for each of the fixed number of weight rows
-    row, n = found.column("row").to_numpy(), found.column("n").to_numpy()
-    change = np.stack([found.column(f"v{k}").to_numpy() for k in range(WIDTH)], axis=1) if len(row) else np.zeros((0, WIDTH))
+                # a partition is one group, unless groups were dealt otherwise
+                own = part.column(1).to_numpy()
+                ends = [*(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+                for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                    if own[a] != group:
+                        if group is not None:
+                            yield from changes(start, w, used, group)
+                            w, used = start.copy(), np.zeros(len(start))
+                        group = int(own[a])
+                        used[:_BIASES] = 10_000
+                    h, form, bounds = tokens(part.column(0).slice(a, b - a))
+                    at = Places(h, form, frequent.value.find(h)[1], bounds, n_rows)
+                    for k in range(0, len(h), BATCH):
+                        s = slice(k, k + BATCH)
+                        _descend(w, used, at.class_rows(s), at.classes[s])
+                        _descend(w, used, at.word_rows(s), at.place[s])
+        if group is not None:
+            yield from changes(start, w, used, group)
+
+    def changes(start: np.ndarray, w: np.ndarray, used: np.ndarray, group: int) -> Iterator[pa.RecordBatch]:
+        used[:_BIASES] -= 10_000
+        row = np.flatnonzero(used > 0)
+        yield from _row_batches(row, used[row], w[row] - start[row], g=group)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted: the last row of a batch may go on in the next
+        row, n, v = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, WIDTH))
+        for batch in batches:
+            uses = batch.column(1).to_numpy()
+            row = np.concatenate([row, batch.column(0).to_numpy()])
+            n, v = np.concatenate([n, uses]), np.concatenate([v, _unpacked(batch.column(2)) * uses[:, None]])
+            if not len(row):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            row, n, v = row[first], np.add.reduceat(n, first), np.add.reduceat(v, first)
+            yield from _row_batches(row[:-1], n[:-1], v[:-1] / n[:-1, None])
+            row, n, v = row[-1:], n[-1:], v[-1:]
+        yield from _row_batches(row, n, v / n[:, None])
+
+    mark = F.xxhash64("doc_id", "text", F.lit("group"))
+    dealt = docs.select("text", F.pmod(mark, F.lit(groups)).cast("int").alias("g"), mark.alias("k"))
+    dealt = dealt.repartitionById(groups, "g").sortWithinPartitions("g", "k").select("text", "g")
+    parts = dealt.mapInArrow(descend, "row long, n double, v binary, g long")
+    return parts.repartition("row").sortWithinPartitions("row", "g").select("row", "n", "v").mapInArrow(add, "row long, n double, v binary")
+
+
+def _moved(weights: np.ndarray, changes: DataFrame) -> np.ndarray:
+    found = changes.select("row", "v").toArrow()  # at most one row for each of the bounded number of weight rows
     out = weights.copy()
-    out[row] += (change / n[:, None]).astype(np.float32)
+    if found.num_rows:
+        found = found.combine_chunks()
+        out[found.column("row").to_numpy()] += np.concatenate([_unpacked(c) for c in found.column("v").chunks]).astype(np.float32)
     return out
 
 
@@ -266,35 +361,29 @@ def score_documents(docs: DataFrame) -> DataFrame:
     frequent = context.broadcast(frequent_)
     inside = np.sort(frequent_.h[frequent_.code >= 0])
     vocabulary = spark.createDataFrame([(int(x),) for x in inside], "h long")
-    outside = counts.join(F.broadcast(vocabulary), "h", "left_anti").groupBy("form").agg(F.sum(F.col("c") + 1).alias("m"))
-    forms = np.ones(FORMS)
-    for r in outside.collect():
-        forms[r["form"]] += r["m"]
-
-    weights = initial_weights(frequent_.vocabulary_counts, forms)
+    outside = counts.join(F.broadcast(vocabulary), "h", "left_anti")
+    buckets = np.ones((FORMS, WIDTH))
+    for r in bucket_sums(outside).collect():  # FORMS * WIDTH rows at most
+        buckets[r["form"], r["bucket"]] += r["m"]
+
+    n_rows = rows_for(n_train)
+    groups = min(MOST_GROUPS, max(1, -(-n_train // (ROUNDS * GROUP * n_rows))))
+    weights = initial_weights(frequent_.vocabulary_counts, buckets, n_rows)
     for k in range(ROUNDS):
         part = training.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(ROUNDS)) == k)
-        weights = _average(weights, train_round(part, frequent, context.broadcast(weights)))
-    model = context.broadcast((weights, np.log10(forms)))
+        weights = _moved(weights, train_round(part, groups, n_rows, frequent, context.broadcast(weights)))
+    model = context.broadcast((weights, np.log10(buckets)))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         h, form, bounds = tokens(part.column(1))
         c, code = frequent.value.find(h)
-        w, log_forms = model.value
-        classes, rows = contexts(code, form, bounds)
-        p = np.empty(len(h))
-        for a in range(0, len(h), BATCH):
-            s = slice(a, a + BATCH)
-            own = _softmax(w, _class_rows(rows[s]))
-            p[s] = np.log10(np.maximum(own[np.arange(len(own)), classes[s]], 1e-30))
-            at = np.flatnonzero(code[s] >= 0) + a
-            if len(at):
-                own = _softmax(w, _word_rows(rows[at], classes[at]))
-                p[at] += np.log10(np.maximum(own[np.arange(len(own)), code[at] % WIDTH], 1e-30))
+        w, log_buckets = model.value
+        place = Places(h, form, code, bounds, n_rows)
+        p = log_probabilities(w, place)
         out = code < 0
         held = c >= 0
         base = np.where(held, np.log10(np.maximum(c, 0) + 1.0), 0.0)
-        p += np.where(out, base - log_forms[form], 0.0)
+        p += np.where(out, base - log_buckets[form, place.place], 0.0)
         at = bounds[:-1]
         doc = np.repeat(np.arange(len(at)), np.diff(bounds))
         # what the frequent words don't tell is looked up later: distinct rare words of each text, with their times
