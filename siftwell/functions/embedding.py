@@ -1,50 +1,70 @@
-"""A feature-hashing text embedding as a pandas UDF: words, word pairs and padded character 3-grams."""
+"""A feature-hashing text embedding.
+
+Features are built by Spark: lower-cased words, pairs of neighbouring words, and the 3-grams of each word between two
+marks. Spark has no BLAKE2b, so the places of the features are found on Arrow batches: each distinct feature of a batch is
+hashed once, and all rows of the batch are added up at once.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import re
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from siftwell.functions.text import let, tokens
+
+LEAST_DIMENSIONS = 16
+
 
-_WORD = re.compile(r"[A-Za-z0-9_]+")
+def features(text: Column) -> Column:
+    """All features of a text, repeated ones as often as they occur; none for a null."""
 
+    def of(words: Column) -> Column:
+        n = F.greatest(F.size(words) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws("_", a, b))
+        marked = F.transform(words, lambda w: F.concat(F.lit("^"), w, F.lit("$")))
+        grams = F.transform(marked, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))
+        return F.concat(words, pairs, F.flatten(grams))
 
-def features(text: str) -> list[str]:
-    words = _WORD.findall(text.lower())
-    out = words + [f"{a}_{b}" for a, b in zip(words, words[1:])]
-    for w in words:
-        padded = f"^{w}$"
-        out += [padded[k : k + 3] for k in range(max(1, len(padded) - 2))]
-    return out
+    return let(tokens(F.coalesce(text, F.lit(""))), of)
 
 
-@lru_cache(maxsize=200_000)
-def _place(feature: str) -> tuple[int, float]:
-    """The 32-bit bucket number and the sign of a feature."""
-    digest = hashlib.blake2b(feature.encode(), digest_size=8).digest()
-    return int.from_bytes(digest[:4], "big"), 1.0 if digest[4] & 1 else -1.0
+def places(names: np.ndarray, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of each feature: the digest's first four bytes, and the lowest bit of its fifth."""
+    digests = b"".join(hashlib.blake2b(name.encode(), digest_size=8).digest() for name in names)
+    raw = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+    bucket = np.ascontiguousarray(raw[:, :4]).view(">u4").ravel().astype(np.int64) % dimensions
+    return bucket, np.where(raw[:, 4] & 1, 1.0, -1.0)
 
 
-def vector(text: str | None, dimensions: int) -> np.ndarray:
-    out = np.zeros(dimensions)
-    for f in features(text or ""):
-        bucket, sign = _place(f)
-        out[bucket % dimensions] += sign
-    size = np.sqrt((out * out).sum())
-    return out / size if size else out
+def embed_batch(rows: list[np.ndarray], dimensions: int) -> np.ndarray:
+    """Unit vectors of rows of features, one a row; zeros for a row without features."""
+    out = np.zeros((len(rows), dimensions))
+    sizes = np.array([len(r) for r in rows], np.int64)
+    if sizes.sum():
+        names, which = np.unique(np.concatenate([r for r in rows if len(r)]).astype(str), return_inverse=True)
+        bucket, sign = places(names, dimensions)
+        np.add.at(out, (np.repeat(np.arange(len(rows)), sizes), bucket[which]), sign[which])
+    size = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, size, out=out, where=size > 0)
 
 
-def hash_embedding(text: Column, dimensions: int = 512) -> Column:
-    """The unit vector of a text column (a zero vector for a text without words or a null)."""
-    n = max(16, dimensions)
+def hash_embedding(rows: DataFrame, text: str, dimensions: int = 512, name: str = "embedding") -> DataFrame:
+    """``rows`` with the unit vector of a text column (a zero vector for a text without words or a null)."""
+    n = max(LEAST_DIMENSIONS, dimensions)
 
-    @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: vector(t, n))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.array(r, object) for r in batch.column(batch.num_columns - 1).to_pylist()]
+            out = embed_batch(words, n)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, n, dtype=np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=batch.schema.names)
 
-    return embed(text)
+    made = rows.withColumn(name, features(F.col(text)))
+    schema = StructType([*made.schema.fields[:-1], StructField(name, ArrayType(DoubleType()))])
+    return made.mapInArrow(run, schema)

@@ -49,6 +49,11 @@ def language_of(path: Column) -> Column:
     return names[F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: an expression that is named several times is else computed each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words of one fixed ASCII class."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"))
@@ -116,13 +121,9 @@ def snippet(content: Column, query: str, limit: int = 240, before: int = 40) ->
 
 def trigrams(text: Column) -> Column:
     """Distinct 3-grams of the lower-cased ASCII words, each padded by two blanks before and one after."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"))
-    grams = F.transform(
-        words,
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3))
-        ),
-    )
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)")))
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    grams = F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 
 
@@ -143,10 +144,11 @@ def literal_trigrams(text: str) -> list[str]:
 def similarity(text: Column, query: str) -> Column:
     """Jaccard similarity of the trigram sets of a column and a query; 0 where the column is null or has none."""
     grams = literal_trigrams(query)
-    own = trigrams(F.coalesce(text, F.lit("")))
-    common = F.size(F.array_intersect(own, F.array(*[F.lit(g) for g in grams]))) if grams else F.lit(0)
-    union = F.size(own) + len(grams) - common
-    return F.when(union > 0, common / union).otherwise(0.0)
+    if not grams:
+        return F.lit(0.0)
+    wanted = F.array(*[F.lit(g) for g in grams])
+    sizes = let(trigrams(F.coalesce(text, F.lit(""))), lambda own: F.struct(F.size(own).alias("n"), F.size(F.array_intersect(own, wanted)).alias("c")))
+    return let(sizes, lambda x: x.c / (x.n + len(grams) - x.c))
 
 
 def path_mentions(text: Column) -> Column:

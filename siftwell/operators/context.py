@@ -37,17 +37,21 @@ def relevance(headline: Column, linked: Column | None, task: str, focus: str = "
     return score
 
 
+def key_points(key: Column, task: str) -> Column:
+    """What a requirement adds whose key the task names."""
+    return F.when((key != "") & F.contains(F.lit(task.lower()), F.lower(key)), 50).otherwise(0)
+
+
 def _words(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[A-Za-z0-9_]{3,}", text.lower())))
 
 
-def top_per_section(entries: DataFrame, keep: int, order: list, by: str = "section", salt: int = 64) -> DataFrame:
+def top_per_section(entries: DataFrame, keep: int, order: list, by: str = "section", salt: int = 64, id_: str = "entry_id") -> DataFrame:
     """The first ``keep`` entries of each section, ``place`` from 1, and how many are ``omitted``.
 
     A section may hold most rows, so each salt of it gives its own first entries before the section's are chosen,
     and its size is a count with partial sums.
     """
-    id_ = "entry_id"
     first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     salted = entries.withColumn("salt", F.pmod(F.xxhash64(id_), F.lit(salt)))
     few = salted.withColumn("place", first(by, "salt")).where(F.col("place") <= keep).drop("salt")
@@ -56,9 +60,20 @@ def top_per_section(entries: DataFrame, keep: int, order: list, by: str = "secti
     return best.join(sizes, by).withColumn("omitted", F.greatest(F.col("n") - keep, F.lit(0).cast("long"))).drop("n")
 
 
-def briefing(entries: DataFrame, budget: int, per_section: int) -> DataFrame:
-    """(section, place, line, used): lines of the first entries of each section while the section's running tokens fit."""
+def briefing(
+    entries: DataFrame, budget: int, per_section: int, related: Column | None = None, related_first: tuple[str, ...] = (), recent_first: tuple[str, ...] = ()
+) -> DataFrame:
+    """(section, place, line, used): lines of the first entries of each section while the section's running tokens fit.
+
+    Entries come by priority, then age. In the sections ``related_first`` those that are ``related`` to the focus come before
+    the others, in the sections ``recent_first`` the youngest come first.
+    """
+    section = F.col("section")
     order = [F.desc("priority"), "age_days", "entry_id"]
+    if recent_first:
+        order.insert(0, F.when(section.isin(*recent_first), F.col("age_days")).otherwise(0))
+    if related is not None and related_first:
+        order.insert(0, F.when(section.isin(*related_first) & ~F.coalesce(related, F.lit(False)), 1).otherwise(0))
     rows = top_per_section(entries, per_section, order)
     line = F.concat(F.lit("- ["), "entry_id", F.lit("] "), "headline")
     used = F.sum(T.token_estimate(F.col("line"))).over(Window.partitionBy("section").orderBy("place"))

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions import text as T
+from siftwell.functions.commands import generic_command
 from siftwell.sources.scratch import WrittenTables
 
 CURRENT_REVISION = 2
 REUSE_THRESHOLD = 3
-WARNING_CODES = ("dirty-no-fingerprint", "excessive-test-reuse", "missing-commit-ref", "reviewer-author-collision")
+WARNING_CODES = (
+    "dirty-no-fingerprint", "excessive-test-reuse", "missing-commit-ref", "missing-file-test-ref", "reviewer-author-collision", "security-generic-command",
+)
+SECURITY_TERMS = ("security", "auth", "secret", "permission", "access", "injection")
+#: How much a requirement's status adds to its place, and the order of risks.
+STATUS_BOOST = {"blocked": 20, "in-progress": 15, "not-started": 5, "done": -20}
+RISK_ORDER = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 
 
 def lifecycle(evidence: DataFrame, current_revision: int = CURRENT_REVISION) -> DataFrame:
@@ -84,29 +92,87 @@ def close_gate(criteria: DataFrame, evidence: DataFrame, violations: DataFrame)
     )
 
 
-def warnings(evidence: DataFrame) -> DataFrame:
+def warnings(criteria: DataFrame, evidence: DataFrame) -> DataFrame:
     """(requirement_id, codes): sorted warning codes of the evidence that isn't superseded."""
-    e = lifecycle(evidence)
-    current = e.where("lifecycle <> 'superseded'")
+    current = lifecycle(evidence).where("lifecycle <> 'superseded'")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    bare = F.col("kind").isin("test", "file") & (F.coalesce(F.col("test_ref"), F.lit("")) == "")
     per = current.groupBy("requirement_id").agg(
-        F.bool_or(F.coalesce(F.col("test_ref"), F.col("review_ref"), F.lit("")) == "").alias("missing-commit-ref"),
-        F.bool_or(F.col("recorded") == "provisional").alias("dirty-no-fingerprint"),
+        F.bool_or((F.coalesce("source_commit", F.lit("")) == "") | no(F.col("commit_verified"))).alias("missing-commit-ref"),
+        F.bool_or((F.col("test_ref").isNotNull() & (F.col("ref_verified") == F.lit(False))) | bare).alias("missing-file-test-ref"),
+        F.bool_or((F.col("recorded") == "provisional") & F.col("fingerprint").isNull()).alias("dirty-no-fingerprint"),
     )
     verified = current.where("lifecycle = 'verified'")
-    reuse = excessive_reuse(verified).select("requirement_id").distinct().withColumn("excessive-test-reuse", F.lit(True))
-    clash = collisions(verified).select("requirement_id").distinct().withColumn("reviewer-author-collision", F.lit(True))
-    rows = per.join(reuse, "requirement_id", "left").join(clash, "requirement_id", "left")
+    touches = F.lower("statement").rlike("|".join(SECURITY_TERMS))
+    secured = criteria.where(touches).select("criterion_id")
+    gates = verified.where((F.col("kind") == "command") & generic_command(F.col("command_ref"))).join(secured, "criterion_id", "left_semi")
+    flags = {"excessive-test-reuse": excessive_reuse(verified), "reviewer-author-collision": collisions(verified), "security-generic-command": gates}
+    rows = per
+    for code, found in flags.items():
+        rows = rows.join(found.select("requirement_id").distinct().withColumn(code, F.lit(True)), "requirement_id", "left")
     codes = F.array_compact(F.array(*[F.when(F.col(f"`{c}`"), F.lit(c)) for c in WARNING_CODES]))
     return rows.select("requirement_id", F.array_join(F.array_sort(codes), ",").alias("codes"))
 
 
+def test_key(ref: Column) -> Column:
+    """A test reference as it is counted: slashes one way and single, no leading ``./``, case folded."""
+    slashed = F.regexp_replace(F.regexp_replace(F.trim(ref), r"\\", "/"), r"^(\./)+", "")
+    return F.lower(F.regexp_replace(F.regexp_replace(slashed, "/+", "/"), "^/|/$", ""))
+
+
 def excessive_reuse(verified: DataFrame) -> DataFrame:
     """(requirement_id, test_ref, criteria): tests that stand for more than REUSE_THRESHOLD criteria."""
     refs = verified.where("test_ref IS NOT NULL AND test_ref <> ''")
-    pairs = refs.select("requirement_id", F.lower(F.trim("test_ref")).alias("test_ref"), "criterion_id").distinct()
+    pairs = refs.select("requirement_id", test_key(F.col("test_ref")).alias("test_ref"), "criterion_id").distinct()
     return pairs.groupBy("requirement_id", "test_ref").agg(F.count("*").alias("criteria")).where(F.col("criteria") > REUSE_THRESHOLD)
 
 
+def statement_order(invariants: DataFrame) -> DataFrame:
+    """(requirement_id, invariant_id, place): blocking first, then forbidden paths, risk, missing evidence, stale evidence, sort order and key.
+
+    ``invariants``: (requirement_id, invariant_id, key, kind, risk, sort_order, blocking, missing, stale).
+    """
+    risk = F.lit(9)
+    for name, rank in RISK_ORDER.items():
+        risk = F.when(F.col("risk") == name, rank).otherwise(risk)
+    last = lambda c: (~F.coalesce(F.col(c), F.lit(False))).cast("int")
+    order = [last("blocking"), (F.col("kind") != "forbidden-path").cast("int"), risk, last("missing"), last("stale"), "sort_order", "key"]
+    place = F.row_number().over(Window.partitionBy("requirement_id").orderBy(*order))
+    return invariants.select("requirement_id", "invariant_id", place.cast("long").alias("place"))
+
+
+def ranked_requirements(requirements: DataFrame, keep: int = 3) -> DataFrame:
+    """(entry_id, score, place, omitted) of the ``keep`` requirements that match a task best, of those that match at all.
+
+    ``requirements``: (entry_id, req_key, title, status, score). Finished ones are left out; ties go by the status, then key, title and id.
+    The first ones of each part are found first, so only those of all parts meet in one task.
+    """
+    boost = F.lit(0)
+    for status, n in STATUS_BOOST.items():
+        boost = F.when(F.col("status") == status, n).otherwise(boost)
+    rows = requirements.where("status <> 'done' AND score > 0").withColumn("boost", boost)
+    order = [F.desc("score"), F.desc("boost"), "req_key", "title", "entry_id"]
+    total = rows.groupBy(F.lit("all").alias("of")).agg(F.count("*").alias("n"))
+    best = rows.orderBy(*order).limit(keep).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    best = best.withColumn("of", F.lit("all")).join(total, "of")  # at most ``keep`` rows with one
+    return best.select("entry_id", "score", "place", F.greatest(F.col("n") - keep, F.lit(0).cast("long")).alias("omitted"))
+
+
+def fit_lines(lines: DataFrame, budget: int, fixed: Column, by: str = "requirement_id") -> DataFrame:
+    """(by, place, line): the statements of each contract that fit ``budget`` tokens beside ``fixed`` characters, in order up to the first that doesn't.
+
+    A first statement that doesn't fit is cut to what is left, if that is anything. ``lines``: (by, place, line).
+    """
+    room = F.lit(budget * T.CHARS_PER_TOKEN) - fixed
+    order = Window.partitionBy(by).orderBy("place")
+    used = F.sum(F.length("line") + 1).over(order)
+    rows = lines.withColumn("over", used > room).withColumn("stopped", F.max(F.col("over").cast("int")).over(order) == 1)
+    first = F.col("place") == 1
+    cut = F.concat(F.rtrim(F.substring(F.col("line"), F.lit(1), F.greatest(room - 2, F.lit(0)).cast("int"))), F.lit(T.ELLIPSIS))
+    rows = rows.where(~F.col("stopped") | (first & (room > 2)))
+    return rows.select(by, "place", F.when(F.col("over"), cut).otherwise(F.col("line")).alias("line"))
+
+
 def collisions(verified: DataFrame) -> DataFrame:
     """(requirement_id, criterion_id, author): authors who review what they made."""
     name = F.lower(F.trim("author")).alias("author")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.functions.text import let
+
 MAX_BYTES = 1_000_000
 SIGNATURE_CHARS = 200
 
@@ -86,18 +88,41 @@ def line_windows(files: DataFrame, window: int, content: str = "content", step:
     Done with array functions inside each row, so nothing is shuffled.
     """
     step = step or window
-    lines = F.split(content, "\n")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(lines) - 1 - (window - step), F.lit(0)), F.lit(step))
-    cut = F.transform(
-        starts,
-        lambda s: F.struct(
-            (s + 1).cast("long").alias("start_line"),
-            F.least(s + window, F.size(lines)).cast("long").alias("end_line"),
-            F.array_join(F.slice(lines, s + 1, F.lit(window)), "\n").alias(content),
-        ),
-    )
+
+    def cut(lines: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(lines) - 1 - (window - step), F.lit(0)), F.lit(step))
+        return F.transform(
+            starts,
+            lambda s: F.struct(
+                (s + 1).cast("long").alias("start_line"),
+                F.least(s + window, F.size(lines)).cast("long").alias("end_line"),
+                F.array_join(F.slice(lines, s + 1, F.lit(window)), "\n").alias(content),
+            ),
+        )
+
     others = [c for c in files.columns if c != content]
-    return files.select(*others, F.inline(cut))
+    # the lines are split once for all windows of a file
+    return files.select(*others, F.inline(let(F.split(content, "\n"), cut)))
+
+
+def whole_file_chunks(files: DataFrame, window: int) -> DataFrame:
+    """Chunks (path, start_line, end_line, kind, symbol, content) of files in which no definition was found.
+
+    Each is one ``module`` chunk named like the file; one of more than two windows of lines is cut into windows as well.
+    """
+
+    def cut(lines: Column) -> Column:
+        n = F.size(lines)
+        name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"(.)\.[^.]*$", "$1")
+        piece = lambda start, end, kind, symbol: F.struct(
+            start.cast("long").alias("start_line"), end.cast("long").alias("end_line"), F.lit(kind).alias("kind"), symbol.cast("string").alias("symbol"),
+            F.array_join(F.slice(lines, start, end - start + 1), "\n").alias("content"),
+        )
+        windows = F.transform(F.sequence(F.lit(1), n, F.lit(window)), lambda s: piece(s, F.least(s + (window - 1), n), "text", F.lit(None)))
+        whole = F.array(piece(F.lit(1), n, "module", name))
+        return F.when(n > 2 * window, F.concat(whole, windows)).otherwise(whole)
+
+    return files.select("path", F.inline(let(F.split("content", "\n"), cut)))
 
 
 def drop_nested_chunks(chunks: DataFrame, by: str) -> DataFrame:
@@ -165,7 +190,7 @@ def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
     whole = known.select(F.col("path").alias("name"), F.col("path").alias("found"), F.lit(False).alias("tail"))
     parts = F.split("path", "/")
     endings = known.select(
-        F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("name"),
+        F.explode(let(parts, lambda p: F.transform(F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2))), lambda i: F.array_join(F.slice(p, i, F.size(p)), "/")))).alias("name"),
         F.col("path").alias("found"),
         F.lit(True).alias("tail"),
     )

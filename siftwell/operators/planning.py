@@ -10,6 +10,7 @@ from siftwell.sources.scratch import WrittenTables
 LEASED = ("claimed", "in_progress", "in_review")
 CLOSED = ("completed", "cancelled", "blocked")
 KEY = ["plan_id", "task_no"]
+KEPT_STEPS = 16  #: layers between two writes of the result so far
 
 
 def lease_state(status: Column, expires: Column, now: Column) -> Column:
@@ -44,7 +45,7 @@ def roots(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     return tasks.join(deps.select(*KEY).distinct(), KEY, "left_anti")
 
 
-def layers(tasks: DataFrame, deps: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def layers(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """(plan_id, task_no, layer): the length of the longest chain of prerequisites; tasks on or behind a cycle have none (null).
 
     Kahn's peeling: each step takes the tasks whose prerequisites have all been taken, and drops the edges they
@@ -54,14 +55,16 @@ def layers(tasks: DataFrame, deps: DataFrame, max_depth: int = 10_000) -> DataFr
     left = written.save(deps.select(*KEY, "needs").distinct())
     current = written.save(roots(tasks.select(*KEY).distinct(), left))
     out = current.withColumn("layer", F.lit(0).cast("long"))
-    for depth in range(1, max_depth):
+    depth = 0
+    while not current.isEmpty():
+        depth += 1
         met = current.select("plan_id", F.col("task_no").alias("needs"))
         touched = left.join(met, ["plan_id", "needs"], "left_semi").select(*KEY).distinct()
         left = written.save(left.join(met, ["plan_id", "needs"], "left_anti"))
         current = written.save(touched.join(left.select(*KEY).distinct(), KEY, "left_anti"))
-        if current.isEmpty():
-            break
         out = out.unionByName(current.withColumn("layer", F.lit(depth).cast("long")))
+        if depth % KEPT_STEPS == 0:
+            out = written.save(out)
     return tasks.select(*KEY).distinct().join(out, KEY, "left")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,44 +14,12 @@ RRF_K = 60
 BRANCH_LIMIT, MAX_LIMIT = 20, 100
 
 
-@dataclass(frozen=True)
-class Match:
-    """Boolean and score expressions of one query over (path, symbol, content)."""
-
-    symbol: Column
-    content: Column
-    path: Column
-    every_word: Column
-    symbol_similarity: Column
-    content_similarity: Column
-    rank: Column
-    fuzzy: bool
-
-    @property
-    def any(self) -> Column:
-        plain = self.symbol | self.content | self.path | self.every_word
-        if not self.fuzzy:
-            return plain
-        return plain | (self.symbol_similarity > SYMBOL_FUZZY) | (self.content_similarity > CONTENT_FUZZY)
-
-    @property
-    def score(self) -> Column:
-        parts = [
-            F.when(self.symbol, 1.0).otherwise(0.0),
-            F.when(self.content, 0.85).otherwise(0.0),
-            F.when(self.path, 0.5).otherwise(0.0),
-            self.rank,
-        ]
-        if self.fuzzy:
-            parts += [self.symbol_similarity * 0.9, self.content_similarity * 0.7]
-        return F.greatest(*parts)
-
-    @property
-    def mode(self) -> Column:
-        out = F.when(self.symbol, "symbol").when(self.content, "exact").when(self.every_word, "fts")
-        if self.fuzzy:
-            out = out.when(self.symbol_similarity > SYMBOL_FUZZY, "symbol").when(self.content_similarity > CONTENT_FUZZY, "fuzzy")
-        return out.when(self.path, "glob").otherwise("fuzzy" if self.fuzzy else "fts")
+def query_words(query: str) -> list[str]:
+    return list(dict.fromkeys(re.findall(T.WORD, query.lower())))
+
+
+def is_identifier(query: str) -> bool:
+    return re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", query) is not None
 
 
 def every_word(content: Column, query: str) -> Column:
@@ -64,45 +31,74 @@ def every_word(content: Column, query: str) -> Column:
     return F.size(found) == len(words)
 
 
-def query_words(query: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(T.WORD, query.lower())))
-
-
 def word_rank(content: Column, query: str) -> Column:
-    """0.8 * h / (h + 5) for the number h of the content's words that the query has; below a contiguous match's 0.85."""
+    """0.8 * h / (h + 5) for the number h of the content's words that the query has; below a contiguous match's 0.85.
+
+    0 unless the content has every word of the query.
+    """
     words = query_words(query)
     if not words:
         return F.lit(0.0)
     wanted = F.array(*[F.lit(w) for w in words])
-    hits = F.size(F.filter(T.tokens(content), lambda t: F.array_contains(wanted, t)))
-    return hits * 0.8 / (hits + 5)
+    hits = T.let(T.tokens(content), lambda own: F.filter(own, lambda t: F.array_contains(wanted, t)))
+    return T.let(hits, lambda h: F.when(F.size(F.array_distinct(h)) == len(words), F.size(h) * 0.8 / (F.size(h) + 5)).otherwise(0.0))
 
 
-def match(query: str, fuzzy: bool = True) -> Match:
+def measures(query: str, fuzzy: bool = True) -> Column:
+    """What one query says of a row (path, symbol, content), as a struct.
+
+    A contiguous match of the symbol or the content outranks every fuzzy one, so the content's trigrams are not looked at then.
+    """
     path, symbol, content = F.col("path"), F.col("symbol"), F.col("content")
-    words = every_word(content, query)
-    return Match(
-        T.contains(symbol, query),
-        T.contains(content, query),
-        T.matches_any(path, [query]) if T.is_glob(query) else T.contains(path, query),
-        words,
-        T.similarity(symbol, query),
-        T.similarity(content, query),
-        F.when(words, word_rank(content, query)).otherwise(0.0),
-        fuzzy,
-    )
+    in_symbol, in_content = T.contains(symbol, query), T.contains(content, query)
+    fields = {
+        "in_symbol": in_symbol,
+        "in_content": in_content,
+        "in_path": T.matches_any(path, [query]) if T.is_glob(query) else T.contains(path, query),
+        "rank": word_rank(content, query),
+    }
+    if fuzzy:
+        fields["symbol_similarity"] = T.similarity(symbol, query)
+        fields["content_similarity"] = F.when(in_symbol | in_content, 0.0).otherwise(T.similarity(content, query))
+    return F.struct(*[c.alias(name) for name, c in fields.items()])
+
+
+def is_match(m: Column, fuzzy: bool) -> Column:
+    plain = m.in_symbol | m.in_content | m.in_path | (m.rank > 0)
+    return plain | (m.symbol_similarity > SYMBOL_FUZZY) | (m.content_similarity > CONTENT_FUZZY) if fuzzy else plain
+
+
+def score(m: Column, fuzzy: bool) -> Column:
+    parts = [F.when(m.in_symbol, 1.0).otherwise(0.0), F.when(m.in_content, 0.85).otherwise(0.0), F.when(m.in_path, 0.5).otherwise(0.0), m["rank"]]
+    return F.greatest(*parts, *([m.symbol_similarity * 0.9, m.content_similarity * 0.7] if fuzzy else []))
+
+
+def mode(m: Column, fuzzy: bool) -> Column:
+    out = F.when(m.in_symbol, "symbol").when(m.in_content, "exact").when(m["rank"] > 0, "fts")
+    if fuzzy:
+        out = out.when(m.symbol_similarity > SYMBOL_FUZZY, "symbol").when(m.content_similarity > CONTENT_FUZZY, "fuzzy")
+    return out.when(m.in_path, "glob").otherwise("fuzzy" if fuzzy else "fts")
 
 
 def scored(chunks: DataFrame, query: str, fuzzy: bool = True) -> DataFrame:
-    """All matching chunks (path, start_line, end_line, content, score, mode); the fuzzy tier is left out of the plan if not wanted."""
-    m = match(query, fuzzy)
-    return chunks.where(m.any).select("path", "start_line", "end_line", "symbol", "content", F.round(m.score, 6).alias("score"), m.mode.alias("mode"))
+    """All matching chunks (path, start_line, end_line, symbol, content, score, mode, symbol_hit); the fuzzy tier is left out of the plan if not wanted.
 
+    The measures of a row are computed once, in a one-element array whose filter keeps the row; a plain filter would be
+    pushed below the projection and compute them again.
+    """
+    kept = F.filter(F.array(measures(query, fuzzy)), lambda m: is_match(m, fuzzy))
+    values = F.transform(kept, lambda m: F.struct(F.round(score(m, fuzzy), 6).alias("score"), mode(m, fuzzy).alias("mode"), m.in_symbol.alias("symbol_hit")))
+    return chunks.select("path", "start_line", "end_line", "symbol", "content", F.inline(values))
 
-def top_hits(hits: DataFrame, limit: int) -> DataFrame:
-    """The best hits; ``rank`` counts from 1. At most MAX_LIMIT rows reach the window."""
+
+def top_hits(hits: DataFrame, limit: int, query: str = "") -> DataFrame:
+    """The best hits, by score; ``rank`` counts from 1. At most MAX_LIMIT rows reach the window.
+
+    For a query that is one identifier, hits of the symbol come before all others.
+    """
     limit = max(1, min(limit, MAX_LIMIT))
-    order = [F.desc("score"), "path", "start_line", "end_line"]
+    first = [F.desc("symbol_hit")] if is_identifier(query) else []
+    order = [*first, F.desc("score"), "path", "start_line", "end_line"]
     return hits.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
@@ -129,11 +125,11 @@ def cosine_distance(vector: Column, query: list[float]) -> Column:
     return 1 - dot / F.nullif(norm * size, F.lit(0.0))
 
 
-def nearest(vectors: DataFrame, query: list[float], limit: int, vector: str = "embedding", tie: str = "path") -> DataFrame:
+def nearest(vectors: DataFrame, query: list[float], limit: int, vector: str = "embedding", tie: tuple[str, ...] = ("path",)) -> DataFrame:
     """The ``limit`` vectors of least cosine distance, exactly, with score max(0, 1 - distance)."""
     d = F.round(cosine_distance(F.col(vector), query), 6)
     near = vectors.withColumn("distance", d).where("distance IS NOT NULL").drop(vector)
-    return near.orderBy("distance", tie).limit(min(limit, MAX_LIMIT)).withColumn("score", F.greatest(F.lit(0.0), F.round(1 - F.col("distance"), 6)))
+    return near.orderBy("distance", *tie).limit(min(limit, MAX_LIMIT)).withColumn("score", F.greatest(F.lit(0.0), F.round(1 - F.col("distance"), 6)))
 
 
 def fuse(keyword: DataFrame, semantic: DataFrame, limit: int) -> DataFrame:
@@ -185,21 +181,30 @@ def pack(ranked: DataFrame, budget: int) -> DataFrame:
     return kept.select("rank", "path", "start_line", "end_line", tokens.alias("tokens"), F.when(F.col("trimmed"), tokens).otherwise(F.col("used")).alias("used"), "trimmed")
 
 
-def inverted_terms(chunks: DataFrame) -> DataFrame:
-    """(term, path, start_line, end_line, n): the table that keyword joins use when many queries run over one corpus."""
-    words = chunks.select("path", "start_line", "end_line", F.explode(T.tokens(F.col("content"))).alias("term"))
-    return words.groupBy("term", "path", "start_line", "end_line").agg(F.count("*").alias("n"))
-
-
 def fuzzy_join(chunks: DataFrame, queries: DataFrame, threshold: float = CONTENT_FUZZY) -> DataFrame:
     """(query_id, path, start_line, similarity) above the threshold for a table of queries (query_id, query).
 
-    Both sides are exploded to trigrams and joined on them: |common| is a count, and the Jaccard similarity follows
-    from the set sizes. Exact, and no pair without a common trigram is looked at.
+    Trigrams are numbered by how many chunks have them. Two sets with a Jaccard similarity over t share one of the
+    rarest n - ceil(t * n) + 1 numbers of each, and neither is larger than the other's size / t; only such pairs are compared, exactly.
     """
-    side = lambda df, text, keys: df.select(*keys, T.trigrams(F.col(text)).alias("g"))
-    left = side(chunks, "content", ["path", "start_line"]).select("path", "start_line", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    right = side(queries, "query", ["query_id"]).select("query_id", F.size("g").alias("m"), F.explode("g").alias("gram"))
-    common = left.join(right, "gram").groupBy("query_id", "path", "start_line", "n", "m").agg(F.count("*").alias("c"))
-    sim = F.col("c") / (F.col("n") + F.col("m") - F.col("c"))
-    return common.select("query_id", "path", "start_line", F.round(sim, 6).alias("similarity")).where(F.col("similarity") > threshold)
+    keys = ["path", "start_line"]
+    own = chunks.select(*keys, F.explode(T.trigrams(F.col("content"))).alias("gram"))
+    # at most 37 * 37 * 37 different trigrams of letters, digits and blanks, so the numbers are small
+    often = own.groupBy("gram").agg(F.count("*").alias("often"))
+    number = F.broadcast(often.select("gram", F.struct("often", "gram").alias("number")))
+    asked = queries.select("query_id", F.explode(T.trigrams(F.col("query"))).alias("gram"))
+    sets = lambda rows, by, how: (
+        rows.join(number, "gram", how)
+        .groupBy(*by)
+        .agg(F.transform(F.array_sort(F.collect_list(F.coalesce("number", F.struct(F.lit(0).cast("long").alias("often"), "gram")))), lambda x: x.gram).alias("g"))
+    )
+    size = F.size("g")
+    prefix = F.explode(F.slice("g", F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))).alias("gram")
+    left = sets(own, keys, "left").withColumn("n", size)
+    right = sets(asked, ["query_id"], "left").withColumn("m", size)
+    near = (F.col("n") >= F.col("m") * threshold) & (F.col("m") >= F.col("n") * threshold)
+    pairs = left.select(*keys, "n", prefix).join(right.select("query_id", "m", prefix), "gram").where(near).select("query_id", *keys).distinct()
+    both = pairs.join(left.select(*keys, "g", "n"), keys).join(right.select("query_id", F.col("g").alias("q"), "m"), "query_id")
+    both = both.select("query_id", *keys, "n", "m", F.size(F.array_intersect("g", "q")).alias("c"))
+    sim = F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 6)
+    return both.select("query_id", *keys, sim.alias("similarity")).where(F.col("similarity") > threshold)

@@ -119,13 +119,13 @@ def path_overlap(spark, sf_dir):
 
 @query(
     "file_stats",
-    f"""WITH {S.chunks_sql(20)}, e AS (SELECT path, max(end_line) AS loc FROM chunks GROUP BY path), s AS (SELECT path, count(*) AS symbols FROM chunks WHERE start_line % 40 = 1 AND symbol <> '' GROUP BY path)
+    f"""WITH {S.chunks_sql(20)}, e AS (SELECT path, max(end_line) AS loc FROM chunks GROUP BY path), s AS (SELECT path, count(*) AS symbols FROM chunks WHERE symbol <> '' GROUP BY path)
       SELECT path, size, coalesce(loc, 0) AS loc, coalesce(symbols, 0) AS symbols FROM files LEFT JOIN e USING (path) LEFT JOIN s USING (path)""",
 )
 def file_stats(spark, sf_dir):
     c = S.chunks(spark, sf_dir, 20)
     # both aggregates in one pass over the chunks, so there is one shuffle and one join instead of two
-    symbols = F.count_if((F.col("start_line") % 40 == 1) & (F.col("symbol") != ""))
+    symbols = F.count_if(F.col("symbol") != "")
     per = c.groupBy("path").agg(F.max("end_line").alias("loc"), symbols.alias("symbols"))
     zero = lambda x: F.coalesce(x, F.lit(0).cast("long")).alias(x)
     return S.files(spark, sf_dir).select("path", "size").join(per, "path", "left").select("path", "size", zero("loc"), zero("symbols"))
@@ -140,9 +140,9 @@ def _notes(f):
     )
 
 
-@query("guide_files", f"WITH {S.chunks_sql(20)} SELECT files.path, count(chunks.path) AS chunks, max(end_line) AS last_line FROM files LEFT JOIN chunks ON files.path = chunks.path AND length(chunks.content) > 900 GROUP BY files.path")
+@query("guide_files", f"WITH {S.chunks_sql(20)} SELECT files.path, count(chunks.path) AS chunks, max(end_line) AS last_line FROM files LEFT JOIN chunks ON files.path = chunks.path GROUP BY files.path")
 def guide_files(spark, sf_dir):
-    c = S.chunks(spark, sf_dir, 20).where(F.length("content") > 900).groupBy("path").agg(F.count("*").alias("chunks"), F.max("end_line").alias("last_line"))
+    c = S.chunks(spark, sf_dir, 20).groupBy("path").agg(F.count("*").alias("chunks"), F.max("end_line").alias("last_line"))
     return S.files(spark, sf_dir).select("path").join(c, "path", "left").select("path", F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"), "last_line")
 
 
@@ -237,9 +237,9 @@ def near_paths(spark, sf_dir):
 
 @query(
     "feature_req",
-    "SELECT doc_id AS feature_id, doc_id * 7 % 1500 AS requirement_id, r.quality AS requirement_quality FROM documents LEFT JOIN (SELECT doc_id AS rid, quality FROM labels) r ON rid = doc_id * 7 % 1500 WHERE doc_id % 3 = 0",
+    "SELECT doc_id AS feature_id, doc_id * 7 % 1500 AS requirement_id, r.quality AS requirement_quality FROM documents LEFT JOIN (SELECT doc_id AS rid, quality FROM labels) r ON rid = doc_id * 7 % 1500",
 )
 def feature_req(spark, sf_dir):
-    f = S.table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("feature_id"), (F.col("doc_id") * 7 % 1500).alias("requirement_id"))
+    f = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("feature_id"), (F.col("doc_id") * 7 % 1500).alias("requirement_id"))
     r = S.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("requirement_id"), F.col("quality").alias("requirement_quality"))
     return f.join(r, "requirement_id", "left").select("feature_id", "requirement_id", "requirement_quality")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.operators import context as X
+from siftwell.operators.contracts import ranked_requirements
 from siftwell.plans.catalog import Catalog
 from siftwell.sources import tables as S
 
@@ -77,6 +78,23 @@ def topk_entries(spark, sf_dir):
     return _relevant(spark, sf_dir).select("section", "place", "entry_id", "score")
 
 
+_KEYED = "CASE WHEN contains('{0}', lower('R-' || entry_id % 50)) THEN 50 ELSE 0 END"
+REQ_TASK = TASK + " for r-17 and R-23"
+
+
+@query(
+    "requirement_top",
+    f"""{_E}, q AS (SELECT entry_id, 'R-' || entry_id % 50 AS req_key, headline AS title, requirement_status AS status, {_SCORE} + {_KEYED.format(REQ_TASK.lower())} AS score FROM entries),
+      r AS (SELECT *, CASE status WHEN 'blocked' THEN 20 WHEN 'in-progress' THEN 15 WHEN 'not-started' THEN 5 ELSE 0 END AS boost FROM q WHERE status <> 'done' AND score > 0)
+      SELECT entry_id, score, row_number() OVER (ORDER BY score DESC, boost DESC, req_key, title, entry_id) AS place, CAST(greatest((SELECT count(*) FROM r) - 3, 0) AS BIGINT) AS omitted FROM r ORDER BY place LIMIT 3""",
+)
+def requirement_top(spark, sf_dir):
+    key = F.concat(F.lit("R-"), F.col("entry_id") % 50)
+    score = X.relevance(F.col("headline"), None, TASK, FOCUS) + X.key_points(key, REQ_TASK)
+    rows = S.entries(spark, sf_dir).select("entry_id", key.alias("req_key"), F.col("headline").alias("title"), F.col("requirement_status").alias("status"), score.alias("score"))
+    return ranked_requirements(rows)
+
+
 @query("topk_omitted", f"{_TOP} SELECT DISTINCT section, CAST(greatest(n - 2, 0) AS BIGINT) AS omitted FROM k")
 def topk_omitted(spark, sf_dir):
     return _relevant(spark, sf_dir).select("section", "omitted").distinct()
@@ -84,12 +102,13 @@ def topk_omitted(spark, sf_dir):
 
 @query(
     "briefing_lines",
-    f"""{_E}, {_VISIBLE}, k AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY priority DESC, age_days, entry_id) AS place FROM visible),
+    f"""{_E}, {_VISIBLE}, k AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN section = 'assistant' AND NOT contains(lower(headline), 'an') THEN 1 ELSE 0 END,
+        CASE WHEN section = 'system' THEN age_days ELSE 0 END, priority DESC, age_days, entry_id) AS place FROM visible),
       l AS (SELECT section, place, '- [' || entry_id || '] ' || headline AS line FROM k WHERE place <= 20), u AS (SELECT *, CAST(sum((length(line) + 3) // 4) OVER (PARTITION BY section ORDER BY place) AS BIGINT) AS used FROM l)
       SELECT section, place, line, used FROM u WHERE used <= 300""",
 )
 def briefing_lines(spark, sf_dir):
-    return X.briefing(_visible(spark, sf_dir), 300, 20)
+    return X.briefing(_visible(spark, sf_dir), 300, 20, T.contains(F.col("headline"), "an"), ("assistant",), ("system",))
 
 
 @query(

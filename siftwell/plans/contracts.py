@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.operators import contracts as C
+from siftwell.operators.context import top_per_section
 from siftwell.plans.catalog import Catalog
 from siftwell.sources import tables as S
 
@@ -65,23 +66,67 @@ def compliance_verdict(spark, sf_dir):
 
 
 _VERIFIED = "verified AS (SELECT * FROM life WHERE lifecycle = 'verified')"
-_REUSE = "reuse AS (SELECT requirement_id, lower(trim(test_ref)) AS test_ref, count(DISTINCT criterion_id) AS criteria FROM verified WHERE test_ref IS NOT NULL AND test_ref <> '' GROUP BY 1, 2 HAVING count(DISTINCT criterion_id) > 3)"
+_KEY = r"lower(regexp_replace(regexp_replace(replace(trim(test_ref), '\', '/'), '^(\./)+', ''), '/+', '/', 'g'))"
+_REUSE = f"reuse AS (SELECT requirement_id, {_KEY} AS test_ref, count(DISTINCT criterion_id) AS criteria FROM verified WHERE test_ref IS NOT NULL AND test_ref <> '' GROUP BY 1, 2 HAVING count(DISTINCT criterion_id) > 3)"
 _CLASH = "clash AS (SELECT requirement_id, criterion_id, lower(trim(author)) AS author FROM verified GROUP BY ALL HAVING bool_or(kind = 'review') AND bool_or(kind <> 'review'))"
 
 
 @query(
     "warning_codes",
-    f"""{_E}, {_VERIFIED}, {_REUSE}, {_CLASH}, per AS (SELECT requirement_id, bool_or(coalesce(test_ref, review_ref, '') = '') AS m, bool_or(recorded = 'provisional') AS d FROM life WHERE lifecycle <> 'superseded' GROUP BY 1)
+    f"""{_E}, {_VERIFIED}, {_REUSE}, {_CLASH}, per AS (SELECT requirement_id, bool_or(coalesce(source_commit, '') = '' OR NOT commit_verified) AS m, bool_or(recorded = 'provisional' AND fingerprint IS NULL) AS d,
+        bool_or((test_ref IS NOT NULL AND coalesce(ref_verified = false, false)) OR (kind IN ('test', 'file') AND coalesce(test_ref, '') = '')) AS t FROM life WHERE lifecycle <> 'superseded' GROUP BY 1),
+      gates AS (SELECT DISTINCT v.requirement_id FROM verified v JOIN criteria c USING (criterion_id) WHERE kind = 'command' AND command_ref IN ('uv run pytest -q', 'bash -c "npm run test"') AND lower(statement) LIKE '%access%')
       SELECT requirement_id, concat_ws(',', CASE WHEN d THEN 'dirty-no-fingerprint' END, CASE WHEN requirement_id IN (SELECT requirement_id FROM reuse) THEN 'excessive-test-reuse' END, CASE WHEN m THEN 'missing-commit-ref' END,
-        CASE WHEN requirement_id IN (SELECT requirement_id FROM clash) THEN 'reviewer-author-collision' END) AS codes FROM per""",
+        CASE WHEN t THEN 'missing-file-test-ref' END, CASE WHEN requirement_id IN (SELECT requirement_id FROM clash) THEN 'reviewer-author-collision' END,
+        CASE WHEN requirement_id IN (SELECT requirement_id FROM gates) THEN 'security-generic-command' END) AS codes FROM per""",
 )
 def warning_codes(spark, sf_dir):
-    return C.warnings(S.evidence(spark, sf_dir))
+    return C.warnings(S.criteria(spark, sf_dir), S.evidence(spark, sf_dir))
+
+
+_INVARIANTS = f"""{_JUDGED}, open AS (SELECT DISTINCT invariant_id FROM violations WHERE status = 'open' AND severity = 'blocking'),
+  inv AS (SELECT requirement_id, invariant_id, 'I-' || lpad(CAST(invariant_id % 97 AS VARCHAR), 3, '0') || '-' || invariant_id AS key, CASE WHEN invariant_id % 4 = 0 THEN 'forbidden-path' ELSE 'rule' END AS kind,
+    CASE invariant_id % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'critical' WHEN 2 THEN 'high' WHEN 3 THEN 'medium' ELSE 'unknown' END AS risk, invariant_id % 3 AS sort_order,
+    invariant_id IN (SELECT invariant_id FROM open) AS blocking, bool_or(verdict IN ('missing', 'failed')) AS missing, bool_or(verdict = 'stale') AS stale FROM judged GROUP BY 1, 2),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY requirement_id ORDER BY NOT blocking, kind <> 'forbidden-path', CASE risk WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 9 END,
+    NOT missing, NOT stale, sort_order, key) AS place FROM inv)"""
+
+
+def _invariants(spark, sf_dir):
+    c, e, v = _all(spark, sf_dir)
+    i = F.col("invariant_id")
+    blocked = v.where("status = 'open' AND severity = 'blocking'").select("invariant_id").distinct().withColumn("blocking", F.lit(True))
+    verdict = F.col("verdict")
+    per = C.judged(c, e).groupBy("requirement_id", "invariant_id").agg(F.bool_or(verdict.isin("missing", "failed")).alias("missing"), F.bool_or(verdict == "stale").alias("stale"))
+    return per.join(blocked, "invariant_id", "left").select(
+        "*",
+        F.concat(F.lit("I-"), F.lpad((i % 97).cast("string"), 3, "0"), F.lit("-"), i).alias("key"),
+        F.when(i % 4 == 0, "forbidden-path").otherwise("rule").alias("kind"),
+        F.when(i % 5 == 0, "low").when(i % 5 == 1, "critical").when(i % 5 == 2, "high").when(i % 5 == 3, "medium").otherwise("unknown").alias("risk"),
+        (i % 3).alias("sort_order"),
+    )
+
+
+@query("statement_order", f"{_INVARIANTS} SELECT requirement_id, invariant_id, place FROM placed")
+def statement_order(spark, sf_dir):
+    return C.statement_order(_invariants(spark, sf_dir))
+
+
+@query(
+    "contract_fit",
+    f"""{_INVARIANTS}, l AS (SELECT requirement_id, place, key || ' [' || risk || '] ' || kind AS line FROM placed), u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY requirement_id ORDER BY place) AS used FROM l),
+      s AS (SELECT *, bool_or(used > 64) OVER (PARTITION BY requirement_id ORDER BY place) AS stopped FROM u) SELECT requirement_id, place, CASE WHEN used > 64 THEN rtrim(left(line, 62)) || '…' ELSE line END AS line FROM s WHERE NOT stopped OR place = 1""",
+)
+def contract_fit(spark, sf_dir):
+    inv = _invariants(spark, sf_dir)
+    line = F.concat("key", F.lit(" ["), "risk", F.lit("] "), "kind")
+    lines = C.statement_order(inv).join(inv.select("requirement_id", "invariant_id", line.alias("line")), ["requirement_id", "invariant_id"]).drop("invariant_id")
+    return C.fit_lines(lines, 20, F.lit(16))
 
 
 @query(
     "excessive_reuse",
-    f"{_E}, {_VERIFIED} SELECT 0 AS requirement_id, lower(trim(test_ref)) AS test_ref, count(DISTINCT criterion_id) AS criteria FROM verified WHERE test_ref IS NOT NULL AND test_ref <> '' GROUP BY 2 HAVING count(DISTINCT criterion_id) > 3",
+    f"{_E}, {_VERIFIED} SELECT 0 AS requirement_id, {_KEY} AS test_ref, count(DISTINCT criterion_id) AS criteria FROM verified WHERE test_ref IS NOT NULL AND test_ref <> '' GROUP BY 2 HAVING count(DISTINCT criterion_id) > 3",
 )
 def excessive_reuse(spark, sf_dir):
     verified = C.lifecycle(S.evidence(spark, sf_dir)).where("lifecycle = 'verified'")
@@ -104,6 +149,15 @@ def exception_refs(spark, sf_dir):
     return top.groupBy("requirement_id").agg(F.array_join(F.array_sort(F.collect_list("test_ref")), ",").alias("refs"))
 
 
+@query(
+    "evidence_top",
+    f"WITH {S.CONTRACTS_SQL}, k AS (SELECT requirement_id, seq, row_number() OVER (PARTITION BY requirement_id ORDER BY seq DESC) AS place, count(*) OVER (PARTITION BY requirement_id) AS n FROM evidence) SELECT requirement_id, seq, place, CAST(greatest(n - 8, 0) AS BIGINT) AS omitted FROM k WHERE place <= 8",
+)
+def evidence_top(spark, sf_dir):
+    top = top_per_section(S.evidence(spark, sf_dir), 8, [F.desc("seq")], by="requirement_id", salt=4, id_="seq")
+    return top.select("requirement_id", "seq", "place", "omitted")
+
+
 @query("latest_revision", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
 def latest_revision(spark, sf_dir):
     return S.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.max("event_id").alias("event_id"))

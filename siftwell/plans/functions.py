@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftwell.functions.imports import imported_modules
+from siftwell.functions.sql import register
 from siftwell.plans.catalog import Catalog
 from siftwell.sources import tables as S
 
@@ -79,3 +81,27 @@ def fn_datetime(spark, sf_dir):
         (d + F.expr("INTERVAL 14 DAYS") <= F.lit("1996-06-01 00:00:00").cast("timestamp_ntz")).alias("expired"),
         F.year(d).cast("long").alias("y"),
     )
+
+
+@query(
+    "sql_functions",
+    "SELECT doc_id, (length(text) + 3) // 4 AS tokens, CASE WHEN (length(text) + 3) // 4 <= 10 THEN text ELSE rtrim(left(text, 39)) || '…' END AS fitted, lang AS top FROM documents",
+)
+def sql_functions(spark, sf_dir):
+    register(spark)
+    rows = S.table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "lang", "source").alias("p"))
+    return rows.selectExpr("doc_id", "text_tokens(text) AS tokens", "fit_tokens(text, 10) AS fitted", "path_tier(p, 1) AS top")
+
+
+_CODE = """CASE doc_id % 5 WHEN 0 THEN 'import os.m' || doc_id || chr(10) || 'from .a import b' || chr(10) || 'x = 1' WHEN 1 THEN 'import {a} from "./m' || doc_id || '";' || chr(10) || 'const b = require(''b'')'
+  WHEN 2 THEN 'use std::m' || doc_id || ';' WHEN 3 THEN '#include <m' || doc_id || '.h>' || chr(10) || '#include "b.h"' ELSE 'import nothing' END"""
+_LANG = "CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'tsx' WHEN 2 THEN 'rust' WHEN 3 THEN 'c' ELSE 'prose' END"
+
+
+@query(
+    "source_imports",
+    """SELECT doc_id, unnest(CASE doc_id % 5 WHEN 0 THEN ['os.m' || doc_id, '.a'] WHEN 1 THEN ['./m' || doc_id, 'b'] WHEN 2 THEN ['std::m' || doc_id] WHEN 3 THEN ['m' || doc_id || '.h', 'b.h'] ELSE [] END) AS module FROM documents""",
+)
+def source_imports(spark, sf_dir):
+    found = imported_modules(F.expr(_LANG), F.expr(_CODE.replace("chr(10)", "'\\n'").replace("''b''", "\\'b\\'")))
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("module"))

@@ -68,14 +68,13 @@ def ingest_skip_reason(spark, sf_dir):
 def index_status(spark, sf_dir):
     # chunk numbers come from each row's own lines, so all counters are sums of one pass
     f = S.files(spark, sf_dir)
-    lines = F.size(F.split("content", "\n"))
-    n = F.ceil(lines / S.WINDOW)
-    named = F.size(
-        F.filter(
-            F.transform(F.sequence(F.lit(0), F.floor((lines - 1) / S.WINDOW).cast("int")), lambda k: F.array_join(F.slice(F.split("content", "\n"), k * S.WINDOW + 1, F.lit(S.WINDOW)), "\n")),
-            lambda c: F.regexp_extract(c, f"({T.WORD})", 1) != "",
-        )
-    )
+    def counted(lines):
+        starts = F.sequence(F.lit(1), F.size(lines), F.lit(S.WINDOW))
+        named = F.filter(starts, lambda k: F.exists(F.slice(lines, k, F.lit(S.WINDOW)), lambda line: line.rlike(T.WORD)))
+        return F.struct(F.size(starts).alias("n"), F.size(named).alias("named"))
+
+    f = f.select("size", T.let(F.split("content", "\n"), counted).alias("x"))
+    n, named = F.col("x.n"), F.col("x.named")
     kept = F.col("size") <= TOO_LARGE
     return f.agg(
         F.count("*").alias("files"),
@@ -85,6 +84,17 @@ def index_status(spark, sf_dir):
     )
 
 
+@query(
+    "fallback_chunks",
+    f"""WITH {S.chunks_sql(20)}, n AS (SELECT path, content, len(string_split(content, chr(10))) AS n FROM files)
+      SELECT path, CAST(1 AS BIGINT) AS start_line, CAST(n AS BIGINT) AS end_line, 'module' AS kind, regexp_replace(split_part(path, '/', 3), '\\.txt$', '') AS symbol, sha256(content) AS hash FROM n
+      UNION ALL SELECT c.path, start_line, end_line, 'text', NULL, chunk_hash FROM chunks c JOIN n USING (path) WHERE n > 40""",
+)
+def fallback_chunks(spark, sf_dir):
+    rows = I.whole_file_chunks(S.files(spark, sf_dir).select("path", "content"), 20)
+    return rows.select("path", "start_line", "end_line", "kind", "symbol", F.sha2("content", 256).alias("hash"))
+
+
 @query("index_skipped", f"WITH {S.FILES_SQL} SELECT path, size FROM files WHERE size > {TOO_LARGE} ORDER BY path LIMIT 200")
 def index_skipped(spark, sf_dir):
     return S.files(spark, sf_dir).where(F.col("size") > TOO_LARGE).select("path", "size").orderBy("path").limit(200)
@@ -159,10 +169,10 @@ def gap_intervals(spark, sf_dir):
 @query(
     "symbol_defs",
     f"""WITH {S.chunks_sql(20)} SELECT path, symbol AS name, start_line AS line, 'local ' || path || '#' || symbol || ':' || start_line AS symbol_id,
-      left(split_part(content, chr(10), 1), 200) AS signature FROM chunks WHERE symbol <> '' AND start_line % 40 = 1""",
+      left(split_part(content, chr(10), 1), 200) AS signature FROM chunks WHERE symbol <> ''""",
 )
 def symbol_defs(spark, sf_dir):
-    kind = F.when(F.col("start_line") % 40 == 1, "module").otherwise("block")
+    kind = F.when(F.col("start_line") == 1, "module").otherwise("function")
     return I.definitions(S.chunks(spark, sf_dir, 20).withColumn("kind", kind))
 
 
@@ -178,7 +188,7 @@ def import_edges(spark, sf_dir):
 
 _KNOWN_SQL = """known AS (SELECT 'lib/pkg' || p_partkey % 40 || '/m' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '/__init__.py' END AS path FROM part),
   imports AS (SELECT DISTINCT 'lib/pkg' || l_partkey % 40 || '/main' || l_suppkey || '.py' AS src, CASE l_linenumber % 3 WHEN 0 THEN './m' || l_partkey WHEN 1 THEN 'pkg' || l_partkey % 40 || '.m' || l_partkey
-    ELSE 'lib.pkg' || l_partkey % 40 || '.m' || l_partkey END AS module FROM lineitem WHERE l_linenumber <= 3)"""
+    ELSE 'lib.pkg' || l_partkey % 40 || '.m' || l_partkey END AS module FROM lineitem)"""
 
 
 @query(
@@ -202,7 +212,6 @@ def import_resolve(spark, sf_dir):
     dotted = F.concat(F.lit("pkg"), p % 40, F.lit(".m"), p)
     imports = (
         S.table(spark, sf_dir, "lineitem")
-        .where("l_linenumber <= 3")
         .select(
             F.concat(F.lit("lib/pkg"), p % 40, F.lit("/main"), "l_suppkey", F.lit(".py")).alias("src"),
             F.when(n == 0, F.concat(F.lit("./m"), p)).when(n == 1, dotted).otherwise(F.concat(F.lit("lib."), dotted)).alias("module"),

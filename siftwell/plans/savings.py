@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
@@ -57,8 +56,4 @@ def baseline_tokens(spark, sf_dir):
 
 @query("p95_nearest_rank", "SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def p95_nearest_rank(spark, sf_dir):
-    """Nearest rank: the value at position ceil(0.95 n), by counts of distinct values and a running sum over them."""
-    counts = S.table(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("event_type").orderBy("value")
-    placed = counts.select("event_type", "value", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy("event_type")).alias("all"))
-    return placed.where(F.col("upto") >= F.ceil(F.col("all") * 0.95)).groupBy("event_type").agg(F.min("value").alias("p95"))
+    return V.nearest_rank(S.table(spark, sf_dir, "events"), "event_type", "value", 0.95).withColumnRenamed("value", "p95")

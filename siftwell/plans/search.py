@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
+from siftwell.functions.embedding import hash_embedding
 from siftwell.operators import search as K
 from siftwell.operators.ingest import line_windows
 from siftwell.plans.catalog import Catalog
@@ -43,13 +44,15 @@ def _hits(q: str, fuzzy: bool, window: int = S.WINDOW) -> str:
     return f"""{S.chunks_sql(window)},
       seen AS (SELECT *, contains(lower(symbol), '{q.lower()}') AS in_symbol, contains(lower(content), '{q.lower()}') AS in_content, contains(lower(path), '{q.lower()}') AS in_path,
         len(list_intersect(list_distinct({tokens}), {words})) = {n} AS every, {h} AS h, {sims} FROM chunks),
-      hits AS (SELECT path, start_line, end_line, symbol, content, round(greatest(CASE WHEN in_symbol THEN 1.0 ELSE 0.0 END, CASE WHEN in_content THEN 0.85 ELSE 0.0 END, CASE WHEN in_path THEN 0.5 ELSE 0.0 END,
+      hits AS (SELECT path, start_line, end_line, symbol, content, in_symbol, round(greatest(CASE WHEN in_symbol THEN 1.0 ELSE 0.0 END, CASE WHEN in_content THEN 0.85 ELSE 0.0 END, CASE WHEN in_path THEN 0.5 ELSE 0.0 END,
           CASE WHEN every THEN CAST(h AS DOUBLE) * 0.8 / (h + 5) ELSE 0.0 END, ss * 0.9, cs * 0.7), 6) AS score,
         CASE WHEN in_symbol THEN 'symbol' WHEN in_content THEN 'exact' WHEN every THEN 'fts' WHEN ss > 0.3 THEN 'symbol' WHEN cs > 0.2 THEN 'fuzzy' WHEN in_path THEN 'glob' ELSE 'fuzzy' END AS mode
         FROM seen WHERE in_symbol OR in_content OR in_path OR every OR ss > 0.3 OR cs > 0.2)"""
 
 
 _ORDER = "ORDER BY score DESC, path, start_line, end_line"
+#: One identifier asked for: symbol hits first.
+_NAMED = "ORDER BY in_symbol DESC, score DESC, path, start_line, end_line"
 
 
 @query("kw_substring", f"WITH {S.chunks_sql()} SELECT path, start_line, end_line FROM chunks WHERE contains(lower(content), '{TERM}') OR contains(lower(symbol), '{TERM}') OR contains(lower(path), '{TERM}')")
@@ -79,9 +82,9 @@ def kw_nofuzzy(spark, sf_dir):
     return K.scored(S.chunks(spark, sf_dir), PHRASE, fuzzy=False).select("path", "start_line", "score", "mode")
 
 
-@query("kw_score", f"WITH {_hits(TERM, True)} SELECT path, start_line, end_line, score, mode, row_number() OVER ({_ORDER}) AS rank FROM hits {_ORDER} LIMIT 20")
+@query("kw_score", f"WITH {_hits(TERM, True)} SELECT path, start_line, end_line, score, mode, row_number() OVER ({_NAMED}) AS rank FROM hits {_NAMED} LIMIT 20")
 def kw_score(spark, sf_dir):
-    return K.top_hits(K.scored(S.chunks(spark, sf_dir), TERM), 20).drop("content", "symbol")
+    return K.top_hits(K.scored(S.chunks(spark, sf_dir), TERM), 20, TERM).drop("content", "symbol", "symbol_hit")
 
 
 @query("kw_mode", f"WITH {_hits(PHRASE, True)} SELECT mode, count(*) AS hits, max(score) AS best FROM hits GROUP BY mode")
@@ -174,6 +177,13 @@ def glob_filter(spark, sf_dir):
 
 # vectors and fusion
 
+
+@query("hash_embed")
+def hash_embed(spark, sf_dir):
+    """The embedding of every whole text: BLAKE2b has no SQL form; tests compare it with a plain one."""
+    return hash_embedding(S.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 64).drop("text")
+
+
 _KNN_SQL = """q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0),
   near AS (SELECT vec_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)), 6) AS distance FROM embeddings)"""
 
@@ -186,24 +196,24 @@ def query_vector(spark, sf_dir) -> list[float]:
 @query("knn_topk", f"WITH {_KNN_SQL} SELECT vec_id, distance, greatest(0, round(1 - distance, 6)) AS score FROM near ORDER BY distance, vec_id LIMIT 20")
 def knn_topk(spark, sf_dir):
     e = S.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return K.nearest(e, query_vector(spark, sf_dir), 20, tie="vec_id")
+    return K.nearest(e, query_vector(spark, sf_dir), 20, tie=("vec_id",))
 
 
 @query(
     "rrf_fuse",
     f"""WITH {_hits(TERM, False)}, {_KNN_SQL},
-      k AS (SELECT path, start_line, end_line, mode, row_number() OVER ({_ORDER}) AS rank FROM hits {_ORDER} LIMIT 20),
-      s AS (SELECT c.path, c.start_line, c.end_line, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM near JOIN chunks c ON c.doc_id = vec_id AND c.start_line = 1 ORDER BY distance, vec_id LIMIT 20),
+      k AS (SELECT path, start_line, end_line, mode, row_number() OVER ({_NAMED}) AS rank FROM hits {_NAMED} LIMIT 20),
+      s AS (SELECT c.path, c.start_line, c.end_line, row_number() OVER (ORDER BY distance, vec_id, start_line) AS rank FROM near JOIN chunks c ON c.doc_id = vec_id ORDER BY distance, vec_id, start_line LIMIT 20),
       u AS (SELECT path, start_line, end_line, 1.0::DOUBLE / (60 + rank) AS part, 'k' AS src, mode FROM k UNION ALL SELECT path, start_line, end_line, 1.0::DOUBLE / (60 + rank), 's', NULL FROM s)
       SELECT path, start_line, end_line, round(sum(part), 9) AS fused, CASE WHEN count(DISTINCT src) = 2 THEN 'hybrid' WHEN max(src) = 's' THEN 'semantic' ELSE max(mode) END AS label
       FROM u GROUP BY path, start_line, end_line ORDER BY fused DESC, path, start_line LIMIT 25""",
 )
 def rrf_fuse(spark, sf_dir):
     c = S.chunks(spark, sf_dir)
-    keyword = K.top_hits(K.scored(c, TERM, fuzzy=False), K.BRANCH_LIMIT)
-    vectors = c.where("start_line = 1").select(F.col("doc_id").alias("vec_id"), "path", "start_line", "end_line").join(S.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
-    near = K.nearest(vectors, query_vector(spark, sf_dir), K.BRANCH_LIMIT, tie="vec_id")
-    semantic = near.withColumn("rank", F.row_number().over(Window.orderBy("distance", "vec_id")))
+    keyword = K.top_hits(K.scored(c, TERM, fuzzy=False), K.BRANCH_LIMIT, TERM)
+    vectors = c.select(F.col("doc_id").alias("vec_id"), "path", "start_line", "end_line").join(S.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    near = K.nearest(vectors, query_vector(spark, sf_dir), K.BRANCH_LIMIT, tie=("vec_id", "start_line"))
+    semantic = near.withColumn("rank", F.row_number().over(Window.orderBy("distance", "vec_id", "start_line")))
     return K.fuse(keyword, semantic, 25)
 
 

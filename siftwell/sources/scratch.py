@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a local folder only where that is unset (tests)."""
+    """spark.checkpoint.dir of the session. A folder of this machine takes its place only where the whole session runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("siftwell.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="siftwell-")
         spark.conf.set("siftwell.scratch.dir", root)
     return root

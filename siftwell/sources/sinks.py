@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
@@ -28,12 +28,15 @@ def upserted(table: DataFrame, changes: DataFrame, key: list[str], deleted: str
 
 
 def insert_absent(spark: SparkSession, path: str, rows: DataFrame, key: list[str]) -> int:
-    """Appends the rows whose key isn't in the table at ``path`` yet; returns their number."""
+    """Appends the rows whose key isn't in the table at ``path`` yet; returns their number, counted while they are written.
+
+    Applied again it finds its own rows and adds none.
+    """
     held = spark.read.parquet(path).select(*key)
-    new = rows.dropDuplicates(key).join(held, key, "left_anti")
-    before = held.count()
+    seen = Observation()
+    new = rows.dropDuplicates(key).join(held, key, "left_anti").observe(seen, F.count(F.lit(1)).alias("n"))
     new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    return seen.get["n"]
 
 
 def replace_paths(spark: SparkSession, table: str, rows: DataFrame, bucket: str = "bucket") -> None:

@@ -82,6 +82,26 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ENTRY_LOG_SQL = """entry_log AS (SELECT event_id AS seq, 'p' || user_id % 3 AS project, user_id * 8 + CAST(floor(value) AS BIGINT) % 8 AS entry_id,
+  CASE event_id % 8 WHEN 3 THEN 'update' WHEN 4 THEN 'update' WHEN 5 THEN 'resolve' WHEN 6 THEN 'archive' WHEN 7 THEN 'delete' ELSE 'create' END AS op,
+  CASE WHEN event_id % 3 <> 0 THEN event_type || ' ' || event_id END AS headline,
+  CASE WHEN event_id % 5 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS priority, 'a' || event_id % 4 AS author FROM events)"""
+
+
+def entry_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, project, entry_id, op, headline, priority, author): the commands on entries, in order of seq."""
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        i.alias("seq"),
+        F.concat(F.lit("p"), F.col("user_id") % 3).alias("project"),
+        (F.col("user_id") * 8 + F.floor("value") % 8).alias("entry_id"),
+        F.when((i % 8).isin(3, 4), "update").when(i % 8 == 5, "resolve").when(i % 8 == 6, "archive").when(i % 8 == 7, "delete").otherwise("create").alias("op"),
+        F.when(i % 3 != 0, F.concat("event_type", F.lit(" "), i)).alias("headline"),
+        F.when(i % 5 != 0, F.get_json_object("props", "$.k").cast("long")).alias("priority"),
+        F.concat(F.lit("a"), i % 4).alias("author"),
+    )
+
+
 # a hierarchy with dependency edges
 
 GRAPH_SQL = """cust AS (SELECT c_custkey, 'r' || n_regionkey || '/n' || c_nationkey || '/c' || c_custkey AS path, c_mktsegment, c_acctbal
@@ -192,17 +212,19 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # contracts and evidence
 
-CONTRACTS_SQL = """criteria AS (SELECT doc_id AS criterion_id, doc_id // 10 AS requirement_id, doc_id // 5 AS invariant_id,
+CONTRACTS_SQL = r"""criteria AS (SELECT doc_id AS criterion_id, doc_id // 10 AS requirement_id, doc_id // 5 AS invariant_id,
     CASE doc_id % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'file' ELSE 'command' END AS evidence_kind, doc_id % 4 <> 3 AS required,
-    doc_id % 2 = 0 AS independent_review, (doc_id // 5) % 3 = 0 AS high_risk FROM documents),
+    doc_id % 2 = 0 AS independent_review, (doc_id // 5) % 3 = 0 AS high_risk, CASE WHEN doc_id % 6 = 2 THEN 'Only Authorised access' ELSE 'Works' END AS statement FROM documents),
   marked AS (SELECT labels.doc_id, quality, toxic, evidence_kind, invariant_id, requirement_id FROM labels JOIN criteria ON labels.doc_id = criterion_id),
-  evidence AS (
+  recorded AS (
     SELECT doc_id AS criterion_id, requirement_id, invariant_id, doc_id * 3 + 1 AS seq, evidence_kind AS kind, CASE WHEN quality = 1 THEN 'passed' ELSE 'failed' END AS result,
       CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 2 END AS revision, CASE WHEN doc_id % 11 = 0 THEN 'provisional' ELSE 'verified' END AS recorded,
-      'Author ' || doc_id % 5 AS author, 'tests/t' || doc_id % 40 AS test_ref, '' AS review_ref FROM marked
+      'Author ' || doc_id % 5 AS author, CASE doc_id % 3 WHEN 0 THEN './tests//T' WHEN 1 THEN 'tests\t' ELSE 'tests/t' END || doc_id % 40 AS test_ref, '' AS review_ref FROM marked
     UNION ALL SELECT doc_id, requirement_id, invariant_id, doc_id * 3, evidence_kind, 'passed', 1 + doc_id % 2, 'verified', 'author 0', 'tests/t' || doc_id % 9, '' FROM marked WHERE doc_id % 6 < 2
     UNION ALL SELECT doc_id, requirement_id, invariant_id, doc_id * 3 + 2, 'review', CASE WHEN toxic = 0 THEN 'passed' ELSE 'failed' END, 2, 'verified', 'author ' || doc_id % 4, NULL,
       CASE doc_id % 3 WHEN 0 THEN 'invariant:' || invariant_id WHEN 1 THEN 'criterion:' || doc_id ELSE 'other' END FROM marked WHERE doc_id % 4 < 3),
+  evidence AS (SELECT *, CASE WHEN seq % 17 <> 0 THEN 'c' || seq % 5 END AS source_commit, seq % 19 <> 0 AS commit_verified, CASE WHEN test_ref <> '' THEN seq % 23 <> 0 END AS ref_verified,
+    CASE WHEN seq % 4 <> 0 THEN 'w' END AS fingerprint, CASE WHEN kind = 'command' THEN CASE seq % 4 WHEN 0 THEN 'uv run pytest -q' WHEN 1 THEN 'bash -c "npm run test"' WHEN 2 THEN 'pytest tests/t.py' ELSE 'make all' END END AS command_ref FROM recorded),
   violations AS (SELECT doc_id AS violation_id, invariant_id, requirement_id, CASE WHEN doc_id % 2 = 0 THEN 'blocking' ELSE 'warning' END AS severity,
     CASE WHEN doc_id % 3 = 0 THEN 'resolved' ELSE 'open' END AS status FROM marked WHERE toxic = 1)"""
 
@@ -217,6 +239,7 @@ def criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 4 != 3).alias("required"),
         (i % 2 == 0).alias("independent_review"),
         (F.floor(i / 5) % 3 == 0).alias("high_risk"),
+        F.when(i % 6 == 2, "Only Authorised access").otherwise("Works").alias("statement"),
     )
 
 
@@ -226,7 +249,7 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(criterion_id, requirement_id, invariant_id, seq, kind, result, revision, recorded, author, test_ref, review_ref)."""
+    """(criterion_id, requirement_id, invariant_id, seq, kind, result, revision, recorded, author, test_ref, review_ref, source_commit, commit_verified, ref_verified, fingerprint, command_ref)."""
     i, text = F.col("doc_id"), lambda s, c: F.concat(F.lit(s), c)
     none = F.lit(None).cast("string")
     base = ["requirement_id", "invariant_id"]
@@ -238,7 +261,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 7 == 0, 1).otherwise(2).cast("long"),
         F.when(i % 11 == 0, "provisional").otherwise("verified"),
         text("Author ", i % 5),
-        text("tests/t", i % 40),
+        F.concat(F.when(i % 3 == 0, "./tests//T").when(i % 3 == 1, "tests\\t").otherwise("tests/t"), i % 40),
         F.lit(""),
     )
     old = row(i * 3, F.col("evidence_kind"), F.lit("passed"), (1 + i % 2).cast("long"), F.lit("verified"), F.lit("author 0"), text("tests/t", i % 9), F.lit(""))
@@ -253,7 +276,16 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 3 == 0, text("invariant:", F.col("invariant_id"))).when(i % 3 == 1, text("criterion:", i)).otherwise("other"),
     )
     rows = F.array_compact(F.array(now, F.when(i % 6 < 2, old), F.when(i % 4 < 3, review)))
-    return _marked(spark, sf_dir).select(i.alias("criterion_id"), *base, F.inline(rows))
+    seq, command = F.col("seq"), F.col("kind") == "command"
+    run = F.when(seq % 4 == 0, "uv run pytest -q").when(seq % 4 == 1, 'bash -c "npm run test"').when(seq % 4 == 2, "pytest tests/t.py").otherwise("make all")
+    return _marked(spark, sf_dir).select(i.alias("criterion_id"), *base, F.inline(rows)).select(
+        "*",
+        F.when(seq % 17 != 0, text("c", seq % 5)).alias("source_commit"),
+        (seq % 19 != 0).alias("commit_verified"),
+        F.when(F.col("test_ref") != "", seq % 23 != 0).alias("ref_verified"),
+        F.when(seq % 4 != 0, "w").alias("fingerprint"),
+        F.when(command, run).alias("command_ref"),
+    )
 
 
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,15 +20,17 @@ def versions(spark: SparkSession, inbox: str, max_files: int = 1000) -> DataFram
 
 
 def index_batch(out: str, window: int) -> Callable[[DataFrame, int], None]:
-    """Writes the chunks of the newest version of each path in the batch to its own folder.
+    """Writes the newest version of each path in the batch, and its chunks, to folders of the batch's own.
 
-    A batch that runs again overwrites what it wrote, so each is applied once however often it is tried.
+    A version without content says that the file is gone: it has no chunks. A batch that runs again overwrites what it
+    wrote, so each is applied once however often it is tried.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy("path").agg(F.max_by(F.struct("content", "version"), "version").alias("x")).select("path", "x.*")
-        cut = line_windows(newest, window).withColumn("chunk_hash", F.sha2("content", 256))
-        cut.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        newest.select("path", "version").write.mode("overwrite").parquet(f"{out}/versions/batch={number}")
+        cut = line_windows(newest.where("content IS NOT NULL"), window).withColumn("chunk_hash", F.sha2("content", 256))
+        cut.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
 
     return write
 
@@ -40,7 +42,13 @@ def watch(spark: SparkSession, inbox: str, out: str, checkpoint: str, window: in
 
 
 def current_chunks(spark: SparkSession, out: str) -> DataFrame:
-    """The chunks of each path's newest version over all batches."""
-    rows = spark.read.parquet(out)
-    newest = rows.groupBy("path").agg(F.max("version").alias("version"))
-    return rows.join(newest, ["path", "version"])
+    """The chunks of each path's newest version over all batches; none for a path whose newest version says it is gone."""
+    newest = spark.read.parquet(f"{out}/versions").groupBy("path").agg(F.max("version").alias("version"))
+    return spark.read.parquet(f"{out}/chunks").join(newest, ["path", "version"])
+
+
+def compact(spark: SparkSession, out: str, to: str) -> None:
+    """Writes the present state as the one batch of a new folder, to be read and watched on in place of ``out``."""
+    rows = current_chunks(spark, out).drop("batch")
+    rows.write.mode("overwrite").parquet(f"{to}/chunks/batch=-1")
+    spark.read.parquet(f"{to}/chunks/batch=-1").select("path", "version").distinct().write.mode("overwrite").parquet(f"{to}/versions/batch=-1")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell.functions import paths
 from siftwell.functions import text as T
-from siftwell.functions.commands import is_generic
-from siftwell.functions.embedding import hash_embedding, vector
-from siftwell.operators import codemap, contracts, ingest, planning, savings, search
+from siftwell.functions.commands import generic_command
+from siftwell.functions.embedding import hash_embedding
+from siftwell.operators import codemap, contracts, ingest, planning, savings, search, state
 from siftwell.sources import sinks
 from siftwell.sources.tree import ignore_lines, read_tree
 from siftwell.streaming.leases import replay
-from siftwell.streaming.watch import current_chunks, watch
+from siftwell.streaming.watch import compact, current_chunks, watch
 
 
 def test_trigram_similarity_has_its_published_value(spark):
@@ -108,15 +114,118 @@ def test_numbering_is_consecutive_and_free_keys(spark):
     assert {r.g: r.free for r in contracts.first_free(used, "g", "n").collect()} == {"a": 3, "b": 1}
 
 
-def test_generic_commands():
-    assert is_generic("uv run pytest -q") and is_generic("sh -c 'just check'") and is_generic("bash -lc \"uv run pytest\"")
-    assert not is_generic("pytest tests/test_a.py") and not is_generic("echo 'x") and not is_generic(None)
-
-
-def test_hash_embedding_is_a_unit_vector(spark):
-    got = spark.createDataFrame([("a b",), ("",), (None,)], "t string").select(hash_embedding(F.col("t"), 32).alias("v")).collect()
-    assert sum(x * x for x in got[0].v) == pytest.approx(1) and got[0].v == pytest.approx(list(vector("a b", 32)))
-    assert sum(map(abs, got[1].v)) == sum(map(abs, got[2].v)) == 0
+def test_generic_commands(spark):
+    gates = [
+        "uv run pytest -q", "sh -c 'just check'", 'bash -c "uv run pytest"', "PYTEST --cov", "py.test", "cargo build", "cargo clippy --all", "npm run test",
+        "yarn test", "pnpm lint", "npm run build --silent", "dash -c \"bash -c 'cargo test'\"", "just check --verbose",
+    ]
+    others = [
+        "pytest tests/test_a.py", "pytest -k foo", "echo 'x", None, "", "make test", "ruff check", "mypy", "go test", "bash -lc 'pytest'", "cargo run", "npm run deploy",
+        "cargo test mine", "uv run", "just", "just check x", "zsh -c pytest", "npm run", "npm",
+    ]
+    d = spark.createDataFrame([(c,) for c in [*gates, *others]], "c string")
+    got = d.select("c", generic_command(F.col("c")).alias("g")).collect()
+    assert [r.c for r in got if r.g] == gates
+
+
+def plain_embedding(text, n):
+    words = re.findall("[a-z0-9_]+", text.lower())
+    names = words + ["_".join(p) for p in zip(words, words[1:])] + [f"^{w}$"[k : k + 3] for w in words for k in range(len(w))]
+    out = [0.0] * n
+    for x in names:
+        h = hashlib.blake2b(x.encode(), digest_size=8).digest()
+        out[int.from_bytes(h[:4], "big") % n] += 1 if h[4] % 2 else -1
+    size = sum(x * x for x in out) ** 0.5
+    return [x / size for x in out] if size else out
+
+
+def test_hash_embedding_equals_a_plain_one(spark):
+    texts = ["a b", "", None, "The quick_fox the quick_fox 12!", "x"]
+    got = hash_embedding(spark.createDataFrame([(t,) for t in texts], "t string"), "t", 32, "v").collect()
+    for t, r in zip(texts, got, strict=True):
+        assert r.v == pytest.approx(plain_embedding(t or "", 32))
+    assert len(hash_embedding(spark.createDataFrame([("a",)], "t string"), "t", 3, "v").first().v) == 16
+
+
+def test_ignore_rules_in_order_with_negation_and_folders(spark):
+    rules = paths.rules_of("*.log\n# note\n!keep.log\nbuild/\n/top.txt\ndocs/**/x.md\na/**\nf?[0-9].c\n") + paths.rules_of("*.tmp\n/only.txt\n", "sub/dir")
+    names = {
+        "a.log": True, "d/b.log": True, "d/keep.log": False, "build/x": True, "d/build/x": True, "build": False, "top.txt": True, "d/top.txt": False,
+        "docs/x.md": True, "docs/p/q/x.md": True, "e/docs/x.md": False, "a/b/c": True, "fa1.c": True, "fab.c": False, "z.tmp": False, "sub/dir/z.tmp": True,
+        "sub/dir/e/z.tmp": True, "sub/dir/only.txt": True, "sub/dir/e/only.txt": False, "plain.py": False,
+    }
+    d = spark.createDataFrame([(n,) for n in names], "path string")
+    got = {r.path: r.x for r in d.select("path", paths.ignored(F.col("path"), rules).alias("x")).collect()}
+    assert got == names
+    allow = paths.rules_of("*.py\n")
+    got = {r.path for r in d.where(~paths.ignored(F.col("path"), rules, allow)).collect()}
+    assert got == {"plain.py"}
+
+
+def test_time_of_windows_grows_with_the_lines(spark):
+    def seconds(n):
+        d = spark.createDataFrame([("p", "\n".join(f"line {i}" for i in range(n)))], "path string, content string")
+        began = time.time()
+        assert ingest.line_windows(d, 80).agg(F.max("end_line")).first()[0] == n
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(160_000) < 3 * seconds(80_000) + 1
+
+
+def test_fuzzy_join_with_a_high_threshold_loses_nothing(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))
+    c = spark.createDataFrame([(f"p{i}", 1, line()) for i in range(60)], "path string, start_line long, content string")
+    q = spark.createDataFrame([(i, line()) for i in range(25)] + [(99, "zzz qqq"), (98, "")], "query_id long, query string")
+    both = c.crossJoin(q).select("query_id", "path", T.trigrams(F.col("content")).alias("a"), T.trigrams(F.col("query")).alias("b"))
+    both = both.select("query_id", "path", (F.size(F.array_intersect("a", "b")) / F.greatest(F.size(F.array_union("a", "b")), F.lit(1))).alias("s"))
+    for t in (0.2, 0.4, 0.5):
+        want = {(r.query_id, r.path, round(r.s, 6)) for r in both.where(F.round("s", 6) > t).collect()}
+        assert want and {(r.query_id, r.path, r.similarity) for r in search.fuzzy_join(c, q, t).collect()} == want
+
+
+def test_identifier_queries_put_symbol_hits_first(spark):
+    c = spark.createDataFrame(
+        [("z", 1, 2, "parse_it", "x"), ("a", 1, 2, "other", "calls parse here"), ("b", 1, 2, "none", "nothing")], "path string, start_line long, end_line long, symbol string, content string"
+    )
+    hits = search.scored(c, "parse").withColumn("score", F.when(F.col("symbol_hit"), 0.1).otherwise(F.col("score")))
+    assert [r.path for r in search.top_hits(hits, 5, "parse").collect()] == ["z", "a"]
+    assert [r.path for r in search.top_hits(hits, 5, "parse it").collect()] == ["a", "z"]
+
+
+def test_entry_log_state(spark):
+    log = [
+        ("p", 1, 1, "update", "early", None, "a"), ("p", 1, 2, "create", " ", 1, "a"), ("p", 1, 3, "create", "one", None, "a"), ("p", 1, 4, "create", "again", 1, "a"),
+        ("p", 1, 5, "update", None, 7, "b"), ("p", 1, 6, "resolve", None, None, "b"), ("p", 1, 7, "delete", None, None, "c"), ("p", 1, 8, "update", "late", None, "d"),
+        ("q", 1, 2, "create", "other", 2, "a"), ("q", 2, 3, "delete", None, None, "a"),
+    ]
+    d = spark.createDataFrame(log, "project string, entry_id long, seq long, op string, headline string, priority long, author string")
+    got = {(r.project, r.seq): r.outcome for r in state.judged(d).collect()}
+    want = ["missing", "empty-headline", "applied", "exists", "applied", "applied", "applied", "deleted"]
+    assert got == {("p", k + 1): w for k, w in enumerate(want)} | {("q", 2): "applied", ("q", 3): "missing"}
+    got = {(r.project, r.entry_id): tuple(r)[2:] for r in state.current_entries(d).collect()}
+    assert got == {("p", 1): ("deleted", "one", 7, "c", 4), ("q", 1): ("open", "other", 2, "a", 1)}
+    assert state.current_entries(d.limit(0)).count() == 0
+
+
+def test_dependencies_are_judged_one_by_one(spark):
+    tasks = spark.createDataFrame([(1, k) for k in range(1, 6)], "plan_id long, task_no long")
+    deps = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (1, 4, 3)], "plan_id long, task_no long, needs long")
+    proposed = spark.createDataFrame([(1, 1, 4), (1, 1, 1), (1, 5, 4), (1, 9, 1), (1, 1, 9), (1, 2, 1), (1, 2, 5)], "plan_id long, task_no long, needs long")
+    got = {(r.task_no, r.needs): r.verdict for r in state.judge_dependencies(proposed, tasks, deps).collect()}
+    assert got == {(1, 4): "cycle", (1, 1): "self", (5, 4): "ok", (9, 1): "unknown-task", (1, 9): "unknown-needs", (2, 1): "exists", (2, 5): "ok"}
+
+
+def test_scope_is_a_partition_filter(spark, tmp_path):
+    spark.range(20).select((F.col("id") % 4).alias("project_id"), "id").write.partitionBy("project_id").parquet(str(tmp_path / "t"))
+    projects = spark.createDataFrame([(2, "two"), (3, "three")], "project_id long, name string")
+    rows = state.scoped(spark.read.parquet(str(tmp_path / "t")), projects, "two")
+    assert {r.id % 4 for r in rows.collect()} == {2}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "project_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert state.scoped(rows, projects, "nobody").count() == 0
 
 
 def test_lease_replay(spark):
@@ -133,6 +242,11 @@ def test_watch_indexes_the_newest_version(spark, tmp_path):
     spark.createDataFrame([("a", "new", 2)], "path string, content string, version long").coalesce(1).write.mode("append").json(str(inbox))
     watch(spark, str(inbox), out, str(tmp_path / "ck"), 2, once=True).awaitTermination()
     assert sorted((r.path, r.content) for r in current_chunks(spark, out).collect()) == [("a", "new"), ("b", "x")]
+    spark.createDataFrame([("b", None, 2)], "path string, content string, version long").coalesce(1).write.mode("append").json(str(inbox))
+    watch(spark, str(inbox), out, str(tmp_path / "ck"), 2, once=True).awaitTermination()
+    assert [(r.path, r.content) for r in current_chunks(spark, out).collect()] == [("a", "new")]
+    compact(spark, out, str(tmp_path / "next"))
+    assert [(r.path, r.content) for r in current_chunks(spark, str(tmp_path / "next")).collect()] == [("a", "new")]
 
 
 def test_upsert_and_insert_absent(spark, tmp_path):

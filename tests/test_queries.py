@@ -26,6 +26,6 @@ def rows(frame):
     return sorted(repr([clean(x.item() if hasattr(x, "item") else x) for x in r]) for r in frame.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(ORACLE_SQL[name]).fetchdf())
