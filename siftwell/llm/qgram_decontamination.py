@@ -1,15 +1,16 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Benchmark texts are cut into fragments of ``FRAGMENT`` characters at every ``STRIDE`` (shorter texts are one
-fragment). A passage within k edits of a fragment of m characters shares at least m + 1 - q - k * q of its
-q-grams, all on diagonals at most k away from the passage's own. So shared q-grams are counted in
-diagonal bands that overlap by half; bands that reach the bound are verified by an alignment inside the band.
-The edit budget k is ``EDITS`` of m. Nothing within the budget is missed, and whole texts are searched.
+fragment), so every quote of ``FRAGMENT + STRIDE - 1`` characters or more holds a fragment. A passage within k edits of a
+fragment of m characters shares at least m + 1 - q - k * q of its q-grams, all on diagonals at most k away from the
+passage's own. So shared q-grams are counted in diagonal bands that overlap by half; bands that reach the bound are
+verified by an alignment inside the band. The edit budget k is ``EDITS`` of m, but small enough for the bound to be 1 at least
+(of 13 to 15 characters none may differ). Nothing within the budget is missed, and whole texts are searched.
 
 Letters are lowered and runs of anything but letters, digits and non-ASCII characters become one blank.
 
 The benchmark is a stated query set: it is read in blocks of bounded size, each sent to all tasks, against all
-rows of the documents.
+rows of the documents. With more than one block, what each finds is written before the next is sent.
 
 Defined results for odd input: null and empty texts hold nothing; benchmark texts that are null or, when reduced, shorter
 than ``Q`` characters are not searched; a benchmark row without an id is searched but not listed; repeated rows are
@@ -25,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from siftwell.llm.common import map_slices
+from siftwell.llm.common import Scratch
 from siftwell.llm.textcodes import column_bytes, slices
 
 Q = 8
-FRAGMENT, STRIDE = 120, 60
+FRAGMENT, STRIDE = 80, 20
 EDITS = 0.08
 BLOCK_CHARS = 4_000_000  #: benchmark characters sent to the tasks at once
 _BITS = 22
@@ -69,14 +71,19 @@ def gram_codes(cp: np.ndarray) -> np.ndarray:
     return h
 
 
+def budget(length: np.ndarray) -> np.ndarray:
+    """Edits that a fragment may have: never so many that it could lose all its q-grams."""
+    return np.minimum((length * EDITS).astype(np.int64), length // Q - 1)
+
+
 class FragmentIndex:
     """q-grams of the fragments of one length class."""
 
     def __init__(self, fragments: list[tuple[int, np.ndarray]]):
         self.item = np.array([i for i, _ in fragments], np.int64)
         self.length = np.array([len(f) for _, f in fragments], np.int64)
-        self.edits = (self.length * EDITS).astype(np.int64)
-        self.least = np.maximum(1, self.length + 1 - Q - self.edits * Q)
+        self.edits = budget(self.length)
+        self.least = self.length + 1 - Q - self.edits * Q
         self.width = 2 * self.edits + 1
         self.text = np.zeros((len(fragments), int(self.length.max())), np.uint32)
         codes, owner, place = [], [], []
@@ -129,12 +136,14 @@ class FragmentIndex:
         diagonal = np.repeat(at, count) - self.place[posting] + (1 << 20)
         band = diagonal // self.width[owner]
         doc = np.repeat(doc, count)
-        key = np.concatenate([self._key(owner, doc, band), self._key(owner, doc, band - 1)])
+        # a slice has one document, of any length, or several of 1 MB together
+        shift, bits = (26, 0x3FFFFFF) if len(bounds) > 2 else (42, (1 << 42) - 1)
+        key = np.concatenate([(owner << 42) | (doc << shift if shift < 42 else 0) | b for b in (band, band - 1)])
         keys, n = np.unique(key, return_counts=True)
         owner = keys >> 42
         enough = n >= self.least[owner]
         keys, owner = keys[enough], owner[enough]
-        doc, band = (keys >> 26) & 0xFFFF, keys & 0x3FFFFFF
+        doc, band = (keys & ((1 << 42) - 1)) >> shift, keys & bits
         start = band * self.width[owner] - (1 << 20)
         ok = np.zeros(len(keys), bool)
         for a in range(0, len(keys), 2048):
@@ -142,10 +151,6 @@ class FragmentIndex:
             ok[s] = self._align(owner[s], start[s], bounds[doc[s]], bounds[doc[s] + 1], cp)
         return doc[ok], self.item[owner[ok]]
 
-    @staticmethod
-    def _key(owner: np.ndarray, doc: np.ndarray, band: np.ndarray) -> np.ndarray:
-        return (owner << 42) | (doc << 26) | band
-
     def _align(self, owner: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, cp: np.ndarray) -> np.ndarray:
         """Whether a fragment lies within its edit budget on the diagonals of its band (free ends in the text)."""
         lengths, k = self.length[owner], self.edits[owner]
@@ -197,35 +202,44 @@ def find(indexes: list[FragmentIndex], text: pa.Array) -> list[set[int]]:
     return found
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    """(item_id, text) lists of about BLOCK_CHARS characters; each is all that the driver holds at a time."""
-    rows = benchmark.where("text IS NOT NULL").select("item_id", "text")
-    total = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    n = -(-total // BLOCK_CHARS)
-    for k in range(n):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()]
+def _found(docs: DataFrame, sent, ids: list[int | None], name: str) -> DataFrame:
+    """``docs`` with an array column ``name`` of the ids of the items of one block that each text holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for whole in slices(batch):
+                for a in range(0, whole.num_rows, 1 << 15):
+                    part = whole.slice(a, 1 << 15)
+                    more = [[ids[k] for k in sorted(s)] for s in find(sent.value, part.column(at))]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(more, pa.list_(pa.int64()))], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(LongType()))]))
 
 
 def _search(docs: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
     """``docs`` with an array column ``name`` of the ids of the items found (null for one without an id)."""
-    context = docs.sparkSession.sparkContext
-    out = docs.withColumn(name, F.array().cast("array<bigint>"))
-    for block in _blocks(benchmark):
-        ids = [i for i, _ in block]
+    context, none = docs.sparkSession.sparkContext, F.array().cast("array<bigint>")
+    rows = benchmark.where("text IS NOT NULL").select("item_id", "text")
+    total = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    n = -(-total // BLOCK_CHARS)
+    if n <= 1:
+        block = [tuple(r) for r in rows.collect()]  # BLOCK_CHARS characters at most
         sent = context.broadcast(build([(k, t) for k, (_, t) in enumerate(block)]))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, ids=ids) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at, text = batch.schema.get_field_index(name), batch.schema.get_field_index("text")
-                for whole in slices(batch):
-                    for a in range(0, whole.num_rows, 1 << 15):
-                        part = whole.slice(a, 1 << 15)
-                        more = [[ids[k] for k in sorted(s)] for s in find(sent.value, part.column(text))]
-                        lists = pa.array([(o or []) + m for o, m in zip(part.column(at).to_pylist(), more, strict=True)], pa.list_(pa.int64()))
-                        yield pa.RecordBatch.from_arrays([lists if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+        return _found(docs, sent, [i for i, _ in block], name)
+    scratch, rid = Scratch(docs.sparkSession, "qgram"), name + "_rid"
+    docs = scratch.save(docs.withColumn(rid, F.monotonically_increasing_id()), "docs")
+    hits = None
+    for k in range(n):
+        # about BLOCK_CHARS characters; each block is all that the driver and the tasks hold at a time
+        block = [tuple(r) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()]
+        sent = context.broadcast(build([(j, t) for j, (_, t) in enumerate(block)]))
+        found = _found(docs.select(rid, "text"), sent, [i for i, _ in block], name).where(F.size(name) > 0).drop("text")
+        found = scratch.save(found, f"block{k}")
+        sent.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy(rid).agg(F.flatten(F.collect_list(name)).alias(name))  # a text's items: n lists at most
+    return docs.join(hits, rid, "left").withColumn(name, F.coalesce(name, none)).drop(rid)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
