@@ -7,8 +7,10 @@ context that has seen it; every longer context charges its escape q / (T + q) (m
 below order 0 all 256 bytes are equally likely. A text's language is that of the shortest exact code; the
 score is that language's posterior under equal priors.
 
-The trees are fitted on a bounded sample: about ``TRAIN_DOCS`` labelled documents per language, chosen by a
-hash of the id, and at most ``nodes_per_language(L)`` leaves each, rarest dropped first. Every document is scored whole.
+The trees are fitted on a bounded sample: about ``TRAIN_DOCS`` labelled documents of each of the ``LANGUAGES`` most frequent
+languages, chosen by a hash of the id. Each order of a tree is counted over the whole sample and keeps about
+``nodes_per_language(L)`` nodes, the most frequent first, ties by hash; so every language keeps a tree, however many there are.
+Every document is scored whole.
 
 Defined results for odd input: a null text, or one without any Unicode letter, is ``und`` with score 0, as
 is every text if nothing could be learned; null languages and null ids are not learned from, and a null id
@@ -26,11 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import fold, map_slices
+from siftwell.llm.common import Scratch, fold, map_slices
 from siftwell.llm.textcodes import KeyTable, column_bytes, slices
 
 ORDER = 3
 TRAIN_DOCS = 4000
+LANGUAGES = 1024  #: learned at most, most frequent first
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
 MAX_NODES = 1 << 17
@@ -75,7 +78,8 @@ def normal_grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 class ContextTrees:
     """Frozen trees of all languages: code lengths in bits by gram and escapes by context, per order."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]]):
+        """``counts``: by language and length (1 to ORDER + 1), grams and how often each occurs."""
         self.languages = sorted(counts)
         n = len(self.languages)
         self.base = np.full((256, n), 8.0)
@@ -84,8 +88,9 @@ class ContextTrees:
             mask = np.uint32((1 << 8 * length) - 1) if length < 4 else np.uint32(0xFFFFFFFF)
             per = []
             for lang in self.languages:
-                keys, inverse = np.unique(counts[lang][0] & mask, return_inverse=True)
-                per.append((keys, np.bincount(inverse, weights=counts[lang][1], minlength=len(keys))))
+                keys, count = counts[lang].get(length, (np.zeros(0, np.uint32), np.zeros(0)))
+                order = np.argsort(keys)
+                per.append((keys[order], count[order]))
             seen = np.unique(np.concatenate([k for k, _ in per]))
             contexts = np.unique(seen >> np.uint32(8))
             escape = np.zeros((len(contexts), n))
@@ -132,11 +137,17 @@ class ContextTrees:
         return out
 
 
+def _bin(n: str):
+    """Counts in steps: each by itself up to 64, then in steps of an eighth."""
+    return F.when(F.col(n) <= 64, F.col(n).cast("double")).otherwise(F.floor(F.log2(n) * 6) + 100)
+
+
 def train(docs: DataFrame) -> ContextTrees | None:
     """Counts the trees of the languages of ``docs`` (doc_id, text, lang) over the bounded sample."""
     spark = docs.sparkSession
     rows = docs.where((fold("doc_id", FOLDS) != HELD) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in sizes.collect()}
     if not sizes:
         return None
     rate = spark.createDataFrame([(k, TRAIN_DOCS / v) for k, v in sizes.items()], "lang string, rate double")
@@ -156,21 +167,32 @@ def train(docs: DataFrame) -> ContextTrees | None:
                 )
 
     counted = sample.where(draw < F.col("rate")).select("text", "lang").mapInArrow(count, "lang string, gram long, n long")
-    counts = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    # the least count that keeps each language's tree within its bound
-    bound, least = nodes_per_language(len(sizes)), {}
-    steps = counts.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("leaves")).collect()
+    leaves = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    shorter = [F.struct(F.lit(k).alias("len"), F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")) for k in range(1, ORDER + 2)]
+    nodes = leaves.select("lang", "n", F.explode(F.array(*shorter)).alias("x")).groupBy("lang", "x.len", "x.gram").agg(F.sum("n").alias("n"))
+    scratch = Scratch(spark, "ppm")
+    nodes = scratch.save(nodes.withColumn("bin", _bin("n")), "nodes")
+    # whole bins of counts from the most frequent down, and of the one that goes over the bound a share by hash
+    bound = nodes_per_language(len(sizes))
+    steps = nodes.groupBy("lang", "len", "bin").agg(F.count("*").alias("nodes")).collect()  # some 200 bins a language and length
+    cuts, held = [], {}
+    for r in sorted(steps, key=lambda r: -r["bin"]):
+        k = (r["lang"], r["len"])
+        before = held.get(k, 0)
+        held[k] = before + r["nodes"]
+        if before < bound:
+            cuts.append((*k, r["bin"], min(1.0, (bound - before) / r["nodes"])))
+    keep = spark.createDataFrame(cuts, "lang string, len int, bin double, share double")
+    drawn = F.pmod(F.xxhash64("gram", F.lit("node")), F.lit(1 << 20)) / float(1 << 20) < F.col("share")
+    found = nodes.join(F.broadcast(keep), ["lang", "len", "bin"]).where(drawn).select("lang", "len", "gram", "n").toArrow()
+    scratch.drop("nodes")
+    langs, length = np.array(found.column("lang").to_pylist(), object), found.column("len").to_numpy()
+    grams, n = found.column("gram").to_numpy().astype(np.uint32), found.column("n").to_numpy().astype(np.float64)
+    trees: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
     for lang in sizes:
-        left = 0
-        for r in sorted((r for r in steps if r["lang"] == lang), key=lambda r: -r["n"]):
-            if (left := left + r["leaves"]) > bound:
-                break
-            least[lang] = r["n"]
-    keep = spark.createDataFrame([(k, v) for k, v in least.items()] or [("", 0)], "lang string, least long")
-    found = counts.join(F.broadcast(keep), "lang").where("n >= least").select("lang", "gram", "n").toArrow()
-    counts.unpersist()
-    langs, grams, n = np.array(found.column("lang").to_pylist(), object), found.column("gram").to_numpy(), found.column("n").to_numpy()
-    trees = {k: (grams[langs == k].astype(np.uint32), n[langs == k].astype(np.float64)) for k in least if (langs == k).any()}
+        own = langs == lang
+        if own.any():
+            trees[lang] = {k: (grams[own & (length == k)], n[own & (length == k)]) for k in range(1, ORDER + 2)}
     return ContextTrees(trees) if trees else None
 
 
