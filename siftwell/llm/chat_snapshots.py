@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.llm.common import Scratch
+
 BLOCK = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
@@ -68,9 +70,9 @@ def rolling_hashes(turns: DataFrame) -> DataFrame:
     )
 
 
-def maximal_conversations(turns: DataFrame) -> DataFrame:
+def maximal_conversations(turns: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, n_turns, n_copies) of the conversations that are no strict prefix of another, one of each set of equals."""
-    rolling = rolling_hashes(turns)
+    rolling = scratch.save(rolling_hashes(turns), "rolling")
     # bit_xor telescopes: the whole hash is that of the last position, which max_by finds with partial sums
     whole = rolling.groupBy("conv_id").agg(F.max(F.struct("pos", "a", "b")).alias("x"))
     whole = whole.select("conv_id", (F.col("x.pos") + 1).alias("n_turns"), F.col("x.a").alias("a"), F.col("x.b").alias("b"))
@@ -84,8 +86,9 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
 
 def render(conversations: DataFrame) -> DataFrame:
     """(conv_id, segment, n_turns, n_copies, rendered): the maximal conversations in chat markup."""
-    turns = positions(conversations)
-    kept = maximal_conversations(turns)
+    scratch = Scratch(conversations.sparkSession, "chat")
+    turns = scratch.save(positions(conversations), "turns")
+    kept = maximal_conversations(turns, scratch)
     piece = F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(f"{CLOSE}\n"))
     rows = turns.join(kept, "conv_id").select(
         "conv_id", F.floor(F.col("pos") / BLOCK).cast("long").alias("segment"), "n_turns", "n_copies", F.struct("pos", piece.alias("piece")).alias("p")

@@ -25,10 +25,12 @@ def fold(col: str, modulus: int):
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster shares; a local one is set only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster shares. A folder of this machine takes its place only where the whole session runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("siftwell.scratch.dir", None)
     if not root:
-        root = spark.conf.get("siftwell.scratch.dir", None) or tempfile.mkdtemp(prefix="siftwell-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="siftwell-")
         spark.conf.set("siftwell.scratch.dir", root)
     return root
 

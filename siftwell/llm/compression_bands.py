@@ -2,7 +2,8 @@
 
 The zstandard ratio (compressed bytes / UTF-8 bytes) of a whole document must lie between two limits
 that depend on its length, and at most ``MAX_ODD_CHUNKS`` of its fixed chunks may have a ratio outside
-the chunk limits. Repetitive text falls below the lower limits, random-looking text above the upper ones.
+the chunk limits. What is left after the last full chunk is judged by the text's last ``CHUNK_BYTES``; a shorter text is
+one chunk, judged as a whole by its band. Repetitive text falls below the lower limits, random-looking text above the upper ones.
 
 Defined results for odd input: a null or blank text has no words, so its base fails and it isn't kept;
 texts of any length are compressed whole; repeated rows are judged row by row; an empty table gives an
@@ -49,11 +50,14 @@ SCHEMA = (
 
 
 def ratios(text: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """The ratio of the whole text and the share of its full chunks outside the chunk limits."""
+    """The ratio of the whole text and the share of its chunks outside the chunk limits."""
     if not text:
         return 0.0, 0.0
     odd = n = 0
-    for at in range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES):
+    starts = list(range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES))
+    if starts and len(text) % CHUNK_BYTES:
+        starts.append(len(text) - CHUNK_BYTES)
+    for at in starts:
         r = len(packer.compress(text[at : at + CHUNK_BYTES])) / CHUNK_BYTES
         odd += not CHUNK_LIMITS[0] <= r <= CHUNK_LIMITS[1]
         n += 1

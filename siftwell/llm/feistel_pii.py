@@ -20,13 +20,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StructField, StructType
 
 from siftwell.llm.textcodes import slices
 
 ROUNDS = 10
-KEY = b"siftwell demonstration key"  #: a parameter: pass your own secret key in production
+KEY_SETTING = "siftwell.pii.key"  #: of the session: the secret key
+DEMONSTRATION_KEY = b"siftwell demonstration key"  #: of the registered queries where the session has none: anyone can undo it
 
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -114,7 +115,7 @@ _HINT = re.compile(r"[0-9@]|(?i:password|passwd|pwd|token|secret|api)")
 class Pseudonyms:
     """Replaces the validated matches of PATTERN; ``replace`` returns None for a match that fails its check."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.feistel = Feistel(key)
 
     def characters(self, kind: str, text: str) -> str:
@@ -273,8 +274,20 @@ _BY_KIND = {
 }
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, count: str | None = None) -> DataFrame:
-    """``docs`` with pseudonyms in ``text``; with ``count``, a column of that name holds the number of replacements."""
+def session_key(spark: SparkSession) -> bytes:
+    """The key in the session's ``KEY_SETTING``, else the demonstration key."""
+    own = spark.conf.get(KEY_SETTING, None)
+    return own.encode() if own else DEMONSTRATION_KEY
+
+
+def pseudonymise(docs: DataFrame, key: bytes, count: str | None = None) -> DataFrame:
+    """``docs`` with pseudonyms in ``text``; with ``count``, a column of that name holds the number of replacements.
+
+    A column that is named like ``count`` already is replaced by it.
+    """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
+    docs = docs.drop(count) if count else docs
     fields = [f.name for f in docs.schema.fields]
     at = fields.index("text")
 

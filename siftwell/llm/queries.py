@@ -11,7 +11,7 @@ from siftwell.llm.chat_snapshots import render
 from siftwell.llm.common import table
 from siftwell.llm.compression_bands import compression_bands
 from siftwell.llm.discriminant import quality_scores
-from siftwell.llm.feistel_pii import pseudonymise
+from siftwell.llm.feistel_pii import pseudonymise, session_key
 from siftwell.llm.maxent_lm import score_documents
 from siftwell.llm.mixing_coder import write_and_read
 from siftwell.llm.order_minhash import classes
@@ -58,7 +58,7 @@ def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs, count="n_replaced")
+    return pseudonymise(docs, session_key(spark), count="n_replaced")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
