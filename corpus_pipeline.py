@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.common import Scratch, table
-from siftwell.llm.feistel_pii import pseudonymise
+from siftwell.llm.feistel_pii import pseudonymise, session_key
 from siftwell.llm.order_minhash import keep_one
 from siftwell.llm.ppm_language import keep_identified
 from siftwell.llm.prefix_bpe import encode_and_decode
@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for personal data."""
-    return pseudonymise(docs)
+    return pseudonymise(docs, session_key(spark))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,11 +61,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages on the documents of ``sf_dir``."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.save(docs, name)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if k:
+            scratch.drop(STAGES[k - 1][0])
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Model fitting, alignment and tokenization have no SQL form; tests/llm compares the stages with brute force.
