@@ -189,21 +189,22 @@ def fuzzy_join(chunks: DataFrame, queries: DataFrame, threshold: float = CONTENT
     """
     keys = ["path", "start_line"]
     own = chunks.select(*keys, F.explode(T.trigrams(F.col("content"))).alias("gram"))
-    # at most 37 * 37 * 37 different trigrams of letters, digits and blanks, so the numbers are small
-    often = own.groupBy("gram").agg(F.count("*").alias("often"))
-    number = F.broadcast(often.select("gram", F.struct("often", "gram").alias("number")))
     asked = queries.select("query_id", F.explode(T.trigrams(F.col("query"))).alias("gram"))
-    sets = lambda rows, by, how: (
-        rows.join(number, "gram", how)
-        .groupBy(*by)
-        .agg(F.transform(F.array_sort(F.collect_list(F.coalesce("number", F.struct(F.lit(0).cast("long").alias("often"), "gram")))), lambda x: x.gram).alias("g"))
-    )
+    # at most 37 * 37 * 37 different trigrams of letters, digits and blanks, so one task can number them
+    often = own.groupBy("gram").agg(F.count("*").alias("often")).unionByName(asked.select("gram", F.lit(0).cast("long").alias("often")).distinct())
+    often = often.groupBy("gram").agg(F.max("often").alias("often"))
+    number = F.broadcast(often.select("gram", F.row_number().over(Window.orderBy("often", "gram")).alias("number")))
+    sets = lambda rows, by: rows.join(number, "gram").groupBy(*by).agg(F.array_sort(F.collect_list("number")).alias("g"))
     size = F.size("g")
     prefix = F.explode(F.slice("g", F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))).alias("gram")
-    left = sets(own, keys, "left").withColumn("n", size)
-    right = sets(asked, ["query_id"], "left").withColumn("m", size)
+    left = sets(own, keys).withColumn("n", size)
+    right = sets(asked, ["query_id"]).withColumn("m", size)
     near = (F.col("n") >= F.col("m") * threshold) & (F.col("m") >= F.col("n") * threshold)
-    pairs = left.select(*keys, "n", prefix).join(right.select("query_id", "m", prefix), "gram").where(near).select("query_id", *keys).distinct()
+    # of the common trigrams, all but those in both prefixes lie behind the prefix that ends first
+    behind = F.greatest(F.ceil(F.col("n") * threshold), F.ceil(F.col("m") * threshold)) - 1
+    shared = left.select(*keys, "n", prefix).join(right.select("query_id", "m", prefix), "gram").where(near)
+    shared = shared.groupBy("query_id", *keys, "n", "m").agg(F.count("*").alias("c"))
+    pairs = shared.where(F.col("c") + behind > threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-6).select("query_id", *keys)
     both = pairs.join(left.select(*keys, "g", "n"), keys).join(right.select("query_id", F.col("g").alias("q"), "m"), "query_id")
     both = both.select("query_id", *keys, "n", "m", F.size(F.array_intersect("g", "q")).alias("c"))
     sim = F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 6)
