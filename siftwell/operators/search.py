@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
+from siftwell.sources.scratch import WrittenTables
 
 SYMBOL_FUZZY, CONTENT_FUZZY = 0.3, 0.2
 RRF_K = 60
@@ -188,7 +189,8 @@ def fuzzy_join(chunks: DataFrame, queries: DataFrame, threshold: float = CONTENT
     rarest n - ceil(t * n) + 1 numbers of each, and neither is larger than the other's size / t; only such pairs are compared, exactly.
     """
     keys = ["path", "start_line"]
-    own = chunks.select(*keys, F.explode(T.trigrams(F.col("content"))).alias("gram"))
+    written = WrittenTables(chunks.sparkSession, "fuzzy")
+    own = written.save(chunks.select(*keys, T.trigrams(F.col("content")).alias("grams"))).select(*keys, F.explode("grams").alias("gram"))
     asked = queries.select("query_id", F.explode(T.trigrams(F.col("query"))).alias("gram"))
     # at most 37 * 37 * 37 different trigrams of letters, digits and blanks, so one task can number them
     often = own.groupBy("gram").agg(F.count("*").alias("often")).unionByName(asked.select("gram", F.lit(0).cast("long").alias("often")).distinct())
@@ -197,7 +199,7 @@ def fuzzy_join(chunks: DataFrame, queries: DataFrame, threshold: float = CONTENT
     sets = lambda rows, by: rows.join(number, "gram").groupBy(*by).agg(F.array_sort(F.collect_list("number")).alias("g"))
     size = F.size("g")
     prefix = F.explode(F.slice("g", F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))).alias("gram")
-    left = sets(own, keys).withColumn("n", size)
+    left = written.save(sets(own, keys).withColumn("n", size))
     right = sets(asked, ["query_id"]).withColumn("m", size)
     near = (F.col("n") >= F.col("m") * threshold) & (F.col("m") >= F.col("n") * threshold)
     # of the common trigrams, all but those in both prefixes lie behind the prefix that ends first
