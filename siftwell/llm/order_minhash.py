@@ -7,11 +7,13 @@ follows edit similarity. A pair is verified by alignment of the two labelled k-m
 L inside the diagonal band that a similarity of ``SIMILARITY`` allows, and L / (n + m - L) >= ``SIMILARITY``.
 
 Members of a bucket are first compared with its leader (the text whose sketches are shared most) and the links
-joined into classes. A bucket all of one class is done. In the others every pair of texts of different classes is
-compared: the members outside the bucket's largest class against all of its members, in blocks of ``PAIRED``; very
-large buckets are compared with further leaders before. So a pair goes unseen only when its texts are in one class
-already. Only pairs that share ``AGREED`` of the ``TABLES`` sketches, seen from 16-bit marks that members carry, are
-verified. The links join texts into classes (connected components), exact copies with them.
+joined into classes. A bucket all of one class is done. In the others every pair of texts of different classes is a
+candidate. Small buckets are paired: the members outside the bucket's largest class with all of its members, if they share
+``AGREED`` of the ``TABLES`` sketches, seen from 16-bit marks that members carry. The texts of buckets that would take over
+``PAIRED`` squared comparisons are paired by a prefix filter: two similar texts share one of the rarest
+n - ceil(0.8 n) + 1 labelled k-mers of each, rarity counted among these texts; so what all texts of a large family have in
+common pairs none of them. A pair goes unseen only when its texts are in one class already. Candidates are verified; the links
+join texts into classes (connected components), exact copies with them.
 
 Texts of at most ``SHORT`` k-mers have no sketches but an exact way: two similar texts share one of the rarest
 n - ceil(0.8 n) + 1 labelled k-mers of each (a prefix filter), and buckets by those need no agreement of sketches.
@@ -27,7 +29,9 @@ an empty table gives an empty result; other columns are ignored by ``classes`` a
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +40,16 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import Scratch, map_slices
 from siftwell.llm.components import components
-from siftwell.llm.textcodes import Words, column_bytes, mix64, occurrence, windows
+from siftwell.llm.textcodes import Words, column_bytes, mix64, occurrence, slices, windows
 
 WIDTH = 5
 SIMILARITY = 0.8
 TABLES = 30
 PICKED = 5
-LEADERS = 8  #: leaders of a bucket in every round but the first
-PAIRED = 2048  #: members of a bucket in a block of those that are compared pairwise
-ROUNDS = 4  #: rounds of leaders at most before the rest of a bucket is compared pairwise
+COUNTERS = 17  #: bits of the number of counters that tell rare k-mers from common ones
+ADDERS = 8
+CARRIED = 400  #: k-mers of a text that carries its prefix
+PAIRED = 64  #: buckets of more comparisons than its square are paired by rare k-mers
 AGREED = 3
 SHORT = 40  #: texts of at most so many k-mers have prefix keys only; none longer than SHORT / SIMILARITY can be similar to them
 
@@ -188,46 +193,108 @@ def near_links(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame
     texts = docs.where("text IS NOT NULL").select(digest().alias("node"), "text").join(wanted, "node", "left_semi")
     texts = scratch.save(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
     prefix = F.col("t") < 0
-    similar = (F.least("n", "ln") >= SIMILARITY * F.greatest("n", "ln") - 1e-9) & (prefix | (F.size(_agreeing("marks", "lmarks")) >= AGREED))
-    found = scratch.save(verify(_led(members, 1, 0).where(similar).select(*_ordered("node", "leader")).distinct(), texts), "links0")
-    for turn in range(1, ROUNDS + 1):
-        members = scratch.save(_mixed(members, found, scratch, turn), f"round{turn}")
-        scratch.drop(f"round{turn - 1}")
-        large = members.where((F.col("c") - F.col("most")) * F.col("c") > PAIRED * PAIRED)
-        if turn == ROUNDS or large.isEmpty():
-            break
-        tries = _led(large, LEADERS, turn).where("root <> lroot").where(similar).select(*_ordered("node", "leader")).distinct()
-        good = scratch.save(verify(tries.join(found, ["u", "v"], "left_anti"), texts), f"links{turn}")
-        found = found.unionByName(good)
-    # all pairs of different classes: those outside a bucket's largest class against all its members, in blocks
-    x, y = F.ceil((F.col("c") - F.col("most")) / PAIRED), F.ceil(F.col("c") / PAIRED)
-    block = lambda m, salt: F.pmod(F.xxhash64("node", F.lit(salt)), m)
-    others = members.where("root <> big").withColumn("x", block(x, 1)).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), y - 1)))
-    whole = members.withColumn("y", block(y, 2)).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), x - 1)))
-    whole = whole.select(
-        "key", "x", "y", F.col("node").alias("leader"), F.col("n").alias("ln"), F.col("marks").alias("lmarks"), F.col("root").alias("lroot")
-    )
+    close = F.least("n", "ln") >= SIMILARITY * F.greatest("n", "ln") - 1e-9
+    similar = close & (prefix | (F.size(_agreeing("marks", "lmarks")) >= AGREED))
+    found = scratch.save(verify(_led(members).where(similar).select(*_ordered("node", "leader")).distinct(), texts), "links0")
+    mixed = scratch.save(_mixed(members, found, scratch), "mixed")
+    scratch.drop("round0")
+    small = (F.col("c") - F.col("most")) * F.col("c") <= PAIRED * PAIRED
+    # small buckets: pairs of different classes, those outside a bucket's largest class against all its members
+    others = mixed.where(small & (F.col("root") != F.col("big")))
+    whole = mixed.where(small).select("key", F.col("node").alias("leader"), F.col("n").alias("ln"), F.col("marks").alias("lmarks"), F.col("root").alias("lroot"))
     once = (F.col("root") != F.col("lroot")) & ((F.col("lroot") == F.col("big")) | (F.col("node") < F.col("leader")))
     # of all buckets that a pair shares, only the first two in table order give it: one may come from marks that are equal by chance
     first = prefix | F.array_contains(F.slice(_agreeing("marks", "lmarks"), 1, 2), F.col("t"))
-    tries = others.join(whole, ["key", "x", "y"]).where(once).where(similar & first).select(*_ordered("node", "leader")).distinct()
-    return found.unionByName(scratch.save(verify(tries, texts), "links"))
+    tries = others.join(whole, "key").where(once).where(similar & first).select(*_ordered("node", "leader"))
+    large = mixed.where(~small).groupBy("node", "root").agg(F.bool_or(F.col("root") != F.col("big")).alias("other"))
+    rare = _rare_pairs(large, texts, scratch).select(*_ordered("node", "leader"))
+    return found.unionByName(scratch.save(verify(tries.unionByName(rare).distinct(), texts), "links"))
+
+
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return (codes >> _U(64 - COUNTERS)).astype(np.int64)
+
+
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """How many labelled k-mers of ``texts`` (text) fall to each of a fixed number of counters: an order for prefixes, and at least each one's own count.
+
+    Each task packs its counters into one row, a few tasks add the rows up, and their sums reach the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                total += np.bincount(_slot(labelled(part.column(0))[0]), minlength=len(total))
+        yield packed(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                total += unpacked(raw)
+        yield packed(total)
 
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["c"])
 
-def _led(members: DataFrame, slots: int, turn: int) -> DataFrame:
-    """Members beside the leaders of their bucket, the members whose sketches are shared most in each of ``slots`` parts."""
-    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots))
-    own = members if turn == 0 else members.where("root <> big")
-    root = F.col("root") if turn else F.lit(None).cast("binary").alias("root")
-    leaders = own.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("w", "node", "n", "marks", root)).alias("x"))
-    leaders = leaders.select("key", F.col("x.node").alias("leader"), F.col("x.n").alias("ln"), F.col("x.marks").alias("lmarks"), F.col("x.root").alias("lroot"))
+    def unpacked(raw: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(raw), np.int64)
+
+    sums = texts.select("text").mapInArrow(count, "c binary").repartition(ADDERS).mapInArrow(add, "c binary")
+    return sum((unpacked(r["c"]) for r in sums.collect()), np.zeros(1 << COUNTERS, np.int64))
+
+
+def _rare_pairs(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, leader): pairs of ``nodes`` (node, root, other) of different classes that share a k-mer of both prefixes, one of them ``other``.
+
+    Only k-mers that several classes have in a prefix pair texts. Of the common k-mers of two texts all but those in both
+    prefixes lie behind the prefix that ends first; texts of up to ``CARRIED`` k-mers carry their prefix, so that pairs
+    which can't reach the similarity by this count are left out, and each pair comes once.
+    """
+
+    own = scratch.save(texts.join(nodes, "node").select("node", "text", "root", "other"), "large")
+    counts = own.sparkSession.sparkContext.broadcast(_rarity(own))
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        codes, bounds = labelled(part.column(1))
+        often = counts.value[_slot(codes)]
+        at, keys = bounds.tolist(), []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            n = b - a
+            rarest = np.lexsort((codes[a:b], often[a:b]))[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+            keys.append(codes[a:b][rarest[often[a:b][rarest] > 1]])  # what only one text has finds nothing
+        offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys).view(np.int64)))
+        return pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(np.diff(bounds)), lists], names=["node", "root", "other", "n", "held"])
+
+    rows = scratch.save(map_slices(own, run, "node binary, root binary, other boolean, n long, held array<long>"), "rare")
+    keys = rows.select("root", "node", "n", "other", F.explode("held").alias("key"))
+    few = rows.where(F.col("n") <= CARRIED).select("node", "held")
+    several = keys.groupBy("key").agg((F.min("root") != F.max("root")).alias("several")).where("several").select("key")
+    keys = keys.join(several, "key").join(few, "node", "left")
+    two = keys.select("key", *[F.col(c).alias(f"l{c}") for c in ("root", "node", "n", "other", "held")])
+    close = F.least("n", "ln") >= SIMILARITY * F.greatest("n", "ln") - 1e-9
+    common = F.array_intersect("held", "lheld")
+    behind = F.ceil(SIMILARITY * F.greatest("n", "ln") - 1e-9) - 1
+    enough = F.size(common) + behind >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("ln")) - 1e-9
+    first = F.when(common.isNull(), True).otherwise((F.array_min(common) == F.col("key")) & enough)
+    apart = (F.col("root") != F.col("lroot")) & (~F.col("lother") | (F.col("node") < F.col("lnode")))
+    pairs = keys.where("other").join(two, "key").where(apart & close & first)
+    return pairs.select("node", F.col("lnode").alias("leader"))
+
+
+def _led(members: DataFrame) -> DataFrame:
+    """Members beside the leader of their bucket, the member whose sketches are shared most."""
+    leaders = members.groupBy("key").agg(F.max(F.struct("w", "node", "n", "marks")).alias("x"))
+    leaders = leaders.select("key", F.col("x.node").alias("leader"), F.col("x.n").alias("ln"), F.col("x.marks").alias("lmarks"))
     return members.join(leaders, "key").where(F.col("node") != F.col("leader"))
 
 
-def _mixed(members: DataFrame, links: DataFrame, scratch: Scratch, turn: int) -> DataFrame:
+def _mixed(members: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """The members of buckets with more than one class, with their class ``root``, the bucket's largest class ``big``, its size ``most`` and the bucket's ``c``."""
-    roots = scratch.save(components(links, scratch), f"classes{turn}")
-    members = members.select("key", "t", "node", "n", "w", "marks").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = scratch.save(components(links, scratch), "classes")
+    members = members.select("key", "t", "node", "n", "marks").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("m"))
     sizes = sizes.groupBy("key").agg(F.sum("m").alias("c"), F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("classes"))
     sizes = sizes.where("classes > 1").select("key", "c", F.col("x.m").alias("most"), F.col("x.root").alias("big"))

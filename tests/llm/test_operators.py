@@ -200,6 +200,37 @@ def test_op2_pairs_of_oversized_buckets_are_found(spark, monkeypatch):
     assert got == {i: i // 34 * 34 for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("carried", [400, 0])
+def test_op2_families_in_large_buckets_equal_brute_force(spark, monkeypatch, carried):
+    """Variants around 0.8 of one centre, with edits that several share: many classes meet in every bucket."""
+    monkeypatch.setattr(order_minhash, "PAIRED", 2)
+    monkeypatch.setattr(order_minhash, "CARRIED", carried)
+    rng = random.Random(21)
+    centre = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):
+        words = list(centre)
+        for _ in range(rng.randrange(1, 9)):
+            words[rng.randrange(12) * 10 + 5] = f"x{rng.randrange(3)}"
+        texts.append(" ".join(words[: rng.randrange(100, 121)]))
+    codes, bounds = order_minhash.labelled(pa.array(texts))
+    own = [codes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if texts[a] == texts[b] or order_minhash.aligned(own[a], own[b]) >= 0.8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(odd(spark, texts)).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and 1 < len(set(got.values()))
+
+
 def test_op3_held_out_accuracy_and_odd_rows(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = {r.doc_id: r for r in discriminant.quality_scores(docs, labels).collect()}
