@@ -16,7 +16,8 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v); the root is the component's least node.
 
-    Each step is a grouping with partial minima and a join on the node, written to the shared folder. The
+    Each step is a grouping with partial minima and a join on the node, written to the shared folder. The minima are written
+    before they are joined, so both sides of the join are exchanges of their own and a hub's links can be split over tasks. The
     number of steps grows with the logarithm of the components' size. Nothing is collected but counts.
     """
     edges = scratch.save(
@@ -25,13 +26,15 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     before, step = _state(edges), 0
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"min{step}")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.save(large, f"large{step}")
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), f"low{step}")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step += 1
         edges = scratch.save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"cc{step}")
-        scratch.drop(f"cc{step - 1}")
+        for name in ("cc", "min", "large", "low"):
+            scratch.drop(f"{name}{step - 1}")
         after = _state(edges)
         if after == before:
             break
