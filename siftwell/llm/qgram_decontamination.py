@@ -9,8 +9,12 @@ verified by an alignment inside the band. The edit budget k is ``EDITS`` of m, b
 
 Letters are lowered and runs of anything but letters, digits and non-ASCII characters become one blank.
 
-The benchmark is a stated query set: it is read in blocks of bounded size, each sent to all tasks, against all
-rows of the documents. With more than one block, what each finds is written before the next is sent.
+The benchmark is a stated query set: tasks cut its distinct texts into fragments, and the distinct fragments are dealt by hash
+to blocks of about ``BLOCK_CHARS`` characters, each sent to all tasks, against all rows of the documents; so neither equal rows nor one
+very long text makes a block larger. With more than one block, what each finds is written before the next is sent.
+
+A task looks at the hits of a slice in pieces of ``POSTINGS`` postings. Pieces overlap by the reach of a band, so
+each band lies within one of them, and memory doesn't grow with how common a q-gram is.
 
 Defined results for odd input: null and empty texts hold nothing; benchmark texts that are null or, when reduced, shorter
 than ``Q`` characters are not searched; a benchmark row without an id is searched but not listed; repeated rows are
@@ -34,7 +38,10 @@ from siftwell.llm.textcodes import column_bytes, slices
 Q = 8
 FRAGMENT, STRIDE = 80, 20
 EDITS = 0.08
-BLOCK_CHARS = 4_000_000  #: benchmark characters sent to the tasks at once
+BLOCK_CHARS = 8_000_000  #: characters of fragments sent to the tasks at once
+BLOCK_ITEMS = 500_000  #: benchmark rows up to which their ids are sent along
+AT_ONCE = 16_384  #: fragments of one index
+POSTINGS = 1 << 20  #: postings that a task lists at a time
 _BITS = 22
 _CLASSES = (8, 16, 32, 64, 1 << 30)  #: fragments are searched by length class, so that short ones don't weaken the count filter
 
@@ -91,8 +98,8 @@ class FragmentIndex:
             self.text[f, : len(cp)] = cp
             g = gram_codes(cp)
             codes.append(g)
-            owner.append(np.full(len(g), f))
-            place.append(np.arange(len(g)))
+            owner.append(np.full(len(g), f, np.int32))
+            place.append(np.arange(len(g), dtype=np.int32))
         codes_, owner_, place_ = map(np.concatenate, (codes, owner, place))
         order = np.argsort(codes_, kind="stable")
         self.owner, self.place = owner_[order], place_[order]
@@ -102,6 +109,7 @@ class FragmentIndex:
         self.seen[self.codes >> np.uint32(32 - _BITS)] = True
         self.span = int((self.length + self.edits).max())
         self.need = int(self.least.min())
+        self.reach = int(self.length.max() + 2 * self.width.max())  #: places between the first and the last hit of a band
 
     def search(self, cp: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document, item) of all verified matches in a slice."""
@@ -128,21 +136,42 @@ class FragmentIndex:
         at, row, doc = at[inside], row[inside], doc[inside]
         if not len(at):
             return none, none
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        total = np.cumsum(self.first[row + 1] - self.first[row])
+        a = 0
+        while a < len(at):
+            e = int(np.searchsorted(total, (total[a - 1] if a else 0) + POSTINGS, "right"))
+            e = max(e, int(np.searchsorted(at, at[a] + 2 * self.reach)))
+            found.append(self._matches(at[a:e], row[a:e], doc[a:e], cp, bounds))
+            if e >= len(at):
+                break
+            a = int(np.searchsorted(at, at[e] - self.reach))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _matches(self, at: np.ndarray, row: np.ndarray, doc: np.ndarray, cp: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, item) of the verified matches among hits of the codes ``row`` at places ``at``."""
         count = self.first[row + 1] - self.first[row]
         ends = np.cumsum(count)
         posting = np.repeat(self.first[row] - (ends - count), count) + np.arange(ends[-1])
-        owner = self.owner[posting]
+        owner = self.owner[posting].astype(np.int64)
         # bands start at multiples of the fragment's width and are two widths long
         diagonal = np.repeat(at, count) - self.place[posting] + (1 << 20)
         band = diagonal // self.width[owner]
         doc = np.repeat(doc, count)
         # a slice has one document, of any length, or several of 1 MB together
         shift, bits = (26, 0x3FFFFFF) if len(bounds) > 2 else (42, (1 << 42) - 1)
-        key = np.concatenate([(owner << 42) | (doc << shift if shift < 42 else 0) | b for b in (band, band - 1)])
+        key = (owner << 42) | (doc << shift if shift < 42 else 0) | band
         keys, n = np.unique(key, return_counts=True)
-        owner = keys >> 42
-        enough = n >= self.least[owner]
-        keys, owner = keys[enough], owner[enough]
+        # a band's hits are those of two neighbouring strips
+        strips = np.unique(np.concatenate([keys, keys - 1]))
+        both = np.zeros(len(strips), np.int64)
+        for more in (0, 1):
+            place = np.searchsorted(keys, strips + more)
+            place[place == len(keys)] = 0
+            both += np.where(keys[place] == strips + more, n[place], 0)
+        owner = strips >> 42
+        enough = both >= self.least[owner]
+        keys, owner = strips[enough], owner[enough]
         doc, band = (keys & ((1 << 42) - 1)) >> shift, keys & bits
         start = band * self.width[owner] - (1 << 20)
         ok = np.zeros(len(keys), bool)
@@ -173,25 +202,33 @@ class FragmentIndex:
         return best <= k
 
 
-def build(items: list[tuple[int, str]]) -> list[FragmentIndex]:
-    """Indexes of a block of (number, text), by length class."""
+def cut(cp: np.ndarray) -> list[np.ndarray]:
+    """The fragments of a reduced text."""
+    cp = cp[:-1] if len(cp) and cp[-1] == 32 else cp
+    if len(cp) < Q:
+        return []
+    starts = list(range(0, max(1, len(cp) - FRAGMENT + 1), STRIDE))
+    if len(cp) > FRAGMENT and starts[-1] != len(cp) - FRAGMENT:
+        starts.append(len(cp) - FRAGMENT)
+    return [cp[s : s + FRAGMENT] for s in starts]
+
+
+def indexed(fragments: list[tuple[int, np.ndarray]]) -> list[FragmentIndex]:
+    """Indexes of (number, fragment), by length class."""
     classes: dict[int, list[tuple[int, np.ndarray]]] = {}
-    for number, text in items:
-        cp, _ = reduce_texts(*column_bytes(pa.array([text], pa.string())))
-        cp = cp[:-1] if len(cp) and cp[-1] == 32 else cp
-        if len(cp) < Q:
-            continue
-        starts = list(range(0, max(1, len(cp) - FRAGMENT + 1), STRIDE))
-        if len(cp) > FRAGMENT and starts[-1] != len(cp) - FRAGMENT:
-            starts.append(len(cp) - FRAGMENT)
-        for s in starts:
-            f = cp[s : s + FRAGMENT]
-            classes.setdefault(int(np.searchsorted(_CLASSES, len(f), "right")), []).append((number, f))
-    return [FragmentIndex(f) for f in classes.values()]
+    for number, f in fragments:
+        classes.setdefault(int(np.searchsorted(_CLASSES, len(f), "right")), []).append((number, f))
+    return [FragmentIndex(own[a : a + AT_ONCE]) for own in classes.values() for a in range(0, len(own), AT_ONCE)]
+
+
+def build(items: list[tuple[int, str]]) -> list[FragmentIndex]:
+    """Indexes of the fragments of (number, text)."""
+    reduced = ((number, reduce_texts(*column_bytes(pa.array([text], pa.string())))[0]) for number, text in items)
+    return indexed([(number, f) for number, cp in reduced for f in cut(cp)])
 
 
 def find(indexes: list[FragmentIndex], text: pa.Array) -> list[set[int]]:
-    """Numbers of the items found in each text."""
+    """Numbers of the fragments or items found in each text."""
     cp, bounds = reduce_texts(*column_bytes(text))
     found: list[set[int]] = [set() for _ in range(len(text))]
     codes = gram_codes(cp)
@@ -202,16 +239,37 @@ def find(indexes: list[FragmentIndex], text: pa.Array) -> list[set[int]]:
     return found
 
 
-def _found(docs: DataFrame, sent, ids: list[int | None], name: str) -> DataFrame:
-    """``docs`` with an array column ``name`` of the ids of the items of one block that each text holds."""
+def _code_points(fragments: list[str]) -> list[tuple[int, np.ndarray]]:
+    return [(k, np.frombuffer(f.encode("utf-32-le"), np.uint32)) for k, f in enumerate(fragments)]
+
+
+def fragments(texts: DataFrame) -> DataFrame:
+    """(tid, fragment): the distinct fragments of each text (tid, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                cp, bounds = reduce_texts(*column_bytes(part.column(1)))
+                for k, tid in enumerate(part.column(0).to_pylist()):
+                    own = list(dict.fromkeys(f.tobytes().decode("utf-32-le") for f in cut(cp[bounds[k] : bounds[k + 1]])))
+                    for a in range(0, len(own), 1 << 14):
+                        more = own[a : a + (1 << 14)]
+                        yield pa.RecordBatch.from_arrays([pa.array([tid] * len(more)), pa.array(more)], names=["tid", "fragment"])
+
+    return texts.select("tid", "text").mapInArrow(run, "tid string, fragment string")
+
+
+def _found(docs: DataFrame, sent, name: str) -> DataFrame:
+    """``docs`` with an array column ``name``: what the sent list says of each fragment that the text holds, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes, says = sent.value
         for batch in batches:
             at = batch.schema.get_field_index("text")
             for whole in slices(batch):
                 for a in range(0, whole.num_rows, 1 << 15):
                     part = whole.slice(a, 1 << 15)
-                    more = [[ids[k] for k in sorted(s)] for s in find(sent.value, part.column(at))]
+                    more = [list(dict.fromkeys(x for k in sorted(s) for x in says[k])) for s in find(indexes, part.column(at))]
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(more, pa.list_(pa.int64()))], names=[*part.schema.names, name])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(LongType()))]))
@@ -220,25 +278,36 @@ def _found(docs: DataFrame, sent, ids: list[int | None], name: str) -> DataFrame
 def _search(docs: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
     """``docs`` with an array column ``name`` of the ids of the items found (null for one without an id)."""
     context, none = docs.sparkSession.sparkContext, F.array().cast("array<bigint>")
-    rows = benchmark.where("text IS NOT NULL").select("item_id", "text")
-    total = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    n = -(-total // BLOCK_CHARS)
-    if n <= 1:
-        block = [tuple(r) for r in rows.collect()]  # BLOCK_CHARS characters at most
-        sent = context.broadcast(build([(k, t) for k, (_, t) in enumerate(block)]))
-        return _found(docs, sent, [i for i, _ in block], name)
     scratch, rid = Scratch(docs.sparkSession, "qgram"), name + "_rid"
+    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text", F.sha2("text", 256).alias("tid"))
+    items = rows.select("tid", "item_id").distinct()
+    cuts = scratch.save(fragments(rows.select("tid", "text").dropDuplicates(["tid"])), "fragments")
+    whole = cuts.agg(F.coalesce(F.sum(F.length("fragment")), F.lit(0)).alias("chars")).first()["chars"]
+    if whole <= BLOCK_CHARS and items.limit(BLOCK_ITEMS + 1).count() <= BLOCK_ITEMS:
+        ids: dict[str, list[int | None]] = {}
+        for r in items.collect():  # BLOCK_ITEMS rows at most
+            ids.setdefault(r["tid"], []).append(r["item_id"])
+        says: dict[str, list[int | None]] = {}
+        for r in cuts.collect():  # BLOCK_CHARS characters at most
+            says.setdefault(r["fragment"], []).extend(ids[r["tid"]])
+        sent = context.broadcast((indexed(_code_points(list(says))), list(says.values())))
+        return _found(docs, sent, name)
+    distinct = scratch.save(cuts.select("fragment").distinct().withColumn("fid", F.monotonically_increasing_id()), "distinct")
+    whole = distinct.agg(F.sum(F.length("fragment")).alias("chars")).first()["chars"]
+    n = -(-whole // BLOCK_CHARS)
     docs = scratch.save(docs.withColumn(rid, F.monotonically_increasing_id()), "docs")
     hits = None
     for k in range(n):
-        # about BLOCK_CHARS characters; each block is all that the driver and the tasks hold at a time
-        block = [tuple(r) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()]
-        sent = context.broadcast(build([(j, t) for j, (_, t) in enumerate(block)]))
-        found = _found(docs.select(rid, "text"), sent, [i for i, _ in block], name).where(F.size(name) > 0).drop("text")
+        # distinct fragments of FRAGMENT characters at most, dealt by hash: about BLOCK_CHARS characters
+        block = distinct.where(F.pmod(F.xxhash64("fragment"), F.lit(n)) == k).collect()
+        sent = context.broadcast((indexed(_code_points([r["fragment"] for r in block])), [[r["fid"]] for r in block]))
+        found = _found(docs.select(rid, "text"), sent, name).where(F.size(name) > 0).drop("text")
         found = scratch.save(found, f"block{k}")
         sent.destroy()
         hits = found if hits is None else hits.unionByName(found)
-    hits = hits.groupBy(rid).agg(F.flatten(F.collect_list(name)).alias(name))  # a text's items: n lists at most
+    of = distinct.join(cuts, "fragment").join(items, "tid").select("fid", "item_id")
+    hits = hits.select(rid, F.explode(name).alias("fid")).join(of, "fid").select(rid, "item_id").distinct()
+    hits = hits.groupBy(rid).agg(F.transform(F.collect_list(F.struct("item_id")), lambda x: x["item_id"]).alias(name))
     return docs.join(hits, rid, "left").withColumn(name, F.coalesce(name, none)).drop(rid)
 
 
