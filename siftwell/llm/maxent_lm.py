@@ -40,6 +40,7 @@ WIDTH = 64  #: words or buckets of a class, and classes
 FORMS = 32
 VOCABULARY = WIDTH * (WIDTH - FORMS)
 FREQUENT = 300_000
+STEPS = 100_000  #: counts up to which each is a step of its own
 LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 16  #: hashed weight rows of each softmax
 TOKENS_PER_ROW = 1024
 ROUNDS = 2
@@ -339,6 +340,22 @@ def _moved(weights: np.ndarray, changes: DataFrame) -> np.ndarray:
     return out
 
 
+def frequent_words(counts: DataFrame) -> DataFrame:
+    """(h, c) of the most frequent words, ``FREQUENT`` at most, and of the end.
+
+    Words are taken by whole steps of their count, from the top, as long as all taken fit the bound: a step is one count up to
+    ``STEPS``, and beyond it a 4096th of a doubling, so the table of steps is bounded too.
+    """
+    step = F.when(F.col("c") <= STEPS, F.col("c")).otherwise(STEPS + 1 + F.floor(F.log2(F.col("c") / STEPS) * 4096)).cast("long")
+    rows = counts.select("h", "c", step.alias("step"))
+    least, left = (1 << 62), 0
+    for r in sorted(rows.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
+        if (left := left + r["words"]) > FREQUENT:
+            break
+        least = r["step"]
+    return rows.where((F.col("step") >= least) | (F.col("h") == int(_END))).select("h", "c")
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``."""
     spark = docs.sparkSession
@@ -349,14 +366,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, n_distinct = total["n"], total["v"]
 
-    # the least count that keeps the frequent words within their bound
-    steps = counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("words")).collect()
-    least, left = 100_001, 0
-    for r in sorted(steps, key=lambda r: -r["c"]):
-        if (left := left + r["words"]) > FREQUENT:
-            break
-        least = r["c"]
-    top = counts.where((F.col("c") >= least) | (F.col("h") == int(_END))).select("h", "c").toArrow()
+    top = frequent_words(counts).toArrow()  # FREQUENT words at most, and the end
     frequent_ = Frequent(top.column("h").to_numpy(), top.column("c").to_numpy())
     frequent = context.broadcast(frequent_)
     inside = np.sort(frequent_.h[frequent_.code >= 0])

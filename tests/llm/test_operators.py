@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -603,6 +605,32 @@ def test_op8_partial_quotes_blocks_and_odd_rows(spark, monkeypatch):
         assert qgram_decontamination.contamination(odd(spark, []), bench).count() == 0
 
 
+def test_op8_pieces_and_small_indexes_change_nothing(monkeypatch):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    line = lambda n: " ".join(rng.choice(words[: rng.randint(2, 40)]) for _ in range(n))
+    items = list(enumerate([line(rng.randint(3, 90)) for _ in range(40)] + ["ab " * 100]))
+    texts = pa.array([line(400) + items[k % 41][1] + line(50) for k in range(60)] + [line(30_000)])
+    want = qgram_decontamination.find(qgram_decontamination.build(items), texts)
+    assert sum(map(len, want)) > 60
+    for postings, at_once in ((1, 16_384), (500, 7), (1 << 20, 3)):
+        monkeypatch.setattr(qgram_decontamination, "POSTINGS", postings)
+        monkeypatch.setattr(qgram_decontamination, "AT_ONCE", at_once)
+        assert qgram_decontamination.find(qgram_decontamination.build(items), texts) == want
+
+
+def test_op8_equal_rows_and_one_long_item(spark, monkeypatch):
+    rng = random.Random(22)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    same, long = line(60), line(20_000)
+    bench = spark.createDataFrame([(k, same) for k in range(3000)] + [(9000, long)], "item_id long, text string")
+    texts = [f"{line(20)} {same} {line(20)}", f"{line(20)} {long[70_000:70_120]} {line(20)}", line(300)]
+    for chars in (8_000_000, 50_000):
+        monkeypatch.setattr(qgram_decontamination, "BLOCK_CHARS", chars)
+        got = {r.doc_id: r for r in qgram_decontamination.contamination(odd(spark, texts), bench).collect()}
+        assert got[0].item_ids == list(range(3000)) and got[1].item_ids == [9000] and not got[2].contaminated
+
+
 def plain_ppm(grams, text):
     """Bits of ``text`` by dictionaries of counts: the longest context that has seen a byte, an escape for each longer one."""
     bits, padded = 0.0, b" " * ppm_language.ORDER + text
@@ -752,6 +780,76 @@ def test_op10_cards_and_phones_beside_numbers():
             assert n == 1 and phone not in new and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", f"call {phone}{after}"), (phone, after, new)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 6), st.text("0123456789abcdefXYZ+/", min_size=1, max_size=4), st.integers(1, 10**5))
+def test_op10_secrets_of_any_length(seed, alphabet, length):
+    p = feistel_pii.Pseudonyms(b"key")
+    draw = random.Random(seed)
+    value = "".join(draw.choice(alphabet) for _ in range(8 + length))
+    other = value[:-1] + draw.choice(alphabet)
+    one, two = p.characters("secret", value), p.characters("secret", other)
+    assert len(one) == len(value) and (one == two) == (value == other)
+    assert feistel_pii._secret_kind(one) == feistel_pii._secret_kind(value)
+    assert re.sub("[0-9a-z]", "9", one) == re.sub("[0-9a-z]", "9", one) and [c.isupper() for c in one] == [c.isupper() for c in value]
+    assert all(a == b for a, b in zip(value, one, strict=True) if a in "+/")
+
+
+def test_op10_kinds_of_secrets_do_not_meet():
+    """Over a whole small set: hexadecimal, digits and others keep apart, and no two values get one pseudonym."""
+    p = feistel_pii.Pseudonyms(b"key")
+    values = ["".join(x) for x in itertools.product("019afgz", repeat=4)]
+    new = [p.characters("secret", v) for v in values]
+    assert len(set(new)) == len(values)
+    assert [feistel_pii._secret_kind(v) for v in values] == [feistel_pii._secret_kind(v) for v in new]
+    # a set that the permutation maps onto itself: every digit and every hexadecimal text of one length
+    for chars, n in (("0123456789", 3), ("0123456789abcdef", 2)):
+        own = {"".join(x) for x in itertools.product(chars, repeat=n)}
+        assert {p.characters("secret", v) for v in own} == own
+
+
+def test_op10_long_values_and_runs_take_linear_time():
+    p = feistel_pii.Pseudonyms(b"key")
+    for text in ("token=" + "aB3" * 350_000, "secret: " + "7" * 1_000_000, "1 " * 500_000, "1" * 1_000_000, "+1 2 " * 200_000, "4111 1111 1111 1111 " * 20_000):
+        began = time.process_time()
+        new, n = p.text(text)
+        assert time.process_time() - began < 4 and len(new) == len(text)
+        assert n == (1 if "=" in text or ":" in text else n) and (n > 0 or new == text)
+
+
+def test_op10_cards_as_a_plain_search_finds_them():
+    draw = random.Random(5)
+    for _ in range(400):
+        text = "".join(draw.choice(["1", "4", "7", "0", "9", "22", " ", " ", "-", "x", ", "]) for _ in range(draw.randint(10, 60)))
+        want, at = [], 0
+        for i in range(len(text)):
+            if not text[i].isdigit() or (i and text[i - 1].isdigit()):
+                continue
+            for size in range(19, 12, -1):
+                m = re.compile(r"[0-9](?:[ -]?[0-9]){%d}(?![0-9])" % (size - 1)).match(text, i)
+                own = m and re.sub("[ -]", "", m[0])
+                if m and feistel_pii.luhn_digit(own[:-1]) == own[-1]:
+                    want.append(m.span())
+                    break
+        assert list(zip(*feistel_pii.card_spans(text), strict=True)) == want, text
+
+
+def test_op10_needs_a_key(spark):
+    assert feistel_pii.session_key(spark) == b"" and feistel_pii.session_key(spark, b"own") == b"own"
+
+
+def test_op6_keeps_frequent_words_within_their_bound(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "FREQUENT", 50)
+    end = int(maxent_lm._END)
+    rows = [(k, 10**6 + k * 1000) for k in range(1000, 1400)] + [(k, 7) for k in range(2000, 2030)] + [(end, 3)]
+    counts = spark.createDataFrame(rows, "h long, c long")
+    kept = {r.h for r in maxent_lm.frequent_words(counts).collect()}
+    assert end in kept and 40 <= len(kept) <= 51 and all(k >= 1350 for k in kept - {end})
+    same = spark.createDataFrame([(k, 10**9) for k in range(100)] + [(end, 3)], "h long, c long")
+    assert {r.h for r in maxent_lm.frequent_words(same).collect()} == {end}
+    few = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(end, 3)], "h long, c long")
+    assert maxent_lm.frequent_words(few).count() == 41
+
+
 def test_op7_odd_turns(spark):
     kinds = "conv_id long, turn long, role string, text string, pos long, block long, a string"
     long = [(1, k, "user", f"t{k}", 0, 0, "") for k in range(600)]
