@@ -3,7 +3,7 @@
 A repaired conversation has the role initials ``(s?(ua)+)?``. Windows over a conversation's turns give each turn its first
 fault; the turns' codes are collected in order, in blocks of at most ``BLOCK``; ``aggregate()`` carries four structs
 (cost, audit), one for each state of the pattern (nothing yet, after s, after u, after a), and ``least`` picks the cheaper
-one, of equal costs the ASCII-least audit. A block is folded from each of the four states, so the blocks of a
+one, of equal costs the ASCII-least audit. A block after the first is folded from each of the four states, so the blocks of a
 long conversation join in a second fold over their 4 x 4 tables. The audit has one letter for each edit in order:
 K(eep) 0, R(erole) 3, D(elete) 4, I(nsert) 3; a truncated turn that isn't deleted adds 3; blank and duplicate turns must be deleted.
 
@@ -139,14 +139,16 @@ def repair_plan(turns: DataFrame) -> DataFrame:
         F.min(F.when(here, F.col("turn"))).alias("low"), F.max(F.when(here, F.col("turn"))).alias("high"), count(F.col("new_turn")).alias("turns"),
         count(fault == "b").alias("blank"), count(fault == "d").alias("duplicate"), count(fault == "t").alias("truncated"), count(F.col("illegal")).alias("illegal"),
     )
-    table = F.struct(*[F.aggregate("codes", _four(*_start(c)), _step).alias(c) for c in STATES])
+    # a conversation begins before its first block, in one state; only later blocks are entered in all four
+    first, never = F.col("block") == 0, _four(*_start(""))
+    table = F.struct(*[F.when(first, F.aggregate("codes", _inserted(*_start("n")), _step) if c == "n" else never).otherwise(F.aggregate("codes", _four(*_start(c)), _step)).alias(c) for c in STATES])
     blocks = blocks.withColumn("table", table)
     sums = ("turns", "blank", "duplicate", "truncated", "illegal")
     whole = blocks.groupBy("conv_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("block", "table"))), lambda x: x["table"]).alias("tables"),
         F.min("low").alias("low"), F.max("high").alias("high"), *[F.sum(c).alias(c) for c in sums],
     )
-    end = F.aggregate("tables", _inserted(*_start("n")), _joined, lambda four: F.least(four["n"], four["a"]))
+    end = F.aggregate("tables", _four(*_start("n")), _joined, lambda four: F.least(four["n"], four["a"]))
     gaps = F.coalesce(F.col("high") - F.col("low") + 1 - F.col("turns"), F.lit(0)).cast("long")
     whole = whole.withColumn("end", end)
     return whole.select("conv_id", gaps.alias("gaps"), *sums[1:], F.col("end.cost").alias("cost"), F.col("end.audit").alias("audit"))
