@@ -237,7 +237,9 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     counts = found.where(F.col("other").isNull()).groupBy("node").agg(F.sum("n").alias("n"))
     own = nodes.select("node", "least", "weight").join(roots, "node", "left").join(counts, "node", "left")
     own = own.withColumn("root", F.coalesce("root", "node")).withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("weight") - 1)
-    ids = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    own = scratch.save(own, "own")
+    # written first, so that the rows of a large component can be split over tasks when they are joined
+    ids = scratch.save(own.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     own = scratch.save(own.join(ids, "root").select("node", "n_links", "component_id"), "judged")
     judged = rows.select("vec_id", "node").join(own, "node").select("vec_id", "n_links", "component_id")
     alone = embeddings.where(~valid()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
