@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.functions.embedding import hash_embedding
+from siftwell.operators import indexed_search as X
+from siftwell.operators import reindex as R
 from siftwell.operators import search as K
 from siftwell.operators.ingest import line_windows
 from siftwell.plans.catalog import Catalog
 from siftwell.sources import tables as S
+from siftwell.sources.scratch import shared_folder
+from siftwell.sources.snapshot import SnapshotStore
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -21,6 +27,21 @@ FUZZY = "therble thand ention"
 BUDGET = 16_000
 
 
+FILES_A_BUCKET = 20_000
+
+
+def text_index(spark, sf_dir) -> SnapshotStore:
+    """The index of the files of ``sf_dir`` in the shared folder, built when it isn't there or the table's files have changed."""
+    rows = S.table(spark, sf_dir, "documents")
+    mark = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    state = rows.select(mark.alias("h")).groupBy("h").agg(F.count("*").alias("n")).agg(F.bit_xor("h").alias("h"), F.sum("n").alias("n")).first()
+    name = f"index-{(state['h'] or 0) & (1 << 64) - 1:016x}"
+    store = SnapshotStore(spark, f"{shared_folder(spark)}/{name}", max(8, -(-(state["n"] or 0) // FILES_A_BUCKET)))
+    if not store.manifest()["version"]:
+        R.full_index(store, S.files(spark, sf_dir).select("path", "content"), S.WINDOW)
+    return store
+
+
 def _grams(col: str) -> str:
     return (
         f"list_distinct(flatten(list_transform(regexp_extract_all(lower({col}), '[a-z0-9]+'), "
@@ -71,25 +92,56 @@ def kw_fts_and(spark, sf_dir):
     f"WITH {S.chunks_sql()}, s AS (SELECT path, start_line, round({_sim('content', FUZZY)}, 6) AS content_sim, round({_sim('symbol', FUZZY)}, 6) AS symbol_sim FROM chunks) SELECT * FROM s WHERE content_sim > 0.2 OR symbol_sim > 0.3",
 )
 def kw_fuzzy(spark, sf_dir):
-    s = S.chunks(spark, sf_dir).select(
-        "path", "start_line", F.round(T.similarity(F.col("content"), FUZZY), 6).alias("content_sim"), F.round(T.similarity(F.col("symbol"), FUZZY), 6).alias("symbol_sim")
-    )
-    return s.where((F.col("content_sim") > K.CONTENT_FUZZY) | (F.col("symbol_sim") > K.SYMBOL_FUZZY))
+    return X.similarities(text_index(spark, sf_dir), FUZZY)
 
 
 @query("kw_nofuzzy", f"WITH {_hits(PHRASE, False)} SELECT path, start_line, score, mode FROM hits")
 def kw_nofuzzy(spark, sf_dir):
-    return K.scored(S.chunks(spark, sf_dir), PHRASE, fuzzy=False).select("path", "start_line", "score", "mode")
+    return X.scored(text_index(spark, sf_dir), PHRASE, fuzzy=False).select("path", "start_line", "score", "mode")
 
 
 @query("kw_score", f"WITH {_hits(TERM, True)} SELECT path, start_line, end_line, score, mode, row_number() OVER ({_NAMED}) AS rank FROM hits {_NAMED} LIMIT 20")
 def kw_score(spark, sf_dir):
-    return K.top_hits(K.scored(S.chunks(spark, sf_dir), TERM), 20, TERM).drop("content", "symbol", "symbol_hit")
+    return K.top_hits(X.scored(text_index(spark, sf_dir), TERM), 20, TERM).drop("symbol", "symbol_hit")
+
+
+@query(
+    "index_postings",
+    f"""WITH {S.chunks_sql()}, g AS (SELECT 'c' AS field, unnest({_grams('content')}) AS gram, 1 AS times FROM chunks UNION ALL SELECT 's', unnest({_grams('symbol')}), 1 FROM chunks
+      UNION ALL SELECT 'p', unnest({_grams('path')}), 1 FROM chunks),
+      w AS (SELECT path, start_line, unnest(regexp_extract_all(lower(content), '[a-z0-9_]+')) AS gram FROM chunks),
+      t AS (SELECT field, gram, times FROM g UNION ALL SELECT 'w', gram, count(*) FROM w GROUP BY path, start_line, gram)
+      SELECT field, gram, count(*) AS chunks, CAST(sum(times) AS BIGINT) AS times FROM t GROUP BY field, gram""",
+)
+def index_postings(spark, sf_dir):
+    """Builds the index anew and counts its postings."""
+    store = SnapshotStore(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}", 8)
+    R.full_index(store, S.files(spark, sf_dir).select("path", "content"), S.WINDOW)
+    rows = store.read("postings").select("field", "gram", F.inline("chunks"))
+    return rows.groupBy("field", "gram").agg(F.count("*").alias("chunks"), F.sum("times").alias("times"))
+
+
+_AFTER_SQL = """files AS (SELECT doc_id, lang || '/' || source || '/doc_' || doc_id || '.txt' AS path, lang AS language,
+  CASE WHEN doc_id % 7 = 0 THEN text || chr(10) || 'changed' ELSE text END AS content FROM documents WHERE doc_id % 11 <> 0)"""
+
+
+@query(
+    "reindex_incremental",
+    f"""WITH {_AFTER_SQL}{S.chunks_sql()[len(S.FILES_SQL):]} SELECT path, start_line, end_line, symbol, chunk_hash FROM chunks""",
+)
+def reindex_incremental(spark, sf_dir):
+    """All files are indexed; then every seventh changes and every eleventh goes, and the index follows."""
+    f = S.files(spark, sf_dir).select("doc_id", "path", "content")
+    store = SnapshotStore(spark, f"{shared_folder(spark)}/reindex-{uuid.uuid4().hex}", 8)
+    R.full_index(store, f.select("path", "content"), S.WINDOW)
+    changed = f.where("doc_id % 7 = 0 AND doc_id % 11 <> 0").select("path", F.concat("content", F.lit("\nchanged")).alias("content"))
+    R.incremental_index(store, changed, f.where("doc_id % 11 = 0").select("path"), S.WINDOW)
+    return store.read("chunks").select("path", "start_line", "end_line", "symbol", "chunk_hash")
 
 
 @query("kw_mode", f"WITH {_hits(PHRASE, True)} SELECT mode, count(*) AS hits, max(score) AS best FROM hits GROUP BY mode")
 def kw_mode(spark, sf_dir):
-    return K.scored(S.chunks(spark, sf_dir), PHRASE).groupBy("mode").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
+    return X.scored(text_index(spark, sf_dir), PHRASE).groupBy("mode").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
 
 
 @query("kw_rank", f"WITH {_hits(PHRASE, False)} SELECT path, start_line, round(CAST(h AS DOUBLE) * 0.8 / (h + 5), 6) AS rank_score FROM seen WHERE every")
@@ -100,7 +152,7 @@ def kw_rank(spark, sf_dir):
 
 @query("kw_total", f"WITH {_hits(TERM, False)} SELECT count(*) AS total_matches, count(*) > 20 AS truncated FROM hits")
 def kw_total(spark, sf_dir):
-    return K.scored(S.chunks(spark, sf_dir), TERM, fuzzy=False).agg(F.count("*").alias("total_matches"), (F.count("*") > 20).alias("truncated"))
+    return X.scored(text_index(spark, sf_dir), TERM, fuzzy=False).agg(F.count("*").alias("total_matches"), (F.count("*") > 20).alias("truncated"))
 
 
 @query("trigram_sim", f"SELECT doc_id, round({_sim('text', FUZZY)}, 6) AS similarity FROM documents")
@@ -210,7 +262,7 @@ def knn_topk(spark, sf_dir):
 )
 def rrf_fuse(spark, sf_dir):
     c = S.chunks(spark, sf_dir)
-    keyword = K.top_hits(K.scored(c, TERM, fuzzy=False), K.BRANCH_LIMIT, TERM)
+    keyword = K.top_hits(X.scored(text_index(spark, sf_dir), TERM, fuzzy=False), K.BRANCH_LIMIT, TERM)
     vectors = c.select(F.col("doc_id").alias("vec_id"), "path", "start_line", "end_line").join(S.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
     near = K.nearest(vectors, query_vector(spark, sf_dir), K.BRANCH_LIMIT, tie=("vec_id", "start_line"))
     semantic = near.withColumn("rank", F.row_number().over(Window.orderBy("distance", "vec_id", "start_line")))

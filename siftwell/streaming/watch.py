@@ -41,14 +41,21 @@ def watch(spark: SparkSession, inbox: str, out: str, checkpoint: str, window: in
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()
 
 
+def newest_versions(spark: SparkSession, out: str) -> DataFrame:
+    """(path, version, batch) of each path's newest version; of equal versions the one that came last."""
+    rows = spark.read.parquet(f"{out}/versions").groupBy("path").agg(F.max(F.struct("version", "batch")).alias("x"))
+    return rows.select("path", "x.*")
+
+
 def current_chunks(spark: SparkSession, out: str) -> DataFrame:
     """The chunks of each path's newest version over all batches; none for a path whose newest version says it is gone."""
-    newest = spark.read.parquet(f"{out}/versions").groupBy("path").agg(F.max("version").alias("version"))
-    return spark.read.parquet(f"{out}/chunks").join(newest, ["path", "version"])
+    return spark.read.parquet(f"{out}/chunks").join(newest_versions(spark, out), ["path", "version", "batch"])
 
 
 def compact(spark: SparkSession, out: str, to: str) -> None:
-    """Writes the present state as the one batch of a new folder, to be read and watched on in place of ``out``."""
-    rows = current_chunks(spark, out).drop("batch")
-    rows.write.mode("overwrite").parquet(f"{to}/chunks/batch=-1")
-    spark.read.parquet(f"{to}/chunks/batch=-1").select("path", "version").distinct().write.mode("overwrite").parquet(f"{to}/versions/batch=-1")
+    """Writes the present state as the one batch of a new folder, to be read and watched on in place of ``out``.
+
+    Paths that are gone keep their version, so that an older one that comes late doesn't bring them back.
+    """
+    current_chunks(spark, out).drop("batch").write.mode("overwrite").parquet(f"{to}/chunks/batch=-1")
+    newest_versions(spark, out).drop("batch").write.mode("overwrite").parquet(f"{to}/versions/batch=-1")

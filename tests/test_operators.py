@@ -17,7 +17,6 @@ from siftwell.functions.embedding import hash_embedding
 from siftwell.operators import codemap, contracts, ingest, planning, savings, search, state
 from siftwell.sources import sinks
 from siftwell.sources.tree import ignore_lines, read_tree
-from siftwell.streaming.leases import replay
 from siftwell.streaming.watch import compact, current_chunks, watch
 
 
@@ -228,12 +227,6 @@ def test_scope_is_a_partition_filter(spark, tmp_path):
     assert state.scoped(rows, projects, "nobody").count() == 0
 
 
-def test_lease_replay(spark):
-    log = [(1, 1, 0, "claim", "a"), (1, 2, 5, "claim", "b"), (1, 3, 10, "claim", "b"), (1, 4, 12, "complete", "a"), (1, 5, 12, "complete", "b"), (2, 1, 0, "claim", "a"), (2, 2, 1, "release", "a")]
-    got = {r.task: (r.status, r.holder, r.accepted) for r in replay(spark.createDataFrame(log, "task long, seq long, at long, op string, actor string"), 10).collect()}
-    assert got == {1: ("completed", None, 3), 2: ("ready", None, 2)}
-
-
 def test_watch_indexes_the_newest_version(spark, tmp_path):
     inbox, out = tmp_path / "in", str(tmp_path / "out")
     inbox.mkdir()
