@@ -76,10 +76,13 @@ def ignore_regex(patterns: tuple[str, ...] | list[str]) -> str:
 def skip_reason(path: Column, size: Column, ignore: str, max_bytes: int = MAX_BYTES, content: Column | None = None) -> Column:
     """Why a file isn't indexed, or null: ``ignored``, ``too_large`` or ``binary`` (a NUL early on, or no valid UTF-8)."""
     reason = F.when(path.rlike(ignore), "ignored").when(size > max_bytes, "too_large")
-    if content is not None:
-        early = F.instr(F.substring(F.decode(F.substring(content, 1, 8192), "ISO-8859-1"), 1, 8192), "\0") > 0
-        reason = reason.when(early | ~F.is_valid_utf8(content), "binary")
-    return reason
+    return reason if content is None else F.coalesce(reason, binary_reason(content))
+
+
+def binary_reason(content: Column) -> Column:
+    """``binary`` for a content with a NUL early on, or no valid UTF-8; else null."""
+    early = F.instr(F.substring(F.decode(F.substring(content, 1, 8192), "ISO-8859-1"), 1, 8192), "\0") > 0
+    return F.when(early | ~F.is_valid_utf8(content), "binary")
 
 
 def line_windows(files: DataFrame, window: int, content: str = "content", step: int | None = None) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Sinks: ordered text and JSON exports, append-only logs, upserts into Parquet tables."""
+"""Sinks: ordered text, whole documents, upserts into Parquet tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions import text as T
+from siftwell.sources.hadoop import Files
 
 
 def write_lines(rows: DataFrame, column: str, order: list[str], path: str) -> None:
@@ -13,11 +15,19 @@ def write_lines(rows: DataFrame, column: str, order: list[str], path: str) -> No
     rows.orderBy(*order).select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
-def append_log(rows: DataFrame, path: str, response: str | None = None) -> None:
-    """Appends JSON lines; with ``response``, an estimate of that column's tokens is added."""
-    if response:
-        rows = rows.withColumn("response_tokens", T.token_estimate(F.col(response))).drop(response)
-    rows.write.mode("append").json(path)
+def write_document(rows: DataFrame, column: str, order: list[str], path: str) -> None:
+    """One text file that holds ``column`` in the given order, put in place in one step.
+
+    Tasks write ranges of it; their bytes are then joined through a buffer, so neither a task nor the driver holds it all.
+    """
+    files, parts = Files(rows.sparkSession, path), f"{path}.{uuid.uuid4().hex}"
+    try:
+        write_lines(rows, column, order, parts)
+        names = [f"{parts}/{n}" for n in files.names(parts) if n.startswith("part-")]
+        files.join(names, f"{parts}/_joined")
+        files.replace(f"{parts}/_joined", path)
+    finally:
+        files.delete(parts)
 
 
 def upserted(table: DataFrame, changes: DataFrame, key: list[str], deleted: str | None = None) -> DataFrame:
@@ -39,6 +49,13 @@ def insert_absent(spark: SparkSession, path: str, rows: DataFrame, key: list[str
     return seen.get["n"]
 
 
-def replace_paths(spark: SparkSession, table: str, rows: DataFrame, bucket: str = "bucket") -> None:
-    """Overwrites only the partitions of ``table`` (by ``bucket``) that ``rows`` has: the incremental re-index write."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(table)
+def write_files(rows: DataFrame, root: str) -> int:
+    """Puts each small file (file, content) in place below ``root`` by a rename, one after another; returns how many."""
+    files, n = Files(rows.sparkSession, root), 0
+    for r in rows.select("file", "content").toLocalIterator():
+        target = f"{root.rstrip('/')}/{r['file']}"
+        part = f"{target}.{uuid.uuid4().hex}"
+        files.write(part, r["content"])
+        files.replace(part, target)
+        n += 1
+    return n

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from siftwell.sources.hadoop import Files
+
 
 class Conflict(RuntimeError):
     """Another commit came first."""
@@ -30,42 +32,13 @@ def bucket_of(path, buckets: int):
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-    def _exists(self, name: str) -> bool:
-        return self._fs.exists(self._path(f"{self.root}/{name}"))
-
-    def _read(self, name: str) -> str:
-        """A small file of the store."""
-        stream = self._fs.open(self._path(f"{self.root}/{name}"))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def _write(self, name: str, text: str) -> None:
-        stream = self._fs.create(self._path(f"{self.root}/{name}"), True)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-
-    def _replace(self, source: str, target: str) -> None:
-        """Renames over the target in one step."""
-        jvm = self.spark._jvm
-        overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        kinds = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        kinds[0] = overwrite
-        root = self._fs.makeQualified(self._path(self.root))
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), self.spark._jsparkSession.sessionState().newHadoopConf())
-        context.rename(self._path(f"{self.root}/{source}"), self._path(f"{self.root}/{target}"), kinds)
+        self.files = Files(spark, self.root)
 
     def manifest(self) -> dict:
         """{version, tables: {name: {schema, buckets: {bucket: folder}}}} of the state in force."""
-        if not self._exists("CURRENT"):
+        if not self.files.exists(f"{self.root}/CURRENT"):
             return {"version": "", "tables": {}}
-        return json.loads(self._read(f"manifests/{self._read('CURRENT')}.json"))
+        return json.loads(self.files.read(f"{self.root}/manifests/{self.files.read(f'{self.root}/CURRENT')}.json"))
 
     def read(self, table: str, buckets: Iterable[int] | None = None, manifest: dict | None = None) -> DataFrame:
         """A table with its ``bucket``, of all buckets or of some; only those are listed and read."""
@@ -101,17 +74,15 @@ class SnapshotStore:
         return new
 
     def _written(self, name: str) -> list[int]:
-        found = self._fs.listStatus(self._path(f"{self.root}/{name}"))
-        names = [f.getPath().getName() for f in found]
-        return [int(n.partition("=")[2]) for n in names if n.startswith("bucket=")]
+        return [int(n.partition("=")[2]) for n in self.files.names(f"{self.root}/{name}") if n.startswith("bucket=")]
 
     def publish(self, new: dict) -> str:
         """Puts a prepared manifest in force, if the state it was prepared on still is."""
         if self.manifest()["version"] != new["base"]:
             raise Conflict(f"{new['base'] or 'nothing'} is no longer in force")
-        self._write(f"manifests/{new['version']}.json", json.dumps(new))
-        self._write(f"pointers/{new['version']}", new["version"])
-        self._replace(f"pointers/{new['version']}", "CURRENT")
+        self.files.write(f"{self.root}/manifests/{new['version']}.json", json.dumps(new))
+        self.files.write(f"{self.root}/pointers/{new['version']}", new["version"])
+        self.files.replace(f"{self.root}/pointers/{new['version']}", f"{self.root}/CURRENT")
         return new["version"]
 
     def commit(self, tables: dict[str, DataFrame], changed: Iterable[int] | None = None, base: dict | None = None, order: dict[str, list[str]] | None = None) -> str:
@@ -122,9 +93,9 @@ class SnapshotStore:
         held = self.manifest()
         used = {f for t in held["tables"].values() for f in t["buckets"].values()}
         gone = []
-        if self._exists("data"):
-            for f in self._fs.listStatus(self._path(f"{self.root}/data")):
-                if f.getPath().getName() not in used:
-                    gone.append(f.getPath().getName())
-                    self._fs.delete(f.getPath(), True)
+        if self.files.exists(f"{self.root}/data"):
+            for name in self.files.names(f"{self.root}/data"):
+                if name not in used:
+                    gone.append(name)
+                    self.files.delete(f"{self.root}/data/{name}")
         return gone

@@ -303,6 +303,64 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# the log of contract commands: requirements, their invariants, and these' criteria; evidence and violations
+
+CONTRACT_LOG_SQL = """log AS (SELECT seq, n, requirement_id, invariant_id, invariant_id * 2 + k % 2 AS criterion_id, op, k, author,
+    CASE WHEN op = 'create' OR seq % 4 <> 0 THEN CASE WHEN seq % 3 = 0 THEN 'test' ELSE 'command' END END AS evidence_kind, CASE WHEN op = 'create' OR seq % 4 <> 1 THEN seq % 5 <> 0 END AS required,
+    CASE WHEN op = 'create' OR seq % 4 <> 2 THEN seq % 2 = 0 END AS independent_review
+  FROM (SELECT event_id AS seq, event_id % 10 AS n, user_id // 3 AS requirement_id, (user_id // 3) * 2 + CAST(floor(value) AS BIGINT) % 2 AS invariant_id,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'author ' || event_id % 3 AS author,
+    CASE (event_id // 10) % 8 WHEN 5 THEN 'delete' WHEN 6 THEN 'restore' WHEN 3 THEN 'update' WHEN 4 THEN 'update' WHEN 7 THEN 'update' ELSE 'create' END AS op FROM events)),
+  records AS (SELECT seq, criterion_id, requirement_id, invariant_id, CASE seq % 4 WHEN 0 THEN 'review' WHEN 1 THEN 'test' ELSE 'command' END AS kind, CASE WHEN k % 5 = 0 THEN 'failed' ELSE 'passed' END AS result,
+    CASE WHEN k % 7 = 0 THEN 'provisional' ELSE 'verified' END AS recorded, author, 'criterion:' || criterion_id AS review_ref FROM log WHERE n IN (6, 7)),
+  found AS (SELECT seq AS violation_id, seq, invariant_id, requirement_id, CASE WHEN k % 2 = 0 THEN 'blocking' ELSE 'warning' END AS severity FROM log WHERE n = 8),
+  resolves AS (SELECT seq, seq - 1 - 10 * (k % 4) AS violation_id FROM log WHERE n = 9),
+  places AS (SELECT requirement_id, ((SELECT max(event_id) FROM events) * (1 + requirement_id % 3)) // 3 AS spot FROM (SELECT DISTINCT requirement_id FROM log))"""
+
+
+def contract_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, n, requirement_id, invariant_id, criterion_id, op, k, author, evidence_kind, required, independent_review); ``n`` tells what a command is about."""
+    i = F.col("event_id")
+    requirement = F.floor(F.col("user_id") / 3).cast("long")
+    turn = F.floor(i / 10) % 8
+    rows = table(spark, sf_dir, "events").select(
+        i.alias("seq"),
+        (i % 10).alias("n"),
+        requirement.alias("requirement_id"),
+        (requirement * 2 + F.floor("value") % 2).cast("long").alias("invariant_id"),
+        F.get_json_object("props", "$.k").cast("long").alias("k"),
+        F.concat(F.lit("author "), i % 3).alias("author"),
+        F.when(turn == 5, "delete").when(turn == 6, "restore").when(turn.isin(3, 4, 7), "update").otherwise("create").alias("op"),
+    )
+    seq, create = F.col("seq"), F.col("op") == "create"
+    return rows.withColumns(
+        {
+            "criterion_id": F.col("invariant_id") * 2 + F.col("k") % 2,
+            "evidence_kind": F.when(create | (seq % 4 != 0), F.when(seq % 3 == 0, "test").otherwise("command")),
+            "required": F.when(create | (seq % 4 != 1), seq % 5 != 0),
+            "independent_review": F.when(create | (seq % 4 != 2), seq % 2 == 0),
+        }
+    )
+
+
+def contract_records(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of a contract log: evidence records, violations and their resolves."""
+    seq, k = F.col("seq"), F.col("k")
+    records = log.where("n IN (6, 7)").select(
+        "seq",
+        "criterion_id",
+        "requirement_id",
+        "invariant_id",
+        F.when(seq % 4 == 0, "review").when(seq % 4 == 1, "test").otherwise("command").alias("kind"),
+        F.when(k % 5 == 0, "failed").otherwise("passed").alias("result"),
+        F.when(k % 7 == 0, "provisional").otherwise("verified").alias("recorded"),
+        "author",
+        F.concat(F.lit("criterion:"), "criterion_id").alias("review_ref"),
+    )
+    found = log.where("n = 8").select(seq.alias("violation_id"), "seq", "invariant_id", "requirement_id", F.when(k % 2 == 0, "blocking").otherwise("warning").alias("severity"))
+    return records, found, log.where("n = 9").select("seq", (seq - 1 - 10 * (k % 4)).alias("violation_id"))
+
+
 # the savings log
 
 SAVINGS_SQL = """savings AS (SELECT event_id, event_type AS operation, user_id AS caller, CAST(floor(value) AS BIGINT) AS actual,
