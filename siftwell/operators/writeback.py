@@ -20,7 +20,7 @@ def heading_line(key: Column, title: Column) -> Column:
 
 def file_lines(files: DataFrame) -> DataFrame:
     """(file, pos, line, block, managed): the lines of ``files`` (file, content); a block is the running count of headings, 0 before the first."""
-    rows = files.select("file", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
+    rows = files.select("file", F.posexplode(F.split(F.regexp_replace("content", r"\n\z", ""), "\n")).alias("pos", "line"))
     order = Window.partitionBy("file").orderBy("pos")
     heading = F.col("line").rlike(_HEADING)
     rows = rows.withColumn("heading", heading).withColumn("block", F.sum(F.col("heading").cast("long")).over(order))

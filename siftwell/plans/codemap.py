@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
+from siftwell.functions.similarity import close_names
 from siftwell.operators import codemap as M
 from siftwell.plans.catalog import Catalog
 from siftwell.sources import tables as S
@@ -224,15 +225,29 @@ def area_connections(spark, sf_dir):
     return per.select(F.concat("source", F.lit(" → "), "targets").alias("sentence"))
 
 
+NEAR = "fr/src1/doc_13.tx"
+
+
 @query(
     "near_paths",
-    f"WITH {S.FILES_SQL}, d AS (SELECT path, levenshtein(path, 'fr/src1/doc_13.tx') AS distance FROM files) SELECT path, CAST(distance AS BIGINT) AS distance FROM d WHERE 1 - distance / CAST(greatest(length(path), 17) AS DOUBLE) >= 0.4 ORDER BY distance, path LIMIT 5",
+    f"""WITH RECURSIVE {S.FILES_SQL}, names AS (SELECT DISTINCT path FROM files),
+      a AS (SELECT path, i, substr(path, i + 1, 1) AS c FROM (SELECT path, unnest(range(length(path))) AS i FROM names)), b AS (SELECT j, substr('{NEAR}', j + 1, 1) AS c FROM (SELECT unnest(range({len(NEAR)})) AS j)),
+      same AS (SELECT path, i, j, i - row_number() OVER (PARTITION BY path, i - j ORDER BY i) AS run FROM a JOIN b USING (c)),
+      cells AS MATERIALIZED (SELECT path, i, j, max(i) OVER (PARTITION BY path, i - j, run) - i + 1 AS length FROM same),
+      parts AS (
+        SELECT path, CAST(0 AS BIGINT) AS alo, CAST(length(path) AS BIGINT) AS ahi, CAST(0 AS BIGINT) AS blo, CAST({len(NEAR)} AS BIGINT) AS bhi, CAST(0 AS BIGINT) AS size FROM names
+        UNION ALL
+        SELECT path, CASE side WHEN 0 THEN alo ELSE x.i + x.k END, CASE side WHEN 0 THEN x.i ELSE ahi END, CASE side WHEN 0 THEN blo ELSE x.j + x.k END, CASE side WHEN 0 THEN x.j ELSE bhi END,
+          CASE side WHEN 0 THEN x.k ELSE 0 END
+        FROM (SELECT p.path, alo, ahi, blo, bhi, max(struct_pack(k := least(length, ahi - i, bhi - j), ni := -i, nj := -j)) AS m FROM parts p
+          JOIN cells c ON c.path = p.path AND i >= alo AND i < ahi AND j >= blo AND j < bhi GROUP BY p.path, alo, ahi, blo, bhi) g,
+          LATERAL (SELECT struct_pack(k := CAST(m.k AS BIGINT), i := CAST(-m.ni AS BIGINT), j := CAST(-m.nj AS BIGINT)) AS x), (SELECT unnest([0, 1]) AS side) sides),
+      r AS (SELECT path, 2.0::DOUBLE * sum(size) / (length(path) + {len(NEAR)}) AS ratio FROM parts GROUP BY path)
+      SELECT path, round(ratio, 6) AS ratio FROM r WHERE ratio >= 0.4 ORDER BY r.ratio DESC, path DESC LIMIT 5""",
 )
 def near_paths(spark, sf_dir):
-    wanted = "fr/src1/doc_13.tx"
-    d = F.levenshtein("path", F.lit(wanted))
-    ratio = 1 - d / F.greatest(F.length("path"), F.lit(len(wanted)))
-    return S.files(spark, sf_dir).where(ratio >= 0.4).select("path", d.cast("long").alias("distance")).orderBy("distance", "path").limit(5)
+    names = S.files(spark, sf_dir).select("path").distinct()
+    return close_names(names, "path", NEAR).select("path", F.round("ratio", 6).alias("ratio"))
 
 
 @query(

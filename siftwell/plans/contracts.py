@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.operators import contracts as C
 from siftwell.operators.context import top_per_section
+from siftwell.operators.contract_document import contract_documents
 from siftwell.plans.catalog import Catalog
 from siftwell.sources import tables as S
 
@@ -124,6 +125,41 @@ def contract_fit(spark, sf_dir):
     return C.fit_lines(lines, 20, F.lit(16))
 
 
+_ROOM = 60
+
+
+def _documents_sql() -> str:
+    start = _INVARIANTS.index(", open AS (SELECT DISTINCT invariant_id")
+    call = "more; call get_requirement_contract / get_requirement_evidence"
+    return f"""{_GATE}{_INVARIANTS[start:]},
+      lines AS (SELECT requirement_id, place, CASE WHEN blocking THEN 'violation' WHEN kind = 'forbidden-path' THEN 'must_not' ELSE 'must' END AS kind, key || ': ' || repeat(risk || ' ', CAST(1 + invariant_id % 9 AS BIGINT)) AS line FROM placed),
+      closing AS (SELECT requirement_id, 'CLOSE ' || ac_verified || '/' || ac_total AS close FROM gate),
+      sums AS (SELECT l.*, close, row_number() OVER w AS k, count(*) OVER (PARTITION BY requirement_id) AS n,
+        {", ".join(f"sum(CASE WHEN kind = '{k}' THEN length(line) + 2 ELSE 0 END) OVER w AS {k}_chars" for k in ("violation", "must", "must_not"))} FROM lines l JOIN closing USING (requirement_id)
+        WINDOW w AS (PARTITION BY requirement_id ORDER BY place)),
+      sized AS (SELECT *, 8 + {" + ".join(f"CASE WHEN {k}_chars > 0 THEN {n + 1} + {k}_chars ELSE 0 END" for k, n in (("violation", 10), ("must", 4), ("must_not", 8)))}
+        + CASE WHEN n > k THEN 1 + length('+' || (n - k) || ' {call}') ELSE 0 END + 2 + length(close) AS size FROM sums),
+      cut AS (SELECT *, bool_or(size > {_ROOM * 4}) OVER (PARTITION BY requirement_id ORDER BY place) AS stopped, {_ROOM * 4} - (size - length(line)) AS room FROM sized),
+      fitted AS (SELECT requirement_id, max(b) AS b FROM (SELECT requirement_id, room, line, unnest(range(1, {_ROOM + 1})) AS b FROM cut WHERE k = 1 AND stopped)
+        WHERE length(CASE WHEN (length(line) + 3) // 4 <= b THEN line ELSE rtrim(left(line, b * 4 - 1)) || '…' END) <= room GROUP BY requirement_id),
+      kept AS (SELECT c.*, CASE WHEN NOT stopped THEN line WHEN k = 1 AND b IS NOT NULL THEN CASE WHEN (length(line) + 3) // 4 <= b THEN line ELSE rtrim(left(line, b * 4 - 1)) || '…' END END AS said FROM cut c LEFT JOIN fitted USING (requirement_id)),
+      texts AS (SELECT requirement_id, max(n) AS n, count(said) AS held, {", ".join(f"string_agg(CASE WHEN kind = '{k}' THEN said END, '; ' ORDER BY k) AS {k}" for k in ("violation", "must", "must_not"))} FROM kept GROUP BY requirement_id)
+      SELECT c.requirement_id, CASE WHEN coalesce(held, 0) > 0 THEN 'CONTRACT' || coalesce(chr(10) || 'Violations: ' || violation, '') || coalesce(chr(10) || 'Must: ' || must, '') || coalesce(chr(10) || 'Must not: ' || must_not, '')
+          || CASE WHEN n > held THEN chr(10) || '+' || (n - held) || ' {call}' ELSE '' END || chr(10) || chr(10) || close
+        ELSE 'CONTRACT' || chr(10) || '+' || greatest(coalesce(n, 0), 1) || ' {call}' || chr(10) || chr(10) || CASE WHEN (length('CONTRACT' || chr(10) || '+' || greatest(coalesce(n, 0), 1) || ' {call}' || chr(10) || chr(10) || close) + 3) // 4 <= {_ROOM} THEN close ELSE 'CLOSE none' END END AS document,
+        CAST(coalesce(n, 0) - coalesce(held, 0) AS BIGINT) AS omitted, coalesce(held, 0) = 0 OR n > held AS truncated FROM closing c LEFT JOIN texts USING (requirement_id)"""
+
+
+@query("contract_document", _documents_sql())
+def contract_document(spark, sf_dir):
+    inv = _invariants(spark, sf_dir)
+    kind = F.when(F.coalesce("blocking", F.lit(False)), "violation").when(F.col("kind") == "forbidden-path", "must_not").otherwise("must")
+    line = F.concat("key", F.lit(": "), F.repeat(F.concat("risk", F.lit(" ")), (1 + F.col("invariant_id") % 9).cast("int")))
+    lines = C.statement_order(inv).join(inv.select("requirement_id", "invariant_id", kind.alias("kind"), line.alias("line")), ["requirement_id", "invariant_id"])
+    closing = C.close_gate(*_all(spark, sf_dir)).select("requirement_id", F.concat(F.lit("CLOSE "), "ac_verified", F.lit("/"), "ac_total").alias("close"))
+    return contract_documents(lines.select("requirement_id", "place", "kind", "line"), closing, "CLOSE none", _ROOM)
+
+
 @query(
     "excessive_reuse",
     f"{_E}, {_VERIFIED} SELECT 0 AS requirement_id, {_KEY} AS test_ref, count(DISTINCT criterion_id) AS criteria FROM verified WHERE test_ref IS NOT NULL AND test_ref <> '' GROUP BY 2 HAVING count(DISTINCT criterion_id) > 3",

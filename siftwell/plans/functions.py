@@ -105,3 +105,18 @@ _LANG = "CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'tsx' WHEN 2 THEN 'rus
 def source_imports(spark, sf_dir):
     found = imported_modules(F.expr(_LANG), F.expr(_CODE.replace("chr(10)", "'\\n'").replace("''b''", "\\'b\\'")))
     return S.table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("module"))
+
+
+@query(
+    "import_lists",
+    """WITH p AS (SELECT doc_id, 'm' || doc_id AS m FROM documents)
+      SELECT doc_id, 'python' AS language, unnest(['os', m, 'pkg.' || m, '.near', '..']) AS module FROM p UNION ALL SELECT doc_id, 'rust', unnest(['std::' || m, 'std::io', 'std::io::Read', 'a::b::c', 'a::b::d::*', 'one']) FROM p""",
+)
+def import_lists(spark, sf_dir):
+    """Lists, aliases, nested braces, and words in strings and comments that only look like imports."""
+    m = F.concat(F.lit("m"), "doc_id")
+    python = F.concat(F.lit('\"\"\"\nfrom here we go\nimport nothing\n\"\"\"\nimport os, '), m, F.lit(" as x\n# import no\n    import pkg."), m, F.lit("\nfrom .near import (a,\n  b)\nfrom .. import c\nfrom there to here\n"))
+    rust = F.concat(F.lit("/* use no::no; */\n// use no;\npub use std::{"), m, F.lit(", io::{self, Read as R}};\nuse a::b::{\n  c,\n  d::{*},\n};\nuse one;\n"))
+    row = lambda name, text: F.struct(F.lit(name).alias("language"), text.alias("content"))
+    rows = S.table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(row("python", python), row("rust", rust))))
+    return rows.select("doc_id", "language", F.explode(imported_modules(F.col("language"), F.col("content"))).alias("module"))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 from siftwell.operators import ingest as I
+from siftwell.operators import writeback as W
+from siftwell.operators.scan import scanned
 from siftwell.plans.catalog import Catalog
 from siftwell.sources import tables as S
 
@@ -314,3 +316,46 @@ def embed_pending(spark, sf_dir):
 def text_hygiene(spark, sf_dir):
     t = F.col("text")
     return S.table(spark, sf_dir, "documents").select("doc_id", T.looks_like_secret(t).alias("secret"), T.looks_like_diff(t).alias("diff"), T.looks_like_log(t).alias("log"))
+
+
+#: Ignore files of a tree of lang/source/doc_n.txt: (folder, text).
+_IGNORE_FILES = [("", "*_77.txt\n"), ("en", "src1/\ndoc_*9.txt\n!doc_19.txt\n"), ("en/src2", "doc_?.txt\n!doc_4.txt\n"), ("fr", "/src0\n"), ("de", "# but\n!*_77.txt\n"), ("en/src1", "!*\n")]
+
+
+@query(
+    "tree_ignore",
+    f"""WITH {S.FILES_SQL}, p AS (SELECT path, size, split_part(path, '/', 1) AS lang, split_part(path, '/', 2) AS source, split_part(path, '/', 3) AS base FROM files),
+      d AS (SELECT *, (lang = 'en' AND source = 'src1') OR (lang = 'fr' AND source = 'src0') AS pruned,
+        CASE WHEN lang = 'en' AND source = 'src2' AND base = 'doc_4.txt' THEN false WHEN lang = 'en' AND source = 'src2' AND regexp_matches(base, '^doc_[^/]\\.txt$') THEN true
+          WHEN lang = 'en' AND base = 'doc_19.txt' THEN false WHEN lang = 'en' AND regexp_matches(base, '^doc_[^/]*9\\.txt$') THEN true WHEN lang = 'de' AND regexp_matches(base, '_77\\.txt$') THEN false
+          WHEN regexp_matches(base, '_77\\.txt$') THEN true ELSE false END AS own FROM p)
+      SELECT path, CASE WHEN pruned OR own THEN 'ignored' WHEN size > {TOO_LARGE} THEN 'too_large' END AS skip_reason FROM d""",
+)
+def tree_ignore(spark, sf_dir):
+    paths = S.files(spark, sf_dir).select("path", "size")
+    return scanned(paths, spark.createDataFrame(_IGNORE_FILES, "folder string, text string"), [], TOO_LARGE).select("path", "skip_reason")
+
+
+_REQ_SQL = """req AS (SELECT 'n' || c_nationkey AS file, 'R-' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS req_key, c_name AS title, c_custkey AS k,
+    CASE c_custkey % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'blocked' ELSE 'not-started' END AS status FROM customer)"""
+
+
+@query(
+    "requirements_written",
+    f"""WITH {_REQ_SQL}, own AS (SELECT file, string_agg('### ' || req_key || ' — ' || title || CASE WHEN k % 4 = 1 THEN CASE WHEN status <> 'not-started' THEN chr(10) || '<!-- req status=' || status || ' -->' ELSE '' END
+        ELSE chr(10) || '<!-- req status=' || status || ' files=a.py -->' END || chr(10) || 'Prose  of ' || k || ' ', chr(10) || chr(10) ORDER BY req_key) AS body FROM req WHERE k % 5 <> 0 GROUP BY file),
+      more AS (SELECT file, string_agg(chr(10) || chr(10) || '### ' || req_key || ' — ' || title || chr(10) || '<!-- req status=' || status || ' -->' || chr(10) || chr(10) || 'Written by ' || k, '' ORDER BY req_key) AS body FROM req WHERE k % 5 = 0 AND k % 10 <> 0 GROUP BY file)
+      SELECT f.file, '# Requirements' || chr(10) || chr(10) || coalesce(own.body, '') || coalesce(more.body, '') || chr(10) AS content FROM (SELECT DISTINCT file FROM req) f LEFT JOIN own USING (file) LEFT JOIN more USING (file)""",
+)
+def requirements_written(spark, sf_dir):
+    """A requirements file for each nation, brought in line with the store; some requirements are not in it yet, some of these are archived."""
+    k = F.col("c_custkey")
+    store = S.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("n"), "c_nationkey").alias("file"), F.concat(F.lit("R-"), F.lpad(k.cast("string"), 6, "0")).alias("req_key"), F.col("c_name").alias("title"), k.alias("k"),
+        F.when(k % 3 == 0, "done").when(k % 3 == 1, "blocked").otherwise("not-started").alias("status"), F.concat(F.lit("Written by "), k).alias("prose"), (k % 10 == 0).alias("archived"),
+    )
+    token = F.when(F.col("k") % 4 == 1, "").otherwise(F.concat(F.lit("\n<!-- req status="), F.when(F.col("k") % 2 == 0, "done").otherwise("in-progress"), F.lit(" files=a.py -->")))
+    block = F.concat(W.heading_line(F.col("req_key"), F.col("title")), token, F.lit("\nProse  of "), "k", F.lit(" "))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") % 5 != 0, F.struct("req_key", block.alias("block"))))), lambda x: x["block"]), "\n\n")
+    files = store.groupBy("file").agg(F.concat(F.lit("# Requirements\n\n"), body, F.lit("\n")).alias("content"))
+    return W.written(files, store.drop("k")).select("file", "content")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftwell.operators import planning as P
+from siftwell.operators.validation import DRAFT, faults
 from siftwell.plans.catalog import Catalog
 from siftwell.sources import tables as S
 
@@ -106,3 +107,39 @@ def task_history(spark, sf_dir):
 def plan_order(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("plan_id").orderBy(F.desc("priority"), "task_no"))
     return S.tasks(spark, sf_dir).select("plan_id", "task_no", "priority", place.cast("long").alias("place"))
+
+
+_OK = '{"local_task_id": "t1", "title": "One", "objective": "Do", "linked_files": ["./src/a.py"]}, {"local_task_id": "t2", "title": "Two", "objective": "Do"}'
+#: What is wrong with a draft, by the part's number modulo 12, and the fault that tells it.
+_DRAFTS = [
+    (_OK, "", None),
+    (_OK, ', "x": 1', "$.x: unknown"),
+    (_OK.replace('"Do"}', '" "}'), "", "$.tasks[1].objective: empty"),
+    ("", "", "$.tasks: too_few"),
+    (_OK.replace("t2", "t1"), "", "$.tasks: repeated"),
+    (_OK, ', "dependencies": [{"task_local_id": "t2", "depends_on_local_id": "t2"}]', "$.dependencies: self"),
+    (_OK, ', "dependencies": [{"task_local_id": "t2", "depends_on_local_id": "t9"}]', "$.dependencies: dangling"),
+    (_OK.replace("t2", "t" * 40), "", "$.tasks[1].local_task_id: too_long"),
+    (_OK.replace('"./src/a.py"', '3, "/etc/x"'), "", "$.tasks[0].linked_files[0]: type|$.tasks[0].linked_files[1]: path"),
+    (_OK, ', "notes": [1], "dependencies": {}', "$.dependencies: type|$.notes: type"),
+    (_OK.replace('"title": "Two", ', ""), "", "$.tasks[1].title: missing"),
+    (_OK, "]", "$: json"),
+]
+
+
+@query(
+    "draft_faults",
+    "SELECT p_partkey, CASE WHEN length(p_name) > 160 THEN '$.title: too_long' ELSE CASE p_partkey % 12 "
+    + " ".join(f"WHEN {k} THEN '{fault}'" for k, (_, _, fault) in enumerate(_DRAFTS) if fault)
+    + " END END AS faults FROM part WHERE p_partkey % 12 <> 0 OR length(p_name) > 160",
+)
+def draft_faults(spark, sf_dir):
+    """Plan drafts in JSON, one for each part, and every fault of them."""
+    i = F.col("p_partkey") % 12
+    tasks, more = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (own, rest, _) in enumerate(_DRAFTS):
+        tasks, more = F.when(i == k, own).otherwise(tasks), F.when(i == k, rest).otherwise(more)
+    head = F.to_json(F.struct(F.col("p_name").alias("title"), F.lit("Goal").alias("goal")))
+    document = F.concat(F.rtrim(head, F.lit("}")), F.lit(', "tasks": ['), tasks, F.lit("]"), more, F.lit("}"))
+    rows = S.table(spark, sf_dir, "part").select("p_partkey", faults(document, DRAFT).alias("f")).where(F.size("f") > 0)
+    return rows.select("p_partkey", F.array_join("f", "|").alias("faults"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import paths as P
 from siftwell.operators import state as O
+from siftwell.operators.validation import ENTRY, faults
 from siftwell.plans.catalog import Catalog
 from siftwell.sources import tables as S
 
@@ -177,3 +178,16 @@ _RAW = "CASE doc_id % 8 WHEN 0 THEN '/etc/' || doc_id WHEN 1 THEN '~/x' || doc_i
 def path_guard(spark, sf_dir):
     raw = F.expr(_RAW)
     return S.table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"), P.normal_path(raw).alias("path"), P.path_fault(raw).alias("reason"))
+
+
+@query(
+    "entry_faults",
+    f"""WITH {S.ENTRIES_SQL} SELECT entry_id, concat_ws('|', '$.section: choice', CASE WHEN length(trim(headline)) = 0 THEN '$.headline: empty' WHEN length(trim(headline)) > 120 THEN '$.headline: too_long' END,
+      CASE WHEN length(trim(detail)) > 8000 THEN '$.detail: too_long' END, CASE WHEN priority > 100 THEN '$.priority: range' END, CASE WHEN conv_id % 3 = 0 THEN '$.extra: unknown' END) AS faults FROM entries""",
+)
+def entry_faults(spark, sf_dir):
+    """The entries as JSON documents, and every fault by its path; a chat role is no section."""
+    e = S.entries(spark, sf_dir)
+    extra = F.when(F.col("conv_id") % 3 == 0, F.lit("more"))
+    document = F.to_json(F.struct("section", "headline", "detail", "status", "requirement_status", "priority", extra.alias("extra")))
+    return e.select("entry_id", F.array_join(faults(document, ENTRY), "|").alias("faults"))
