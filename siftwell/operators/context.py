@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
+from siftwell.operators.contracts import numbered
 
 HIDDEN = ("deleted", "archived")
 
@@ -37,6 +38,46 @@ def relevance(headline: Column, linked: Column | None, task: str, focus: str = "
     return score
 
 
+#: What each sign of a match adds to an entry's score.
+RANKED_PATH, FOCUS_PATH, PATH_IN_TASK, RELATED = 100, 70, 80, 120
+
+
+def linked_points(linked: Column, task: str, ranked_paths: tuple[str, ...] = (), focus_paths: tuple[str, ...] = ()) -> Column:
+    """What an entry's linked files (an array) add: one that touches a ranked path, one that touches a focus path, one that the task names.
+
+    Two paths touch when one has the other in it, as text, without leading dots and slashes.
+    """
+    clean = F.transform(linked, lambda x: F.ltrim(F.lower(x), F.lit("./")))
+    points = lambda cond, n: F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
+
+    def touches(paths: tuple[str, ...]) -> Column:
+        wanted = F.array(*[F.lit(p.lower().lstrip("./")) for p in paths])
+        return F.exists(clean, lambda a: F.exists(wanted, lambda b: F.contains(a, b) | F.contains(b, a))) if paths else F.lit(False)
+
+    named = F.exists(linked, lambda x: F.contains(F.lit(task.lower()), F.lower(x)))
+    return points(touches(ranked_paths), RANKED_PATH) + points(touches(focus_paths), FOCUS_PATH) + points(named, PATH_IN_TASK)
+
+
+def related_points(related: Column, requirements: tuple) -> Column:
+    """What an entry adds that is tied to one of the task's own requirements."""
+    return F.when(F.coalesce(related.isin(*requirements), F.lit(False)), RELATED).otherwise(0) if requirements else F.lit(0)
+
+
+def requirement_lines(requirements: DataFrame) -> DataFrame:
+    """(place, line): a summary of all requirements (entry_id, headline, status, priority), then the blocked ones and those in progress, each by priority.
+
+    A null status is not-started. Places are given by ranges, so no task holds all lines.
+    """
+    rows = requirements.withColumn("status", F.coalesce("status", F.lit("not-started")))
+    n = lambda s: F.count_if(F.col("status") == s).cast("string")
+    parts = [n("done"), F.lit("/"), F.count("*").cast("string"), F.lit(" done · "), n("in-progress"), F.lit(" in progress · "), n("blocked"), F.lit(" blocked · "), n("not-started"), F.lit(" not started")]
+    summary = rows.agg(F.count("*").alias("n"), F.concat(*parts).alias("line")).where("n > 0").select(F.lit(0).cast("long").alias("place"), "line")
+    open_ = rows.where("status IN ('blocked', 'in-progress')").withColumn("later", F.when(F.col("status") == "blocked", 0).otherwise(1)).withColumn("least", -F.col("priority"))
+    placed = numbered(open_, "later", "least", "entry_id")
+    line = F.concat(F.lit("- ["), "entry_id", F.lit("] ["), "status", F.lit("] "), "headline")
+    return summary.unionByName(placed.select(F.col("place").cast("long").alias("place"), line.alias("line")))
+
+
 def key_points(key: Column, task: str) -> Column:
     """What a requirement adds whose key the task names."""
     return F.when((key != "") & F.contains(F.lit(task.lower()), F.lower(key)), 50).otherwise(0)

@@ -130,3 +130,38 @@ def export_markdown(spark, sf_dir):
 def export_sections_json(spark, sf_dir):
     rows = X.visible(S.entries(spark, sf_dir), include_resolved=True)
     return rows.select("entry_id", F.to_json(F.struct("section", "headline", "status", "priority")).alias("line"))
+
+
+_LINKED = "['./src/M' || conv_id % 40 || '.py', 'lib/u' || entry_id % 1000 || '/a.ts']"
+_PATH_TASK = "Fix src/m7.py and lib/u3/a.ts for the import"
+_RANKED, _FOCUSED, _RELATED = ("src/m7.py", "m12"), ("./lib/u1/a.ts", "deep/lib/u2/a.ts"), (3, 11)
+
+
+def _touch(paths: tuple[str, ...]) -> str:
+    clean = [p.lower().lstrip("./") for p in paths]
+    return f"len(list_filter(clean, lambda a: {' OR '.join(f"contains(a, '{p}') OR contains('{p}', a)" for p in clean)})) > 0"
+
+
+@query(
+    "entry_match",
+    f"""{_E}, l AS (SELECT *, {_LINKED} AS linked, list_transform({_LINKED}, lambda x: ltrim(lower(x), './')) AS clean, conv_id % 25 AS related FROM entries)
+      SELECT entry_id, {_SCORE} + CASE WHEN {_touch(_RANKED)} THEN 100 ELSE 0 END + CASE WHEN {_touch(_FOCUSED)} THEN 70 ELSE 0 END
+        + CASE WHEN len(list_filter(linked, lambda x: contains('{_PATH_TASK.lower()}', lower(x)))) > 0 THEN 80 ELSE 0 END + CASE WHEN related IN {_RELATED} THEN 120 ELSE 0 END AS score FROM l""",
+)
+def entry_match(spark, sf_dir):
+    """Match scores with linked files and related requirements."""
+    conv = F.col("conv_id")
+    linked = F.array(F.concat(F.lit("./src/M"), conv % 40, F.lit(".py")), F.concat(F.lit("lib/u"), F.col("entry_id") % 1000, F.lit("/a.ts")))
+    score = X.relevance(F.col("headline"), None, TASK, FOCUS) + X.linked_points(linked, _PATH_TASK, _RANKED, _FOCUSED) + X.related_points(conv % 25, _RELATED)
+    return S.entries(spark, sf_dir).select("entry_id", score.alias("score"))
+
+
+@query(
+    "requirement_lines",
+    f"""{_E} SELECT 0 AS place, count(*) FILTER (requirement_status = 'done') || '/' || count(*) || ' done · ' || count(*) FILTER (requirement_status = 'in-progress') || ' in progress · '
+        || count(*) FILTER (requirement_status = 'blocked') || ' blocked · ' || count(*) FILTER (requirement_status = 'not-started') || ' not started' AS line FROM entries HAVING count(*) > 0
+      UNION ALL SELECT row_number() OVER (ORDER BY requirement_status <> 'blocked', priority DESC, entry_id), '- [' || entry_id || '] [' || requirement_status || '] ' || headline FROM entries WHERE requirement_status IN ('blocked', 'in-progress')""",
+)
+def requirement_lines(spark, sf_dir):
+    e = S.entries(spark, sf_dir)
+    return X.requirement_lines(e.select("entry_id", "headline", F.col("requirement_status").alias("status"), "priority"))
