@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
+from siftwell.functions.grams import QuerySets
 from siftwell.sources.scratch import WrittenTables
 
 SYMBOL_FUZZY, CONTENT_FUZZY = 0.3, 0.2
@@ -182,32 +186,46 @@ def pack(ranked: DataFrame, budget: int) -> DataFrame:
     return kept.select("rank", "path", "start_line", "end_line", tokens.alias("tokens"), F.when(F.col("trimmed"), tokens).otherwise(F.col("used")).alias("used"), "trimmed")
 
 
+QUERIES = 1024  #: query sets sent to the tasks at once
+
+
 def fuzzy_join(chunks: DataFrame, queries: DataFrame, threshold: float = CONTENT_FUZZY) -> DataFrame:
     """(query_id, path, start_line, similarity) above the threshold for a table of queries (query_id, query).
 
-    Trigrams are numbered by how many chunks have them. Two sets with a Jaccard similarity over t share one of the
-    rarest n - ceil(t * n) + 1 numbers of each, and neither is larger than the other's size / t; only such pairs are compared, exactly.
+    The queries are a stated set, taken in blocks of about ``QUERIES`` (dealt by hash of their id) that are sent to all tasks. There are at
+    most 37 * 37 * 37 trigrams, so a block is a table of flags, and the trigrams that a chunk shares with all queries of a block are sums
+    of its rows. Nothing is shuffled but the result.
     """
-    keys = ["path", "start_line"]
-    written = WrittenTables(chunks.sparkSession, "fuzzy")
-    own = written.save(chunks.select(*keys, T.trigrams(F.col("content")).alias("grams"))).select(*keys, F.explode("grams").alias("gram"))
-    asked = queries.select("query_id", F.explode(T.trigrams(F.col("query"))).alias("gram"))
-    # at most 37 * 37 * 37 different trigrams of letters, digits and blanks, so one task can number them
-    often = own.groupBy("gram").agg(F.count("*").alias("often")).unionByName(asked.select("gram", F.lit(0).cast("long").alias("often")).distinct())
-    often = often.groupBy("gram").agg(F.max("often").alias("often"))
-    number = F.broadcast(often.select("gram", F.row_number().over(Window.orderBy("often", "gram")).alias("number")))
-    sets = lambda rows, by: rows.join(number, "gram").groupBy(*by).agg(F.array_sort(F.collect_list("number")).alias("g"))
-    size = F.size("g")
-    prefix = F.explode(F.slice("g", F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))).alias("gram")
-    left = written.save(sets(own, keys).withColumn("n", size))
-    right = sets(asked, ["query_id"]).withColumn("m", size)
-    near = (F.col("n") >= F.col("m") * threshold) & (F.col("m") >= F.col("n") * threshold)
-    # of the common trigrams, all but those in both prefixes lie behind the prefix that ends first
-    behind = F.greatest(F.ceil(F.col("n") * threshold), F.ceil(F.col("m") * threshold)) - 1
-    shared = left.select(*keys, "n", prefix).join(right.select("query_id", "m", prefix), "gram").where(near)
-    shared = shared.groupBy("query_id", *keys, "n", "m").agg(F.count("*").alias("c"))
-    pairs = shared.where(F.col("c") + behind > threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-6).select("query_id", *keys)
-    both = pairs.join(left.select(*keys, "g", "n"), keys).join(right.select("query_id", F.col("g").alias("q"), "m"), "query_id")
-    both = both.select("query_id", *keys, "n", "m", F.size(F.array_intersect("g", "q")).alias("c"))
+    queries = WrittenTables(queries.sparkSession, "fuzzy").save(queries.select("query_id", "query"))
+    n = max(1, -(-queries.count() // QUERIES))
+    kinds = dict(chunks.select("path", "start_line").dtypes) | dict(queries.dtypes)
+    found = None
+    for k in range(n):
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).collect()  # about QUERIES rows
+        part = _close_to(chunks, [r["query_id"] for r in block], [r["query"] for r in block], threshold, kinds)
+        found = part if found is None else found.unionByName(part)
     sim = F.round(F.col("c") / (F.col("n") + F.col("m") - F.col("c")), 6)
-    return both.select("query_id", *keys, sim.alias("similarity")).where(F.col("similarity") > threshold)
+    return found.select("query_id", "path", "start_line", sim.alias("similarity")).where(F.col("similarity") > threshold)
+
+
+def _close_to(chunks: DataFrame, ids: list, queries: list[str | None], threshold: float, kinds: dict[str, str]) -> DataFrame:
+    """(query_id, path, start_line, c, n, m): pairs that reach about the threshold, with common trigrams and both sizes."""
+    sent = chunks.sparkSession.sparkContext.broadcast(QuerySets(queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = sent.value
+        for batch in batches:
+            rows = [(k, *x) for k, *x in sets.close(iter(batch.column(2).to_pylist()), threshold)]
+            at = np.concatenate([np.full(len(q), k) for k, q, _, _ in rows] or [np.zeros(0, int)])
+            of = np.concatenate([q for _, q, _, _ in rows] or [np.zeros(0, int)])
+            c = np.concatenate([c for _, _, c, _ in rows] or [np.zeros(0, int)])
+            n = np.concatenate([np.full(len(q), n) for _, q, _, n in rows] or [np.zeros(0, int)])
+            own = [batch.column(j).take(pa.array(at, pa.int64())) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[j] for j in of.tolist()], id_type), *own, pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(sets.size[of], pa.int64())],
+                names=["query_id", "path", "start_line", "c", "n", "m"],
+            )
+
+    id_type = pa.string() if kinds["query_id"] == "string" else pa.int32() if kinds["query_id"] == "int" else pa.int64()
+    schema = f"query_id {kinds['query_id']}, path {kinds['path']}, start_line {kinds['start_line']}, c long, n long, m long"
+    return chunks.select("path", "start_line", "content").mapInArrow(run, schema)
