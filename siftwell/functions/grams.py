@@ -8,6 +8,7 @@ import numpy as np
 
 SYMBOLS = 37  #: letters, digits, and 0 for the blank
 GRAMS = SYMBOLS**3
+_TEXT = " abcdefghijklmnopqrstuvwxyz0123456789"
 _CODE = np.zeros(256, np.int32)
 _CODE[ord("a") : ord("z") + 1] = np.arange(1, 27)
 _CODE[ord("0") : ord("9") + 1] = np.arange(27, 37)
@@ -31,6 +32,11 @@ def gram_set(text: str | None) -> np.ndarray:
     return np.unique((a[valid] * SYMBOLS + b[valid]) * SYMBOLS + d[valid])
 
 
+def gram_text(code: int) -> str:
+    """The three characters of a trigram's number."""
+    return "".join(_TEXT[code // SYMBOLS**k % SYMBOLS] for k in (2, 1, 0))
+
+
 class QuerySets:
     """A block of query sets, as one row of flags for each trigram that any of them has."""
 

@@ -9,12 +9,20 @@ the content), ``s`` (of the symbol), ``p`` (of the path) and ``w`` (words of the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
+from siftwell.functions.grams import gram_set, gram_text
 from siftwell.functions.imports import imported_modules
 from siftwell.operators.ingest import line_windows
+from siftwell.sources.scratch import WrittenTables
 from siftwell.sources.snapshot import SnapshotStore, bucket_of
 
 SHIFT = 32  #: a chunk's number is its bucket, shifted, and its place in the bucket
@@ -25,11 +33,16 @@ def chunk_table(files: DataFrame, window: int, buckets: int) -> DataFrame:
     """(bucket, path, start_line, end_line, symbol, content, chunk_hash, n_content, n_symbol) of files (path, content)."""
     rows = files.select(bucket_of(F.col("path"), buckets).alias("bucket"), "path", F.coalesce("content", F.lit("")).alias("content"))
     rows = line_windows(rows, window)
-    symbol = F.regexp_extract("content", f"({T.WORD})", 1)
-    rows = rows.withColumns({"symbol": symbol, "chunk_hash": F.sha2("content", 256), "grams": T.trigrams(F.col("content")), "symbol_grams": T.trigrams(symbol)})
-    return rows.select(
-        "bucket", "path", "start_line", "end_line", "symbol", "content", "chunk_hash", F.size("grams").alias("n_content"), F.size("symbol_grams").alias("n_symbol")
-    )
+    rows = rows.withColumns({"symbol": F.regexp_extract("content", f"({T.WORD})", 1), "chunk_hash": F.sha2("content", 256)})
+    rows = rows.select("bucket", "path", "start_line", "end_line", "symbol", "content", "chunk_hash")
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [pa.array([len(gram_set(t)) for t in batch.column(k).to_pylist()], pa.int32()) for k in (5, 4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *sizes], names=[*batch.schema.names, "n_content", "n_symbol"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(sized, f"{kinds}, n_content int, n_symbol int")
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
@@ -39,30 +52,65 @@ def numbered(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(bucket, field, gram, chunks): of numbered chunks; ``chunks`` are (cid, times)."""
-    once = lambda field, grams: F.transform(grams, lambda g: F.struct(F.lit(field).alias("field"), g.alias("gram"), F.lit(1).alias("times")))
-    words = T.tokens(F.col("content"))
-    counted = T.let(F.array_sort(words), _runs)
-    rows = chunks.select(
-        "bucket", "cid", F.inline(F.concat(once("c", T.trigrams(F.col("content"))), once("s", T.trigrams(F.col("symbol"))), once("p", T.trigrams(F.col("path"))), counted))
-    )
-    return rows.groupBy("bucket", "field", "gram").agg(F.sort_array(F.collect_list(F.struct("cid", "times"))).alias("chunks"))
-
-
-def _runs(words: Column) -> Column:
-    """(field w, word, times) of a sorted array of words, from the places where a new word begins."""
-    n = F.size(words)
-    starts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
-
-    def counted(at: Column) -> Column:
-        own = F.slice(at, F.lit(1), F.size(at) - 1)
-        return F.transform(own, lambda s, k: F.struct(F.lit("w").alias("field"), F.get(words, s).alias("gram"), (F.get(at, k + 1) - s).cast("int").alias("times")))
-
-    return T.let(starts, counted)
+    """(bucket, field, gram, chunks): of numbered chunks; ``chunks`` are (cid, times). A task holds the postings of one bucket at a time."""
+    rows = chunks.select("bucket", "cid", "content", "symbol", "path").repartition("bucket").sortWithinPartitions("bucket", "cid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: BucketPostings | None = None
+        for batch in batches:
+            for bucket, cid, content, symbol, path in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held is None or held.bucket != bucket:
+                    if held:
+                        yield from held.batches()
+                    held = BucketPostings(bucket)
+                held.add(cid, content, symbol, path)
+        if held:
+            yield from held.batches()
+
+    return rows.mapInArrow(run, "bucket int, field string, gram string, chunks array<struct<cid:bigint,times:int>>")
+
+
+class BucketPostings:
+    """The postings of one bucket's chunks, which come in order of their number."""
+
+    def __init__(self, bucket: int):
+        self.bucket = bucket
+        self.grams: dict[str, list[np.ndarray]] = {"c": [], "s": [], "p": []}
+        self.owners: dict[str, list[tuple[int, int]]] = {"c": [], "s": [], "p": []}
+        self.words: dict[str, tuple[list[int], list[int]]] = {}
+
+    def add(self, cid: int, content: str, symbol: str, path: str) -> None:
+        for field, text in (("c", content), ("s", symbol), ("p", path)):
+            own = gram_set(text)
+            self.grams[field].append(own)
+            self.owners[field].append((cid, len(own)))
+        for word, times in Counter(re.findall("[a-z0-9_]+", content.lower())).items():
+            cids, counts = self.words.setdefault(word, ([], []))
+            cids.append(cid)
+            counts.append(times)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for field in self.grams:
+            codes = np.concatenate(self.grams[field])
+            cids = np.repeat(*np.array(self.owners[field], np.int64).T)
+            order = np.argsort(codes, kind="stable")
+            found, first = np.unique(codes[order], return_index=True)
+            yield self._batch(field, [gram_text(g) for g in found.tolist()], np.append(first, len(codes)), cids[order], np.ones(len(codes), np.int32))
+        names = sorted(self.words)
+        sizes = np.cumsum([0, *(len(self.words[w][0]) for w in names)])
+        yield self._batch("w", names, sizes, *[np.array([x for w in names for x in self.words[w][k]], t) for k, t in ((0, np.int64), (1, np.int32))])
+
+    def _batch(self, field: str, grams: list[str], offsets: np.ndarray, cids: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        pairs = pa.StructArray.from_arrays([pa.array(cids), pa.array(times)], names=["cid", "times"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pairs)
+        n = len(grams)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([self.bucket] * n, pa.int32()), pa.array([field] * n), pa.array(grams, pa.string()), lists], names=["bucket", "field", "gram", "chunks"]
+        )
 
 
 def _tables(chunks: DataFrame, imports: DataFrame) -> dict[str, DataFrame]:
-    chunks = numbered(chunks)
+    chunks = WrittenTables(chunks.sparkSession, "chunks").save(numbered(chunks))
     symbols = chunks.where("symbol <> ''").select("bucket", "path", F.col("symbol").alias("name"), F.col("start_line").alias("line"))
     return {"chunks": chunks, "symbols": symbols, "imports": imports, "postings": postings(chunks)}
 
