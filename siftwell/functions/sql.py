@@ -10,8 +10,9 @@ FUNCTIONS = (
          WHEN n <= 0 THEN '' ELSE concat(rtrim(substring(t, 1, n * 4 - 1)), '…') END""",
     "path_tier(p STRING, n INT) RETURNS STRING RETURN array_join(slice(split(p, '/'), 1, n), '/')",
     """line_windows_of(t STRING, n INT) RETURNS TABLE (start_line BIGINT, end_line BIGINT, content STRING)
-         RETURN SELECT CAST(s AS BIGINT), CAST(least(s + n - 1, size(split(t, '\\n'))) AS BIGINT), array_join(slice(split(t, '\\n'), s, n), '\\n')
-                FROM explode(sequence(1, size(split(t, '\\n')), n)) AS w(s)""",
+         RETURN SELECT w.start_line, w.end_line, w.content
+                FROM inline(get(transform(array(split(t, '\\n')), l -> transform(sequence(1, size(l), n), s ->
+                  named_struct('start_line', CAST(s AS BIGINT), 'end_line', CAST(least(s + n - 1, size(l)) AS BIGINT), 'content', array_join(slice(l, s, n), '\\n')))), 0)) AS w""",
 )
 
 

@@ -62,6 +62,37 @@ def with_focus(sets: DataFrame) -> DataFrame:
     return sets.join(newest, "project").withColumn("status", status).drop("newest")
 
 
+class UnknownProject(LookupError):
+    """No project of that name or id; the message lists those there are."""
+
+
+class ProjectScope:
+    """One project, looked up once, and the reads that are confined to it.
+
+    ``projects``: (project_id, name). An unknown name raises ``UnknownProject`` with the first ``SHOWN`` names. Every read gets the
+    project's id as a plain value, so a scan of tables partitioned by it opens that project's partition only.
+    """
+
+    SHOWN = 100
+
+    def __init__(self, projects: DataFrame, project: str | None):
+        key = (project or "").strip()
+        found = projects.where((F.col("name") == key) | (F.col("project_id").cast("string") == key)).select("project_id", "name").limit(2).collect() if key else []
+        if not found:
+            names = [r["name"] for r in projects.select("name").orderBy("name").limit(self.SHOWN + 1).collect()]
+            more = ", ..." if len(names) > self.SHOWN else ""
+            raise UnknownProject(f"no project {key!r}; there are: {', '.join(map(str, names[: self.SHOWN]))}{more}")
+        # a name comes before another project's id
+        row = next((r for r in found if r["name"] == key), found[0])
+        self.project_id, self.name = row["project_id"], row["name"]
+
+    def rows(self, table: DataFrame, by: str = "project_id") -> DataFrame:
+        return table.where(F.col(by) == F.lit(self.project_id))
+
+    def tables(self, tables: dict[str, DataFrame], by: str = "project_id") -> dict[str, DataFrame]:
+        return {name: self.rows(t, by) for name, t in tables.items()}
+
+
 def scoped(rows: DataFrame, projects: DataFrame, project: str, by: str = "project_id") -> DataFrame:
     """The rows of one project, named by name or id (as text); none if there is no such project.
 

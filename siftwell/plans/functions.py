@@ -120,3 +120,10 @@ def import_lists(spark, sf_dir):
     row = lambda name, text: F.struct(F.lit(name).alias("language"), text.alias("content"))
     rows = S.table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(row("python", python), row("rust", rust))))
     return rows.select("doc_id", "language", F.explode(imported_modules(F.col("language"), F.col("content"))).alias("module"))
+
+
+@query("sql_line_windows", f"WITH {S.chunks_sql(80)} SELECT doc_id, start_line, end_line, chunk_hash FROM chunks")
+def sql_line_windows(spark, sf_dir):
+    register(spark)
+    S.table(spark, sf_dir, "documents").select("doc_id", "text").createOrReplaceTempView("windowed_documents")
+    return spark.sql("SELECT doc_id, start_line, end_line, sha2(content, 256) AS chunk_hash FROM windowed_documents, LATERAL line_windows_of(text, 80)")

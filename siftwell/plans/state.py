@@ -65,6 +65,22 @@ def project_resolve(spark, sf_dir):
     return _scope(spark, sf_dir, name or "").select(F.col("c_nationkey").alias("project_id"), "c_name")
 
 
+@query(
+    "project_reads",
+    """WITH p AS (SELECT n_nationkey AS id FROM nation WHERE n_name = (SELECT max(n_name) FROM nation))
+      SELECT 'customer' AS name, count(*) AS n FROM customer JOIN p ON c_nationkey = id UNION ALL SELECT 'supplier', count(*) FROM supplier JOIN p ON s_nationkey = id
+      UNION ALL SELECT 'orders', count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN p ON c_nationkey = id""",
+)
+def project_reads(spark, sf_dir):
+    """Every read of one project's tables: its customers, suppliers and orders."""
+    nation, customer = S.table(spark, sf_dir, "nation"), S.table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "project_id")
+    scope = O.ProjectScope(nation.select(F.col("n_nationkey").alias("project_id"), F.col("n_name").alias("name")), nation.agg(F.max("n_name")).first()[0])
+    own = scope.tables({"customer": customer, "supplier": S.table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "project_id")})
+    own["orders"] = S.table(spark, sf_dir, "orders").join(own["customer"].select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi")
+    counts = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, rows in own.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @query(
     "project_purge",
     "SELECT 'customer' AS name, count(*) AS left_over FROM customer WHERE c_nationkey % 5 <> 2 UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE s_nationkey % 5 <> 2",

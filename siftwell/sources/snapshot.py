@@ -15,7 +15,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from siftwell.sources.hadoop import Files
 
@@ -52,7 +52,33 @@ class SnapshotStore:
         for folder, paths in by_folder.items():
             part = self.spark.read.schema(schema).option("basePath", f"{self.root}/data/{folder}/{table}").parquet(*paths)
             out = part if out is None else out.unionByName(part)
-        return self.spark.createDataFrame([], schema) if out is None else out
+        if out is None:
+            return self.spark.createDataFrame([], schema)
+        for column, value in held.get("defaults", {}).items():
+            out = out.withColumn(column, F.coalesce(column, F.lit(value).cast(schema[column].dataType)))
+        return out
+
+    def ensure(self, schemas: dict[str, StructType], defaults: dict[str, dict] | None = None) -> bool:
+        """Makes the state have these tables with these columns (and ``bucket``); returns whether anything was missing.
+
+        Missing tables begin empty. Missing columns are added without a rewrite: files from before have nulls there, read as the column's
+        default where it has one. Columns that the state has beyond these stay. Applied again it finds nothing to do.
+        """
+        base = self.manifest()
+        new = {"version": uuid.uuid4().hex, "base": base["version"], "tables": {k: dict(v) for k, v in base["tables"].items()}}
+        healed = False
+        for name, schema in schemas.items():
+            held = new["tables"].setdefault(name, {"schema": StructType([StructField("bucket", IntegerType())]).jsonValue(), "buckets": {}})
+            fields = StructType.fromJson(held["schema"]).fields
+            missing = [f for f in schema.fields if f.name not in {x.name for x in fields}]
+            if missing or name not in base["tables"]:
+                healed = True
+                held["schema"] = StructType([*fields[:-1], *missing, fields[-1]]).jsonValue()
+                wanted = (defaults or {}).get(name, {})
+                held["defaults"] = held.get("defaults", {}) | {f.name: wanted[f.name] for f in missing if f.name in wanted}
+        if healed:
+            self.publish(new)
+        return healed
 
     def prepare(self, tables: dict[str, DataFrame], changed: Iterable[int] | None = None, base: dict | None = None, order: dict[str, list[str]] | None = None) -> dict:
         """Writes the tables (each with ``bucket``) and gives the manifest that would put them in force.
@@ -71,6 +97,8 @@ class SnapshotStore:
             kept = {b: f for b, f in old.items() if int(b) not in set(changed or ())}
             fields = [f for f in df.schema.fields if f.name != "bucket"] + [df.schema["bucket"]]
             new["tables"][name] = {"schema": StructType(fields).jsonValue(), "buckets": kept | dict.fromkeys(written, version)}
+            if changed is not None and (defaults := base["tables"].get(name, {}).get("defaults")):
+                new["tables"][name]["defaults"] = defaults
         return new
 
     def _written(self, name: str) -> list[int]:

@@ -7,6 +7,7 @@ import shutil
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftwell.operators import indexed_search as X
 from siftwell.operators import reindex as R
@@ -89,3 +90,18 @@ def test_search_on_postings_equals_a_scan(spark, tmp_path, fuzzy):
         want = {tuple(r) for r in K.scored(chunks, query, fuzzy).select("path", "start_line", "end_line", "score", "mode", "symbol_hit").collect()}
         assert got == want, query
     shutil.rmtree(f"{tmp_path}/s")
+
+
+def test_missing_tables_and_columns_are_healed(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/s", 4)
+    R.full_index(store, files(spark, 12), 8)
+    schemas = {"chunks": StructType.fromDDL("path string, weight double, owner string"), "notes": StructType.fromDDL("path string, summary string")}
+    assert store.ensure(schemas, {"chunks": {"weight": 1.5}}) and not store.ensure(schemas)
+    got = store.read("chunks").select("weight", "owner").distinct().collect()
+    assert [tuple(r) for r in got] == [(1.5, None)] and store.read("notes").count() == 0
+    assert store.read("notes").columns == ["path", "summary", "bucket"]
+    # written buckets get the new columns, the others keep reading the default
+    b = int(store.read("chunks").agg(F.min("bucket")).first()[0])
+    rows = store.read("chunks", [b]).withColumn("weight", F.lit(7.0))
+    store.commit({"chunks": rows}, [b])
+    assert {r.weight for r in store.read("chunks", [b]).collect()} == {7.0} and {r.weight for r in store.read("chunks").where(F.col("bucket") != b).collect()} == {1.5}

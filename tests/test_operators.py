@@ -248,3 +248,16 @@ def test_upsert_and_insert_absent(spark, tmp_path):
     assert sorted(tuple(r) for r in sinks.upserted(t, changes, ["k"], "gone").collect()) == [(2, "c"), (3, "d")]
     t.write.parquet(str(tmp_path / "t"))
     assert sinks.insert_absent(spark, str(tmp_path / "t"), spark.createDataFrame([(2, "x"), (5, "y"), (5, "z")], "k long, v string"), ["k"]) == 1
+
+
+def test_project_scope_reads_one_partition_and_lists_names(spark, tmp_path):
+    spark.createDataFrame([(k % 5, k) for k in range(50)], "project_id int, v int").write.partitionBy("project_id").parquet(str(tmp_path / "t"))
+    projects = spark.createDataFrame([(k, f"p{k}") for k in range(5)] + [(7, "3")], "project_id int, name string")
+    table = spark.read.parquet(str(tmp_path / "t"))
+    own = state.ProjectScope(projects, " p2 ").tables({"a": table, "b": table.where("v > 10")})
+    assert own["a"].count() == 10 and {r.project_id for r in own["b"].collect()} == {2}
+    assert len(own["a"].inputFiles()) > 0 and "PartitionFilters: [isnotnull(project_id" in own["a"]._jdf.queryExecution().toString()
+    assert state.ProjectScope(projects, "3").project_id == 7 and state.ProjectScope(projects, "4").name == "p4"
+    for nobody in ("p9", "", None):
+        with pytest.raises(state.UnknownProject, match="3, p0, p1, p2, p3, p4"):
+            state.ProjectScope(projects, nobody)
