@@ -878,3 +878,59 @@ def test_pipeline_stages_take_effect(spark, docs):
     assert not kept & {900_000, 900_001} and len(kept) > 100
     out = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in out.collect()} == kept and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """All stages one after another by brute force, on rows that repeat, lack ids, languages and texts, and have extra columns of clashing names."""
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    line = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [line(18) for _ in range(4)]
+    made = [line(rng.randint(1, 45)) for _ in range(24)]
+    made += [f"{made[0]} end", made[1], made[2].replace(" ", "  ", 1), f"{line(9)} {items[1]} {line(5)}", items[2].upper(), items[3][:60]]
+    made += [f"{line(8)} card 4111 1111 1111 1111 mail a.b@site.org", f"{line(8)} card 4111 1111 1111 1111", "12 34 !", "", None, f"token={'aB3' * 100} {line(7)}", f"{line(12)} on 1999-12-31"]
+    rows = [(i, t, None if i % 5 == 4 else "en" if i % 2 else "de", None, None, "f", "n", "r", 7) for i, t in enumerate(made)]
+    rows += [rows[5], rows[5], (None, line(20), "en", None, None, "f", "n", "r", 7)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    left = [r[:2] for r in rows if r[1] and re.search("[A-Za-z]", r[1])]
+    codes, bounds = order_minhash.labelled(pa.array([t for _, t in left]))
+    own = [codes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    root = list(range(len(left)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(left)):
+        for b in range(a):
+            if left[a][1] == left[b][1] or order_minhash.aligned(own[a], own[b]) >= 0.8:
+                root[find(a)] = find(b)
+    groups = {}
+    for k, row in enumerate(left):
+        groups.setdefault(find(k), []).append(row)
+    left = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    assert len(left) < 33
+    reduced = lambda t: re.sub("[^a-z0-9]+", " ", t.lower())
+    f, step = qgram_decontamination.FRAGMENT, qgram_decontamination.STRIDE
+
+    def dirty(t):
+        for item in map(reduced, items):
+            starts = {*range(0, max(1, len(item) - f + 1), step), max(0, len(item) - f)}
+            for part in (item[s : s + f] for s in starts):
+                if least_edits(reduced(t), part) <= int(qgram_decontamination.budget(np.array([len(part)]))[0]):
+                    return True
+        return False
+
+    clean = [r for r in left if not dirty(r[1])]
+    assert len(left) - len(clean) == 2
+    p = feistel_pii.Pseudonyms(feistel_pii.session_key(spark, b"siftwell demonstration key"))
+    want = []
+    for i, t in clean:
+        ids = encoding().encode_ordinary(p.text(t)[0])
+        raw = np.array(ids, "<u4").tobytes()
+        want.append((i, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(p.text(t)[0].encode()).hexdigest()))
+    got = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
