@@ -162,16 +162,14 @@ class FragmentIndex:
         shift, bits = (26, 0x3FFFFFF) if len(bounds) > 2 else (42, (1 << 42) - 1)
         key = (owner << 42) | (doc << shift if shift < 42 else 0) | band
         keys, n = np.unique(key, return_counts=True)
-        # a band's hits are those of two neighbouring strips
-        strips = np.unique(np.concatenate([keys, keys - 1]))
-        both = np.zeros(len(strips), np.int64)
-        for more in (0, 1):
-            place = np.searchsorted(keys, strips + more)
-            place[place == len(keys)] = 0
-            both += np.where(keys[place] == strips + more, n[place], 0)
-        owner = strips >> 42
-        enough = both >= self.least[owner]
-        keys, owner = strips[enough], owner[enough]
+        # a band's hits are those of its strip and the next; the band before a strip without a neighbour has that strip's alone
+        after = np.zeros(len(keys), bool)
+        after[:-1] = keys[1:] == keys[:-1] + 1
+        both = n + np.where(after, np.append(n[1:], 0), 0)
+        alone = ~np.concatenate([[False], after[:-1]])
+        least = self.least[keys >> 42]
+        keys = np.concatenate([keys[both >= least], keys[alone & (n >= least)] - 1])
+        owner = keys >> 42
         doc, band = (keys & ((1 << 42) - 1)) >> shift, keys & bits
         start = band * self.width[owner] - (1 << 20)
         ok = np.zeros(len(keys), bool)
