@@ -189,16 +189,26 @@ class Places:
         return np.concatenate([1 + classes, with_class + _BIASES + self.n_rows], axis=1)
 
 
-def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _exponentials(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     x = weights.take(rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
         x += weights.take(rows[:, k], axis=0)
     np.minimum(x, MAX_SCORE, out=x)
-    np.exp(x, out=x)
+    return np.exp(x, out=x)
+
+
+def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    x = _exponentials(weights, rows)
     x /= x.sum(1, keepdims=True)
     return x
 
 
+def _log_softmax_at(weights: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log10 of one probability for each row of features."""
+    x = _exponentials(weights, rows)
+    return np.log10(np.maximum(x[np.arange(len(x)), target] / x.sum(1), 1e-30))
+
+
 def initial_weights(vocabulary: np.ndarray, buckets: np.ndarray, n_rows: int) -> np.ndarray:
     """Biases from the counts; all else 0. Places of a class without a word are never predicted."""
     w = np.zeros((_BIASES + 2 * n_rows, WIDTH), np.float32)
@@ -217,38 +227,46 @@ def log_probabilities(w: np.ndarray, at: Places) -> np.ndarray:
     p = np.empty(len(at.classes))
     for a in range(0, len(p), BATCH):
         s = slice(a, a + BATCH)
-        each = np.arange(len(p[s]))
-        p[s] = np.log10(np.maximum(_softmax(w, at.class_rows(s))[each, at.classes[s]], 1e-30))
-        p[s] += np.log10(np.maximum(_softmax(w, at.word_rows(s))[each, at.place[s]], 1e-30))
+        p[s] = _log_softmax_at(w, at.class_rows(s), at.classes[s])
+        p[s] += _log_softmax_at(w, at.word_rows(s), at.place[s])
     return p
 
 
-def _run_sums(g: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows of ``g``, which begin at ``first`` and are ``n`` long: up to FEW rows for all runs at once, the rest run by run."""
-    out = g.take(first, axis=0)
+def _run_sums(g: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of runs of the rows ``order`` of ``g``; a run begins at ``first`` and is ``n`` long: up to FEW rows for all runs at once, the rest run by run."""
+    out = g.take(order[first], axis=0)
     for k in range(1, FEW):
         longer = np.flatnonzero(n > k)
         if not len(longer):
             return out
-        out[longer] += g.take(first[longer] + k, axis=0)
+        out[longer] += g.take(order[first[longer] + k], axis=0)
     for r in np.flatnonzero(n > FEW).tolist():
         a, b = first[r] + FEW, first[r] + n[r]
-        out[r] += np.ones(b - a, np.float32) @ g[a:b]
+        out[r] += np.ones(b - a, np.float32) @ (g[a:b] if n[r] == len(g) else g.take(order[a:b], axis=0))
     return out
 
 
+def _grouped(rows: np.ndarray) -> np.ndarray:
+    """A stable order by row; rows of one feature lie close enough together to be sorted as 16-bit numbers."""
+    low = rows.min()
+    near = rows.max() - low < 1 << 16
+    return np.argsort((rows - low).astype(np.uint16 if near else np.int32), kind="stable")
+
+
 def _descend(w: np.ndarray, used: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One gradient step on a batch, feature by feature; a row's step shrinks with the root of its uses."""
+    if not len(rows):
+        return
     g = _softmax(w, rows)
     g[np.arange(len(g)), target] -= 1
     for k in range(rows.shape[1]):
-        order = np.argsort(rows[:, k].astype(np.int32), kind="stable")
+        order = _grouped(rows[:, k])
         own = rows[order, k]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         n = np.diff(np.append(first, len(own)))
         keys = own[first]
         used[keys] += n
-        total = _run_sums(g.take(order, axis=0), first, n)
+        total = _run_sums(g, order, first, n)
         total *= (STEP / np.sqrt(used[keys])).astype(np.float32)[:, None]
         w[keys] -= total
 
