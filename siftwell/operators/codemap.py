@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
+from siftwell.sources.scratch import WrittenTables
 
 
 def in_scope(path: Column, scope: str) -> Column:
@@ -70,16 +71,22 @@ def overlay(node_paths: DataFrame, links: DataFrame) -> DataFrame:
     return touched.groupBy("node", "section").agg(F.count("*").alias("entries"))
 
 
+CANDIDATES = 1000  #: candidate paths that a scan is asked about at once
+
+
 def path_overlaps(linked: DataFrame, candidates: DataFrame) -> DataFrame:
     """Distinct (id, candidate) where one path is equal to, a segment suffix of, or inside the other (as text).
 
-    Containment of text can't be an equality join in general, so candidates (a stated, small list of paths) are
-    given as a table that is checked to be small, and each linked path is tried against their array.
+    Containment of text can't be an equality join in general, so the candidates are a stated set of paths: about ``CANDIDATES`` of them at a
+    time, dealt by hash, are literals that each linked path is tried against.
     """
-    names = [r[0] for r in candidates.select("path").distinct().limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("path_overlaps takes at most 1000 candidate paths; split the list")
-    clean = F.ltrim(F.lower("path"), F.lit("./"))
-    every = F.array(*[F.lit(n.lower().lstrip("./")) for n in sorted(names)]) if names else F.array().cast("array<string>")
-    found = F.filter(every, lambda c: F.contains(F.col("clean"), c) | F.contains(c, F.col("clean")))
-    return linked.withColumn("clean", clean).select("id", F.explode(found).alias("candidate")).distinct()
+    names = WrittenTables(candidates.sparkSession, "candidates").save(candidates.select("path").where("path IS NOT NULL").distinct())
+    n = max(1, -(-names.count() // CANDIDATES))
+    rows = linked.withColumn("clean", F.ltrim(F.lower("path"), F.lit("./")))
+    found = None
+    for k in range(n):
+        block = sorted(r[0] for r in names.where(F.pmod(F.xxhash64("path"), F.lit(n)) == k).collect())
+        every = F.array(*[F.lit(p.lower().lstrip("./")) for p in block]) if block else F.array().cast("array<string>")
+        hits = rows.select("id", F.explode(F.filter(every, lambda c: F.contains(F.col("clean"), c) | F.contains(c, F.col("clean")))).alias("candidate"))
+        found = hits if found is None else found.unionByName(hits)
+    return found.distinct()

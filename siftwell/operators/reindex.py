@@ -25,6 +25,7 @@ from siftwell.operators.ingest import line_windows
 from siftwell.sources.scratch import WrittenTables
 from siftwell.sources.snapshot import SnapshotStore, bucket_of
 
+FORMAT = 2  #: of the tables below; an index of another format is built anew
 SHIFT = 32  #: a chunk's number is its bucket, shifted, and its place in the bucket
 ORDER = {"chunks": ["path", "start_line"], "symbols": ["path", "line"], "imports": ["src", "module"], "postings": ["field", "gram"]}
 
@@ -125,8 +126,11 @@ def full_index(store: SnapshotStore, files: DataFrame, window: int = 80) -> str:
     return store.commit(_tables(chunk_table(files, window, store.buckets), _imports(files, store.buckets)), order=ORDER)
 
 
-def incremental_index(store: SnapshotStore, changed: DataFrame, deleted: DataFrame, window: int = 80) -> str:
-    """Indexes changed or new files (path, content) and forgets deleted paths (path); reads and writes only the buckets of these."""
+def incremental_index(store: SnapshotStore, changed: DataFrame, deleted: DataFrame, window: int = 80, versions: DataFrame | None = None) -> str:
+    """Indexes changed or new files (path, content) and forgets deleted paths (path); reads and writes only the buckets of these.
+
+    With ``versions`` (path, version), the table ``versions`` follows in the same commit, deleted paths included.
+    """
     base = store.manifest()
     gone = changed.select("path").unionByName(deleted.select("path")).distinct()
     touched = sorted(r["bucket"] for r in gone.select(bucket_of(F.col("path"), store.buckets).alias("bucket")).distinct().collect())  # one for each bucket at most
@@ -136,4 +140,8 @@ def incremental_index(store: SnapshotStore, changed: DataFrame, deleted: DataFra
     new = chunk_table(changed, window, store.buckets)
     kept = store.read("imports", touched, base).join(gone.withColumnRenamed("path", "src"), "src", "left_anti")
     tables = _tables(old.unionByName(new), kept.unionByName(_imports(changed, store.buckets)))
+    if versions is not None:
+        held = store.read("versions", touched, base).join(gone, "path", "left_anti") if "versions" in base["tables"] else None
+        new = versions.select("path", "version", bucket_of(F.col("path"), store.buckets).alias("bucket"))
+        tables["versions"] = new if held is None else held.select("path", "version", "bucket").unionByName(new)
     return store.commit(tables, touched, base, ORDER)

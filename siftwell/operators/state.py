@@ -114,7 +114,7 @@ def judge_dependencies(proposed: DataFrame, tasks: DataFrame, deps: DataFrame) -
     """``proposed`` (plan_id, task_no, needs) with what adding each alone would do: self, unknown-task, unknown-needs, exists, cycle or ok.
 
     A new edge closes a cycle when its task is already needed, at any distance, by what it needs. The frontier of all
-    proposals is moved along the dependencies at once; a node is followed once for each start.
+    proposals is moved along the dependencies at once; a node is followed once for each start, and what is new is appended to what was reached.
     """
     known = tasks.select(*KEY).distinct()
     rows = proposed.select(*KEY, "needs").distinct()
@@ -124,11 +124,11 @@ def judge_dependencies(proposed: DataFrame, tasks: DataFrame, deps: DataFrame) -
     written = WrittenTables(proposed.sparkSession, "reach")
     edges = written.save(deps.select("plan_id", F.col("task_no").alias("at"), F.col("needs").alias("to")).distinct())
     frontier = written.save(rows.where("t AND n AND d IS NULL AND task_no <> needs").select("plan_id", F.col("needs").alias("start"), F.col("needs").alias("at")).distinct())
-    reached = frontier
+    reached = written.append(frontier, "reached")
     while not frontier.isEmpty():
         step = frontier.join(edges, ["plan_id", "at"]).select("plan_id", "start", F.col("to").alias("at")).distinct()
         frontier = written.save(step.join(reached, ["plan_id", "start", "at"], "left_anti"))
-        reached = written.save(reached.unionByName(frontier))
+        reached = written.append(frontier, "reached")
     loops = reached.select("plan_id", F.col("start").alias("needs"), F.col("at").alias("task_no"), F.lit(True).alias("loop"))
     rows = rows.join(loops, [*KEY, "needs"], "left")
     verdict = (

@@ -14,6 +14,15 @@ _MANAGED = r"^\s*<!--\s*req\s.*-->\s*$"
 _KEYED = r"^###\s+([A-Z]+-\d+)\s+—\s+"
 
 
+class DuplicateKeys(ValueError):
+    """A requirement key that stands twice in one file."""
+
+
+def duplicate_keys(found: DataFrame) -> DataFrame:
+    """(file, req_key, times) of the keys that several blocks of a file have."""
+    return found.where("req_key IS NOT NULL").groupBy("file", "req_key").agg(F.count("*").alias("times")).where("times > 1")
+
+
 def heading_line(key: Column, title: Column) -> Column:
     return F.concat(F.lit("### "), key, F.lit(" — "), title)
 

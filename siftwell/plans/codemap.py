@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import text as T
 from siftwell.functions.similarity import close_names
 from siftwell.operators import codemap as M
+from siftwell.operators import guide as Q
 from siftwell.plans.catalog import Catalog
 from siftwell.sources import tables as S
 
@@ -192,6 +193,28 @@ def guide_markdown(spark, sf_dir):
     return f.select("path", "content_hash").join(_notes(f), "path", "left").select(T.tier(F.col("path"), 2).alias("area"), "path", line.alias("line"))
 
 
+_GUIDE_FILES_SQL = f"""{_G}, e AS (SELECT DISTINCT src, dst FROM gedges WHERE dst <> ''), o AS (SELECT src AS path, string_agg(dst, ', ' ORDER BY dst) AS imports FROM e GROUP BY 1),
+  i AS (SELECT dst AS path, string_agg(src, ', ' ORDER BY src) AS imported_by FROM e GROUP BY 1),
+  g AS (SELECT path, CASE WHEN loc % 4 = 1 THEN 'Note ' || loc || chr(10) END AS summary, loc % 8 = 1 AS stale, imports, imported_by FROM gfiles LEFT JOIN o USING (path) LEFT JOIN i USING (path))"""
+
+
+@query(
+    "guide_document",
+    f"""{_GUIDE_FILES_SQL} SELECT split_part(path, '/', 1) AS area, path, '### ' || path || chr(10) || chr(10) || coalesce(rtrim(summary, chr(10)), '_Undocumented._')
+        || CASE WHEN stale THEN chr(10) || chr(10) || '{Q.STALE}' ELSE '' END || coalesce(chr(10) || chr(10) || 'Imports: ' || imports, '') || coalesce(chr(10) || chr(10) || 'Imported by: ' || imported_by, '') || chr(10) AS block FROM g
+      UNION ALL SELECT DISTINCT split_part(path, '/', 1), '', '## ' || split_part(path, '/', 1) || chr(10) FROM g
+      UNION ALL SELECT '', '', '{Q.TITLE}' || chr(10) || chr(10) || '{Q.DO_NOT_EDIT}' || chr(10) || chr(10) || 'Coverage: documented ' || count(summary) || ' / total ' || count(*) || ' · stale ' || count(*) FILTER (stale) || chr(10) FROM g""",
+)
+def guide_document(spark, sf_dir):
+    """The parts of the whole guide, in the order of (area, path) that the written file has."""
+    e = S.graph_edges(spark, sf_dir).where("dst <> ''").select("src", "dst").distinct()
+    out = e.groupBy(F.col("src").alias("path")).agg(F.array_sort(F.collect_list("dst")).alias("imports"))
+    into = e.groupBy(F.col("dst").alias("path")).agg(F.array_sort(F.collect_list("src")).alias("imported_by"))
+    loc = F.col("loc")
+    f = S.graph_files(spark, sf_dir).select("path", F.when(loc % 4 == 1, F.concat(F.lit("Note "), loc, F.lit("\n"))).alias("summary"), (loc % 8 == 1).alias("stale"))
+    return Q.guide_parts(f.join(out, "path", "left").join(into, "path", "left"))
+
+
 @query(
     "hot_spots",
     f"WITH {_LINKS_SQL} SELECT path, count(DISTINCT section || ':' || entry_id % 10) AS reasons FROM links WHERE section IN ('user', 'system') GROUP BY path ORDER BY reasons DESC, path LIMIT 25",

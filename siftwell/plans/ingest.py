@@ -359,3 +359,15 @@ def requirements_written(spark, sf_dir):
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") % 5 != 0, F.struct("req_key", block.alias("block"))))), lambda x: x["block"]), "\n\n")
     files = store.groupBy("file").agg(F.concat(F.lit("# Requirements\n\n"), body, F.lit("\n")).alias("content"))
     return W.written(files, store.drop("k")).select("file", "content")
+
+
+@query(
+    "requirement_duplicates",
+    "SELECT 'o' || o_custkey % 50 AS file, 'R-' || lpad(CAST(o_orderkey % 997 AS VARCHAR), 3, '0') AS req_key, count(*) AS times FROM orders GROUP BY ALL HAVING count(*) > 1",
+)
+def requirement_duplicates(spark, sf_dir):
+    """Keys that a requirements file has more than once."""
+    key = F.concat(F.lit("R-"), F.lpad((F.col("o_orderkey") % 997).cast("string"), 3, "0"))
+    rows = S.table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_custkey") % 50).alias("file"), W.heading_line(key, F.col("o_orderpriority")).alias("line"))
+    files = rows.groupBy("file").agg(F.array_join(F.collect_list("line"), "\n").alias("content"))
+    return W.duplicate_keys(W.blocks(W.file_lines(files)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import Window
@@ -16,7 +17,7 @@ from siftwell.operators.ingest import line_windows
 from siftwell.plans.catalog import Catalog
 from siftwell.sources import tables as S
 from siftwell.sources.scratch import shared_folder
-from siftwell.sources.snapshot import SnapshotStore
+from siftwell.sources.snapshot import Conflict, SnapshotStore
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -35,10 +36,11 @@ def text_index(spark, sf_dir) -> SnapshotStore:
     rows = S.table(spark, sf_dir, "documents")
     mark = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
     state = rows.select(mark.alias("h")).groupBy("h").agg(F.count("*").alias("n")).agg(F.bit_xor("h").alias("h"), F.sum("n").alias("n")).first()
-    name = f"index-{(state['h'] or 0) & (1 << 64) - 1:016x}"
+    name = f"index-v{R.FORMAT}-{(state['h'] or 0) & (1 << 64) - 1:016x}"
     store = SnapshotStore(spark, f"{shared_folder(spark)}/{name}", max(8, -(-(state["n"] or 0) // FILES_A_BUCKET)))
     if not store.manifest()["version"]:
-        R.full_index(store, S.files(spark, sf_dir).select("path", "content"), S.WINDOW)
+        with contextlib.suppress(Conflict):  # another session has built the same one meanwhile
+            R.full_index(store, S.files(spark, sf_dir).select("path", "content"), S.WINDOW)
     return store
 
 

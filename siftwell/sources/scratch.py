@@ -32,3 +32,9 @@ class WrittenTables:
         path = f"{self.root}/t{self.count}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def append(self, df: DataFrame, name: str) -> DataFrame:
+        """Adds rows to a table of that name; all rows so far."""
+        path = f"{self.root}/{name}"
+        df.write.mode("append").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)

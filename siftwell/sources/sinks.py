@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.functions import text as T
 from siftwell.sources.hadoop import Files
 
 
@@ -30,6 +31,13 @@ def write_document(rows: DataFrame, column: str, order: list[str], path: str) ->
         files.delete(parts)
 
 
+def append_log(rows: DataFrame, path: str, response: str | None = None) -> None:
+    """Appends JSON lines; with ``response``, an estimate of that column's tokens takes its place."""
+    if response:
+        rows = rows.withColumn("response_tokens", T.token_estimate(F.col(response))).drop(response)
+    rows.write.mode("append").json(path)
+
+
 def upserted(table: DataFrame, changes: DataFrame, key: list[str], deleted: str | None = None) -> DataFrame:
     """``table`` with the rows of ``changes`` in place of those of equal key; rows marked by ``deleted`` go."""
     kept = table.join(changes.select(*key), key, "left_anti")

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
-from siftwell.operators.ingest import DEFAULT_IGNORE, MAX_BYTES, binary_reason, markdown_blocks
+from siftwell.operators.ingest import DEFAULT_IGNORE, MAX_BYTES, binary_reason
 from siftwell.operators.scan import scanned
+from siftwell.operators.writeback import DuplicateKeys, blocks, duplicate_keys, file_lines
 from siftwell.sources.hadoop import Files
 from siftwell.sources.scratch import WrittenTables
 
@@ -88,7 +89,10 @@ def read_tree(spark: SparkSession, root: str, ignore: list[str] | None = None, m
     )
 
 
-def read_requirements(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, req_key, title, status, prose, heading_line) of requirement files in Markdown."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("body"))
-    return markdown_blocks(files, "file", "body")
+def read_requirements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, content) of requirement files in Markdown; a file that has a key twice is refused, as no write-back of it could be right."""
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
+    twice = duplicate_keys(blocks(file_lines(files))).limit(20).collect()
+    if twice:
+        raise DuplicateKeys(", ".join(f"{r['req_key']} in {r['file']} ({r['times']} times)" for r in twice))
+    return files

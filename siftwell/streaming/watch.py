@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siftwell.operators.ingest import line_windows
+from siftwell.operators.reindex import full_index, incremental_index
+from siftwell.sources.snapshot import SnapshotStore
 
 VERSIONS = "path string, content string, version long"
 DEBOUNCE = "800 milliseconds"
@@ -41,6 +43,36 @@ def watch(spark: SparkSession, inbox: str, out: str, checkpoint: str, window: in
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()
 
 
+def snapshot_batch(store: SnapshotStore, window: int) -> Callable[[DataFrame, int], None]:
+    """Brings the snapshot index in line with a batch of file versions: one commit for chunks, symbols, imports, postings and versions.
+
+    Of each path the newest version counts, and none older than the one the index holds, so late versions change nothing. A batch
+    that runs again, after its commit too, leaves the same state.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        if not store.manifest()["version"]:
+            full_index(store, batch.select("path", "content").limit(0), window)
+        newest = batch.groupBy("path").agg(F.max_by(F.struct("content", "version"), "version").alias("x")).select("path", "x.*")
+        if "versions" in store.manifest()["tables"]:
+            held = store.read("versions").select("path", F.col("version").alias("held"))
+            newest = newest.join(held, "path", "left").where("held IS NULL OR version >= held").drop("held")
+        newest = newest.persist()
+        try:
+            gone = newest.where("content IS NULL").select("path")
+            incremental_index(store, newest.where("content IS NOT NULL").select("path", "content"), gone, window, newest.select("path", "version"))
+        finally:
+            newest.unpersist()
+
+    return write
+
+
+def watch_index(spark: SparkSession, inbox: str, store: SnapshotStore, checkpoint: str, window: int = 80, once: bool = False) -> StreamingQuery:
+    """Starts a stream that keeps a snapshot index in line with an inbox of file versions, one micro-batch each ``DEBOUNCE``."""
+    writer = versions(spark, inbox).writeStream.foreachBatch(snapshot_batch(store, window)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()
+
+
 def newest_versions(spark: SparkSession, out: str) -> DataFrame:
     """(path, version, batch) of each path's newest version; of equal versions the one that came last."""
     rows = spark.read.parquet(f"{out}/versions").groupBy("path").agg(F.max(F.struct("version", "batch")).alias("x"))

@@ -7,9 +7,11 @@ import json
 import random
 import time
 
+from siftwell.operators.reindex import full_index
+from siftwell.sources.snapshot import SnapshotStore
 from siftwell.streaming.leases import current_tasks, run_leases
 from siftwell.streaming.registry import ProjectStreams
-from siftwell.streaming.watch import compact, current_chunks, watch
+from siftwell.streaming.watch import compact, current_chunks, snapshot_batch, watch, watch_index
 
 DAY = datetime.datetime(2024, 5, 1)
 
@@ -209,3 +211,25 @@ def test_watch_keeps_tombstones_and_breaks_ties(spark, tmp_path):
     (inbox2 / "3.json").write_text('{"path": "b", "content": "late", "version": 1}\n')
     watch(spark, str(inbox2), to, str(tmp_path / "ck2"), 2, once=True).awaitTermination()
     assert [(r.path, r.content) for r in current_chunks(spark, to).collect()] == [("a", "again")]
+
+
+def test_watched_snapshot_index_equals_a_full_one(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    stores = [SnapshotStore(spark, f"file://{tmp_path}/{n}", 4) for n in ("watched", "full")]
+
+    def drop(name, *rows):
+        (inbox / name).write_text("".join(json.dumps(dict(zip(("path", "content", "version"), r, strict=True))) + "\n" for r in rows))
+        watch_index(spark, str(inbox), stores[0], str(tmp_path / "ck"), 2, once=True).awaitTermination()
+
+    drop("1.json", ("a.py", "import os\nx = 1\ny = 2", 1), ("b.py", "import sys", 1), ("c.py", "z", 1), ("a.py", "older", 0))
+    drop("2.json", ("b.py", None, 3), ("c.py", "import re, json\n", 2))
+    drop("3.json", ("b.py", "late", 2), ("c.py", "older", 1), ("d.py", "new", 1))
+    full_index(stores[1], spark.createDataFrame([("a.py", "import os\nx = 1\ny = 2"), ("c.py", "import re, json\n"), ("d.py", "new")], "path string, content string"), 2)
+    for table, names in {"chunks": ["path", "start_line", "content"], "imports": ["src", "module"], "symbols": ["path", "name", "line"]}.items():
+        one, two = (sorted(map(tuple, s.read(table).select(*names).collect())) for s in stores)
+        assert one == two and one
+    assert {r.path: r.version for r in stores[0].read("versions").collect()} == {"a.py": 1, "b.py": 3, "c.py": 2, "d.py": 1}
+    before = stores[0].manifest()["version"]
+    snapshot_batch(stores[0], 2)(spark.createDataFrame([("b.py", "late", 2)], "path string, content string, version long"), 9)
+    assert stores[0].manifest()["version"] == before

@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from siftwell.operators import writeback
+from siftwell.operators import guide, writeback
 from siftwell.operators.scan import scanned
 from siftwell.sources import tree
-from siftwell.sources.sinks import write_document, write_files
+from siftwell.sources.sinks import append_log, write_document, write_files
 
 
 def make(root, files):
@@ -115,3 +116,39 @@ def test_document_is_assembled_in_order_and_replaced(spark, tmp_path):
         write_document(rows.where(F.col("id") < n), "line", ["id"], path)
         assert (tmp_path / "guide.md").read_text() == "".join(f"line é {i}\n" for i in range(n))
     assert {p.name for p in tmp_path.iterdir() if not p.name.startswith(".")} == {"guide.md"}
+
+
+def test_requirement_files_with_a_key_twice_are_refused(spark, tmp_path):
+    make(tmp_path, {"a.md": "### R-001 — One\n\n### R-002 — Two\n", "b.md": "### R-001 — One\n### R-001 — Again\n"})
+    assert [tuple(r) for r in tree.read_requirements(spark, str(tmp_path / "a.md")).collect()] == [("a.md", "### R-001 — One\n\n### R-002 — Two\n")]
+    with pytest.raises(writeback.DuplicateKeys, match="R-001 in b.md"):
+        tree.read_requirements(spark, [str(tmp_path / "a.md"), str(tmp_path / "b.md")])
+
+
+def test_audit_log_keeps_estimates_instead_of_responses(spark, tmp_path):
+    for k in (1, 2):
+        append_log(spark.createDataFrame([(k, "search", "x" * 9)], "seq int, operation string, response string"), str(tmp_path / "log"), "response")
+    got = sorted(tuple(r) for r in spark.read.schema("seq int, operation string, response_tokens long").json(str(tmp_path / "log")).collect())
+    assert got == [(1, "search", 3), (2, "search", 3)] and "xxx" not in "".join(p.read_text() for p in (tmp_path / "log").glob("part-*"))
+
+
+def test_guide_equals_a_plain_rendering(spark, tmp_path):
+    draw = random.Random(3)
+    names = sorted({f"{draw.choice(['src/', 'lib/', 'src-x/', ''])}m{draw.randrange(400)}.py" for _ in range(150)})
+    files = [(n, draw.choice([None, "", "One line.  \n", "Two\n\nparagraphs"]), draw.choice([True, False, None]), names[: draw.randrange(3)], names[5 : 5 + draw.randrange(3)]) for n in names]
+    lines = ["# Codebase Guide", "", guide.DO_NOT_EDIT, "", f"Coverage: documented {sum(bool(f[1]) for f in files)} / total {len(files)} · stale {sum(f[2] is True for f in files)}", ""]
+    areas = {}
+    for f in files:
+        areas.setdefault(f[0].split("/")[0] if "/" in f[0] else ".", []).append(f)
+    for area in sorted(areas):
+        lines += [f"## {area}", ""]
+        for path, summary, stale, imports, imported_by in sorted(areas[area]):
+            lines += [f"### {path}", "", summary.rstrip() if summary else "_Undocumented._", ""]
+            lines += [guide.STALE, ""] if stale else []
+            lines += ["Imports: " + ", ".join(imports), ""] if imports else []
+            lines += ["Imported by: " + ", ".join(imported_by), ""] if imported_by else []
+    table = spark.createDataFrame(files, "path string, summary string, stale boolean, imports array<string>, imported_by array<string>").repartition(5)
+    guide.write_guide(table, f"file://{tmp_path}/GUIDE.md")
+    assert (tmp_path / "GUIDE.md").read_text() == "\n".join(lines).rstrip() + "\n"
+    guide.write_guide(table.limit(0), f"file://{tmp_path}/GUIDE.md")
+    assert (tmp_path / "GUIDE.md").read_text().endswith("Coverage: documented 0 / total 0 · stale 0\n")
