@@ -32,13 +32,13 @@ FILES_A_BUCKET = 20_000
 
 
 def text_index(spark, sf_dir) -> SnapshotStore:
-    """The index of the files of ``sf_dir`` in the shared folder, built when it isn't there or the table's files have changed."""
+    """The index of the files of ``sf_dir`` in the shared folder, built when it isn't there in whole or the table's files have changed."""
     rows = S.table(spark, sf_dir, "documents")
     mark = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
     state = rows.select(mark.alias("h")).groupBy("h").agg(F.count("*").alias("n")).agg(F.bit_xor("h").alias("h"), F.sum("n").alias("n")).first()
     name = f"index-v{R.FORMAT}-{(state['h'] or 0) & (1 << 64) - 1:016x}"
     store = SnapshotStore(spark, f"{shared_folder(spark)}/{name}", max(8, -(-(state["n"] or 0) // FILES_A_BUCKET)))
-    if not store.manifest()["version"]:
+    if not store.intact():
         with contextlib.suppress(Conflict):  # another session has built the same one meanwhile
             R.full_index(store, S.files(spark, sf_dir).select("path", "content"), S.WINDOW)
     return store

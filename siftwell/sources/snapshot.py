@@ -116,6 +116,12 @@ class SnapshotStore:
     def commit(self, tables: dict[str, DataFrame], changed: Iterable[int] | None = None, base: dict | None = None, order: dict[str, list[str]] | None = None) -> str:
         return self.publish(self.prepare(tables, changed, base, order))
 
+    def intact(self) -> bool:
+        """Whether there is a state in force and the folders of all its buckets are there."""
+        held = self.manifest()
+        folders = {f"{self.root}/data/{f}/{name}" for name, t in held["tables"].items() for f in t["buckets"].values()}
+        return bool(held["version"]) and all(self.files.exists(f) for f in folders)
+
     def vacuum(self) -> list[str]:
         """Removes the folders that the state in force doesn't use; returns their names. No reader or writer may be under way."""
         held = self.manifest()

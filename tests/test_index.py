@@ -75,6 +75,12 @@ def test_a_write_that_dies_leaves_the_old_state(spark, tmp_path):
     empty = files(spark, 10).select("path")
     R.incremental_index(store, files(spark, 0), empty, 8)
     assert store.read("chunks").count() == 0 and X.scored(store, "fox").count() == 0
+    assert store.intact() and not SnapshotStore(spark, f"file://{tmp_path}/none").intact()
+    R.full_index(store, files(spark, 10), 8)
+    shutil.rmtree(f"{tmp_path}/s/data/{store.manifest()['version']}/postings")
+    assert not store.intact()
+    R.full_index(store, files(spark, 10), 8)
+    assert store.intact() and content(store) == old
 
 
 @pytest.mark.parametrize("fuzzy", [True, False])
