@@ -32,6 +32,38 @@ def gram_set(text: str | None) -> np.ndarray:
     return np.unique((a[valid] * SYMBOLS + b[valid]) * SYMBOLS + d[valid])
 
 
+def slices(texts: list[str | None], most: int = 1 << 18) -> Iterator[slice]:
+    """Runs of texts of about ``most`` characters each, in order; one text at least."""
+    start = held = 0
+    for k, text in enumerate(texts):
+        held += len(text or "")
+        if held >= most:
+            yield slice(start, k + 1)
+            start, held = k + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def gram_pairs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the text, trigram): the ``gram_set`` of each text, in one pass over all of them; ascending."""
+    raw = [(t or "").lower().encode() for t in texts]
+    c = _CODE[np.frombuffer(b" ".join([*raw, b""]), np.uint8)]  # a blank parts the words of two texts
+    kept = np.flatnonzero(c)
+    if not len(kept):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(raw)), [len(r) + 1 for r in raw])[kept]
+    # two blanks before every word, of which the first ends the word before
+    at = np.arange(len(kept)) + 2 * np.cumsum(np.diff(kept, prepend=-2) > 1)
+    stream = np.zeros(int(at[-1]) + 2, np.int64)
+    owner = np.zeros(len(stream), np.int64)
+    stream[at], owner[at] = c[kept], of
+    a, b, d = stream[:-2], stream[1:-1], stream[2:]
+    valid = (b > 0) | ((a == 0) & (d > 0))
+    code = (a[valid] * SYMBOLS + b[valid]) * SYMBOLS + d[valid]
+    found = np.unique(np.where(b > 0, owner[1:-1], owner[2:])[valid] * GRAMS + code)
+    return found // GRAMS, found % GRAMS
+
+
 def gram_text(code: int) -> str:
     """The three characters of a trigram's number."""
     return "".join(_TEXT[code // SYMBOLS**k % SYMBOLS] for k in (2, 1, 0))

@@ -4,12 +4,14 @@ Every table is dealt to buckets by path. A full index writes all buckets; an inc
 from the old snapshot, only in the buckets that hold a changed or deleted path, and puts both in force at once.
 
 Postings: for each bucket, field and gram the list of chunks that have it, with the times for words. Fields are ``c`` (trigrams of
-the content), ``s`` (of the symbol), ``p`` (of the path) and ``w`` (words of the content). A bucket bounds the lists' length.
+the content), ``s`` (of the symbol), ``p`` (of the path) and ``w`` (words of the content). A gram may have several rows in a bucket, each
+with other chunks.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,17 +21,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
-from siftwell.functions.grams import gram_set, gram_text
+from siftwell.functions.grams import gram_pairs, gram_text, slices
 from siftwell.functions.imports import imported_modules
 from siftwell.operators.ingest import line_windows
 from siftwell.sources.scratch import WrittenTables
-from siftwell.sources.snapshot import SnapshotStore, bucket_of
+from siftwell.sources.snapshot import SnapshotStore, bucket_of, by_bucket
 
 FORMAT = 2  #: of the tables below; an index of another format is built anew
+HELD = 1 << 21  #: entries of posting lists that a task holds
+FILES_A_BUCKET = 20_000
 SHIFT = 32  #: a chunk's number is its bucket, shifted, and its place in the bucket
 ORDER = {"chunks": ["path", "start_line"], "symbols": ["path", "line"], "imports": ["src", "module"], "postings": ["field", "gram"]}
 
 
+def buckets_for(n: int) -> int:
+    """Buckets of an index of ``n`` files."""
+    return max(8, -(-n // FILES_A_BUCKET))
+
+
 def chunk_table(files: DataFrame, window: int, buckets: int) -> DataFrame:
     """(bucket, path, start_line, end_line, symbol, content, chunk_hash, n_content, n_symbol) of files (path, content)."""
     rows = files.select(bucket_of(F.col("path"), buckets).alias("bucket"), "path", F.coalesce("content", F.lit("")).alias("content"))
@@ -39,79 +48,94 @@ def chunk_table(files: DataFrame, window: int, buckets: int) -> DataFrame:
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [pa.array([len(gram_set(t)) for t in batch.column(k).to_pylist()], pa.int32()) for k in (5, 4)]
+            sizes = []
+            for texts in (batch.column(k).to_pylist() for k in (5, 4)):
+                counts = [np.bincount(gram_pairs(texts[own])[0], minlength=own.stop - own.start) for own in slices(texts)]
+                sizes.append(pa.array(np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *sizes], names=[*batch.schema.names, "n_content", "n_symbol"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(sized, f"{kinds}, n_content int, n_symbol int")
 
 
-def numbered(chunks: DataFrame) -> DataFrame:
+def numbered(chunks: DataFrame, buckets: int) -> DataFrame:
     """``chunks`` with ``cid``: the bucket and the place in it, by path and line."""
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("path", "start_line"))
-    return chunks.withColumn("cid", F.shiftleft(F.col("bucket").cast("long"), SHIFT) + place)
+    return by_bucket(chunks, buckets).withColumn("cid", F.shiftleft(F.col("bucket").cast("long"), SHIFT) + place)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(bucket, field, gram, chunks): of numbered chunks; ``chunks`` are (cid, times). A task holds the postings of one bucket at a time."""
-    rows = chunks.select("bucket", "cid", "content", "symbol", "path").repartition("bucket").sortWithinPartitions("bucket", "cid")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: BucketPostings | None = None
-        for batch in batches:
-            for bucket, cid, content, symbol, path in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if held is None or held.bucket != bucket:
-                    if held:
-                        yield from held.batches()
-                    held = BucketPostings(bucket)
-                held.add(cid, content, symbol, path)
-        if held:
-            yield from held.batches()
+def postings(chunks: DataFrame, held: int = HELD) -> DataFrame:
+    """(bucket, field, gram, chunks): of numbered chunks; ``chunks`` are (cid, times).
 
-    return rows.mapInArrow(run, "bucket int, field string, gram string, chunks array<struct<cid:bigint,times:int>>")
-
-
-class BucketPostings:
-    """The postings of one bucket's chunks, which come in order of their number."""
+    A task holds about ``held`` entries at a time, whatever the size of a bucket: a gram has a row for each such piece.
+    """
+    rows = chunks.select("bucket", "cid", "content", "symbol", "path")
+    return rows.mapInArrow(lambda batches: posting_batches(batches, held), "bucket int, field string, gram string, chunks array<struct<cid:bigint,times:int>>")
+
+
+def posting_batches(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Postings of rows (bucket, cid, content, symbol, path), in pieces of one bucket and about ``most`` entries."""
+    piece: Postings | None = None
+    for batch in batches:
+        buckets, cids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        texts = [batch.column(k).to_pylist() for k in (2, 3, 4)]
+        ends = [*(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
+        for start, end in zip([0, *ends[:-1]], ends, strict=True):  # rows of one bucket
+            for part in slices(texts[0][start:end]):
+                own = slice(start + part.start, start + part.stop)
+                if piece and (piece.bucket != buckets[start] or piece.size >= most):
+                    yield from piece.batches()
+                    piece = None
+                piece = piece or Postings(int(buckets[start]))
+                piece.add(cids[own], *(t[own] for t in texts))
+    if piece:
+        yield from piece.batches()
+
+
+class Postings:
+    """Posting lists of some chunks of one bucket."""
 
     def __init__(self, bucket: int):
-        self.bucket = bucket
-        self.grams: dict[str, list[np.ndarray]] = {"c": [], "s": [], "p": []}
-        self.owners: dict[str, list[tuple[int, int]]] = {"c": [], "s": [], "p": []}
-        self.words: dict[str, tuple[list[int], list[int]]] = {}
-
-    def add(self, cid: int, content: str, symbol: str, path: str) -> None:
-        for field, text in (("c", content), ("s", symbol), ("p", path)):
-            own = gram_set(text)
-            self.grams[field].append(own)
-            self.owners[field].append((cid, len(own)))
-        for word, times in Counter(re.findall("[a-z0-9_]+", content.lower())).items():
-            cids, counts = self.words.setdefault(word, ([], []))
-            cids.append(cid)
-            counts.append(times)
+        self.bucket, self.size = bucket, 0
+        self.grams: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {"c": [], "s": [], "p": []}
+        self.names: dict[str, int] = {}
+        self.words = array("i"), array("q"), array("i")  # number of the word, chunk, times
+
+    def add(self, cids: np.ndarray, contents: list[str], symbols: list[str], paths: list[str]) -> None:
+        for field, texts in (("c", contents), ("s", symbols), ("p", paths)):
+            owner, codes = gram_pairs(texts)
+            self.grams[field].append((codes.astype(np.uint16), cids[owner]))
+            self.size += len(codes)
+        number = self.names
+        for cid, content in zip(cids.tolist(), contents, strict=True):
+            found = Counter(re.findall("[a-z0-9_]+", content.lower()))
+            self.words[0].extend([number.setdefault(w, len(number)) for w in found])
+            self.words[1].extend([cid] * len(found))
+            self.words[2].extend(found.values())
+            self.size += len(found)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        for field in self.grams:
-            codes = np.concatenate(self.grams[field])
-            cids = np.repeat(*np.array(self.owners[field], np.int64).T)
+        for field, parts in self.grams.items():
+            codes, cids = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.argsort(codes, kind="stable")
             found, first = np.unique(codes[order], return_index=True)
             yield self._batch(field, [gram_text(g) for g in found.tolist()], np.append(first, len(codes)), cids[order], np.ones(len(codes), np.int32))
-        names = sorted(self.words)
-        sizes = np.cumsum([0, *(len(self.words[w][0]) for w in names)])
-        yield self._batch("w", names, sizes, *[np.array([x for w in names for x in self.words[w][k]], t) for k, t in ((0, np.int64), (1, np.int32))])
+        word, cids, times = (np.array(x) for x in self.words)
+        order = np.argsort(word, kind="stable")
+        sizes = np.cumsum(np.bincount(word, minlength=len(self.names)))
+        yield self._batch("w", list(self.names), np.append(0, sizes), cids[order], times[order])
 
     def _batch(self, field: str, grams: list[str], offsets: np.ndarray, cids: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
         pairs = pa.StructArray.from_arrays([pa.array(cids), pa.array(times)], names=["cid", "times"])
         lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pairs)
         n = len(grams)
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.bucket] * n, pa.int32()), pa.array([field] * n), pa.array(grams, pa.string()), lists], names=["bucket", "field", "gram", "chunks"]
+            [pa.array([self.bucket] * n, pa.int32()), pa.array([field] * n, pa.string()), pa.array(grams, pa.string()), lists], names=["bucket", "field", "gram", "chunks"]
         )
 
 
-def _tables(chunks: DataFrame, imports: DataFrame) -> dict[str, DataFrame]:
-    chunks = WrittenTables(chunks.sparkSession, "chunks").save(numbered(chunks))
+def _tables(chunks: DataFrame, imports: DataFrame, buckets: int) -> dict[str, DataFrame]:
+    chunks = WrittenTables(chunks.sparkSession, "chunks").save(numbered(chunks, buckets))
     symbols = chunks.where("symbol <> ''").select("bucket", "path", F.col("symbol").alias("name"), F.col("start_line").alias("line"))
     return {"chunks": chunks, "symbols": symbols, "imports": imports, "postings": postings(chunks)}
 
@@ -123,7 +147,7 @@ def _imports(files: DataFrame, buckets: int) -> DataFrame:
 
 def full_index(store: SnapshotStore, files: DataFrame, window: int = 80) -> str:
     """Indexes all files (path, content) anew."""
-    return store.commit(_tables(chunk_table(files, window, store.buckets), _imports(files, store.buckets)), order=ORDER)
+    return store.commit(_tables(chunk_table(files, window, store.buckets), _imports(files, store.buckets), store.buckets), order=ORDER)
 
 
 def incremental_index(store: SnapshotStore, changed: DataFrame, deleted: DataFrame, window: int = 80, versions: DataFrame | None = None) -> str:
@@ -139,7 +163,7 @@ def incremental_index(store: SnapshotStore, changed: DataFrame, deleted: DataFra
     old = store.read("chunks", touched, base).drop("cid").join(gone, "path", "left_anti")
     new = chunk_table(changed, window, store.buckets)
     kept = store.read("imports", touched, base).join(gone.withColumnRenamed("path", "src"), "src", "left_anti")
-    tables = _tables(old.unionByName(new), kept.unionByName(_imports(changed, store.buckets)))
+    tables = _tables(old.unionByName(new), kept.unionByName(_imports(changed, store.buckets)), len(touched))
     if versions is not None:
         held = store.read("versions", touched, base).join(gone, "path", "left_anti") if "versions" in base["tables"] else None
         new = versions.select("path", "version", bucket_of(F.col("path"), store.buckets).alias("bucket"))

@@ -29,6 +29,12 @@ def bucket_of(path, buckets: int):
     return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
 
 
+def by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` dealt by ``bucket``; to more partitions than the session's where these would get several of the buckets each."""
+    wide = 4 * buckets > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(4 * buckets, "bucket") if wide else rows.repartition("bucket")
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
@@ -86,11 +92,12 @@ class SnapshotStore:
         With ``changed``, only these buckets take their rows from ``tables``; a bucket without rows becomes empty.
         """
         base = base or self.manifest()
+        changed = None if changed is None else list(changed)
         version = uuid.uuid4().hex
         new = {"version": version, "base": base["version"], "tables": {k: dict(v) for k, v in base["tables"].items()}}
         for name, df in tables.items():
             by = (order or {}).get(name, [])
-            rows = df.repartition("bucket").sortWithinPartitions("bucket", *by)
+            rows = by_bucket(df, self.buckets if changed is None else len(changed)).sortWithinPartitions("bucket", *by)
             rows.write.partitionBy("bucket").option("maxRecordsPerFile", 0).parquet(f"{self.root}/data/{version}/{name}")
             written = {str(b) for b in self._written(f"data/{version}/{name}")}
             old = {} if changed is None else base["tables"].get(name, {"buckets": {}})["buckets"]

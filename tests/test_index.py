@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from siftwell.functions.grams import gram_pairs, gram_set, slices
 from siftwell.operators import indexed_search as X
 from siftwell.operators import reindex as R
 from siftwell.operators import search as K
@@ -56,6 +57,25 @@ def test_incremental_equals_full(spark, tmp_path):
     assert R.incremental_index(store, changed.limit(0), deleted.limit(0), 8) == store.manifest()["version"]
 
 
+def test_postings_of_one_bucket_come_in_bounded_pieces(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/s", 1)
+    R.full_index(store, files(spark), 8)
+    rows = store.read("chunks").select("bucket", "cid", "content", "symbol", "path").orderBy("cid")
+    table = rows.toArrow().combine_chunks()
+    entries = lambda found: sorted((f, g, c["cid"], c["times"]) for b in found for f, g, cs in zip(*[b.column(k).to_pylist() for k in (1, 2, 3)], strict=True) for c in cs)
+    whole, pieces = list(R.posting_batches(iter(table.to_batches()))), list(R.posting_batches(iter(table.to_batches(max_chunksize=10)), 500))
+    assert len(whole) == 4 and max(len(b.column(3).flatten()) for b in pieces) < 2000 < max(len(b.column(3).flatten()) for b in whole)
+    assert entries(pieces) == entries(whole)
+    assert entries(R.postings(store.read("chunks"), 500).toArrow().to_batches()) == entries(store.read("postings").select("bucket", "field", "gram", "chunks").toArrow().to_batches())
+
+
+@pytest.mark.parametrize("n", [1, 40, 1 << 18])
+def test_trigrams_of_many_texts_at_once(n):
+    texts = ["the fox", None, "", "a", "ab\tc1", "über É x", "İK", "--", "x" * 50, "z"]
+    got = [(k + own.start, g) for own in slices(texts, n) for k, g in zip(*map(list, gram_pairs(texts[own])), strict=True)]
+    assert got == [(k, g) for k, t in enumerate(texts) for g in gram_set(t)]
+
+
 def test_a_write_that_dies_leaves_the_old_state(spark, tmp_path):
     store = SnapshotStore(spark, f"file://{tmp_path}/s", 4)
     R.full_index(store, files(spark, 10), 8)
