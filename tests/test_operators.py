@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from siftwell.functions import paths
 from siftwell.functions import text as T
 from siftwell.functions.commands import generic_command
-from siftwell.functions.embedding import hash_embedding
+from siftwell.functions.embedding import embed_texts, hash_embedding
 from siftwell.operators import codemap, contracts, ingest, planning, savings, search, state
 from siftwell.sources import sinks
 from siftwell.sources.tree import ignore_lines, read_tree
@@ -146,6 +147,23 @@ def test_hash_embedding_equals_a_plain_one(spark):
     assert len(hash_embedding(spark.createDataFrame([("a",)], "t string"), "t", 3, "v").first().v) == 16
 
 
+@pytest.mark.parametrize("most", [1, 5, 1 << 18])
+def test_embedding_by_blocks_of_words(most):
+    texts = ["a b c_d a b", None, "one", "", "x" * 3000 + " a b", "a b c_d a b a"]
+    got = embed_texts(texts, 32, most)
+    for t, v in zip(texts, got, strict=True):
+        assert list(v) == pytest.approx(plain_embedding(t or "", 32))
+
+
+def test_one_long_word_does_not_widen_all_features():
+    texts = ["w" * 100_000, *(f"word{k} of many" for k in range(2000))]
+    tracemalloc.start()
+    embed_texts(texts, 64)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64_000_000
+
+
 def test_ignore_rules_in_order_with_negation_and_folders(spark):
     rules = paths.rules_of("*.log\n# note\n!keep.log\nbuild/\n/top.txt\ndocs/**/x.md\na/**\nf?[0-9].c\n") + paths.rules_of("*.tmp\n/only.txt\n", "sub/dir")
     names = {
