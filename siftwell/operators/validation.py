@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftwell.functions.text import let
+
 _NONE = "array<string>"
 
 
@@ -28,6 +30,11 @@ def _kind(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
+def _field(rule: Rule, path: Column, none: Column) -> Callable[[Column], Column]:
+    """The faults of a field's value; ``none`` for an absent one."""
+    return lambda one: F.when(one.isNull() | (_kind(one) == "VOID"), none).otherwise(rule.faults(one, path))
+
+
 class Rule:
     def faults(self, value: Column, path: Column) -> Column:
         raise NotImplementedError
@@ -43,9 +50,10 @@ class Text(Rule):
     relative: bool = False  #: a path from the repository's root
 
     def faults(self, value: Column, path: Column) -> Column:
-        text = F.variant_get(value, "$", "string")
-        text = F.trim(text)
-        out = F.when(_kind(value) != "STRING", _fault(path, "type"))
+        return let(F.trim(F.try_variant_get(value, "$", "string")), lambda text: self._judged(_kind(value), text, path))
+
+    def _judged(self, kind: Column, text: Column, path: Column) -> Column:
+        out = F.when(kind != "STRING", _fault(path, "type"))
         if not self.empty:
             out = out.when(text == "", _fault(path, "empty"))
         if self.most is not None:
@@ -88,14 +96,17 @@ class Many(Rule):
     also: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
     def faults(self, value: Column, path: Column) -> Column:
-        items = F.try_variant_get(value, "$", "array<variant>")
+        below = let(F.try_variant_get(value, "$", "array<variant>"), lambda items: self._judged(items, path))
+        return F.when(_kind(value) != "ARRAY", _fault(path, "type")).otherwise(below)
+
+    def _judged(self, items: Column, path: Column) -> Column:
         size = F.size(items)
         own = [F.when(size < self.least, _fault(path, "too_few")).otherwise(_none())]
         if self.most is not None:
             own.append(F.when(size > self.most, _fault(path, "too_many")).otherwise(_none()))
         own += [F.when(F.coalesce(check(items), F.lit(False)), _fault(path, code)).otherwise(_none()) for code, check in self.also.items()]
-        below = F.flatten(F.transform(items, lambda x, i: self.item.faults(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
-        return F.when(_kind(value) != "ARRAY", _fault(path, "type")).otherwise(F.concat(*own, below))
+        each = lambda x, i: let(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), lambda at: self.item.faults(x, at))
+        return F.concat(*own, F.flatten(F.transform(items, each)))
 
 
 @dataclass
@@ -112,9 +123,8 @@ class Fields(Rule):
         parts = []
         for name, rule in self.rules.items():
             at = F.concat(path, F.lit(f".{name}"))
-            one = F.try_variant_get(value, f"$.{name}", "variant")
-            absent = one.isNull() | (_kind(one) == "VOID")
-            parts.append(F.when(absent, _none() if name in self.optional else _fault(at, "missing")).otherwise(rule.faults(one, at)))
+            none = _none() if name in self.optional else _fault(at, "missing")
+            parts.append(let(F.try_variant_get(value, f"$.{name}", "variant"), _field(rule, at, none)))
         others = F.filter(F.map_keys(held), lambda k: ~k.isin(*self.rules))
         parts.append(F.transform(F.array_sort(others), lambda k: F.concat(path, F.lit("."), k, F.lit(": unknown"))))
         parts += [F.when(F.coalesce(check(value), F.lit(False)), F.array(F.concat(path, F.lit(code)))).otherwise(_none()) for code, check in self.also.items()]
@@ -123,8 +133,8 @@ class Fields(Rule):
 
 def faults(document: Column, rule: Rule) -> Column:
     """All faults of a JSON text, in the order of the rules; empty for a valid one."""
-    value = F.try_parse_json(document)
-    return F.when(value.isNull(), _fault(F.lit("$"), "json")).otherwise(rule.faults(value, F.lit("$")))
+    # each value is bound once: an expression that is named several times would be parsed and cut out again each time
+    return let(F.try_parse_json(document), lambda value: F.when(value.isNull(), _fault(F.lit("$"), "json")).otherwise(rule.faults(value, F.lit("$"))))
 
 
 def _repeated(name: str) -> Callable[[Column], Column]:

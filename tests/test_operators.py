@@ -15,7 +15,8 @@ from siftwell.functions import paths
 from siftwell.functions import text as T
 from siftwell.functions.commands import generic_command
 from siftwell.functions.embedding import embed_texts, hash_embedding
-from siftwell.operators import codemap, contracts, ingest, planning, savings, search, state
+from siftwell.operators import codemap, contracts, ingest, planning, savings, search, state, validation
+from siftwell.plans.search import nearest_chunks
 from siftwell.sources import sinks
 from siftwell.sources.tree import ignore_lines, read_tree
 from siftwell.streaming.watch import compact, current_chunks, watch
@@ -279,3 +280,18 @@ def test_project_scope_reads_one_partition_and_lists_names(spark, tmp_path):
     for nobody in ("p9", "", None):
         with pytest.raises(state.UnknownProject, match="3, p0, p1, p2, p3, p4"):
             state.ProjectScope(projects, nobody)
+
+
+def test_a_document_is_parsed_once_for_all_its_rules(spark):
+    found = validation.faults(F.col("d"), validation.DRAFT)
+    assert str(found).count("parse_json") == 1
+    rows = spark.createDataFrame([('{"title": "t", "goal": "g", "tasks": [{"local_task_id": "a", "title": "x", "objective": ""}]}',), ("[",)], "d string").select(found.alias("f"))
+    assert [r.f for r in rows.collect()] == [["$.tasks[0].objective: empty"], ["$: json"]]
+
+
+def test_only_the_nearest_texts_are_cut(spark, tmp_path):
+    docs = [(k, f"t{k}\n" * 100 if k != 1 else None, "en", "s", 1) for k in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, [1.0, k / 10]) for k in range(8)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = nearest_chunks(spark, str(tmp_path), 5).collect()
+    assert [(r.vec_id, r.start_line) for r in got] == [(0, 1), (0, 81), (2, 1), (2, 81), (3, 1)]
