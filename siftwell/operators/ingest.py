@@ -180,16 +180,19 @@ def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
 
     Relative modules try suffixes in a fixed order beside the importing file; dotted ones try ``.py`` and
     ``/__init__.py`` as a whole path, then as the end of one (the least such path). Each candidate is an equality join.
+    What a module stands for is looked up once for all files that name it alike: only its distinct bases are tried.
     """
     relative = F.col("module").startswith(".")
     folder = F.array_join(F.slice(F.split("src", "/"), F.lit(1), F.greatest(F.size(F.split("src", "/")) - 1, F.lit(0))), "/")
     beside = F.ltrim(F.concat_ws("/", folder, F.regexp_replace("module", r"^(\./)+", "")), F.lit("./"))
     dotted = F.replace("module", F.lit("."), F.lit("/"))
     ends = ["", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js"]
-    own = F.array(*[F.struct(F.lit(i).alias("rank"), F.concat(beside, F.lit(e)).alias("name"), F.lit(False).alias("tail")) for i, e in enumerate(ends)])
+    own = F.array(*[F.struct(F.lit(i).alias("rank"), F.concat("_base", F.lit(e)).alias("name"), F.lit(False).alias("tail")) for i, e in enumerate(ends)])
     pairs = [(e, tail) for e in (".py", "/__init__.py") for tail in (False, True)]
-    other = F.array(*[F.struct(F.lit(i).alias("rank"), F.concat(dotted, F.lit(e)).alias("name"), F.lit(t).alias("tail")) for i, (e, t) in enumerate(pairs)])
-    tries = imports.select("src", "module", F.inline(F.when(relative, own).otherwise(other)))
+    other = F.array(*[F.struct(F.lit(i).alias("rank"), F.concat("_base", F.lit(e)).alias("name"), F.lit(t).alias("tail")) for i, (e, t) in enumerate(pairs)])
+    asked = imports.withColumns({"_relative": F.coalesce(relative, F.lit(False)), "_base": F.when(relative, beside).otherwise(dotted)})
+    bases = asked.select("_relative", "_base").distinct()
+    tries = bases.select("_relative", "_base", F.inline(F.when(F.col("_relative"), own).otherwise(other)))
     whole = known.select(F.col("path").alias("name"), F.col("path").alias("found"), F.lit(False).alias("tail"))
     parts = F.split("path", "/")
     endings = known.select(
@@ -198,8 +201,8 @@ def resolve_imports(imports: DataFrame, known: DataFrame) -> DataFrame:
         F.lit(True).alias("tail"),
     )
     names = whole.unionByName(endings.where("name <> ''")).groupBy("name", "tail").agg(F.min("found").alias("found"))
-    best = tries.join(names, ["name", "tail"]).groupBy("src", "module").agg(F.min(F.struct("rank", "found")).alias("best"))
-    return imports.join(best, ["src", "module"], "left").select("src", "module", F.coalesce("best.found", F.lit("")).alias("dst"))
+    best = tries.join(names, ["name", "tail"]).groupBy("_relative", "_base").agg(F.min(F.struct("rank", "found")).alias("best"))
+    return asked.join(best, ["_relative", "_base"], "left").select("src", "module", F.coalesce("best.found", F.lit("")).alias("dst"))
 
 
 def changed_paths(now: DataFrame, before: DataFrame, reported: DataFrame) -> DataFrame:

@@ -295,3 +295,11 @@ def test_only_the_nearest_texts_are_cut(spark, tmp_path):
     spark.createDataFrame([(k, [1.0, k / 10]) for k in range(8)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = nearest_chunks(spark, str(tmp_path), 5).collect()
     assert [(r.vec_id, r.start_line) for r in got] == [(0, 1), (0, 81), (2, 1), (2, 81), (3, 1)]
+
+
+def test_a_module_that_many_files_import_is_tried_once(spark):
+    rows = [(f"a/f{k}.py", m) for k in range(30) for m in ("pkg.m", "./n", "none.at.all")] + [("b/f.py", "./n")]
+    found = ingest.resolve_imports(spark.createDataFrame(rows, "src string, module string"), spark.createDataFrame([("lib/pkg/m.py",), ("a/n.ts",)], "path string"))
+    want = {"pkg.m": "lib/pkg/m.py", "./n": "a/n.ts", "none.at.all": ""}
+    assert {(r.src, r.module): r.dst for r in found.collect()} == {(s, m): want[m] if s != "b/f.py" else "" for s, m in rows}
+    assert "Deduplicate [_relative" in found._jdf.queryExecution().analyzed().toString()
