@@ -8,6 +8,7 @@ import numpy as np
 
 SYMBOLS = 37  #: letters, digits, and 0 for the blank
 GRAMS = SYMBOLS**3
+_FLAGS = 1 << 23  #: texts times trigrams that are marked in a table instead of sorted
 _TEXT = " abcdefghijklmnopqrstuvwxyz0123456789"
 _CODE = np.zeros(256, np.int32)
 _CODE[ord("a") : ord("z") + 1] = np.arange(1, 27)
@@ -44,23 +45,33 @@ def slices(texts: list[str | None], most: int = 1 << 18) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def gram_pairs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the text, trigram): the ``gram_set`` of each text, in one pass over all of them; ascending."""
+def gram_pairs(texts: list[str | None], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the text, trigram): the ``gram_set`` of each text, ``most`` bytes at a time, however long a text or a word is; ascending."""
     raw = [(t or "").lower().encode() for t in texts]
-    c = _CODE[np.frombuffer(b" ".join([*raw, b""]), np.uint8)]  # a blank parts the words of two texts
-    kept = np.flatnonzero(c)
-    if not len(kept):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(raw)), [len(r) + 1 for r in raw])[kept]
-    # two blanks before every word, of which the first ends the word before
-    at = np.arange(len(kept)) + 2 * np.cumsum(np.diff(kept, prepend=-2) > 1)
-    stream = np.zeros(int(at[-1]) + 2, np.int64)
-    owner = np.zeros(len(stream), np.int64)
-    stream[at], owner[at] = c[kept], of
-    a, b, d = stream[:-2], stream[1:-1], stream[2:]
-    valid = (b > 0) | ((a == 0) & (d > 0))
-    code = (a[valid] * SYMBOLS + b[valid]) * SYMBOLS + d[valid]
-    found = np.unique(np.where(b > 0, owner[1:-1], owner[2:])[valid] * GRAMS + code)
+    data = np.frombuffer(b" ".join([b" ", *raw, b""]), np.uint8)  # blanks part the words of two texts, two are before the first
+    ends = np.cumsum([len(r) + 1 for r in raw]) + 2
+    found = np.zeros(0, np.int64)
+    for start in range(2, len(data), most):
+        c = _CODE[data[start - 2 : start + most + 1]]
+        at = np.flatnonzero(c[2 : most + 2]) + 2
+        before, own = c[at - 1], c[at]
+        code = (np.where(before > 0, c[at - 2], 0) * SYMBOLS + before) * SYMBOLS + own
+        last = np.flatnonzero(np.append(c, 0)[at + 1] == 0)  # of a word: a blank follows
+        first, end = np.searchsorted(ends, [start, min(start + most, len(data)) - 1], "right").tolist()
+        sizes = np.diff(np.clip(ends[first:end], start, start + most), prepend=start, append=min(start + most, len(data)))
+        owner = np.repeat(np.arange(end - first + 1) * GRAMS, sizes)[at - 2]
+        codes = np.concatenate([owner + code, owner[last] + (before[last] * SYMBOLS + own[last]) * SYMBOLS])
+        if (end - first + 1) * GRAMS <= _FLAGS:
+            held = np.zeros((end - first + 1) * GRAMS, bool)
+            held[codes] = True
+            codes = np.flatnonzero(held)
+        else:
+            codes = np.unique(codes)
+        codes += first * GRAMS
+        # a text that goes on from the block before has trigrams of both
+        shared = int(np.searchsorted(found, first * GRAMS)) if start > 2 else 0
+        both = np.searchsorted(codes, (first + 1) * GRAMS)
+        found = np.concatenate([found[:shared], np.union1d(found[shared:], codes[:both]), codes[both:]])
     return found // GRAMS, found % GRAMS
 
 

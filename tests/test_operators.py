@@ -15,6 +15,7 @@ from siftwell.functions import paths
 from siftwell.functions import text as T
 from siftwell.functions.commands import generic_command
 from siftwell.functions.embedding import embed_texts, hash_embedding
+from siftwell.functions.grams import gram_pairs, gram_set
 from siftwell.operators import codemap, contracts, ingest, planning, savings, search, state, validation
 from siftwell.plans.search import nearest_chunks
 from siftwell.sources import sinks
@@ -303,3 +304,16 @@ def test_a_module_that_many_files_import_is_tried_once(spark):
     want = {"pkg.m": "lib/pkg/m.py", "./n": "a/n.ts", "none.at.all": ""}
     assert {(r.src, r.module): r.dst for r in found.collect()} == {(s, m): want[m] if s != "b/f.py" else "" for s, m in rows}
     assert "Deduplicate [_relative" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_trigrams_of_a_long_text_are_found_in_blocks():
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abcdefg_9é", k=rng.randrange(1, 9))) for _ in range(300_000)) + "x" * 400_000
+    tracemalloc.start()
+    owner, grams = gram_pairs([text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert grams.tolist() == gram_set(text).tolist() and not owner.any() and most < 40_000_000
+    texts = [None, "ab c", "", "the fox", "x", "Éa-b9_"]
+    for size in (1, 2, 3, 5, 100):
+        assert list(zip(*map(list, gram_pairs(texts, size)), strict=True)) == [(k, g) for k, t in enumerate(texts) for g in gram_set(t)]
