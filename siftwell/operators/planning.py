@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.operators.plan_graphs import KEY
 from siftwell.sources.scratch import WrittenTables
 
 LEASED = ("claimed", "in_progress", "in_review")
 CLOSED = ("completed", "cancelled", "blocked")
-KEY = ["plan_id", "task_no"]
 KEPT_STEPS = 16  #: layers between two writes of the result so far
 
 

@@ -100,7 +100,7 @@ _PROPOSED_SQL = """proposed AS (SELECT DISTINCT l_orderkey AS plan_id, CAST(l_li
 def _proposed(spark, sf_dir):
     n = F.col("l_linenumber").cast("long")
     rows = S.table(spark, sf_dir, "lineitem").where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("plan_id"), n.alias("task_no"))
-    return rows.select("plan_id", "task_no", F.explode(F.array(F.col("task_no") + 2, F.col("task_no"), F.col("task_no") - 1, F.col("task_no") - 2)).alias("needs")).distinct()
+    return rows.select("plan_id", "task_no", F.explode(F.array(F.col("task_no") + 2, F.col("task_no"), F.col("task_no") - 1, F.col("task_no") - 2)).alias("needs"))
 
 
 @query(

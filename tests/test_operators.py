@@ -317,3 +317,32 @@ def test_trigrams_of_a_long_text_are_found_in_blocks():
     texts = [None, "ab c", "", "the fox", "x", "Éa-b9_"]
     for size in (1, 2, 3, 5, 100):
         assert list(zip(*map(list, gram_pairs(texts, size)), strict=True)) == [(k, g) for k, t in enumerate(texts) for g in gram_set(t)]
+
+
+def some_graphs(spark):
+    """Tasks, dependencies and proposals of 60 plans of up to 9 tasks, with cycles, repeated rows, unknown tasks and nulls."""
+    rng = random.Random(5)
+    number = lambda n: rng.choice([None, *range(n)] if rng.random() < 0.1 else range(n))
+    tasks, deps, proposed = [], [], []
+    for plan in [*range(60), None]:
+        n = rng.randrange(1, 10)
+        tasks += [(plan, number(n)) for _ in range(n + rng.randrange(2))]
+        deps += [(plan, b, a) if rng.random() < 0.9 else (plan, a, b) for a, b in (sorted((rng.randrange(n + 1), rng.randrange(n + 1))) for _ in range(rng.randrange(2 * n)))]
+        deps += [(plan, number(n), None)] * (rng.random() < 0.1)
+        proposed += [(plan, number(n + 1), number(n + 1)) for _ in range(rng.randrange(2 * n))]
+    of = lambda rows, *names: spark.createDataFrame(rows, ", ".join(f"{x} long" for x in names))
+    return of(tasks, "plan_id", "task_no"), of(deps, "plan_id", "task_no", "needs"), of(proposed, "plan_id", "task_no", "needs")
+
+
+def plain_rows(frame):
+    return sorted(map(repr, map(tuple, frame.collect())))
+
+
+def test_dependencies_judged_plan_by_plan_equal_those_by_joins(spark, monkeypatch):
+    tasks, deps, proposed = some_graphs(spark)
+    want = plain_rows(state.judge_by_joins(proposed, tasks, deps))
+    assert {v for v in ("self", "unknown-task", "unknown-needs", "exists", "cycle", "ok") if any(repr(v) in r for r in want)} == {"self", "unknown-task", "unknown-needs", "exists", "cycle", "ok"}
+    assert [plain_rows(state.judge_dependencies(proposed, tasks, deps, most)) for most in (20, 1000)] == [want] * 2
+    monkeypatch.setattr(state, "judge_by_joins", None)
+    whole = proposed.dropna()
+    assert plain_rows(state.judge_dependencies(whole, tasks, deps)) == [r for r in want if "None" not in r]
