@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.operators.plan_graphs import KEY
+from siftwell.operators.plan_graphs import DEPENDENCY, KEY, MOST, TASK, by_plan, graph_rows, layer_rows, split
 from siftwell.sources.scratch import WrittenTables
 
 LEASED = ("claimed", "in_progress", "in_review")
@@ -45,9 +45,23 @@ def roots(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     return tasks.join(deps.select(*KEY).distinct(), KEY, "left_anti")
 
 
-def layers(tasks: DataFrame, deps: DataFrame) -> DataFrame:
+def layers(tasks: DataFrame, deps: DataFrame, most: int = MOST) -> DataFrame:
     """(plan_id, task_no, layer): the length of the longest chain of prerequisites; tasks on or behind a cycle have none (null).
 
+    A plan of ``most`` rows or fewer is peeled in one task, beside others; bigger ones are peeled by joins.
+    """
+    rows, small, big = split(graph_rows(tasks, deps), most)
+    kinds = dict(rows.dtypes)
+    out = by_plan(small, layer_rows, f"plan_id {kinds['plan_id']}, task_no {kinds['task_no']}, layer long")
+    out = out.unionByName(rows.where(F.col("plan_id").isNull() & (F.col("kind") == TASK)).select(*KEY).distinct().withColumn("layer", F.lit(None).cast("long")))
+    if big is None:
+        return out
+    return out.unionByName(layers_by_joins(big.where(F.col("kind") == TASK), big.where(F.col("kind") == DEPENDENCY)))
+
+
+def layers_by_joins(tasks: DataFrame, deps: DataFrame) -> DataFrame:
+    """``layers`` of plans of any size.
+
     Kahn's peeling: each step takes the tasks whose prerequisites have all been taken, and drops the edges they
     satisfy. The tables of a step are written, so lineage stays short; the steps are as many as the longest chain.
     """

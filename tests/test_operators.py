@@ -346,3 +346,13 @@ def test_dependencies_judged_plan_by_plan_equal_those_by_joins(spark, monkeypatc
     monkeypatch.setattr(state, "judge_by_joins", None)
     whole = proposed.dropna()
     assert plain_rows(state.judge_dependencies(whole, tasks, deps)) == [r for r in want if "None" not in r]
+
+
+def test_layers_plan_by_plan_equal_those_by_joins(spark, monkeypatch):
+    tasks, deps, _ = some_graphs(spark)
+    want = plain_rows(planning.layers_by_joins(tasks, deps))
+    assert "None" in "".join(want) and len(want) > 150
+    assert [plain_rows(planning.layers(tasks, deps, most)) for most in (12, 1000)] == [want] * 2
+    # small plans are not peeled step by step
+    monkeypatch.setattr(planning, "layers_by_joins", None)
+    assert plain_rows(planning.layers(tasks, deps, 1000)) == want
