@@ -16,7 +16,7 @@ from siftwell.functions import text as T
 from siftwell.functions.commands import generic_command
 from siftwell.functions.embedding import embed_texts, hash_embedding
 from siftwell.functions.grams import gram_pairs, gram_set
-from siftwell.operators import codemap, contracts, ingest, planning, savings, search, state, validation
+from siftwell.operators import codemap, contracts, ingest, plan_graphs, planning, savings, search, state, validation
 from siftwell.plans.search import nearest_chunks
 from siftwell.sources import sinks
 from siftwell.sources.tree import ignore_lines, read_tree
@@ -338,6 +338,16 @@ def plain_rows(frame):
     return sorted(map(repr, map(tuple, frame.collect())))
 
 
+def test_layers_plan_by_plan_equal_those_by_joins(spark, monkeypatch):
+    tasks, deps, _ = some_graphs(spark)
+    want = plain_rows(planning.layers_by_joins(tasks, deps))
+    assert "None" in "".join(want) and len(want) > 150
+    assert [plain_rows(planning.layers(tasks, deps, most)) for most in (12, 1000)] == [want] * 2
+    # small plans are not peeled step by step
+    monkeypatch.setattr(planning, "layers_by_joins", None)
+    assert plain_rows(planning.layers(tasks, deps, 1000)) == want
+
+
 def test_dependencies_judged_plan_by_plan_equal_those_by_joins(spark, monkeypatch):
     tasks, deps, proposed = some_graphs(spark)
     want = plain_rows(state.judge_by_joins(proposed, tasks, deps))
@@ -348,11 +358,17 @@ def test_dependencies_judged_plan_by_plan_equal_those_by_joins(spark, monkeypatc
     assert plain_rows(state.judge_dependencies(whole, tasks, deps)) == [r for r in want if "None" not in r]
 
 
-def test_layers_plan_by_plan_equal_those_by_joins(spark, monkeypatch):
+def test_plans_judged_side_by_side_equal_those_by_joins(spark, monkeypatch):
     tasks, deps, _ = some_graphs(spark)
-    want = plain_rows(planning.layers_by_joins(tasks, deps))
-    assert "None" in "".join(want) and len(want) > 150
-    assert [plain_rows(planning.layers(tasks, deps, most)) for most in (12, 1000)] == [want] * 2
-    # small plans are not peeled step by step
-    monkeypatch.setattr(planning, "layers_by_joins", None)
-    assert plain_rows(planning.layers(tasks, deps, 1000)) == want
+    plans = spark.range(62).select(F.col("id").alias("plan_id"), F.when(F.col("id") != 3, "t").alias("title"))
+    want = plain_rows(state.judge_plans(plans, tasks, deps, 0))
+    assert all(any(v in r for r in want) for v in ("no-title", "no-tasks", "duplicate-task", "unknown-task", "cycle", "'ok'"))
+    assert plain_rows(state.judge_plans(plans, tasks, deps, 12)) == want
+    monkeypatch.setattr(state, "faults_by_joins", None)
+    assert plain_rows(state.judge_plans(plans, tasks, deps)) == want
+
+
+def test_pieces_hold_their_plans_whole(spark):
+    rows = spark.range(3000).select((F.col("id") % 40).alias("plan_id"), F.expr("id div 40").alias("task_no"), F.lit(None).cast("long").alias("needs"), F.lit(0).cast("tinyint").alias("kind"))
+    out = plan_graphs.by_plan(rows, plan_graphs.fault_rows, "plan_id long, tasks long, most long, unknown boolean, cyclic boolean", 100)
+    assert sorted(tuple(r)[:3] for r in out.collect()) == [(k, 75, 1) for k in range(40)]
