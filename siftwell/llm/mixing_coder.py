@@ -23,11 +23,14 @@ null ids first, rows of one id in any order; a special token's string in a text
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import Scratch, worker_file
-from siftwell.llm.pretokens import encode_slice
+from siftwell.llm.matches import SeenMatches
 from siftwell.llm.textcodes import column_bytes, slices
 
 BLOCK = 1 << 20
@@ -275,15 +278,30 @@ def decode_block(payload: bytes) -> np.ndarray:
 
 
 _tokenizers: dict = {}
-CACHE_WORDS = 200_000
-CACHE_BYTES = 8_000_000
+CACHE_WORDS = 500_000  #: matches a worker remembers
+CACHE_BYTES = 8_000_000  #: and the bytes of those over 16 bytes
+
+
+_PART = b"\xff"  #: in no text, as no UTF-8 has it
+_GROUP = 128  #: matches that go to the library as one
+
+
+@cache
+def _byte_letters() -> np.ndarray:
+    """The character that byte-level BPE has for each byte: itself if it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = np.zeros(256, "<u2")
+    out[seen] = seen
+    out[[b for b in range(256) if b not in seen]] = 256 + np.arange(256 - len(seen))
+    return out
 
 
 class _Library:
     """Encodes slices of texts by the tokenizers library, with a bounded table of the matches it has seen.
 
-    The library cuts the strings of its added tokens out of a text before it looks for matches, so texts that hold one are
-    given to it whole.
+    The matches are cut already, so the library's BPE gets them without its own search for them: many in a row, parted by a byte that
+    no merge has, which the BPE leaves alone. A tokenizer of another kind gets each match by itself. The library cuts the strings
+    of its added tokens out of a text before it looks for matches, so texts that hold one are given to it whole.
     """
 
     def __init__(self, path: str):
@@ -292,49 +310,46 @@ class _Library:
 
         self.tokenizer = Tokenizer.from_file(worker_file(path))
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.seen: dict[bytes, list[int]] = {}
-        self.held = 0
-
-    def words(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.seen) > CACHE_WORDS or self.held > CACHE_BYTES:
-            self.seen.clear()
-            self.held = 0
-        out = list(map(self.seen.get, words))
-        new = [k for k, ids in enumerate(out) if ids is None]
-        for k, ids in zip(new, self._encode([words[k].decode("utf-8") for k in new]), strict=True):
-            out[k] = self.seen[words[k]] = ids
-            self.held += len(words[k])
-        return out
-
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each match. Those without blanks at the end go to the library as lines of one text: a line end parts matches."""
-        lines = [k for k, w in enumerate(words) if not w[-1].isspace()]
-        out: list[list[int] | None] = [None] * len(words)
-        if lines:
-            ids = self.tokenizer.encode_batch_fast(["\n".join([words[k] for k in lines])], add_special_tokens=False)[0].ids
-            ends = np.flatnonzero(np.array(ids) == self.line_end).tolist()
-            if len(ends) == len(lines) - 1:
-                for k, a, b in zip(lines, [-1, *ends], [*ends, len(ids)], strict=True):
-                    out[k] = ids[a + 1 : b]
-        rest = [k for k, ids in enumerate(out) if ids is None]
-        coded = self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)
-        for k, e in zip(rest, coded, strict=True):
-            out[k] = e.ids
-        return out
+        self.bare = Tokenizer(self.tokenizer.model) if self._parted() else None
+        self.seen = SeenMatches(self.encode)
+
+    def _parted(self) -> bool:
+        """Whether ids are those of a plain byte-level BPE, and no merge has ``_PART``."""
+        kind = json.loads(self.tokenizer.to_str())
+        model, cut = kind["model"], kind["pre_tokenizer"] or {}
+        part = chr(_byte_letters()[_PART[0]])
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+        plain = kind["normalizer"] is None and model.get("type") == "BPE" and not any(model.get(k) for k in odd)
+        plain = plain and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space")
+        return plain and part in model["vocab"] and not any(part in "".join(m) for m in model["merges"])
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of matches one after another, and how many each has."""
+        if self.bare is None:
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded))
+        groups = [np.frombuffer(_PART.join([*words[k : k + _GROUP], b""]), np.uint8) for k in range(0, len(words), _GROUP)]
+        texts = [_byte_letters()[g].tobytes().decode("utf-16-le") for g in groups]
+        coded = self.bare.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in coded])
+        part = ids == ids[-1]
+        return ids[~part], np.diff(np.flatnonzero(part), prepend=-1) - 1
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.seen.encode_slice(data, offsets, CACHE_WORDS, CACHE_BYTES)
 
     def slice(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts and each text's bounds in them."""
         data, offsets = column_bytes(text)
         raw = data.tobytes()
         if not any(t in raw for t in self.added):
-            return encode_slice(data, offsets, self.words)
+            return self._plain(data, offsets)
         ends = offsets.tolist()
         odd = [i for i in range(len(text)) if any(t in raw[ends[i] : ends[i + 1]] for t in self.added)]
         held = np.zeros(len(text), bool)
         held[odd] = True
         plain = pa.array(np.where(held, None, np.array(text.to_pylist(), object)), pa.string())
-        ids, bounds = encode_slice(*column_bytes(plain), self.words)
+        ids, bounds = self._plain(*column_bytes(plain))
         pieces = np.split(ids, bounds[1:-1])
         for i in odd:
             pieces[i] = np.array(self.tokenizer.encode(text[i].as_py(), add_special_tokens=False).ids, np.uint32)

@@ -26,6 +26,7 @@ from siftwell.llm import (
     compression_bands,
     discriminant,
     feistel_pii,
+    matches,
     maxent_lm,
     mixing_coder,
     order_minhash,
@@ -334,6 +335,46 @@ def test_op4_odd_tables(spark, monkeypatch):
     assert [(r.doc_id, r.n_tokens) for r in mixing_coder.write_and_read(clash, JSON).collect()] == [(1, 3)]
 
 
+def test_op4_new_matches_cost_less_than_a_search_by_the_library():
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(20_000))
+    t = Tokenizer.from_file(JSON)
+    fresh = lambda: mixing_coder._Library(JSON).slice
+
+    def seconds(f, x):
+        start = time.thread_time()
+        f(x)
+        return time.thread_time() - start
+
+    whole = min(seconds(lambda x: t.encode_batch_fast(x, add_special_tokens=False), [text]) for _ in range(3))
+    assert min(seconds(fresh(), pa.array([text])) for _ in range(3)) < 0.75 * whole
+
+
+def test_op4_matches_seen_equal_the_library(monkeypatch):
+    t = Tokenizer.from_file(JSON)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abé\x00\n '0ÿ日", k=rng.randint(1, 40))) for _ in range(4000)]
+    texts = [*ODD, *(" ".join(words[k : k + 40]) for k in range(0, 4000, 40)), "x" * 17, "x" * 16, "x" * 30_000, "a\x00", "a", "a\x00\x00"]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+    def check(library):
+        for _ in range(2):
+            ids, bounds = library.slice(pa.array(texts, pa.string()))
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+
+    library = mixing_coder._Library(JSON)
+    assert library.bare is not None
+    check(library)
+    library.bare = None  # each match by itself
+    library.seen.clear()
+    check(library)
+    monkeypatch.setattr(mixing_coder, "CACHE_WORDS", 5)
+    check(mixing_coder._Library(JSON))
+    monkeypatch.setattr(matches, "mix64", lambda x: x & np.uint64(3 << 62))  # nearly all codes are equal
+    texts, want = texts[: len(ODD) + 4] + texts[-6:], want[: len(ODD) + 4] + want[-6:]
+    check(mixing_coder._Library(JSON))
+
+
 def test_op4_checksums_combine():
     a, b = b"some bytes", b"and others" * 9
     assert mixing_coder.combine_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
