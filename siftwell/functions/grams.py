@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SYMBOLS = 37  #: letters, digits, and 0 for the blank
 GRAMS = SYMBOLS**3
@@ -45,6 +47,16 @@ def slices(texts: list[str | None], most: int = 1 << 18) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def text_slices(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[slice, list[str | None]]]:
+    """Runs of rows of about ``most`` bytes of a text column each, and their texts; only these become Python strings, whatever the batch holds."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(ends):
+        stop = min(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most)) + 1, len(ends))
+        yield slice(start, stop), column.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 def gram_pairs(texts: list[str | None], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """(place of the text, trigram): the ``gram_set`` of each text, ``most`` bytes at a time, however long a text or a word is; ascending."""
     raw = [(t or "").lower().encode() for t in texts]

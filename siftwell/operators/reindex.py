@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
-from siftwell.functions.grams import gram_pairs, gram_text, slices
+from siftwell.functions.grams import gram_pairs, gram_text, text_slices
 from siftwell.functions.imports import imported_modules
 from siftwell.operators.ingest import line_windows
 from siftwell.sources.scratch import WrittenTables
@@ -29,6 +29,9 @@ from siftwell.sources.snapshot import SnapshotStore, bucket_of, by_bucket
 
 FORMAT = 2  #: of the tables below; an index of another format is built anew
 HELD = 1 << 21  #: entries of posting lists that a task holds
+GIVEN = 1 << 18  #: and of those it gives out at a time
+LONG = 1 << 20  #: characters of a long text
+WORDS = "[a-z0-9_]+"
 FILES_A_BUCKET = 20_000
 SHIFT = 32  #: a chunk's number is its bucket, shifted, and its place in the bucket
 ORDER = {"chunks": ["path", "start_line"], "symbols": ["path", "line"], "imports": ["src", "module"], "postings": ["field", "gram"]}
@@ -49,8 +52,8 @@ def chunk_table(files: DataFrame, window: int, buckets: int) -> DataFrame:
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = []
-            for texts in (batch.column(k).to_pylist() for k in (5, 4)):
-                counts = [np.bincount(gram_pairs(texts[own])[0], minlength=own.stop - own.start) for own in slices(texts)]
+            for column in (batch.column(k) for k in (5, 4)):
+                counts = [np.bincount(gram_pairs(texts)[0], minlength=len(texts)) for _, texts in text_slices(column)]
                 sizes.append(pa.array(np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, *sizes], names=[*batch.schema.names, "n_content", "n_symbol"])
 
@@ -78,60 +81,71 @@ def posting_batches(batches: Iterator[pa.RecordBatch], most: int = HELD) -> Iter
     piece: Postings | None = None
     for batch in batches:
         buckets, cids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        texts = [batch.column(k).to_pylist() for k in (2, 3, 4)]
         ends = [*(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
         for start, end in zip([0, *ends[:-1]], ends, strict=True):  # rows of one bucket
-            for part in slices(texts[0][start:end]):
-                own = slice(start + part.start, start + part.stop)
+            for part, contents in text_slices(batch.column(2).slice(start, end - start)):
+                first, n = start + part.start, len(contents)
                 if piece and (piece.bucket != buckets[start] or piece.size >= most):
                     yield from piece.batches()
                     piece = None
                 piece = piece or Postings(int(buckets[start]))
-                piece.add(cids[own], *(t[own] for t in texts))
+                piece.add(cids[first : first + n], contents, *(batch.column(k).slice(first, n).to_pylist() for k in (3, 4)))
     if piece:
         yield from piece.batches()
 
 
 class Postings:
-    """Posting lists of some chunks of one bucket."""
+    """Posting lists of some chunks of one bucket, by the chunks' places in it."""
 
     def __init__(self, bucket: int):
         self.bucket, self.size = bucket, 0
         self.grams: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {"c": [], "s": [], "p": []}
         self.names: dict[str, int] = {}
-        self.words = array("i"), array("q"), array("i")  # number of the word, chunk, times
+        self.words = array("I"), array("I"), array("I")  # number of the word, chunk, times
 
     def add(self, cids: np.ndarray, contents: list[str], symbols: list[str], paths: list[str]) -> None:
+        places = (cids - (self.bucket << SHIFT)).astype(np.uint32)
         for field, texts in (("c", contents), ("s", symbols), ("p", paths)):
             owner, codes = gram_pairs(texts)
-            self.grams[field].append((codes.astype(np.uint16), cids[owner]))
+            self.grams[field].append((codes.astype(np.uint16), places[owner]))
             self.size += len(codes)
         number = self.names
-        for cid, content in zip(cids.tolist(), contents, strict=True):
-            found = Counter(re.findall("[a-z0-9_]+", content.lower()))
+        for place, content in zip(places.tolist(), contents, strict=True):
+            text = content.lower()
+            # of a long text, all words are never listed at once
+            found = Counter(re.findall(WORDS, text) if len(text) <= LONG else (m[0] for m in re.finditer(WORDS, text)))
             self.words[0].extend([number.setdefault(w, len(number)) for w in found])
-            self.words[1].extend([cid] * len(found))
+            self.words[1].extend([place] * len(found))
             self.words[2].extend(found.values())
             self.size += len(found)
 
     def batches(self) -> Iterator[pa.RecordBatch]:
-        for field, parts in self.grams.items():
-            codes, cids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        """The lists, a field at a time; what has been given out is no longer held."""
+        for field in list(self.grams):
+            codes, places = (np.concatenate(x) for x in zip(*self.grams.pop(field), strict=True))
             order = np.argsort(codes, kind="stable")
-            found, first = np.unique(codes[order], return_index=True)
-            yield self._batch(field, [gram_text(g) for g in found.tolist()], np.append(first, len(codes)), cids[order], np.ones(len(codes), np.int32))
-        word, cids, times = (np.array(x) for x in self.words)
-        order = np.argsort(word, kind="stable")
-        sizes = np.cumsum(np.bincount(word, minlength=len(self.names)))
-        yield self._batch("w", list(self.names), np.append(0, sizes), cids[order], times[order])
-
-    def _batch(self, field: str, grams: list[str], offsets: np.ndarray, cids: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-        pairs = pa.StructArray.from_arrays([pa.array(cids), pa.array(times)], names=["cid", "times"])
-        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pairs)
-        n = len(grams)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([self.bucket] * n, pa.int32()), pa.array([field] * n, pa.string()), pa.array(grams, pa.string()), lists], names=["bucket", "field", "gram", "chunks"]
-        )
+            sizes = np.bincount(codes, minlength=1)
+            found = np.flatnonzero(sizes)
+            yield from self._batches(field, [gram_text(g) for g in found.tolist()], sizes[found], order, places)
+        word, places, times = (np.frombuffer(x, np.uint32) for x in self.words)
+        names, self.names = list(self.names), {}
+        yield from self._batches("w", names, np.bincount(word, minlength=len(names)), np.argsort(word, kind="stable"), places, times)
+
+    def _batches(self, field: str, grams: list[str], sizes: np.ndarray, order: np.ndarray, places: np.ndarray, times: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """Rows of whole grams, about ``GIVEN`` entries at a time."""
+        ends = np.cumsum(sizes)
+        start = before = 0
+        while start < len(grams):
+            stop = min(int(np.searchsorted(ends, before + GIVEN)) + 1, len(grams))
+            own = order[before : ends[stop - 1]]
+            n = stop - start
+            pairs = [pa.array(places[own].astype(np.int64) + (self.bucket << SHIFT)), pa.array(np.ones(len(own), np.int32) if times is None else times[own].astype(np.int32))]
+            offsets = np.append(0, ends[start:stop] - before).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(pairs, names=["cid", "times"]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([self.bucket] * n, pa.int32()), pa.array([field] * n, pa.string()), pa.array(grams[start:stop], pa.string()), lists], names=["bucket", "field", "gram", "chunks"]
+            )
+            start, before = stop, int(ends[stop - 1])
 
 
 def _tables(chunks: DataFrame, imports: DataFrame, buckets: int) -> dict[str, DataFrame]:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import shutil
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siftwell.functions.grams import gram_pairs, gram_set, slices
+from siftwell.functions.grams import gram_pairs, gram_set, slices, text_slices
 from siftwell.operators import indexed_search as X
 from siftwell.operators import reindex as R
 from siftwell.operators import search as K
@@ -69,6 +71,32 @@ def test_postings_of_one_bucket_come_in_bounded_pieces(spark, tmp_path):
     assert entries(R.postings(store.read("chunks"), 500).toArrow().to_batches()) == entries(store.read("postings").select("bucket", "field", "gram", "chunks").toArrow().to_batches())
 
 
+def test_postings_hold_no_more_of_a_bigger_batch(monkeypatch):
+    text = " ".join(f"w{i % 50}" for i in range(6000))  # about 23 kB
+
+    def batch(n):
+        columns = {"bucket": pa.array([3] * n, pa.int32()), "cid": pa.array([(3 << R.SHIFT) + k + 1 for k in range(n)]), "content": pa.array([text] * n)}
+        return pa.RecordBatch.from_pydict(columns | {"symbol": pa.array(["w0"] * n), "path": pa.array([f"d/{k}" for k in range(n)])})
+
+    def traced(n):
+        b = batch(n)
+        tracemalloc.start()
+        entries = sum(len(x.column(3).flatten()) for x in R.posting_batches(iter([b]), 5000))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return entries / n, peak
+
+    small, big = traced(100), traced(1000)
+    assert small[0] > 100 and big[1] < 1.5 * small[1] < 40e6
+    # what is given out at a time is bounded too, and a long text's words are counted as a short one's
+    rows = lambda found: sorted((f, g, c["cid"], c["times"]) for b in found for f, g, cs in zip(*[b.column(k).to_pylist() for k in (1, 2, 3)], strict=True) for c in cs)
+    whole = list(R.posting_batches(iter([batch(40)])))
+    monkeypatch.setattr(R, "GIVEN", 100)
+    monkeypatch.setattr(R, "LONG", 10)
+    pieces = list(R.posting_batches(iter([batch(40)])))
+    assert rows(pieces) == rows(whole) and max(len(b.column(3).flatten()) for b in pieces) <= 140 < max(len(b.column(3).flatten()) for b in whole)
+
+
 @pytest.mark.parametrize("n", [1, 40, 1 << 18])
 def test_trigrams_of_many_texts_at_once(n):
     texts = ["the fox", None, "", "a", "ab\tc1", "über É x", "İK", "--", "x" * 50, "z"]
@@ -76,6 +104,14 @@ def test_trigrams_of_many_texts_at_once(n):
     assert got == [(k, g) for k, t in enumerate(texts) for g in gram_set(t)]
 
 
+@pytest.mark.parametrize("n", [1, 40, 1 << 18])
+def test_text_slices_are_those_of_lists(n):
+    texts = ["the fox", None, "", "a", "ab\tc1", "über É x", "İK", "--", "x" * 50, "z"]
+    column = pa.array(["before", *texts])[1:]
+    got = [(k + own.start, g) for own, some in text_slices(column, n) for k, g in zip(*map(list, gram_pairs(some)), strict=True)]
+    assert got == [(k, g) for k, t in enumerate(texts) for g in gram_set(t)] and not list(text_slices(column[:0]))
+
+
 def test_a_write_that_dies_leaves_the_old_state(spark, tmp_path):
     store = SnapshotStore(spark, f"file://{tmp_path}/s", 4)
     R.full_index(store, files(spark, 10), 8)
