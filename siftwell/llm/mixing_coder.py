@@ -51,6 +51,8 @@ _HEAD = struct.Struct("<4sBIII")  #: magic, version, ids, crc32, streams
 
 _SLOTS = 1 << 18  #: of order 2, by a hash of the last two ids
 _SEEN = 24  #: weight of an id seen, against 1 for any id
+_PARTS = 15  #: bits of the parts that an order-0 value is looked for by
+_NEXT = 2  #: ids looked at one after another there, before the rest is searched
 _FULL = 1 << 16  #: a row of choices is halved beyond so many
 _ROWS = 128  #: trust in order 2 (8), trust in order 1 (8), whether both predict the same id
 _TRUST_2, _TRUST_1, _SAME = np.arange(_ROWS) >> 4, (np.arange(_ROWS) >> 1) & 7, np.arange(_ROWS) & 1
@@ -58,14 +60,18 @@ _U = np.uint64
 _TOP, _BOTTOM = _U(1 << 48), _U(1 << 44)
 
 
-def _after(trust: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What is added to a slot, and whether its id is replaced, by 3 * row + choice: trust grows by one or is halved, an id without trust goes."""
+_REPLACE = np.int32(8)  #: in place of what is added to a slot whose id is replaced
+
+
+def _after(trust: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """What is added to a slot, by 3 * row + choice: trust grows by one or is halved, an id without trust goes."""
     trust = trust[:, None]
-    return np.where(right, trust < 7, -((trust + 1) >> 1)).astype(np.int32).ravel(), (~right & (trust < 2)).ravel()
+    add = np.where(right, trust < 7, -((trust + 1) >> 1))
+    return np.where(~right & (trust < 2), _REPLACE, add).astype(np.int32).ravel()
 
 
-_ADD_2, _REPLACE_2 = _after(_TRUST_2, np.arange(3)[None, :] == np.zeros((_ROWS, 1)))
-_ADD_1, _REPLACE_1 = _after(_TRUST_1, (np.arange(3)[None, :] == 1) | ((np.arange(3)[None, :] == 0) & (_SAME == 1)[:, None]))
+_ADD_2 = _after(_TRUST_2, np.arange(3)[None, :] == np.zeros((_ROWS, 1)))
+_ADD_1 = _after(_TRUST_1, (np.arange(3)[None, :] == 1) | ((np.arange(3)[None, :] == 0) & (_SAME == 1)[:, None]))
 
 
 class _Model:
@@ -74,10 +80,9 @@ class _Model:
     def __init__(self) -> None:
         # 8 * the id that followed last time + how often it was right of late (0 to 7)
         self.order_2, self.order_1 = np.zeros(_SLOTS, np.int32), np.zeros(ALPHABET, np.int32)
-        self.frequency = np.ones(ALPHABET, np.int64)
-        self.upper = np.arange(ALPHABET + 1, dtype=np.uint32)
+        self.upper = np.arange(ALPHABET + 1, dtype=np.uint32)  # sums of the order-0 frequencies
         self.waiting: list[np.ndarray] = []  # ids the order-0 frequencies have not taken in
-        self.summed = 0
+        self.summed, self.parts_of = 0, -1
         # counts of {order 2 is right, order 1 is right, neither} given nothing, one trust, both trusts
         self.counts = [np.ones((n, 3), np.int64) for n in (1, 8, _ROWS)]
         self.weights = np.full((3, _ROWS), 1365)
@@ -100,28 +105,40 @@ class _Model:
         self.at_2, self.at_1 = (one * 0x9E3779B1 ^ two * 0x85EBCA77) >> 13 & (_SLOTS - 1), one
         self.held_2, self.held_1 = self.order_2.take(self.at_2), self.order_1.take(one)
         self.guess_2, self.guess_1 = self.held_2 >> 3, self.held_1 >> 3
-        self.row = (((self.held_2 & 7) << 3 | self.held_1 & 7) << 1) + (self.guess_2 == self.guess_1)
+        self.row = ((((self.held_2 & 7) << 3 | self.held_1 & 7) << 1) + (self.guess_2 == self.guess_1)).astype(np.int64)
 
     def find(self, v: np.ndarray) -> np.ndarray:
-        """The ids whose order-0 share holds the values ``v``: the group of 16 first, then the place in it."""
-        at = (np.searchsorted(self.upper[:ALPHABET:16], v, "right") - 1) << 4
-        for bit in (8, 4, 2, 1):
-            at += (self.upper.take(at + bit) <= v) * bit
+        """The ids whose order-0 share holds the values ``v``: the first of the part of all values that ``v`` is in, or one after it."""
+        if self.parts_of != self.summed:
+            self.parts_of = self.summed
+            self.shift = np.uint32(max(0, int(self.upper[-1]).bit_length() - _PARTS))
+            # an id counts from the first part that begins in its share
+            first = self.upper[1:-1] + ((np.uint32(1) << self.shift) - np.uint32(1)) >> self.shift
+            self.near = np.cumsum(np.bincount(first, minlength=(1 << _PARTS) + 1), dtype=np.int32)
+        at = self.near.take(v >> self.shift)
+        todo = np.flatnonzero(self.upper.take(at + 1) <= v)
+        for _ in range(_NEXT):
+            if not len(todo):
+                return at
+            at[todo] += 1
+            todo = todo[self.upper.take(at[todo] + 1) <= v[todo]]
+        at[todo] = np.searchsorted(self.upper, v[todo], "right") - 1
         return at
 
     def learn(self, t: int, ids: np.ndarray, state: np.ndarray) -> None:
         """Takes in the ids of step ``t``, coded in ``state`` (3 * row + choice). Of streams in one context the last counts."""
         moved = (ids << 3).astype(np.int32)
-        self.order_2[self.at_2] = np.where(_REPLACE_2.take(state), moved, self.held_2 + _ADD_2.take(state))
-        self.order_1[self.at_1] = np.where(_REPLACE_1.take(state), moved, self.held_1 + _ADD_1.take(state))
+        for slots, at, held, add in ((self.order_2, self.at_2, self.held_2, _ADD_2), (self.order_1, self.at_1, self.held_1, _ADD_1)):
+            add = add.take(state)
+            slots[at] = np.where(add == _REPLACE, moved, held + add)
         self.seen += np.bincount(state, minlength=3 * _ROWS)
         self.waiting.append(ids)
         if t < 16 or t % 8 == 7:
             self._weigh()
             self._mix()
         if len(self.waiting) > min(self.summed // 4, 7):
-            self.frequency += _SEEN * np.bincount(np.concatenate(self.waiting), minlength=ALPHABET)
-            np.cumsum(self.frequency, out=self.upper[1:], dtype=np.uint32)
+            count = np.bincount(np.concatenate(self.waiting), minlength=ALPHABET)
+            self.upper[1:] += np.cumsum(count, dtype=np.uint32) * np.uint32(_SEEN)
             self.summed += len(self.waiting)
             self.waiting = []
 
@@ -150,7 +167,12 @@ class _Ranges:
 
     def due(self, lanes: np.ndarray | None = None) -> np.ndarray:
         """Those of ``lanes`` (all if None) whose first 16 bits are settled, or must be as the range has become small."""
-        low, width = (self.low, self.width) if lanes is None else (self.low[lanes], self.width[lanes])
+        low, width = self.low, self.width
+        if lanes is not None:  # no first bits are settled in a range of more than 2^48: few are left after a shift
+            width = width.take(lanes)
+            few = np.flatnonzero(width <= _TOP)
+            lanes, width = lanes.take(few), width.take(few)
+            low = low.take(lanes)
         settled = (low ^ (low + (width - _U(1)))) < _TOP
         small = (width < _BOTTOM) > settled
         if small.any():
@@ -160,8 +182,8 @@ class _Ranges:
         return np.flatnonzero(settled) if lanes is None else lanes[settled]
 
     def shift(self, lanes: np.ndarray) -> None:
-        self.low[lanes] <<= _U(16)
-        width = self.width[lanes] << _U(16)
+        self.low[lanes] = self.low.take(lanes) << _U(16)
+        width = self.width.take(lanes) << _U(16)
         self.width[lanes] = width - (width == 0)  # a width of 2^48 would become 2^64: one less
 
 
@@ -178,45 +200,44 @@ def encode_block(ids: np.ndarray) -> bytes:
     if len(ids) and int(ids.max()) >= ALPHABET:
         raise ValueError(f"an id of {ALPHABET} or more")
     n, steps = _shape(len(ids))
-    rows = np.zeros((n, steps), np.int64)
+    rows = np.zeros((n, steps), np.uint32)
     rows.reshape(-1)[: len(ids)] = ids
     rows = np.ascontiguousarray(rows.T)
     model, ranges = _Model(), _Ranges(n)
     low, width = ranges.low, ranges.width
-    # a step narrows a range of 44 bits or more to 3 bits at worst, and a cut to the next 44-bit border to none: 7 times 16 bits
-    out, at = np.zeros((n, 7 * steps + 8), "<u2"), np.zeros(n, np.int64)
+    who, out = [], []  # streams that put out 16 bits, and these
     one = two = np.zeros(n, np.int64)
     for t in range(steps):
-        x = rows[t]
+        x = rows[t].astype(np.int64)
         model.look(one, two)
         miss = model.guess_2 != x
-        state = 3 * model.row + miss + (miss & (model.guess_1 != x))
+        both = miss & (model.guess_1 != x)
+        state = 3 * model.row + miss + both
         step = width >> _U(16)
         low += step * model.lower.take(state)
         np.multiply(step, model.share.take(state), out=width)
-        rest = np.flatnonzero(state == 3 * model.row + 2)
+        rest = np.flatnonzero(both)
         if len(rest):
-            own = x[rest]
+            own = x.take(rest)
             lower = model.upper.take(own)
-            step = width[rest] // _U(model.upper[-1])
+            step = width.take(rest) // _U(model.upper[-1])
             low[rest] += step * lower
             width[rest] = step * (model.upper.take(own + 1) - lower)
         lanes = ranges.due()
         while len(lanes):
-            out[lanes, at[lanes]] = low[lanes] >> _U(48)
-            at[lanes] += 1
+            who.append(lanes.astype(np.uint16))
+            out.append((low.take(lanes) >> _U(48)).astype(np.uint16))
             ranges.shift(lanes)
             lanes = ranges.due(lanes)
         model.learn(t, x, state)
         one, two = x, one
     # 32 bits tell a value inside the last range, which is no smaller than _BOTTOM; the rest may be zeros
     last = (low + _U((1 << 32) - 1)) >> _U(32)
-    lanes = np.arange(n)
-    out[lanes, at], out[lanes, at + 1] = last >> _U(16), last & _U(0xFFFF)
-    at += 2
-    code = out[np.arange(out.shape[1]) < at[:, None]].astype("<u2").tobytes()
-    head = _HEAD.pack(MAGIC, VERSION, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), n)
-    return head + at.astype("<u2").tobytes() + code
+    who = np.concatenate([*who, np.arange(n, dtype=np.uint16), np.arange(n, dtype=np.uint16)])
+    out = np.concatenate([*out, (last >> _U(16)).astype(np.uint16), last.astype(np.uint16)])
+    code = out.take(np.argsort(who, kind="stable")).astype("<u2").tobytes()
+    head = _HEAD.pack(MAGIC, VERSION, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4")), n)
+    return head + np.bincount(who, minlength=n).astype("<u2").tobytes() + code
 
 
 def decode_block(payload: bytes) -> np.ndarray:
@@ -230,7 +251,7 @@ def decode_block(payload: bytes) -> np.ndarray:
     length = np.frombuffer(payload, "<u2", n, _HEAD.size).astype(np.int64)
     if len(payload) != _HEAD.size + 2 * n + 2 * int(length.sum()):
         raise ValueError("token block of another length")
-    # each stream's code is followed by zeros; reading beyond it stays inside the padded code and fails the checksum
+    # each stream's code is followed by zeros; what is read beyond them, if it is damaged, fails the checksum
     across = int(length.max(initial=0)) + 4
     code = np.zeros((n, across), np.uint16)
     code[np.arange(across) < length[:, None]] = np.frombuffer(payload, "<u2", -1, _HEAD.size + 2 * n)
@@ -239,24 +260,25 @@ def decode_block(payload: bytes) -> np.ndarray:
     value = np.zeros(n, np.uint64)
     for k in range(4):
         value = value << _U(16) | code[:, k]
-    at = np.full(n, 4)
-    rows = np.zeros((steps, n), np.int64)
+    at, code = np.arange(4, 4 + n * across, across), code.ravel()
+    rows = np.zeros((steps, n), np.uint32)
     one = two = np.zeros(n, np.int64)
     for t in range(steps):
         model.look(one, two)
         step = width >> _U(16)
         v = (value - low) // step
-        state = 3 * model.row + (model.first.take(model.row) <= v) + (model.second.take(model.row) <= v)
+        second = model.second.take(model.row) <= v
+        choice = (model.first.take(model.row) <= v).astype(np.int64) + second
+        state = 3 * model.row + choice
         low += step * model.lower.take(state)
         np.multiply(step, model.share.take(state), out=width)
-        choice = state - 3 * model.row
         x = np.where(choice == 0, model.guess_2, model.guess_1).astype(np.int64)
-        rest = np.flatnonzero(choice == 2)
+        rest = np.flatnonzero(second)
         if len(rest):
             total = _U(model.upper[-1])
-            step, ahead = width[rest], low[rest]
+            step, ahead = width.take(rest), low.take(rest)
             step //= total
-            v = np.minimum((value[rest] - ahead) // step, total - _U(1)).astype(np.uint32)
+            v = np.minimum((value.take(rest) - ahead) // step, total - _U(1)).astype(np.uint32)
             own = model.find(v)
             lower = model.upper.take(own)
             low[rest] = ahead + step * lower
@@ -264,22 +286,23 @@ def decode_block(payload: bytes) -> np.ndarray:
             x[rest] = own
         lanes = ranges.due()
         while len(lanes):
-            value[lanes] = value[lanes] << _U(16) | code[lanes, np.minimum(at[lanes], across - 1)]
-            at[lanes] += 1
+            place = at.take(lanes)
+            value[lanes] = value.take(lanes) << _U(16) | code.take(place, mode="clip")
+            at[lanes] = place + 1
             ranges.shift(lanes)
             lanes = ranges.due(lanes)
         rows[t] = x
         model.learn(t, x, state)
         one, two = x, one
-    ids = rows.T.reshape(-1)[:size].astype(np.uint32)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+    ids = rows.T.reshape(-1)[:size]
+    if zlib.crc32(np.ascontiguousarray(ids, "<u4")) != crc:
         raise ValueError("token block fails its checksum")
     return ids
 
 
 _tokenizers: dict = {}
-CACHE_WORDS = 500_000  #: matches a worker remembers
-CACHE_BYTES = 8_000_000  #: and the bytes of those over 16 bytes
+CACHE_WORDS = 1_500_000  #: matches a worker remembers
+CACHE_BYTES = 8_000_000  #: and the bytes of those over 15 bytes
 
 
 _PART = b"\xff"  #: in no text, as no UTF-8 has it
@@ -408,7 +431,9 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, path: str) -> None:
                 ids, bounds = library.slice(piece.column(1))
                 size = np.diff(bounds)
                 full = np.full(len(ids) + len(size), END_ID, np.uint32)
-                full[np.arange(len(ids)) + np.repeat(np.arange(len(size)), size)] = ids
+                own = np.ones(len(full), bool)
+                own[bounds[1:] + np.arange(len(size))] = False
+                full[own] = ids
                 waiting.append(full)
                 held += len(full)
                 for doc_id, k in zip(piece.column(0).to_pylist(), size.tolist(), strict=True):

@@ -21,37 +21,51 @@ LETTER, NUMBER, OTHER, SPACE = range(4)
 @cache
 def _classes() -> np.ndarray:
     """The class of every code point."""
-    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    points = np.delete(np.arange(0x110000, dtype="<u4"), np.s_[0xD800:0xE000])
+    every = points.tobytes().decode("utf-32-le")
     out = np.full(0x110000, OTHER, np.uint8)
     for kind, what in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
-        for m in regex.finditer(what, "".join(every)):
-            out[[ord(c) for c in m.group()]] = kind
+        for m in regex.finditer(what, every):
+            out[points[m.start() : m.end()]] = kind
     return out
 
 
 def split_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte positions where matches begin in the texts of a slice, and each text's bounds in that list."""
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    n = len(cp)
+    """Byte positions where matches begin in the texts of a slice, and each text's bounds in that list.
+
+    Bytes are looked at, not characters: those of a longer character have its class, so no match begins inside of it.
+    """
+    n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    kind = _classes()[cp]
+    kind = _classes()[:256].take(data)
+    wide = np.flatnonzero(data >= 0x80)
+    lead = (data[wide] & 0x40) != 0
+    if len(wide):
+        if not lead[0] or (~lead[1:] & (np.diff(wide) > 1)).any():
+            data.tobytes().decode("utf-8")  # raises, as bytes of a character are apart
+        cp = np.frombuffer(data[wide].tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        char = np.cumsum(lead) - 1
+        kind[wide] = _classes()[cp][char]
     doc_start = np.zeros(n + 4, bool)
-    doc_start[np.searchsorted(lead, offsets)] = True  # also marks the end of the last text
+    doc_start[offsets] = True  # also marks the end of the last text
     doc_start[n:] = True
     begin = np.empty(n, bool)
     begin[0] = True
     begin[1:] = kind[1:] != kind[:-1]
     begin |= doc_start[:n]
-    space, blank = kind == SPACE, cp == 32
+    space, blank = kind == SPACE, data == 32
     run = begin.copy()
     joined = run[1:] & ~space[1:] & blank[:-1] & ~doc_start[1:n]
-    begin[1:][joined] = False
+    begin[1:] &= ~joined
     begin[:-1] |= space[:-1] & ~space[1:] & ~doc_start[1:n]
-    quote = np.flatnonzero((cp == 39) & begin & run)
+    if len(wide):  # the last white space of several may be a longer character: the match begins with its first byte
+        late = np.flatnonzero(begin[wide] & ~lead)
+        begin[wide[late]] = False
+        begin[wide[lead][char[late]]] = True
+    quote = np.flatnonzero((data == 39) & begin & run)
     if len(quote):
-        pad = np.concatenate([cp, np.zeros(3, np.uint32)])
+        pad = np.concatenate([data, np.zeros(3, np.uint8)])
         same = ~doc_start[quote + 1]
         one, two = pad[quote + 1], pad[quote + 2]
         two = np.where(doc_start[quote + 2], 0, two)
@@ -62,7 +76,7 @@ def split_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
             begin[at + 1] = False
             after = at + size
             begin[after[~doc_start[after]]] = True
-    starts = lead[np.flatnonzero(begin)]
+    starts = np.flatnonzero(begin)
     return starts, np.searchsorted(starts, offsets)
 
 

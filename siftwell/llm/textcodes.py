@@ -24,10 +24,11 @@ _U = np.uint64
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit values (two xor-shift-multiply rounds)."""
     x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    x = x ^ (x >> _U(29))
-    x = x * _U(0xA0761D6478BD642F)
-    return x ^ (x >> _U(32))
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(29)
+    x *= _U(0xA0761D6478BD642F)
+    x ^= x >> _U(32)
+    return x
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

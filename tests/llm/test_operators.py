@@ -375,6 +375,36 @@ def test_op4_matches_seen_equal_the_library(monkeypatch):
     check(mixing_coder._Library(JSON))
 
 
+def taught(ids):
+    """A block's model that has taken in steps of ids."""
+    model = mixing_coder._Model()
+    for t, x in enumerate(ids):
+        model.look(np.zeros(len(x), np.int64), np.zeros(len(x), np.int64))
+        model.learn(t, x, 3 * model.row + 2)
+    return model
+
+
+def test_op4_values_are_found_by_the_part_they_are_in():
+    rng = np.random.default_rng(6)
+    every = rng.integers(0, mixing_coder.ALPHABET, (24, 8192))
+    some = np.full((4, 50), 65_535)
+    zipf = rng.zipf(1.2, (24, 8192)).clip(0, 50_256)
+    for model in (mixing_coder._Model(), taught(every), taught(some), taught(np.zeros((9, 8192), np.int64)), taught(zipf)):
+        upper = model.upper
+        v = np.concatenate([upper[:-1], upper[1:] - 1, rng.integers(0, int(upper[-1]), 50_000, np.uint32)])
+        assert (model.find(v) == np.searchsorted(upper, v, "right") - 1).all()
+    values = [rng.integers(0, int(upper[-1]), 8192, np.uint32) for _ in range(64)]
+
+    def seconds(f):
+        start = time.thread_time()
+        for v in values:
+            f(v)
+        return time.thread_time() - start
+
+    searched = min(seconds(lambda v: np.searchsorted(upper, v, "right")) for _ in range(5))
+    assert min(seconds(model.find) for _ in range(5)) < 0.6 * searched
+
+
 def test_op4_checksums_combine():
     a, b = b"some bytes", b"and others" * 9
     assert mixing_coder.combine_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
